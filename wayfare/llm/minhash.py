@@ -67,7 +67,9 @@ class OnePermutation:
             row, column = np.nonzero(can)
             least[row, column] = least[row, asked[column]]
             missing &= ~can
-        return (least & U64((1 << self.bits) - 1)).astype(np.uint8), some
+        # remixed by bin: a borrowed hash must not agree by chance in all bins at once
+        own = mix(least + np.arange(self.bins, dtype=U64)[None, :] * U64(0xD1342543DE82EF95))
+        return (own & U64((1 << self.bits) - 1)).astype(np.uint8), some
 
     def pack(self, signatures: np.ndarray, some: np.ndarray) -> list[str]:
         packed = signatures if self.bits == 8 else signatures[:, ::2] << 4 | signatures[:, 1::2]

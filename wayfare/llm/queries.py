@@ -101,3 +101,74 @@ def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_one_permutation_minhash, op3_simhash_near_dedup, op4_suffix_array_dedup, op5_ordinal_quality, op6_subword_toxicity)}
 ORACLES: dict[str, str] = {}
+
+
+def op7_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wayfare.llm.chat import pack_trees, read_back
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(pack_trees(table.unionByName(extra), path), path)
+
+
+def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wayfare.llm.sstable import digests, read_shards, write_shards
+    from wayfare.llm.storage import Scratch
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = write_shards(_table(spark, sf_dir, "documents"), str(path), 2, Scratch(spark, "tokens"), vocabulary=50257)
+    return digests(read_shards(manifest))
+
+
+QUERIES |= {f.__name__: f for f in (op7_prefix_tree_chat, op9_token_tables)}
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, with their wording differences."""
+    from wayfare.llm.licenses import license_blocks
+
+    return license_blocks(_table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: words, words and target of its source, words that the mix takes."""
+    from wayfare.llm.mixing import plan, word_count
+    from wayfare.llm.storage import Scratch
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("mix_size"))
+    planned = plan(docs, sizes=Scratch(spark, "mixing").write(docs, "sizes"))
+    return planned.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken")
+    )
+
+
+OP8_SQL = r"""
+WITH sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM totals),
+caps AS (SELECT *, source_size * 2e0 AS cap, (sum(source_size) OVER ()) * 1.5e0 AS total FROM weighed),
+levels AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
+  / (sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM caps),
+targets AS (SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM levels),
+rates AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS rate,
+  ('0x' || md5('17:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT / 4294967296e0 AS draw
+  FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM rates
+"""
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the similarity and place of the best window."""
+    from wayfare.llm.decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+QUERIES |= {f.__name__: f for f in (op1_license_scan, op8_source_mixing, op10_benchmark_decontamination)}
+ORACLES |= {"op8_source_mixing": OP8_SQL}
