@@ -262,18 +262,83 @@ def _sorted_windows(texts: DataFrame, length: int) -> DataFrame:
     return ordered.select("doc_id", "text_hash", "a", "b", "p", "key", "known", "region").mapInArrow(run, _FOUND)
 
 
+_WINDOW = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("doc", "<i8"), ("hash", "<i8"), ("s", "<i4"), ("known", "?")])
+
+
+def _dealt(lot: np.ndarray, packed: np.ndarray, lots: int) -> Iterator[pa.RecordBatch]:
+    """Packed records as one row for each lot that has some."""
+    if not len(packed):
+        return
+    order = np.argsort(lot, kind="stable")
+    edges = np.searchsorted(lot[order], np.arange(lots + 1))
+    packed = packed[order]
+    some = [k for k in range(lots) if edges[k] < edges[k + 1]]
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary())], names=["lot", "packed"])
+
+
+def _by_lot(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+    """All records of each lot; rows come sorted by lot."""
+    now, held = None, []
+    for batch in batches:
+        for lot, packed in zip(batch["lot"].to_pylist(), batch["packed"].to_pylist(), strict=True):
+            if lot != now and held:
+                yield np.concatenate(held)
+                held = []
+            now = lot
+            held.append(np.frombuffer(packed, dtype=kind))
+    if held:
+        yield np.concatenate(held)
+
+
 def _counted_windows(texts: DataFrame, length: int) -> DataFrame:
-    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of crowded prefixes, counted by hash over the cluster.
+
+    Windows are dealt by their hash to as many lots as there are shuffle partitions, packed into one binary
+    for each task and lot rather than a row each; matches go back by document the same way.
+    """
+    lots = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    full = 1 << 17
+
+    def deal(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            packed = np.concatenate(held) if held else np.zeros(0, _WINDOW)
+            yield from _dealt((packed["w1"].view("<u8") % np.uint64(lots)).astype(np.int64), packed, lots)
+            held.clear()
+
         for batch in incoming:
             columns = [batch[c].to_pylist() for c in ("doc_id", "text_hash", "a", "known", "region")]
             for doc, text_hash, a, known, region in zip(*columns, strict=True):
                 n = len(region) - length + 1
-                hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(region[s : s + length]) for s in range(n)]), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([text_hash] * n, pa.int64()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array([known] * n), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())], names=["doc_id", "text_hash", "s", "known", "w1", "w2"])
-
-    windows = texts.select("doc_id", "text_hash", "a", "known", "region").mapInArrow(run, "doc_id long, text_hash long, s int, known boolean, w1 long, w2 long")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-    return windows.where("not known").join(twice, ["w1", "w2"]).select("doc_id", "text_hash", F.col("s").alias("a"), F.col("s").alias("b"))
+                hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(region[s : s + length]) for s in range(n)]), dtype="<i8").reshape(-1, 2)
+                records = np.zeros(n, _WINDOW)
+                records["w1"], records["w2"], records["doc"], records["hash"], records["s"], records["known"] = hashes[:, 0], hashes[:, 1], doc, text_hash, np.arange(a, a + n), known
+                held.append(records)
+                if sum(map(len, held)) >= full:
+                    yield from out()
+        yield from out()
+
+    def match(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in _by_lot(incoming, _WINDOW):
+            records = records[np.lexsort((records["w2"], records["w1"]))]
+            equal = (records["w1"][1:] == records["w1"][:-1]) & (records["w2"][1:] == records["w2"][:-1])
+            twice = np.concatenate([equal, [False]]) | np.concatenate([[False], equal])
+            found = records[twice & ~records["known"]]
+            yield from _dealt((mix(found["hash"].view("<u8").copy()) % np.uint64(lots)).astype(np.int64), found, lots)
+
+    def collect(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _by_lot(incoming, _WINDOW):
+            found = found[np.lexsort((found["s"], found["hash"], found["doc"]))]
+            same = (found["doc"][1:] == found["doc"][:-1]) & (found["hash"][1:] == found["hash"][:-1])
+            breaks = np.flatnonzero(~(same & (found["s"][1:] - found["s"][:-1] <= 1)))
+            first, last = np.concatenate([[0], breaks + 1]), np.append(breaks, len(found) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c.copy(), t) for c, t in zip((found["doc"][first], found["hash"][first], found["s"][first], found["s"][last]), _FOUND_TYPES, strict=True)], names=["doc_id", "text_hash", "a", "b"])
+
+    lot = "lot int, packed binary"
+    dealt = texts.select("doc_id", "text_hash", "a", "known", "region").mapInArrow(deal, lot).repartition(lots, "lot").sortWithinPartitions("lot")
+    back = dealt.mapInArrow(match, lot).repartition(lots, "lot").sortWithinPartitions("lot")
+    return back.mapInArrow(collect, _FOUND)
 
 
 def removed_runs(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
