@@ -108,7 +108,7 @@ def combine(f: Column, g: Column, op) -> Column:
 
 def merge(f: Column, g: Column) -> Column:
     """Pointwise lesser; the whole other function where the ranges do not overlap."""
-    return F.when(greatest(f) <= least(g), f).when(greatest(g) <= least(f), g).otherwise(combine(f, g, F.least))
+    return F.when(greatest(f) <= least(g), f).when(greatest(g) <= least(f), g).otherwise(combine(f, g, lambda a, b: F.least(a, b)))
 
 
 def undercuts(f: Column, g: Column) -> Column:
