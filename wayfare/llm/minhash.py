@@ -2,7 +2,7 @@
 
 The shingle hashes of a text are dealt to ``bins`` by their high bits once; each
 bin keeps its least hash.  Empty bins borrow by optimal densification: bin i asks
-the bins that a fixed hash of (i, attempt) names until one is not empty.  Stored
+the bins in a fixed random order of its own until one is not empty.  Stored
 are the low-order ``bits`` of each bin; likeness is the share of equal bins,
 corrected for chance equality: (m - c) / (1 - c) with c = 2^-bits, within 0..1.
 
@@ -33,6 +33,9 @@ class OnePermutation:
         if bins & (bins - 1) or bits not in (4, 8):
             raise ValueError("bins must be a power of two and bits 4 or 8")
         self.bins, self.bits, self.width = bins, bits, width
+        cells = np.arange(bins * bins, dtype=U64).reshape(bins, bins)
+        self.orders = np.argsort(mix(cells * U64(0x9E3779B1) + U64(77)), axis=1, kind="stable")
+        self.ranks = np.argsort(self.orders, axis=1, kind="stable").astype(np.uint16)
 
     def signatures(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Low bits of every bin (texts x bins, uint8), and which texts have words."""
@@ -57,20 +60,27 @@ class OnePermutation:
         least = least.reshape(b - a, self.bins)
         some = np.zeros(b - a, dtype=bool)
         some[doc] = True
-        given = least != EMPTY
-        missing = ~given & some[:, None]
-        attempt = 0
-        while missing.any():
-            attempt += 1
-            asked = (mix(np.arange(self.bins, dtype=U64) * U64(0x9E3779B1) + U64(attempt << 32)) % U64(self.bins)).astype(np.int64)
-            can = missing & given[:, asked]
-            row, column = np.nonzero(can)
-            least[row, column] = least[row, asked[column]]
-            missing &= ~can
+        self._densify(least, least != EMPTY, some)
         # remixed by bin: a borrowed hash must not agree by chance in all bins at once
         own = mix(least + np.arange(self.bins, dtype=U64)[None, :] * U64(0xD1342543DE82EF95))
         return (own & U64((1 << self.bits) - 1)).astype(np.uint8), some
 
+    def _densify(self, least: np.ndarray, given: np.ndarray, some: np.ndarray) -> None:
+        """Empty bins take the hash of the first given bin in their own fixed random order of all bins."""
+        rows = np.flatnonzero(some & ~given.all(axis=1))
+        for attempt in range(8):
+            if not len(rows):
+                return
+            asked = self.orders[:, attempt]
+            missing = least[rows] == EMPTY
+            can = missing & given[rows][:, asked]
+            at, column = np.nonzero(can)
+            least[rows[at], column] = least[rows[at], asked[column]]
+            rows = rows[(missing & ~can).any(axis=1)]
+        for row in rows:  # few bins are given: look for the first of them at once
+            have, need = np.flatnonzero(given[row]), np.flatnonzero(least[row] == EMPTY)
+            least[row, need] = least[row, have[np.argmin(self.ranks[np.ix_(need, have)], axis=1)]]
+
     def pack(self, signatures: np.ndarray, some: np.ndarray) -> list[str]:
         packed = signatures if self.bits == 8 else signatures[:, ::2] << 4 | signatures[:, 1::2]
         return [row.tobytes().hex() if ok else "" for row, ok in zip(packed, some, strict=True)]
