@@ -118,12 +118,12 @@ def op7_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from wayfare.llm.sstable import digests, read_shards, write_shards
+    from wayfare.llm.sstable import read_digests, write_shards
     from wayfare.llm.storage import Scratch
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     manifest = write_shards(_table(spark, sf_dir, "documents"), str(path), 2, Scratch(spark, "tokens"), vocabulary=50257)
-    return digests(read_shards(manifest))
+    return read_digests(manifest)
 
 
 QUERIES |= {f.__name__: f for f in (op7_prefix_tree_chat, op9_token_tables)}

@@ -237,29 +237,53 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch,
     return manifest.withColumn("start", before).withColumn("folder", F.lit(folder))
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, int, np.ndarray]]:
+    """doc_id, copy, start and ids of every document of the listed shards."""
+    for batch in batches:
+        for folder, path, start in zip(batch["folder"].to_pylist(), batch["path"].to_pylist(), batch["start"].to_pylist(), strict=True):
+            store = fs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else fs.LocalFileSystem()
+            with store.open_input_file(path) as stream:
+                for key, ids in Shard(stream):
+                    yield id_of(key), struct.unpack(">I", key[9:])[0], start, ids
+                    start += len(ids)
+
+
+def _in_parts(documents, most: int) -> Iterator[list[tuple]]:
+    held, size = [], 0
+    for document in documents:
+        held.append(document)
+        size += len(document[3]) + 64
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _listed(manifest: DataFrame) -> DataFrame:
+    """A task for each shard."""
+    return manifest.select("folder", "path", "start").repartition(max(1, manifest.count()))
+
+
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, copy, start, ids of every document, read back from the files."""
-    shards = manifest.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for folder, path, start in zip(batch["folder"].to_pylist(), batch["path"].to_pylist(), batch["start"].to_pylist(), strict=True):
-                store = fs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else fs.LocalFileSystem()
-                with store.open_input_file(path) as stream:
-                    held: list[tuple] = []
-                    size = 0
-                    for key, ids in Shard(stream):
-                        held.append((id_of(key), struct.unpack(">I", key[9:])[0], start, ids.astype(np.uint32)))
-                        start += len(ids)
-                        size += len(ids)
-                        if size > 1 << 19:
-                            yield _held(held)
-                            held, size = [], 0
-                    if held:
-                        yield _held(held)
-
-    listed = manifest.select("folder", "path", "start").repartition(max(1, shards))
-    return listed.mapInArrow(run, "doc_id long, copy long, start long, ids array<int>")
+        for rows in _in_parts(_documents(batches), 1 << 19):
+            yield _held([(*r[:3], r[3].astype(np.uint32)) for r in rows])
+
+    return _listed(manifest).mapInArrow(run, "doc_id long, copy long, start long, ids array<int>")
+
+
+def read_digests(manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files; the ids stay on the worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _in_parts(_documents(batches), 1 << 22):
+            crc = [zlib.crc32(r[3].astype("<u4").tobytes()) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _listed(manifest).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _held(rows: list[tuple]) -> pa.RecordBatch:
@@ -267,18 +291,3 @@ def _held(rows: list[tuple]) -> pa.RecordBatch:
     flat = np.concatenate([r[3] for r in rows]).view(np.int32)
     ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), ids], names=["doc_id", "copy", "start", "ids"])
-
-
-def digests(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["ids"]
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-            lengths = np.array([len(x) for x in ids], dtype=np.int64) if len(ids) == 0 else np.diff(ids.offsets.to_numpy())
-            ends = np.cumsum(lengths) * 4
-            crc = [zlib.crc32(flat[e - 4 * n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -16,7 +16,8 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer
 
-REMEMBERED = 800_000
+#: Words of one generation; two are remembered.
+REMEMBERED = 200_000
 _PLAIN = [*range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]
 #: Bytes that stand for themselves in the vocabulary; the others are the characters from U+0100 on, in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,15 +39,22 @@ UNUSUAL = re.compile("[^\\t\\n\\r" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b i
 
 
 class _Known(dict):
-    """Ids of words as bytes; unknown words are asked for."""
+    """Ids of words as bytes in two generations: what is asked for again outlives what is not."""
 
     def __init__(self, tokenize):
         super().__init__()
         self.tokenize = tokenize
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        chars = word.encode().decode("latin-1").translate(_AS_CHARS)
-        out = self[word] = np.array([t.id for t in self.tokenize(chars)], dtype="<u4").tobytes()
+        out = self.old.get(word)
+        if out is None:
+            chars = word.encode().decode("latin-1").translate(_AS_CHARS)
+            out = np.array([t.id for t in self.tokenize(chars)], dtype="<u4").tobytes()
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[word] = out
         return out
 
 
@@ -62,8 +70,6 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if UNUSUAL.search(text) or any(m in text for m in self.marks):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         known = self.known
         return np.frombuffer(b"".join([known[w] for w in WORDS.findall(text)]), dtype="<u4")
 
