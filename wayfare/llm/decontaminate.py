@@ -94,11 +94,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int
     listed = items.select("item_id", "width", "n", "fp", blocks).select("item_id", "width", "n", F.col("fp").alias("item_fp"), "x.block", F.explode(near).alias("value"))
     probed = distinct.select("wkey", "width", "n", "fp", blocks).select("wkey", "width", "n", "fp", "x.block", "x.value")
     close = probed.join(listed, ["width", "n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("wkey", "item_id").distinct()
-    both = close.join(distinct.select("wkey", "window"), "wkey").join(items.select("item_id", "weights"), "item_id")
+    both = close.join(distinct.select("wkey", "window").hint("merge"), "wkey").join(items.select("item_id", "weights"), "item_id")
     found = F.expr("aggregate(filter(weights, x -> array_contains(window, x.h)), 0D, (a, x) -> a + x.w)")
     whole = F.expr("aggregate(weights, 0D, (a, x) -> a + x.w)")
     matched = scratch.write(both.select("wkey", "item_id", (found / whole).alias("similarity")).where(F.col("similarity") >= least), "matched")
-    hit = members.select("wkey", "doc_id", "text_hash", "start").join(matched, "wkey")
+    # tables of windows grow with the corpus: they are not broadcast, however small their files
+    hit = members.select("wkey", "doc_id", "text_hash", "start").hint("merge").join(matched.hint("merge"), "wkey")
     best = hit.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best"))
     return best.select("doc_id", "text_hash", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start_word"))
 
