@@ -19,6 +19,11 @@ def piecewise(start_x: Column, interval_x: Column, points: Column) -> Column:
     return F.struct(start_x.cast("double").alias("start_x"), interval_x.cast("double").alias("interval_x"), points.cast("array<double>").alias("points"), F.lit(None).cast("double").alias("cst"))
 
 
+def bind(f: Column, use) -> Column:
+    """use(f) with f computed once: nested formulas would repeat its expression otherwise."""
+    return F.get(F.transform(F.array(f), use), F.lit(0))
+
+
 def constant(value: Column) -> Column:
     return F.struct(F.lit(None).cast("double").alias("start_x"), F.lit(None).cast("double").alias("interval_x"), F.lit(None).cast("array<double>").alias("points"), value.cast("double").alias("cst"))
 

@@ -39,13 +39,19 @@ def simulated_weights(entry: Column, road: Column, exit_: Column, margin: float
     """Travel-time function of an edge: wait to enter, travel, wait to leave, each link kept first-in first-out."""
     from wayfare.functions import pwl
 
-    return pwl.ensure_fifo(pwl.link(pwl.ensure_fifo(pwl.link(entry, road), margin), exit_), margin)
+    def fifo(f: Column) -> Column:
+        return pwl.bind(f, lambda x: pwl.ensure_fifo(x, margin))
+
+    entered = fifo(pwl.bind(fifo(road), lambda r: pwl.link(entry, r)))
+    return fifo(pwl.bind(entered, lambda f: pwl.link(f, exit_)))
 
 
 def road_function(lengths: Column, travel_time, bound: float = 0.0) -> Column:
     """Travel time at the observed lengths; constant at its first value if its range is ``bound`` or less."""
     from wayfare.functions import pwl
 
-    f = pwl.apply_values(lengths, travel_time)
-    first = F.coalesce(F.element_at(f["points"], 1), f["cst"])
-    return F.when(pwl.practically_constant(f, F.lit(bound)), pwl.constant(first)).otherwise(f)
+    def settled(f: Column) -> Column:
+        first = F.coalesce(F.element_at(f["points"], 1), f["cst"])
+        return F.when(pwl.practically_constant(f, F.lit(bound)), pwl.constant(first)).otherwise(f)
+
+    return pwl.bind(pwl.apply_values(lengths, travel_time), settled)
