@@ -47,6 +47,9 @@ def features(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         words = Words(texts[first:last])
         word = (words.hash >> U64(64 - WORD_BITS)).astype(np.int64)
         shape = (shape_hashes(words) >> U64(64 - SHAPE_BITS)).astype(np.int64) + (1 << WORD_BITS)
+        again = np.zeros(len(shape), dtype=bool)
+        again[1:] = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])
+        shape[again] = FEATURES - 1  # a word said again at once has one shape of its own
         doc = np.concatenate([words.doc, words.doc])
         cell, count = np.unique(doc * FEATURES + np.concatenate([word, shape]), return_counts=True)
         doc, feature = cell // FEATURES, cell % FEATURES
@@ -56,10 +59,22 @@ def features(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield first, doc, feature, value / length[kind]
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, label: str, sample: int, where: str = "true") -> DataFrame:
-    """(text, label) of at most ``sample`` labelled rows, the same ones at every run."""
+def sample_of(docs: DataFrame, labels: DataFrame, label: str, sample: int, where: str = "true", positive: float | None = None) -> DataFrame:
+    """(id, text, label) of at most ``sample`` labelled rows, the same ones at every run.
+
+    With ``positive``, that share of them is kept for labels over 0.
+    """
     known = labels.where(F.col(label).isNotNull() & F.expr(where)).select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
-    known = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
+
+    def least(rows: DataFrame, n: int) -> DataFrame:
+        return rows.orderBy(F.xxhash64("id"), "id").limit(n)
+
+    if positive is None:
+        known = least(known, sample)
+    else:
+        n = int(sample * positive)
+        known = least(known.where("label > 0"), n).unionByName(least(known.where("label <= 0"), sample - n))
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(known, "id").select("id", "text", "label")
 
 
@@ -189,13 +204,17 @@ def select_quality(docs: DataFrame, model: CumulativeLink, least: float = 0.5) -
 
 BUCKET_BITS = 18
 SEGMENT = 16
+#: A segment of fewer subwords is averaged as if it had so many.
+LEAST_SUBWORDS = 64
+#: Share of the positive class that training weighs rows to.
+PRIOR = 0.25
 
 
 class SubwordBag:
-    """Hashed words and character n-grams of 3 to 6 bytes, embedded, averaged, and put through a linear softmax.
+    """Hashed words and character n-grams of 3 to 5 bytes, embedded, averaged, and put through a linear softmax.
 
     Words that were never seen still have the vectors of their n-grams.  Averages
-    are over segments of ``SEGMENT`` words; a text is as toxic as its worst segment, so that
+    are over the different words in segments of ``SEGMENT`` words; a text is as toxic as its worst segment, so that
     a few words count in a long text too.  Training starts on whole-text averages and then
     learns on the segment that is worst so far.
     """
@@ -220,7 +239,7 @@ def subwords(words: Words) -> tuple[np.ndarray, np.ndarray]:
         total = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE_VALUES[folded] * up[: len(folded)])])
         lengths = words.end - words.start
         owners, out = [np.arange(len(words.start))], [(words.hash >> U64(64 - BUCKET_BITS)).astype(np.int32)]
-        for n in (3, 4, 5, 6):
+        for n in (3, 4, 5):
             counts = np.maximum(lengths - n + 1, 0)
             owner = np.repeat(np.arange(len(counts)), counts)
             offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -232,6 +251,18 @@ def subwords(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(out)
 
 
+def segments_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Segment of each word (numbered over the chunk), and whether the word is the first of its kind in it."""
+    place = np.arange(len(words.start)) - words.first[:-1][words.doc]
+    segment = np.cumsum((place % SEGMENT) == 0) - 1
+    order = np.lexsort((words.hash, segment))
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = (words.hash[order][1:] == words.hash[order][:-1]) & (segment[order][1:] == segment[order][:-1])
+    new = np.ones(len(order), dtype=bool)
+    new[order[same]] = False
+    return segment, new
+
+
 def _segment_scores(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     """Greatest segment average of each text, without bias; 0 without words."""
     best = np.zeros(len(texts))
@@ -240,19 +271,19 @@ def _segment_scores(texts: list[bytes], table: np.ndarray) -> np.ndarray:
         if not len(words.start):
             continue
         owner, bucket = subwords(words)
-        total = np.bincount(owner, table[bucket], minlength=len(words.start))
-        count = np.bincount(owner, minlength=len(words.start))
-        place = np.arange(len(words.start)) - words.first[:-1][words.doc]
-        begins = np.flatnonzero((place % SEGMENT) == 0)
-        score = np.add.reduceat(total, begins) / np.add.reduceat(count, begins)
-        owner_doc = words.doc[begins]
+        segment, new = segments_of(words)
+        total = np.bincount(owner, table[bucket], minlength=len(words.start)) * new
+        count = np.bincount(owner, minlength=len(words.start)) * new
+        n = segment[-1] + 1
+        score = np.bincount(segment, total, minlength=n) / np.maximum(np.bincount(segment, count, minlength=n), LEAST_SUBWORDS)
+        owner_doc = words.doc[np.flatnonzero(np.diff(np.concatenate([[-1], segment])))]
         top = np.full(last - first, -np.inf)
         np.maximum.at(top, owner_doc, score)
         best[first:last] = np.where(np.isfinite(top), top, 0)
     return best
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 6000, where: str = "true", dims: int = 8, epochs: int = 6, seed: int = 11) -> SubwordBag:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 4000, where: str = "true", dims: int = 8, epochs: int = 6, seed: int = 11) -> SubwordBag:
     """Train vectors and softmax together on at most ``sample`` labelled texts that satisfy ``where`` (over the columns of labels)."""
     bound_batches(docs.sparkSession)
 
@@ -262,12 +293,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
             for text in texts:
                 words = Words([text])
                 owner, bucket = subwords(words)
-                segment = owner // SEGMENT
+                of_word, new = segments_of(words)
+                owner, bucket = owner[new[owner]], bucket[new[owner]]
+                segment = of_word[owner]
                 order = np.argsort(segment, kind="stable")
                 segments.append((bucket[order].tobytes(), np.bincount(segment, minlength=1).astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([b for b, _ in segments], pa.binary()), pa.array([c for _, c in segments], pa.binary()), batch["label"].cast(pa.int32())], names=["id", "b", "c", "label"])
 
-    rows = sample_of(docs, labels, label, sample, where).mapInArrow(run, "id long, b binary, c binary, label int").collect()
+    rows = sample_of(docs, labels, label, sample, where, 0.4).mapInArrow(run, "id long, b binary, c binary, label int").collect()
     rows.sort(key=lambda r: (r.id, r.b))
     return train_bag([(np.frombuffer(r.b, np.int32), np.frombuffer(r.c, np.int32), int(r.label > 0)) for r in rows], dims, epochs, seed)
 
@@ -284,7 +317,7 @@ def train_bag(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 8, epo
     if not rows or share in (0.0, 1.0):
         bias[1] = 0 if not rows else (8 if share else -8)
         return SubwordBag(vectors * 0, softmax, bias)
-    weight = (0.5 / (1 - share), 0.5 / share)
+    weight = ((1 - PRIOR) / (1 - share), PRIOR / share)
     for epoch in range(epochs):
         for i in random.permutation(len(rows)):
             bucket, counts, y = rows[i]
@@ -293,10 +326,11 @@ def train_bag(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 8, epo
             if epoch >= 2 and len(counts) > 1:
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 slope = softmax[:, 1] - softmax[:, 0]
-                odds = np.add.reduceat(vectors[bucket] @ slope, edges[:-1][counts > 0]) / counts[counts > 0]
+                odds = np.add.reduceat(vectors[bucket] @ slope, edges[:-1][counts > 0]) / np.maximum(counts[counts > 0], LEAST_SUBWORDS)
                 k = np.flatnonzero(counts > 0)[int(np.argmax(odds))]
                 bucket = bucket[edges[k] : edges[k + 1]]
-            mean = vectors[bucket].mean(axis=0)
+            size_of = max(len(bucket), LEAST_SUBWORDS)
+            mean = vectors[bucket].sum(axis=0) / size_of
             logits = mean @ softmax + bias
             p = np.exp(logits - logits.max())
             p /= p.sum()
@@ -310,7 +344,7 @@ def train_bag(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 8, epo
             bias_sq += g * g
             bias -= rate * g / np.sqrt(bias_sq)
             kinds, times = np.unique(bucket, return_counts=True)
-            gv = (times / len(bucket))[:, None] * into[None, :]
+            gv = (times / size_of)[:, None] * into[None, :]
             vector_sq[kinds] += (gv * gv).sum(axis=1)
             vectors[kinds] -= (rate * gv / np.sqrt(vector_sq[kinds])[:, None]).astype(np.float32)
     return SubwordBag(vectors, softmax, bias)
