@@ -118,6 +118,8 @@ def test_simulation_writes_all_tables(spark, tmp_path):
     assert way["edge_id"].tolist() == [1, 2, 3] and (way["exit_time"] > way["entry_time"]).all()
     iterations = table(spark, tmp_path / "out/iteration_results.parquet")
     assert sorted(iterations["iteration_counter"]) == [1, 2] and {"surplus_mean", "alt_dep_time_rmse", "road_trip_count", "exp_road_network_cond_rmse"} <= set(iterations.columns)
+    assert list(iterations.columns) == simulation.ITERATION_COLUMNS and "Iterations" in (tmp_path / "out/report.html").read_text()
+    assert (tmp_path / "out/skim_results.json").exists()
     sampled = table(spark, tmp_path / "out/net_cond_exp_edge_ttfs.parquet")
     assert len(sampled) == 13 * (3 * 3 + 1)
     assert json.loads((tmp_path / "out/running_times.json").read_text())["total"] > 0

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import pwl, scalars
 from wayfare.operators import choice, learning, routing, summary
+from wayfare.plans import report
 from wayfare.plans.parameters import SimulationParameters, simulation_parameters
 from wayfare.plans.within_day import components
 from wayfare.sources import sinks, tables
@@ -37,6 +38,7 @@ class World:
     legs: DataFrame | None
     edges: DataFrame | None
     vehicles: DataFrame | None
+    skims: DataFrame | None = None
 
 
 def load(spark: SparkSession, p: SimulationParameters) -> World:
@@ -83,7 +85,14 @@ def load(spark: SparkSession, p: SimulationParameters) -> World:
     if vehicles is not None:
         sets = [F.to_json(F.array_sort(F.array_distinct(F.coalesce(c, F.array())))) for c in ("allowed_edges", "restricted_edges")]
         same = F.to_json(F.struct("speed_function_type", "speed_function_upper_bound", "speed_function_coef", "speed_function_x", "speed_function_y", *sets))
-        vehicles = cut(vehicles.withColumn("uvehicle", F.first("vehicle_id").over(Window.partitionBy(same).orderBy("row_index"))), "vehicles")
+        given = F.lit("")
+        if "road_network_conditions" in files:
+            # equal vehicles with different conditions are told apart
+            rows = tables.read(tables.scan(spark, files["road_network_conditions"]), "road_network_conditions")
+            signs = rows.groupBy("vehicle_id").agg(F.md5(F.to_json(F.sort_array(F.collect_list(F.struct("edge_id", "departure_time", "travel_time"))))).alias("conditions"))
+            vehicles = vehicles.join(signs, "vehicle_id", "left")
+            given = F.coalesce("conditions", F.lit(""))
+        vehicles = cut(vehicles.withColumn("uvehicle", F.first("vehicle_id").over(Window.partitionBy(same, given).orderBy("row_index"))).drop("conditions"), "vehicles")
     return World(p, agents, alternatives, legs, edges, vehicles)
 
 
@@ -170,7 +179,8 @@ def leg_functions(w: World, weights: DataFrame | None) -> DataFrame:
     if skims is None:
         legs = legs.withColumn("skim_ttf", F.lit(None).cast(pwl.TYPE))
     else:
-        skims = cut(skims, "skims").select("uvehicle", F.col("origin").alias("class_origin"), F.col("destination").alias("class_destination"), F.col("ttf").alias("skim_ttf"))
+        w.skims = cut(skims, "skims")
+        skims = w.skims.select("uvehicle", F.col("origin").alias("class_origin"), F.col("destination").alias("class_destination"), F.col("ttf").alias("skim_ttf"))
         legs = legs.join(skims, ["uvehicle", "class_origin", "class_destination"], "left")
         no_way = F.col("skim_ttf").isNull() & (F.col("class_type") == "Road") & F.col("class_route").isNull() & F.col("dt_choice_type").isin("Discrete", "Continuous")
         legs = legs.withColumn("skim_ttf", F.when(no_way, F.raise_error(F.format_string("no route from %s to %s", F.col("class_origin").cast("string"), F.col("class_destination").cast("string"))).cast(pwl.TYPE)).otherwise(F.col("skim_ttf")))
@@ -470,6 +480,18 @@ def trip_results(w: World, expected: DataFrame, realized: DataFrame, free: DataF
 
 
 TRIP_COLUMNS = ["agent_id", "trip_id", "trip_index", "departure_time", "arrival_time", "travel_utility", "schedule_utility", "departure_time_shift", "road_time", "in_bottleneck_time", "out_bottleneck_time", "route_free_flow_travel_time", "global_free_flow_travel_time", "length", "length_diff", "pre_exp_departure_time", "pre_exp_arrival_time", "exp_arrival_time", "nb_edges"]
+_D = ("mean", "std", "min", "max")
+ITERATION_FIGURES = {
+    "surplus": 4, "trip_alt_count": 1, "alt_departure_time": 4, "alt_arrival_time": 4, "alt_travel_time": 4, "alt_utility": 4, "alt_expected_utility": 4, "alt_dep_time_shift": 4, "alt_dep_time_rmse": 1,
+    "road_trip_count": 1, "nb_agents_at_least_one_road_trip": 1, "nb_agents_all_road_trips": 1, "road_trip_count_by_agent": 4, "road_trip_departure_time": 4, "road_trip_arrival_time": 4, "road_trip_road_time": 4,
+    "road_trip_in_bottleneck_time": 4, "road_trip_out_bottleneck_time": 4, "road_trip_travel_time": 4, "road_trip_route_free_flow_travel_time": 4, "road_trip_global_free_flow_travel_time": 4,
+    "road_trip_route_congestion": 4, "road_trip_global_congestion": 4, "road_trip_length": 4, "road_trip_edge_count": 4, "road_trip_utility": 4, "road_trip_exp_travel_time": 4,
+    "road_trip_exp_travel_time_rel_diff": 4, "road_trip_exp_travel_time_abs_diff": 4, "road_trip_exp_travel_time_diff_rmse": 1, "road_trip_length_diff": 4,
+    "virtual_trip_count": 1, "nb_agents_at_least_one_virtual_trip": 1, "nb_agents_all_virtual_trips": 1, "virtual_trip_count_by_agent": 4, "virtual_trip_departure_time": 4, "virtual_trip_arrival_time": 4,
+    "virtual_trip_travel_time": 4, "virtual_trip_global_free_flow_travel_time": 4, "virtual_trip_global_congestion": 4, "virtual_trip_utility": 4, "no_trip_alt_count": 1, "constant_utility": 4,
+    "sim_road_network_cond_rmse": 1, "exp_road_network_cond_rmse": 1,
+}
+ITERATION_COLUMNS = ["iteration_counter", *(c for name, n in ITERATION_FIGURES.items() for c in ([name] if n == 1 else [f"{name}_{k}" for k in _D]))]
 AGENT_COLUMNS = ["agent_id", "selected_alt_id", "expected_utility", "shifted_alt", "departure_time", "arrival_time", "total_travel_time", "utility", "alt_expected_utility", "departure_time_shift", "nb_road_trips", "nb_virtual_trips"]
 
 
@@ -520,7 +542,10 @@ def iteration_row(counter: int, agents: DataFrame, trips: DataFrame | None, weig
     if weights is not None:
         sim, before, exp = weights
         row = row.crossJoin(learning.weights_rmse(sim, before).withColumnRenamed("rmse", "sim_road_network_cond_rmse")).crossJoin(learning.weights_rmse(sim, exp).withColumnRenamed("rmse", "exp_road_network_cond_rmse"))
-    return cut(row, "iteration")
+    for column in ITERATION_COLUMNS:
+        if column not in row.columns:
+            row = row.withColumn(column, F.lit(None).cast("bigint" if "count" in column and not column.endswith(_D) or column.startswith("nb_") else "double"))
+    return cut(row.select(*ITERATION_COLUMNS), "iteration")
 
 
 def sampled(w: World, weights: DataFrame) -> DataFrame:
@@ -550,7 +575,7 @@ def run(spark: SparkSession, parameters: SimulationParameters | str) -> dict:
         sinks.write_json({"total": time.time() - began}, f"{out}/running_times.json")
         return times
     previous_agents = previous_trips = previous_sim = previous_choices = None
-    counter, iterations = p.init_iteration_counter, 0
+    counter, iterations, figures = p.init_iteration_counter, 0, []
     while True:
         at = time.time()
         graphs = _graphs(w, weights) if on_road else {}
@@ -577,6 +602,7 @@ def run(spark: SparkSession, parameters: SimulationParameters | str) -> dict:
         row = iteration_row(counter, agents, trips, [sim, previous_sim if previous_sim is not None else weights, weights] if sim is not None else None)
         write = sinks.write_table if iterations == 0 else sinks.append_rows
         write(row, out, "iteration_results", p.saving_format)
+        figures.append(row.first().asDict())
         iterations += 1
         spend("aggregation", at)
         if learning.stop(counter, p.init_iteration_counter, p.max_iterations):
@@ -585,14 +611,21 @@ def run(spark: SparkSession, parameters: SimulationParameters | str) -> dict:
         weights = following if following is not None else weights
         counter += 1
     sinks.write_table(agents, out, "agent_results", p.saving_format)
+    histograms: dict = {}
     if trips is not None:
         sinks.write_table(trips.select(*TRIP_COLUMNS), out, "trip_results", p.saving_format)
         sinks.write_table(route_rows(trips), out, "route_results", p.saving_format)
-        histogram = summary.histogram(trips.select(F.col("departure_time").alias("x")), "x", *map(float, p.period))
-        sinks.write_table(histogram, out, "departure_histogram", p.saving_format)
+        for column in ("departure_time", "arrival_time"):
+            bins = cut(summary.histogram(trips.select(F.col(column).alias("x")), "x", *map(float, p.period)), "histogram")
+            sinks.write_table(bins, out, f"{column}_histogram", p.saving_format)
+            histograms[column.replace("_", " ").capitalize()] = [(r.bin_start, r.bin_end, r["count"]) for r in bins.orderBy("bin").collect()]
     if sim is not None:
         for name, table in (("exp", weights), ("sim", sim), ("next_exp", following)):
             sinks.write_table(sampled(w, table), out, f"net_cond_{name}_edge_ttfs", p.saving_format)
+    if w.skims is not None:
+        sinks.write_table(w.skims, out, "skim_results", "JSON")
+    if "://" not in out:
+        report.write_report(figures, histograms, out)
     times["total"] = time.time() - began
     sinks.write_json(times | {"per_iteration": {k: v / iterations for k, v in times.items()}}, f"{out}/running_times.json")
     return times
