@@ -142,7 +142,7 @@ def _distance(a: str, b: str) -> F.Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])).cast("int") for i in range(8)), F.lit(0))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = CROWDED, rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, rounds: int = 6) -> DataFrame:
     """doc_id, text_key, component_id, keep for every row: near copies at about 0.8 on five-word shingles.
 
     A copy at a five-word Jaccard of 0.8 differs in one word of 45, so its word
