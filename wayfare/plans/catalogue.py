@@ -119,13 +119,17 @@ def pwl_fifo_rows(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT edge_id, k, x, y - y2 AS d0, lead(y - y2) OVER (PARTITION BY edge_id ORDER BY k) AS d1 FROM <GRID> g)
-  SELECT edge_id, round(x + 3600e0 * d0 / (d0 - d1), 6) AS x, sign(d1)::DOUBLE AS sign FROM s WHERE d0 * d1 < 0"""
+    """WITH s AS (SELECT edge_id, k, x, y - y2 AS d0, lead(y - y2) OVER (PARTITION BY edge_id ORDER BY k) AS d1 FROM <GRID> g),
+  c AS (SELECT edge_id, -1 AS k, x, sign(d0)::DOUBLE AS sign FROM s WHERE k = 0
+    UNION ALL SELECT edge_id, k, x + 3600e0 * d0 / (d0 - d1), sign(d1)::DOUBLE FROM s WHERE d0 * d1 < 0
+    UNION ALL SELECT edge_id, k, x, sign(d1)::DOUBLE FROM s WHERE d0 = 0 AND d1 <> 0
+    UNION ALL SELECT edge_id, k, x + 3600e0, 0e0 FROM s WHERE d1 = 0 AND d0 <> 0)
+  SELECT edge_id, round(x, 6) AS x, sign FROM (SELECT *, lag(sign) OVER (PARTITION BY edge_id ORDER BY k) AS before FROM c) z WHERE before IS NULL OR before <> sign"""
 )
 def pwl_crossings(spark, sf_dir):
-    d_ = _functions(spark, sf_dir, "y", "y2")
-    listed = d_.select("edge_id", F.explode(pwl.relative_position(F.col("y"), F.col("y2"))).alias("c"))
-    return listed.select("edge_id", r6("c.x").alias("x"), F.col("c.sign").alias("sign")).where("x % 3600 <> 0")
+    both = _functions(spark, sf_dir, "y", "y2")
+    listed = both.select("edge_id", F.explode(pwl.relative_position(F.col("y"), F.col("y2"))).alias("c"))
+    return listed.select("edge_id", r6("c.x").alias("x"), F.col("c.sign").alias("sign"))
 
 
 @query("SELECT edge_id, k, y AS travel_time, x AS departure_time FROM <GRID> g WHERE k % 2 = 0")
@@ -178,8 +182,8 @@ def supply_simulation(spark, sf_dir):
     """Trips with given routes through the event model, one group for each component."""
     from wayfare.plans.within_day import simulate_routes
 
-    routes = d.frame(spark, sf_dir, d.ROUTES).where("trip_id % 20 = 0").select("trip_id", "position", "edge_id")
-    departures = d.frame(spark, sf_dir, d.TRIPS).where("trip_id % 20 = 0").select("trip_id", "departure")
+    routes = d.frame(spark, sf_dir, d.ROUTES).select("trip_id", "position", "edge_id")
+    departures = d.frame(spark, sf_dir, d.TRIPS).select("trip_id", "departure")
     return simulate_routes(departures, routes, d.frame(spark, sf_dir, d.EDGES))
 
 
@@ -383,13 +387,12 @@ def od_pairs(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT origin, destination FROM <TRIPS> t WHERE (origin + 3 * destination) % 7 < 3 + origin % 3), o AS (SELECT origin FROM p GROUP BY origin HAVING count(*) >= 10), e AS (SELECT destination FROM p GROUP BY destination HAVING count(*) >= 10)
-  SELECT origin AS node, count(*)::BIGINT AS pairs, 'origin' AS side FROM p JOIN e USING (destination) GROUP BY origin HAVING count(*) >= 10
-  UNION ALL SELECT destination, count(*)::BIGINT, 'destination' FROM p JOIN o USING (origin) GROUP BY destination HAVING count(*) >= 10"""
+    """WITH p AS (SELECT DISTINCT uvehicle, origin, destination FROM <TRIPS> t), o AS (SELECT origin FROM p GROUP BY origin HAVING count(*) >= 20), e AS (SELECT destination FROM p GROUP BY destination HAVING count(*) >= 20)
+  SELECT origin AS node, count(*)::BIGINT AS pairs, 'origin' AS side FROM p JOIN e USING (destination) GROUP BY origin HAVING count(*) >= 20
+  UNION ALL SELECT destination, count(*)::BIGINT, 'destination' FROM p JOIN o USING (origin) GROUP BY destination HAVING count(*) >= 20"""
 )
 def popular_nodes(spark, sf_dir):
-    pairs = d.frame(spark, sf_dir, d.TRIPS).where("(origin + 3 * destination) % 7 < 3 + origin % 3").select("origin", "destination").distinct()
-    return network.popular_nodes(pairs, 10)
+    return network.popular_nodes(d.frame(spark, sf_dir, d.TRIPS).select("uvehicle", "origin", "destination").distinct())
 
 
 @query("SELECT vehicle_id, count(*)::BIGINT AS edges, sum(edge_id)::BIGINT AS edge_sum FROM <VEHICLES> v JOIN <EDGES> e ON edge_id <> banned GROUP BY vehicle_id")
