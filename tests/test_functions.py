@@ -110,3 +110,8 @@ def test_summaries(spark):
     rows = spark.createDataFrame([(v,) for v in (3.0, 5.0, 5.1, 5.2, 9.0, 12.0, 15.0)], "x double")
     counts = [r["count"] for r in summary.histogram(rows, "x", 0.0, 256.0).orderBy("bin").collect()]
     assert counts[:10] == [0, 1, 3, 0, 1, 1, 0, 1, 0, 0] and len(counts) == 128
+
+
+def test_json_values(spark):
+    got = value(spark, pwl.from_json_values(F.lit("[1, null, 2.5]")))
+    assert got == [1, math.inf, 2.5] and value(spark, pwl.to_json_values(F.lit(got))) == "[1.0,null,2.5]"

@@ -87,3 +87,11 @@ def test_rounds_of_joins(spark, tables):
 def test_algorithm_choice():
     assert routing.algorithm(100, 100, 100, 100) == "Dijkstra" and routing.algorithm(1000, 2, 2, 100) == "Intersect" and routing.algorithm(1000, 3, 2, 100) == "TCH"
     assert routing.algorithm(5, 10, 10, 100, simulator=True) == "Intersect"
+
+
+def test_many_sources_bounds_and_hops():
+    graph = Graph(grid_network())
+    reached, _ = graph.earliest_from({0: 0.0, 99: 5.0})
+    assert reached[98] == 6 and reached[1] == 1
+    assert set(graph.earliest_from({0: 0.0}, bound=2.5)[0]) == {0, 1, 10, 2, 11, 20}
+    assert set(graph.earliest_from({0: 0.0}, hops=1)[0]) == {0, 1, 10}

@@ -189,3 +189,13 @@ def sample(f: Column, start: float, end: float, interval: float) -> Column:
     steps = int((end - start) / interval + 1e-9)
     xs = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.lit(float(start)) + k * F.lit(float(interval)))
     return F.transform(xs, lambda x: F.struct(x.alias("departure_time"), evaluate(f, x).alias("travel_time")))
+
+
+def from_json_values(text: Column) -> Column:
+    """A list of values from JSON, null standing for infinity."""
+    return F.transform(F.from_json(text, "array<double>"), lambda y: F.coalesce(y, F.lit(float("inf"))))
+
+
+def to_json_values(points: Column) -> Column:
+    """The reverse of ``from_json_values``."""
+    return F.concat(F.lit("["), F.concat_ws(",", F.transform(points, lambda y: F.when(y == float("inf"), "null").otherwise(y.cast("string")))), F.lit("]"))

@@ -67,6 +67,11 @@ def relative_difference(actual: Column, expected: Column) -> Column:
     return F.when(expected == 0, 0.0).otherwise((actual - expected) / expected)
 
 
+def total_stopping_time(origin_delay: Column, stops: Column) -> Column:
+    """Origin delay and all stops of a trip's legs."""
+    return F.aggregate(stops, _zero(origin_delay), lambda a, x: a + _zero(x))
+
+
 def contains(start: Column, end: Column, x: Column) -> Column:
     return x.between(start, end)
 

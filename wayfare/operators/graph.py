@@ -65,9 +65,15 @@ class Graph:
 
     def earliest(self, origin: object, departure: float, targets: set | None = None, bound: float = np.inf) -> tuple[dict, dict]:
         """Arrival time and last edge of every node reached, until all targets are settled."""
-        arrival, last, done = {origin: departure}, {}, set()
+        return self.earliest_from({origin: departure}, targets, bound)
+
+    def earliest_from(self, sources: dict, targets: set | None = None, bound: float = np.inf, hops: int | None = None) -> tuple[dict, dict]:
+        """The same from several nodes with their own times; ``bound`` cuts later arrivals, ``hops`` longer paths."""
+        arrival, last, done = dict(sources), {}, set()
+        steps = dict.fromkeys(sources, 0)
         left = set(targets) if targets is not None else None
-        heap, count = [(departure, 0, origin)], 0
+        heap, count = [(t, i, n) for i, (n, t) in enumerate(sources.items())], len(sources)
+        heapq.heapify(heap)
         while heap:
             t, _, node = heapq.heappop(heap)
             if node in done:
@@ -77,12 +83,14 @@ class Graph:
                 left.discard(node)
                 if not left:
                     break
+            if hops is not None and steps[node] >= hops:
+                continue
             for edge, to in self.out.get(node, ()):
                 if to in done:
                     continue
                 at = t + self.evaluate(self.functions[edge], t)
                 if at < arrival.get(to, bound):
-                    arrival[to], last[to] = at, (edge, node)
+                    arrival[to], last[to], steps[to] = at, (edge, node), steps[node] + 1
                     count += 1
                     heapq.heappush(heap, (at, count, to))
         return {n: arrival[n] for n in done}, last

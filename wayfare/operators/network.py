@@ -75,3 +75,15 @@ def route_results(events: DataFrame, arrivals: DataFrame) -> DataFrame:
     order = Window.partitionBy("trip_id").orderBy("position")
     ahead = events.withColumn("next_entry", F.lead("entry_time").over(order))
     return ahead.join(arrivals, "trip_id").select("trip_id", "position", "edge_id", "entry_time", F.coalesce("next_entry", "arrival_time").alias("exit_time"))
+
+
+def looping_routes(routes: DataFrame) -> DataFrame:
+    """trip_id of routes that use an edge twice, with how often they repeat one."""
+    counted = routes.groupBy("trip_id").agg(F.count("*").alias("steps"), F.countDistinct("edge_id").alias("edges"))
+    return counted.where("steps > edges").select("trip_id", (F.col("steps") - F.col("edges")).alias("repeats"))
+
+
+def unknown_ends(trips: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, trips of origins and destinations that the network does not have."""
+    ends = trips.select(F.col("origin").alias("node_id")).unionAll(trips.select("destination"))
+    return ends.join(nodes(edges), "node_id", "left_anti").groupBy("node_id").agg(F.count("*").alias("trips"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.functions import pwl
+
 
 def distribution(value: Column, name: str) -> list[Column]:
     """name_mean, name_std (of the population), name_min, name_max; nulls are skipped."""
@@ -104,3 +106,15 @@ def previous_differences(now: DataFrame, before: DataFrame) -> DataFrame:
     joined = now.join(old, "agent_id")
     same = F.col("selected_alt_id") == F.col("old_alt")
     return joined.select("agent_id", (~same).alias("shifted_alt"), F.when(same, F.col("departure_time") - F.col("old_departure")).alias("departure_time_shift"))
+
+
+def complexity(weights: DataFrame) -> DataFrame:
+    """Functions, constants among them, and points of a table with a ``ttf``."""
+    points = pwl.complexity(F.col("ttf"))
+    return weights.agg(F.count("*").alias("functions"), F.count_if(pwl.is_constant(F.col("ttf"))).alias("constants"), F.sum(points).cast("bigint").alias("points"))
+
+
+def travel_counts(legs: DataFrame) -> DataFrame:
+    """Per agent: road and virtual trips, edges taken."""
+    road = F.col("class_type") == "Road"
+    return legs.groupBy("agent_id").agg(F.count_if(road).alias("nb_road_trips"), F.count_if(~road).alias("nb_virtual_trips"), F.sum(F.coalesce("nb_edges", F.lit(0))).alias("nb_edges"))

@@ -442,6 +442,41 @@ def route_results(spark, sf_dir):
     return network.route_results(events, arrivals)
 
 
+@query("SELECT trip_id, count(*)::BIGINT - count(DISTINCT edge_id)::BIGINT AS repeats FROM <ROUTES> r GROUP BY trip_id HAVING count(*) > count(DISTINCT edge_id)")
+def looping_routes(spark, sf_dir):
+    return network.looping_routes(d.frame(spark, sf_dir, d.ROUTES))
+
+
+@query("SELECT node_id, count(*)::BIGINT AS trips FROM (SELECT origin * 2 AS node_id FROM <TRIPS> t UNION ALL SELECT destination FROM <TRIPS> t) e WHERE node_id >= 25 GROUP BY node_id")
+def unknown_nodes(spark, sf_dir):
+    trips = d.frame(spark, sf_dir, d.TRIPS).select((F.col("origin") * 2).alias("origin"), "destination")
+    return network.unknown_ends(trips, d.frame(spark, sf_dir, d.EDGES))
+
+
+@query("SELECT s AS source, t AS target, count(*)::BIGINT AS edges FROM (SELECT source % 5 AS s, target % 5 AS t FROM <EDGES> e) q GROUP BY ALL HAVING count(*) > 1")
+def parallel_edges(spark, sf_dir):
+    return network.parallel_edges(d.frame(spark, sf_dir, d.EDGES).select((F.col("source") % 5).alias("source"), (F.col("target") % 5).alias("target")))
+
+
+@query("SELECT l_orderkey AS trip_id, round(30e0 + sum(l_quantity), 6) AS stopping_time FROM lineitem GROUP BY l_orderkey")
+def stopping_time(spark, sf_dir):
+    stops = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("trip_id")).agg(F.collect_list("l_quantity").alias("stops"))
+    return stops.select("trip_id", r6(scalars.total_stopping_time(F.lit(30.0), F.col("stops"))).alias("stopping_time"))
+
+
+@query("SELECT 100::BIGINT AS functions, 50::BIGINT AS constants, count(*)::BIGINT AS points FROM <GRID> g")
+def weights_complexity(spark, sf_dir):
+    both = _functions(spark, sf_dir, "y")
+    constants = both.select("edge_id", pwl.constant(F.lit(1.0)).cast(pwl.TYPE).alias("ttf"))
+    return summary.complexity(both.select("edge_id", F.col("y").alias("ttf")).unionByName(constants))
+
+
+@query("SELECT agent_id, count(*) FILTER (trip_id % 3 > 0)::BIGINT AS nb_road_trips, count(*) FILTER (trip_id % 3 = 0)::BIGINT AS nb_virtual_trips, sum(CASE WHEN trip_id % 3 > 0 THEN trip_id % 7 ELSE 0 END)::BIGINT AS nb_edges FROM <TRIPS> t GROUP BY agent_id")
+def travel_counts(spark, sf_dir):
+    road = F.col("trip_id") % 3 > 0
+    return summary.travel_counts(d.frame(spark, sf_dir, d.TRIPS).select("agent_id", F.when(road, "Road").otherwise("Virtual").alias("class_type"), F.when(road, F.col("trip_id") % 7).alias("nb_edges")))
+
+
 # --- routing -------------------------------------------------------------------------------
 
 _PATHS = """WITH RECURSIVE e AS (SELECT edge_id, source, target, length / speed AS c FROM <EDGES> q),

@@ -11,10 +11,14 @@ sets off at once run inside it.
 from __future__ import annotations
 
 import heapq
+import logging
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+log = logging.getLogger("wayfare")
+MOST_WARNINGS = 20
+
 OPEN, CLOSED, FULL = "open", "closed", "full"
 
 
@@ -329,4 +333,6 @@ class Simulation:
     def _force(self, t: float, a: _Agent, edge: object) -> None:
         if self.pending.get(id(a)) == edge:
             self.forced += 1
+            if self.forced <= MOST_WARNINGS:
+                log.warning("trip %s is released by force to edge %s at %s", a.trip.id, edge, t)
             self._pop_entry(t, self.segments[edge], phantom=True)
