@@ -92,6 +92,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int
     blocks = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _byte(i).alias("value")) for i in range(BLOCKS)])).alias("x")
     near = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda v: F.bit_count(v.bitwiseXOR(F.col("x.value"))) <= radius // BLOCKS)
     listed = items.select("item_id", "width", "n", "fp", blocks).select("item_id", "width", "n", F.col("fp").alias("item_fp"), "x.block", F.explode(near).alias("value"))
+    listed = scratch.write(listed, "listed")  # so that Spark knows its size, some 700 rows an item
     probed = distinct.select("wkey", "width", "n", "fp", blocks).select("wkey", "width", "n", "fp", "x.block", "x.value")
     close = probed.join(listed, ["width", "n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("wkey", "item_id").distinct()
     both = close.join(distinct.select("wkey", "window").hint("merge"), "wkey").join(items.select("item_id", "weights"), "item_id")
