@@ -38,8 +38,15 @@ def simulate_routes(departures: DataFrame, routes: DataFrame, edges: DataFrame,
     trip = dict(departures.dtypes)["trip_id"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        listed = [Edge(r.edge_id, r.length, r.speed, r.lanes, (lambda t, f=r.flow: f) if r.flow == r.flow and r.flow else None) for r in group.drop_duplicates("edge_id").sort_values("edge_id").itertuples()]
-        trips = [Trip(k, g["departure"].iloc[0], [Leg(1, Vehicle(headway), route=g.sort_values("position")["edge_id"].tolist())]) for k, g in group.groupby("trip_id", sort=True)]
+        ordered = group.sort_values(["trip_id", "position"])
+        flows = ordered.drop_duplicates("edge_id").sort_values("edge_id")
+        listed = [Edge(r.edge_id, r.length, r.speed, r.lanes, (lambda t, f=r.flow: f) if r.flow == r.flow and r.flow else None) for r in flows.itertuples()]
+        ids, starts, taken = ordered["trip_id"].tolist(), ordered["departure"].tolist(), ordered["edge_id"].tolist()
+        vehicle, trips, first = Vehicle(headway), [], 0
+        for k in range(1, len(ids) + 1):
+            if k == len(ids) or ids[k] != ids[first]:
+                trips.append(Trip(ids[first], starts[first], [Leg(1, vehicle, route=taken[first:k])]))
+                first = k
         done = Simulation(listed, **options).run(trips)
         return pd.DataFrame([(r.trip, r.arrival, r.legs[0].road_time, r.legs[0].in_bottleneck, r.legs[0].out_bottleneck) for r in done], columns=["trip_id", "arrival_time", "road_time", "in_bottleneck_time", "out_bottleneck_time"])
 
