@@ -13,17 +13,24 @@ from wayfare.streaming.supply import Edge, Leg, Simulation, Trip, Vehicle
 
 
 def components(routes: DataFrame, rounds: int = 100) -> DataFrame:
-    """trip_id, component: trips that are joined by shared edges, by label propagation over trips and edges."""
-    links = routes.select("trip_id", "edge_id").distinct()
-    labels = cut(links.groupBy("trip_id").agg(F.min("edge_id").alias("component")), "components")
+    """trip_id, component: trips that are joined by shared edges.
+
+    Each trip joins its edges to its least one; labels then spread over edges alone, of which there are far fewer than trips,
+    and jump to the label of their label each round.
+    """
+    anchors = routes.groupBy("trip_id").agg(F.min("edge_id").alias("anchor"))
+    pairs = routes.select("trip_id", "edge_id").join(anchors, "trip_id").select("edge_id", "anchor").distinct()
+    links = cut(pairs.unionAll(pairs.select("anchor", "edge_id")).distinct(), "links")
+    labels = cut(links.groupBy("edge_id").agg(F.min("anchor").alias("component")), "components")
     before = None
     for _ in range(rounds):
-        by_edge = links.join(labels, "trip_id").groupBy("edge_id").agg(F.min("component").alias("component"))
-        hop = by_edge.join(by_edge.select(F.col("edge_id").alias("to"), F.col("component").alias("jump")), by_edge["component"] == F.col("to"), "left").select("edge_id", F.least("component", "jump").alias("component"))
-        labels = cut(links.join(hop, "edge_id").groupBy("trip_id").agg(F.min("component").alias("component")), "components")
-        mark = labels.agg(F.sum("component"), F.countDistinct("component")).first()
+        near = links.join(labels.select(F.col("edge_id").alias("anchor"), "component"), "anchor").groupBy("edge_id").agg(F.min("component").alias("near"))
+        least = labels.join(near, "edge_id").select("edge_id", F.least("component", "near").alias("component"))
+        jump = labels.select(F.col("edge_id").alias("component"), F.col("component").alias("jump"))
+        labels = cut(least.join(jump, "component", "left").select("edge_id", F.least("component", "jump").alias("component")), "components")
+        mark = labels.agg(F.sum(F.xxhash64("edge_id", "component").cast("decimal(38,0)"))).first()
         if mark == before:
-            return labels
+            return anchors.join(labels, anchors["anchor"] == labels["edge_id"]).select("trip_id", "component")
         before = mark
     raise RuntimeError("components did not settle")
 
