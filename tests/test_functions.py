@@ -115,3 +115,25 @@ def test_summaries(spark):
 def test_json_values(spark):
     got = value(spark, pwl.from_json_values(F.lit("[1, null, 2.5]")))
     assert got == [1, math.inf, 2.5] and value(spark, pwl.to_json_values(F.lit(got))) == "[1.0,null,2.5]"
+
+
+def test_utility_of_a_trip_with_four_legs(spark):
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+
+    def leg(ttf, stop, poly, schedule):
+        constant, one, two = poly
+        kind, tstar, delta, beta, gamma = schedule or (None, None, None, None, None)
+        return F.struct(
+            ttf.cast(pwl.TYPE).alias("ttf"), F.lit(float(stop)).alias("stopping"), F.lit(float(constant)).alias("constant"), F.lit(float(one)).alias("one"), F.lit(float(two)).alias("two"), zero.alias("three"), zero.alias("four"), zero.alias("alpha"),
+            F.lit(kind).cast("string").alias("kind"), *[F.lit(v).cast("double").alias(k) for k, v in (("tstar", tstar), ("beta", beta), ("gamma", gamma), ("delta", delta))],
+        )
+
+    legs = F.array(
+        leg(c(1), 2, (1, -1, 1), ("Linear", 5.5, 1.0, 0.5, 2.0)),
+        leg(f([0, 10, 5], 0, 10), 1, (0, -1, 0), ("Linear", 10.0, 0.0, 0.1, 0.2)),
+        leg(c(4), 1, (5, 0, 0), None),
+        leg(c(0), 0, (0, 0, 0), None),
+    )
+    side = lambda t: {"kind": F.lit("Linear"), "tstar": F.lit(t), "beta": F.lit(2.0), "gamma": F.lit(2.0), "delta": none}
+    total = {"constant": zero, "one": zero, "two": F.lit(-2.0), "three": zero, "four": zero}
+    assert value(spark, scalars.trip_utility(F.lit(0.0), F.lit(3.0), legs, total, side(1.0), side(15.0))) == pytest.approx(-250.9)

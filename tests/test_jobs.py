@@ -163,3 +163,75 @@ def test_routing_job(spark, tmp_path, algorithm):
     assert profile[profile.query_id == 3]["travel_time"].tolist() == [2, 3, 2]
     assert profile[profile.query_id == 5][["departure_time", "travel_time"]].isna().all().all()
     assert len(table(spark, tmp_path / "out/node_order.parquet")) == 3
+
+
+def test_restricted_roads(spark, tmp_path):
+    """A diamond of which one way is open to the first vehicle type alone; allowed edges win over restricted ones."""
+    files = write(
+        tmp_path,
+        agents={"agent_id": list(range(5))},
+        alternatives={"agent_id": list(range(5)), "alt_id": [1] * 5, "dt_choice.type": ["Constant"] * 5, "dt_choice.departure_time": [0.0] * 5},
+        trips={"agent_id": list(range(5)), "alt_id": [1] * 5, "trip_id": [1] * 5, "class.type": ["Road"] * 5, "class.origin": [0] * 5, "class.destination": [3] * 5, "class.vehicle": [1, 2, 3, 4, 1]},
+        edges={"edge_id": [0, 1, 2, 3], "source": [0, 0, 1, 2], "target": [1, 2, 3, 3], "speed": [1.0] * 4, "length": [1.0, 2.0, 1.0, 1.0]},
+        vehicle_types={"vehicle_id": [1, 2, 3, 4], "headway": [1.0] * 4, "allowed_edges": [None, [0, 1, 3], None, [0, 1, 3]], "restricted_edges": [None, None, [2], [1]]},
+    )
+    (tmp_path / "parameters.json").write_text(json.dumps({"input_files": files, "output_directory": "out", "period": [0, 50], "road_network": {"recording_interval": 10, "spillback": False}}))
+    simulation.run(spark, str(tmp_path / "parameters.json"))
+    agents = table(spark, tmp_path / "out/agent_results.parquet").sort_values("agent_id")
+    assert agents["arrival_time"].tolist() == [2, 3, 3, 3, 2]
+    row = table(spark, tmp_path / "out/iteration_results.parquet").iloc[0]
+    assert row["road_trip_count"] == 5 and row["nb_agents_all_road_trips"] == 5 and row["virtual_trip_count"] == 0
+
+
+def test_routing_job_on_csv(spark, tmp_path):
+    path = routing(tmp_path, saving_format="CSV", algorithm="Dijkstra")
+    parameters = json.loads((tmp_path / "parameters.json").read_text())
+    for name in list(parameters["input_files"]):
+        pd.read_parquet(tmp_path / f"{name}.parquet").to_csv(tmp_path / f"{name}.csv", index=False)
+        parameters["input_files"][name] = f"{name}.csv"
+    (tmp_path / "parameters.json").write_text(json.dumps(parameters))
+    routing_job.run(spark, path)
+    got = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out/ea_results.csv")).toPandas().set_index("query_id")
+    assert got.loc[2, "arrival_time"] == 13 and got.loc[2, "route"] == "1,2"
+
+
+def test_table_rules(spark, tmp_path):
+    from wayfare.sources import tables
+
+    nested = spark.sql("select 1 as edge_id, 1 as source, 2 as target, 5.0 as speed, 10 as length, named_struct('type', 'Bottleneck', 'capacity', 2.0, 'other', 1) as speed_density, 3 as surplus")
+    row = tables.read(nested, "edges").first()
+    assert row.speed_density_capacity == 2 and row.lanes == 1 and row.overtaking is True and row.length == 10.0
+    assert tables.unused(nested, tables.TABLES["edges"][0]) == ["speed_density.other", "surplus"]
+    with pytest.raises(Exception, match="speed must be positive"):
+        tables.read(nested.selectExpr("* except (speed)", "-1.0 as speed"), "edges").collect()
+    with pytest.raises(ValueError, match="missing"):
+        tables.read(nested.drop("source"), "edges")
+    with pytest.raises(ValueError, match="duplicate"):
+        tables.require_unique(tables.read(nested.union(nested), "edges"), "edges")
+    with pytest.raises(ValueError, match="parquet and .csv"):
+        tables.scan(spark, "a.xlsx")
+    listed = spark.sql("select 1 as vehicle_id, 1.0 as headway, array(1, null) as allowed_edges")
+    assert tables.read(listed, "vehicle_types").first().allowed_edges is None
+    (tmp_path / "x.json.zst").write_bytes(__import__("zstandard").ZstdCompressor().compress(b'{"a": [1, null]}'))
+    assert tables.read_json(str(tmp_path / "x.json.zst")) == {"a": [1, None]}
+
+
+def test_sinks(spark, tmp_path):
+    from wayfare.sources import sinks
+
+    assert sinks.write_table(spark.range(0), str(tmp_path), "none") is None and not (tmp_path / "none.parquet").exists()
+    for fmt in ("Parquet", "CSV", "JSON"):
+        sinks.write_table(spark.range(3), str(tmp_path), "rows", fmt)
+        sinks.append_rows(spark.range(2), str(tmp_path), "rows", fmt)
+        reader = spark.read.option("header", True) if fmt == "CSV" else spark.read
+        assert reader.format(fmt.lower()).load(str(tmp_path / f"rows.{fmt.lower()}")).count() == 5
+    for k in range(2):
+        sinks.append_json({"k": k}, str(tmp_path / "list.json"))
+    assert json.loads((tmp_path / "list.json").read_text()) == [{"k": 0}, {"k": 1}]
+
+
+def test_command_line(spark, tmp_path):
+    from wayfare import cli
+
+    assert cli.main(["route", routing(tmp_path)]) == 0 and (tmp_path / "out/details.json").exists() and (tmp_path / "out/log.txt").exists()
+    assert cli.main(["route", str(tmp_path / "nothing.json")]) == 1
