@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two aggregations and joins over the remaining links and takes
-O(log n) rounds; nothing is collected, a hub's links are never gathered in one
-task (only its minimum is), and every round is a table in the shared folder.
+O(log n) rounds; nothing is collected, and every round is a table in the shared folder.
+A hub's links are never gathered in one task: nodes with over a thousandth of all links are
+2,000 at most, and their minima are broadcast to wherever their links lie.
 """
 
 from __future__ import annotations
@@ -13,31 +14,46 @@ from pyspark.sql import functions as F
 from wayfare.llm.storage import Scratch
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+SHARE = 1000
+
+
+def _with_least(links: DataFrame, total: int, own: bool) -> DataFrame:
+    """a, b, m: the least neighbour of a (or a itself, where ``own``); ``total`` is the number of links."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    if own:
+        least = least.withColumn("m", F.least("a", "m"))
+    most = max(total // SHARE, 1)
+    hubs = F.broadcast(least.where(F.col("n") > most).select("a", "m"))
+    others = links.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(F.col("n") <= most).select("a", "m"), "a")
+    return links.join(hubs, "a").select("a", "b", "m").unionByName(others.select("a", "b", "m"))
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, total, True).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    others = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return others.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    known = _with_least(down, total, False)
+    others = known.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return others.unionByName(known.where("b = m").select("a", "b")).where("a <> b").distinct()
 
 
 def connected_components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """``links`` (a, b) → (node, component), component the least node; nodes without links are not listed."""
     now = scratch.write(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
+    seen, total = None, now.count()
     for _ in range(rounds):
-        new = scratch.write(_small_star(_large_star(now)), "star")
+        turned = scratch.write(_large_star(now, total).distinct(), "large")
+        new = scratch.write(_small_star(turned, total), "star")
+        scratch.drop(turned)
         scratch.drop(now)
         now = new
         mark = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen:
             break
-        seen = mark
+        seen, total = mark, mark[0]
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
