@@ -203,7 +203,7 @@ def select_quality(docs: DataFrame, model: CumulativeLink, least: float = 0.5) -
 # --- subword bags -----------------------------------------------------------------
 
 BUCKET_BITS = 18
-SEGMENT = 16
+SEGMENT = 4
 #: A segment of fewer subwords is averaged as if it had so many.
 LEAST_SUBWORDS = 64
 #: Share of the positive class that training weighs rows to.
@@ -305,18 +305,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
     return train_bag([(np.frombuffer(r.b, np.int32), np.frombuffer(r.c, np.int32), int(r.label > 0)) for r in rows], dims, epochs, seed)
 
 
-def train_bag(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 8, epochs: int = 6, seed: int = 11, rate: float = 0.3) -> SubwordBag:
-    """AdaGrad on (buckets by segment, segment sizes, class) rows."""
+def train_bag(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 8, epochs: int = 6, seed: int = 11, rate: float = 0.3, least_rows: int = 3) -> SubwordBag:
+    """AdaGrad on (buckets by segment, segment sizes, class) rows.
+
+    Buckets of fewer than ``least_rows`` rows would only learn these rows by heart: they stay zero, as do those never seen.
+    """
     random = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
-    vectors = random.uniform(-0.5, 0.5, (size, dims)).astype(np.float32) / dims
-    vector_sq = np.full(size, 1e-4, np.float32)
     softmax, bias = random.normal(0, 0.5, (dims, 2)), np.zeros(2)
-    softmax_sq, bias_sq = np.full((dims, 2), 1e-2), np.full(2, 1e-2)
     share = np.mean([y for _, _, y in rows]) if rows else 0.5
     if not rows or share in (0.0, 1.0):
         bias[1] = 0 if not rows else (8 if share else -8)
-        return SubwordBag(vectors * 0, softmax, bias)
+        return SubwordBag(np.zeros((size, dims), np.float32), softmax, bias)
+    spread = np.zeros(size, np.int64)
+    for bucket, _, _ in rows:
+        spread[np.unique(bucket)] += 1
+    kept = spread >= least_rows
+    vectors = (random.uniform(-0.5, 0.5, (size, dims)) / dims * kept[:, None]).astype(np.float32)
+    vector_sq = np.full(size, 1e-4, np.float32)
+    softmax_sq, bias_sq = np.full((dims, 2), 1e-2), np.full(2, 1e-2)
     weight = ((1 - PRIOR) / (1 - share), PRIOR / share)
     for epoch in range(epochs):
         for i in random.permutation(len(rows)):
@@ -325,12 +332,13 @@ def train_bag(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 8, epo
                 continue
             if epoch >= 2 and len(counts) > 1:
                 edges = np.concatenate([[0], np.cumsum(counts)])
-                slope = softmax[:, 1] - softmax[:, 0]
-                odds = np.add.reduceat(vectors[bucket] @ slope, edges[:-1][counts > 0]) / np.maximum(counts[counts > 0], LEAST_SUBWORDS)
-                k = np.flatnonzero(counts > 0)[int(np.argmax(odds))]
+                some = np.flatnonzero(counts)
+                odds = np.add.reduceat(vectors[bucket] @ (softmax[:, 1] - softmax[:, 0]), edges[some]) / np.maximum(counts[some], LEAST_SUBWORDS)
+                k = some[int(np.argmax(odds))]
                 bucket = bucket[edges[k] : edges[k + 1]]
-            size_of = max(len(bucket), LEAST_SUBWORDS)
-            mean = vectors[bucket].sum(axis=0) / size_of
+            all_of = max(len(bucket), LEAST_SUBWORDS)
+            bucket = bucket[kept[bucket]]
+            mean = vectors[bucket].sum(axis=0) / all_of
             logits = mean @ softmax + bias
             p = np.exp(logits - logits.max())
             p /= p.sum()
@@ -344,7 +352,7 @@ def train_bag(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 8, epo
             bias_sq += g * g
             bias -= rate * g / np.sqrt(bias_sq)
             kinds, times = np.unique(bucket, return_counts=True)
-            gv = (times / size_of)[:, None] * into[None, :]
+            gv = (times / all_of)[:, None] * into[None, :]
             vector_sq[kinds] += (gv * gv).sum(axis=1)
             vectors[kinds] -= (rate * gv / np.sqrt(vector_sq[kinds])[:, None]).astype(np.float32)
     return SubwordBag(vectors, softmax, bias)
