@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.llm.storage import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 
@@ -51,6 +53,8 @@ def plan(docs: DataFrame, sizes: DataFrame | None = None, seed: int = 17, **opti
     rows = docs.withColumn("mix_size", word_count(F.col("text"))) if sizes is None else sizes
     found = targets(rows.select("source", F.col("mix_size").alias("size")), **options)
     found = found.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    # written, so that Spark knows its size before the join and broadcasts it if it is below the threshold: no shuffle by source
+    found = Scratch(docs.sparkSession, "targets").write(found, "targets")
     joined = rows.join(found, rows["source"].eqNullSafe(found["mix_source"])).drop("mix_source")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
     return joined.withColumn("mix_copies", copies(F.col("doc_id"), rate, seed))
