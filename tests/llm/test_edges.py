@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wayfare.llm import chat, classify, decontaminate, licenses, minhash, mixing, neighbours, simhash, sstable, suffix
 from wayfare.llm.storage import Scratch
 
-CLASHES = ["fp", "key", "node", "size", "score", "text_hash", "lot", "w", "id", "label", "n", "start", "component_id", "mix_size", "keep", "pid", "halo", "batch", "copies"]
+CLASHES = ["fp", "key", "node", "size", "score", "text_hash", "lot", "w", "id", "label", "n", "start", "component_id", "mix_size", "keep", "pid", "halo", "batch", "copies", "__id", "__hash", "mix_row", "mix_source", "mix_copies", "doc", "a", "b"]
 LONG = " ".join(f"word{i % 977} tail{i}" for i in range(30_000))
 ROWS = [
     (1, "the same words again and again here"),
@@ -120,12 +120,12 @@ def test_chat(spark, tokenizer):
 
 
 def test_mixing(docs):
-    plan = mixing.plan(docs.drop("mix_size")).collect()
+    plan = mixing.plan(docs.select("doc_id", "source", "text")).collect()
     assert len(plan) == len(ROWS) and {r.mix_size for r in plan if r.doc_id in (2, 3, 4)} == {0}
-    mixed = mixing.mix(docs.drop("mix_size"))
-    assert mixed.columns == docs.drop("mix_size").columns and mixed.count() == sum(r.mix_copies for r in plan)
-    assert mixing.mix(empty(docs).drop("mix_size")).count() == 0
-    only_blank = docs.where("doc_id in (2, 3, 4)").drop("mix_size")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {r.mix_size for r in mixed.collect()} == {"own mix_size"} and mixed.count() == sum(r.mix_copies for r in plan)
+    assert mixing.mix(empty(docs)).count() == 0
+    only_blank = docs.where("doc_id in (2, 3, 4)")
     assert mixing.mix(only_blank).count() == 0
 
 

@@ -61,7 +61,8 @@ def plan(docs: DataFrame, sizes: DataFrame | None = None, seed: int = 17, **opti
 
 
 def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """The mix: each row of ``docs`` as often as the plan says, with the columns of ``docs``."""
-    planned = plan(docs, seed=seed, **options)
+    """The mix: each row of ``docs`` as often as the plan says, with the columns of ``docs`` whatever their names."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row")
+    planned = plan(docs.select(whole, "doc_id", "source", "text"), seed=seed, **options)
     repeated = planned.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return repeated.select(*[planned[c] for c in docs.columns])
+    return repeated.select("mix_row.*")

@@ -219,6 +219,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, ro
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of near copies, with their columns."""
     kept = near_duplicates(docs, **options).where("keep").select(F.col("doc_id").alias("__id")).distinct()
-    once = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    once = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]), "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     return once if repeated.isEmpty() else once.dropDuplicates(["doc_id", "text"])
