@@ -105,6 +105,38 @@ def test_near_copies_go_and_others_stay(spark):
     assert set(range(40)) <= kept and not kept & set(range(100, 300)) and len([k for k in kept if k >= 1000]) == 1
 
 
+def near_pairs(nodes, radius):
+    """Pairs that share a 24-bit block and differ in ``radius`` bits or fewer."""
+    ints = {n: int.from_bytes(b"".join((x & (1 << 64) - 1).to_bytes(8, "little") for x in fp), "little") for n, fp in nodes}
+    share = [(a, b) for a in ints for b in ints if a < b and any((ints[a] ^ ints[b]) >> 24 * k & 0xFFFFFF == 0 for k in range(simhash.BLOCKS))]
+    return [(a, b) for a, b in share if (ints[a] ^ ints[b]).bit_count() <= radius]
+
+
+@pytest.mark.parametrize("cell", [512, 7])
+def test_crowded_blocks_are_exhausted(spark, cell):
+    rng = random.Random(9)
+
+    def longs(value):
+        return [int.from_bytes(value.to_bytes(64, "little")[8 * i : 8 * i + 8], "little", signed=True) for i in range(8)]
+
+    fps = [rng.getrandbits(480) >> 24 << 24 | 5 for _ in range(60)]  # strangers in one block
+    for start in [rng.getrandbits(480) >> 24 << 24 | 5 for _ in range(12)]:  # chains, each link of 40 bits in that block only
+        for _ in range(10):
+            fps.append(start)
+            for k in range(1, 20):
+                start ^= 1 << (24 * k + rng.randrange(24))
+            for k in rng.sample(range(1, 20), 19):
+                start ^= 1 << (24 * k + rng.randrange(24))
+    rng.shuffle(fps)
+    nodes = [(i, longs(f)) for i, f in enumerate(fps)]
+    table = spark.createDataFrame(nodes, "node long, fp array<long>")
+    scratch = Scratch(spark, "t")
+    got = {r.node: r.component for r in connected_components(simhash._near_links(table, scratch, 56, 16, cell), scratch).collect()}
+    want = components_of(near_pairs(nodes, 56), range(len(nodes)))
+    assert len(set(want.values())) == 72
+    assert got == {n: c for n, c in want.items() if n != c}
+
+
 def test_tokens_match_the_library(tokenizer):
     from tokenizers import Tokenizer
 

@@ -142,7 +142,7 @@ def _distance(a: str, b: str) -> F.Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])).cast("int") for i in range(8)), F.lit(0))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, cell: int = 512) -> DataFrame:
     """doc_id, text_key, component_id, keep for every row: near copies at about 0.8 on five-word shingles.
 
     A copy at a five-word Jaccard of 0.8 differs in one word of 45, so its word
@@ -152,10 +152,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, ro
     0.8; the rest of the verification is the Hamming distance, at most ``radius`` bits.
     Equal texts (after white space and A-Z folding) are one class beforehand.
 
-    Blocks of up to ``crowded`` classes are joined pairwise.  In larger ones, each
-    member is compared with the block's least member, the linked ones are done, and
-    the rest goes on; after ``rounds`` such rounds what remains is cut into groups of
-    ``crowded`` in fingerprint order, joined pairwise.
+    Blocks of up to ``crowded`` classes are joined pairwise.  In larger ones each
+    member is first compared with the block's least member.  Then every two members that
+    the links so far leave in different components are compared, in cells of ``cell``
+    members by ``cell``: the components are those of all pairs.
     Kept is the row with the least doc_id of each component; of equal rows, one.
     """
     spark = docs.sparkSession
@@ -173,6 +173,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, ro
 
     rows = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_key string, fp array<long>"), "fingerprints")
     nodes = scratch.write(rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")).where("node is not null").groupBy("node").agg(F.first("fp").alias("fp")), "nodes")
+    found = connected_components(_near_links(nodes, scratch, radius, crowded, cell), scratch)
+    ids = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"))
+    classes = ids.join(found, "node", "left").select("text_key", F.coalesce("component", "node").alias("component_id"))
+    return rows.join(classes, "text_key").select("doc_id", "text_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep"))
+
+
+def _near_links(nodes: DataFrame, scratch: Scratch, radius: int, crowded: int, cell: int) -> DataFrame:
+    """Links (a, b) between nodes (node, fp) whose components are those of all near pairs that share a block."""
 
     def block(k: int) -> F.Column:
         at = k * BLOCK_BITS // 8
@@ -182,38 +190,52 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, ro
     keyed = nodes.select("node", F.explode(F.array(*[block(k) for k in range(BLOCKS)])).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = scratch.write(keyed.join(sizes, "key"), "blocks")
-    few = members.where(F.col("n") <= crowded).select("key", "node")
-    pairs = [few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()]
-    verified = []
-    rest = members.where(F.col("n") > crowded).select("key", "node", "pivot")
-    fp = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"))
-    fa = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a"))
-
-    def verify(candidates: DataFrame) -> DataFrame:
-        return candidates.join(fa, "a").join(fp, "b").where(_distance("fp_a", "fp_b") <= radius).select("a", "b")
-
-    for _ in range(rounds):
-        if rest.isEmpty():
-            break
-        star = scratch.write(verify(rest.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "stars")
-        verified.append(star)
-        done = star.select(F.col("a").alias("pivot"), F.col("b").alias("node"))
-        left = rest.where("node <> pivot").join(done, ["pivot", "node"], "left_anti").select("key", "node")
-        again = left.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n"))
-        rest = scratch.write(left.join(again.where("n > 1"), "key").select("key", "node", "pivot"), "rest")
-    if not rest.isEmpty():
-        spread = rest.join(nodes, "node").select("key", "node", F.concat_ws(":", "key", F.floor(F.col("fp")[0] / F.lit(2.0**56))).alias("cell"))
-        order = spread.select("node", "cell", F.pmod(F.xxhash64("node"), F.lit(1 << 20)).alias("r"))
-        cells = order.groupBy("cell").agg(F.count("*").alias("n"))
-        cut = order.join(cells, "cell").select("node", F.concat_ws(":", "cell", F.floor(F.col("r") / (1 << 20) * F.ceil(F.col("n") / (crowded / 2)))).alias("cell"))
-        pairs.append(cut.select("cell", F.col("node").alias("a")).join(cut.select("cell", F.col("node").alias("b")), "cell").where("a < b").select("a", "b").distinct())
-    links = verify(pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1]).distinct())
-    for star in verified:
-        links = links.unionByName(star)
-    found = connected_components(links, scratch)
-    ids = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"))
-    classes = ids.join(found, "node", "left").select("text_key", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(classes, "text_key").select("doc_id", "text_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep"))
+    few, many = members.where(F.col("n") <= crowded).select("key", "node"), members.where(F.col("n") > crowded)
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    stars = many.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    fa, fb = (nodes.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}")) for s in ("a", "b"))
+    near = pairs.unionByName(stars).distinct().join(fa, "a").join(fb, "b").where(_distance("fp_a", "fp_b") <= radius)
+    links = scratch.write(near.select("a", "b"), "pairs")
+    if many.isEmpty():
+        return links
+    known = connected_components(links, scratch)
+    told = scratch.write(many.join(known, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("part")), "parts")
+    heads = told.where("node = pivot").select("key", F.col("part").alias("head"))
+    apart = told.join(heads, "key").select("key", "node", "part", (F.col("part") != F.col("head")).alias("other"))
+    counts = apart.groupBy("key").agg(F.count_if("other").alias("others"), F.count_if(~F.col("other")).alias("rest")).where("others > 0")
+    return links.unionByName(scratch.write(_cell_links(apart.join(counts, "key").join(nodes, "node"), radius, cell), "cells"))
+
+
+def _cell_links(apart: DataFrame, radius: int, cell: int) -> DataFrame:
+    """Links between members of different parts of a block.
+
+    ``other`` marks members outside the part of the block's pivot.  These are dealt into cells with the rest (x from 0) and
+    with one another (x below 0); members of one part need no comparison.
+    """
+    sized = apart.withColumns({n: F.ceil(F.col(c) / cell).cast("int") for n, c in (("o", "others"), ("r", "rest"))})
+    own = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("o")).otherwise(F.col("r"))).cast("int"))
+    across = "transform(sequence(0, r - 1), i -> struct(i as x, own as y))"
+    among = "transform(sequence(0, o - 1), i -> struct(-1 - least(own, i) as x, greatest(own, i) as y))"
+    dealt = own.withColumn("c", F.explode(F.expr(f"if(other, concat({across}, {among}), transform(sequence(0, o - 1), i -> struct(own as x, i as y)))")))
+    cells = dealt.select("key", F.col("c.x").alias("x"), F.col("c.y").alias("y"), "node", "part", "other", "fp")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, part, other = (table[c].to_numpy() for c in ("node", "part", "other"))
+        part = part.copy()
+        prints = table["fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        able = ~other if table["x"][0].as_py() >= 0 else np.ones(len(node), dtype=bool)
+        a, b = [], []
+        for i in np.flatnonzero(other):
+            at = np.flatnonzero(able & (part != part[i]))
+            distance = np.bitwise_count(prints[at] ^ prints[i]).sum(axis=1, dtype=np.int64)
+            for j in at[distance <= radius]:
+                if part[j] != part[i]:
+                    a.append(node[i])
+                    b.append(node[j])
+                    part[part == part[j]] = part[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
