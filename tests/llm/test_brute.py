@@ -129,14 +129,46 @@ def test_crowded_blocks_are_exhausted(spark, cell):
                 start ^= 1 << (24 * k + rng.randrange(24))
     rng.shuffle(fps)
     nodes = [(i, longs(f)) for i, f in enumerate(fps)]
-    table = spark.createDataFrame(nodes, "node long, fp array<long>")
+    table = spark.createDataFrame([(i, "t", f, 1) for i, f in nodes], "node long, text_key string, fp array<long>, n int")
+    rows = spark.createDataFrame([(i, "t", [1]) for i, _ in nodes], "doc_id long, text_key string, shingles array<int>")
     scratch = Scratch(spark, "t")
-    got = {r.node: r.component for r in connected_components(simhash._near_links(table, scratch, 56, 16, cell), scratch).collect()}
+    got = {r.node: r.component for r in connected_components(simhash._near_links(table, rows, scratch, 56, 16, cell, 0.8), scratch).collect()}
     want = components_of(near_pairs(nodes, 56), range(len(nodes)))
     assert len(set(want.values())) == 72
     assert got == {n: c for n, c in want.items() if n != c}
 
 
+def test_links_are_similar_texts(spark):
+    rng = random.Random(10)
+
+    def prose(n):
+        return [f"w{rng.randint(0, 50000)}" for _ in range(n)]
+
+    line = "home about contact terms privacy "
+    rows = [(k, line * 50 + " ".join(prose(100))) for k in range(30)]  # strangers under one menu
+    for base in range(40):  # copies at 0.6 to 1
+        words = prose(200)
+        for k in range(6):
+            copy = list(words)
+            for at in rng.sample(range(200), rng.randint(0, 5)):
+                copy[at] = f"own{base}{k}{at}"
+            rows.append((1000 + 10 * base + k, " ".join(copy)))
+    crowd = prose(300)
+    for k in range(60):
+        copy = list(crowd)
+        for at in rng.sample(range(300), rng.randint(0, 5)):
+            copy[at] = f"own{k}{at}"
+        rows.append((5000 + k, " ".join(copy)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    similar = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = components_of(similar, sets)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowded=8, cell=16).collect()}
+    assert all(got[k] == k for k in range(30))
+    assert all(want[i] == want[c] for i, c in got.items())  # no link below 0.8
+    assert sum(got[a] == got[b] for a, b in similar) >= 0.95 * len(similar)
+    print("pairs of 0.8 or more:", len(similar), "joined:", sum(got[a] == got[b] for a, b in similar), "components:", len(set(got.values())), "brute force:", len(set(want.values())))
+
+
 def test_tokens_match_the_library(tokenizer):
     from tokenizers import Tokenizer
 

@@ -108,16 +108,24 @@ def link_components(docs: DataFrame, width: int = 3, crowded: int = CROWDED) ->
 
 BLOCKS, BLOCK_BITS = 20, 24
 BITS = BLOCKS * BLOCK_BITS
-RADIUS = 56
+RADIUS = 120
+#: Five-word Jaccard of a near copy.
+LEAST = 0.8
+SALTS = 16
 
 
-def wide_fingerprints(texts: list[bytes]) -> np.ndarray:
-    """480-bit SimHash over word pairs, one row of 60 bytes for each text; no words: zero."""
+def wide_fingerprints(texts: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
+    """480-bit SimHash over the distinct word pairs, one row of 60 bytes for each text (no words: zero), and the
+    sorted 32-bit hashes of its distinct five-word shingles."""
     out = np.zeros((len(texts), BITS // 8), dtype=np.uint8)
+    sizes, values = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+    lanes = -(-BITS // 64)
     for first, last in chunks(texts, 1 << 17):
         words = Words(texts[first:last])
-        hashes, doc = words.shingles(2)
-        lanes = -(-BITS // 64)
+        hashes, doc = _distinct(*words.shingles(5), 32)
+        sizes.append(np.bincount(doc, minlength=last - first))
+        values.append(hashes.astype(np.uint32).view(np.int32))
+        hashes, doc = _distinct(*words.shingles(2), 44)
         with np.errstate(over="ignore"):
             wide = np.stack([_spread(hashes, k) for k in range(lanes)], axis=1)
         starts = np.flatnonzero(np.diff(np.concatenate([[-1], doc])))
@@ -128,7 +136,13 @@ def wide_fingerprints(texts: list[bytes]) -> np.ndarray:
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             count = bits[a:b].sum(axis=0, dtype=np.uint32)
             out[first + doc[a]] = np.packbits(count * 2 > b - a)
-    return out
+    return out, pa.ListArray.from_arrays(np.cumsum(np.concatenate(sizes)).astype(np.int32), pa.array(np.concatenate(values)))
+
+
+def _distinct(hashes: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The highest ``bits`` of the hashes, sorted and each once a document; ``doc`` is below 2^(64 - bits)."""
+    both = np.unique(doc.astype(np.uint64) << np.uint64(bits) | hashes >> np.uint64(64 - bits))
+    return both & np.uint64((1 << bits) - 1), (both >> np.uint64(bits)).astype(np.int64)
 
 
 def _spread(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -142,14 +156,15 @@ def _distance(a: str, b: str) -> F.Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])).cast("int") for i in range(8)), F.lit(0))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, cell: int = 512) -> DataFrame:
-    """doc_id, text_key, component_id, keep for every row: near copies at about 0.8 on five-word shingles.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, cell: int = 512, least: float = LEAST) -> DataFrame:
+    """doc_id, text_key, component_id, keep for every row: near copies at ``least`` on five-word shingles.
 
     A copy at a five-word Jaccard of 0.8 differs in one word of 45, so its word
     pairs have a cosine of 0.956 and a 480-bit SimHash over pairs differs in about 46
     bits: far more than any pigeonhole over 64 bits can promise.  20 blocks of 24 bits
     always catch pairs within 19 bits and catch 99 % at a Jaccard of 0.9 and 85 % at
-    0.8; the rest of the verification is the Hamming distance, at most ``radius`` bits.
+    0.8.  ``radius`` only takes chance meetings (some 240 bits) out; a link is a pair whose sets of
+    five-word shingles have a Jaccard of ``least`` or more, computed from the sets.
     Equal texts (after white space and A-Z folding) are one class beforehand.
 
     Blocks of up to ``crowded`` classes are joined pairwise.  In larger ones each
@@ -166,21 +181,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, ce
         for batch in batches:
             texts = texts_of(batch["text"])
             prints = np.zeros((len(texts), 64), dtype=np.uint8)
-            prints[:, : BITS // 8] = wide_fingerprints(texts)
+            prints[:, : BITS // 8], sets = wide_fingerprints(texts)
             keys = [xxhash.xxh3_128_hexdigest(b" ".join(t.lower().split())) for t in texts]
             longs = pa.ListArray.from_arrays(np.arange(0, 8 * len(texts) + 1, 8, dtype=np.int32), pa.array(prints.view("<i8").ravel()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(keys), longs], names=["doc_id", "text_key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(keys), longs, sets], names=["doc_id", "text_key", "fp", "shingles"])
 
-    rows = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_key string, fp array<long>"), "fingerprints")
-    nodes = scratch.write(rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")).where("node is not null").groupBy("node").agg(F.first("fp").alias("fp")), "nodes")
-    found = connected_components(_near_links(nodes, scratch, radius, crowded, cell), scratch)
+    rows = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_key string, fp array<long>, shingles array<int>"), "fingerprints")
+    first = F.min_by(F.struct("text_key", "fp", "n"), "text_key").alias("x")
+    texts = rows.withColumn("n", F.size("shingles")).groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    nodes = scratch.write(texts.where("node is not null").groupBy("node").agg(first).select("node", "x.*"), "nodes")
+    found = connected_components(_near_links(nodes, rows, scratch, radius, crowded, cell, least), scratch)
     ids = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"))
     classes = ids.join(found, "node", "left").select("text_key", F.coalesce("component", "node").alias("component_id"))
     return rows.join(classes, "text_key").select("doc_id", "text_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep"))
 
 
-def _near_links(nodes: DataFrame, scratch: Scratch, radius: int, crowded: int, cell: int) -> DataFrame:
-    """Links (a, b) between nodes (node, fp) whose components are those of all near pairs that share a block."""
+def _alike(common: F.Column, a: str, b: str, least: float) -> F.Column:
+    return common / (F.col(a) + F.col(b) - common) >= least
+
+
+def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int, crowded: int, cell: int, least: float) -> DataFrame:
+    """Links (a, b) between nodes (node, text_key, fp, n) whose components are those of all near pairs that share a block.
+
+    ``rows`` has the n shingles of each doc_id (a node) and text_key.
+    """
 
     def block(k: int) -> F.Column:
         at = k * BLOCK_BITS // 8
@@ -193,20 +217,28 @@ def _near_links(nodes: DataFrame, scratch: Scratch, radius: int, crowded: int, c
     few, many = members.where(F.col("n") <= crowded).select("key", "node"), members.where(F.col("n") > crowded)
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     stars = many.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    fa, fb = (nodes.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}")) for s in ("a", "b"))
+    fa, fb = (nodes.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}"), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
     near = pairs.unionByName(stars).distinct().join(fa, "a").join(fb, "b").where(_distance("fp_a", "fp_b") <= radius)
-    links = scratch.write(near.select("a", "b"), "pairs")
+    near = scratch.write(near.where(_alike(F.least("n_a", "n_b"), "n_a", "n_b", least)).select("a", "b", "n_a", "n_b"), "near")
+    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
+    asked = nodes.select("node", "text_key").join(wanted, "node").select(F.col("node").alias("doc_id"), "text_key")
+    sets = scratch.write(rows.select("doc_id", "text_key", "shingles").join(asked, ["doc_id", "text_key"]).groupBy(F.col("doc_id").alias("node")).agg(F.first("shingles").alias("shingles")), "shingles")
+    sa, sb = (sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s_{s}")) for s in ("a", "b"))
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    links = scratch.write(near.join(sa, "a").join(sb, "b").where(_alike(common, "n_a", "n_b", least)).select("a", "b"), "pairs")
     if many.isEmpty():
         return links
     known = connected_components(links, scratch)
-    told = scratch.write(many.join(known, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("part")), "parts")
-    heads = told.where("node = pivot").select("key", F.col("part").alias("head"))
-    apart = told.join(heads, "key").select("key", "node", "part", (F.col("part") != F.col("head")).alias("other"))
-    counts = apart.groupBy("key").agg(F.count_if("other").alias("others"), F.count_if(~F.col("other")).alias("rest")).where("others > 0")
-    return links.unionByName(scratch.write(_cell_links(apart.join(counts, "key").join(nodes, "node"), radius, cell), "cells"))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+    told = scratch.write(many.join(known, "node", "left").select("key", "node", salt, "pivot", F.coalesce("component", "node").alias("part")), "parts")
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # a crowded block's members are not all in one task
+    heads = told.where("node = pivot").select("key", F.col("part").alias("head"), salted)
+    apart = told.join(heads, ["key", "salt"]).select("key", "salt", "node", "part", (F.col("part") != F.col("head")).alias("other"))
+    counts = apart.groupBy("key").agg(F.count_if("other").alias("others"), F.count_if(~F.col("other")).alias("rest")).where("others > 0").select("*", salted)
+    return links.unionByName(scratch.write(_cell_links(apart.join(counts, ["key", "salt"]).join(nodes.select("node", "fp"), "node").join(sets, "node"), radius, cell, least), "cells"))
 
 
-def _cell_links(apart: DataFrame, radius: int, cell: int) -> DataFrame:
+def _cell_links(apart: DataFrame, radius: int, cell: int, least: float) -> DataFrame:
     """Links between members of different parts of a block.
 
     ``other`` marks members outside the part of the block's pivot.  These are dealt into cells with the rest (x from 0) and
@@ -217,19 +249,25 @@ def _cell_links(apart: DataFrame, radius: int, cell: int) -> DataFrame:
     across = "transform(sequence(0, r - 1), i -> struct(i as x, own as y))"
     among = "transform(sequence(0, o - 1), i -> struct(-1 - least(own, i) as x, greatest(own, i) as y))"
     dealt = own.withColumn("c", F.explode(F.expr(f"if(other, concat({across}, {among}), transform(sequence(0, o - 1), i -> struct(own as x, i as y)))")))
-    cells = dealt.select("key", F.col("c.x").alias("x"), F.col("c.y").alias("y"), "node", "part", "other", "fp")
+    cells = dealt.select("key", F.col("c.x").alias("x"), F.col("c.y").alias("y"), "node", "part", "other", "fp", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         node, part, other = (table[c].to_numpy() for c in ("node", "part", "other"))
         part = part.copy()
         prints = table["fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        held = table["shingles"].combine_chunks()
+        n, held = held.value_lengths().to_numpy(), np.split(held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())[:-1])
         able = ~other if table["x"][0].as_py() >= 0 else np.ones(len(node), dtype=bool)
         a, b = [], []
         for i in np.flatnonzero(other):
             at = np.flatnonzero(able & (part != part[i]))
+            at = at[np.minimum(n[at], n[i]) >= least * np.maximum(n[at], n[i]) - 1e-6]
             distance = np.bitwise_count(prints[at] ^ prints[i]).sum(axis=1, dtype=np.int64)
-            for j in at[distance <= radius]:
-                if part[j] != part[i]:
+            for j in at[distance <= radius][np.argsort(distance[distance <= radius], kind="stable")]:
+                if part[j] == part[i]:
+                    continue
+                common = len(np.intersect1d(held[i], held[j], assume_unique=True))
+                if common and common / (int(n[i]) + int(n[j]) - common) >= least:
                     a.append(node[i])
                     b.append(node[j])
                     part[part == part[j]] = part[i]
