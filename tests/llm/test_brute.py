@@ -2,13 +2,14 @@
 
 import collections
 import random
+import textwrap
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
 
-from wayfare.llm import chat, decontaminate, mixing, simhash, sstable, suffix, tokens
+from wayfare.llm import chat, decontaminate, licenses, mixing, simhash, sstable, suffix, tokens
 from wayfare.llm.components import connected_components
 from wayfare.llm.storage import Scratch
 
@@ -268,3 +269,15 @@ def test_targets(spark):
         capped |= over
     want = {s: caps[s] if s in capped else w * level for s, w in weights.items()}
     assert {s: r.target for s, r in got.items()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", "// ", " * ", "-- ", "#"])
+def test_wrapped_licenses(prefix):
+    scanner = licenses.LicenseScanner()
+    for name, wording in licenses.TEMPLATES.items():
+        for width in (40, 72, 80):
+            notice = "\n".join(prefix + line for line in textwrap.wrap(wording, width, break_long_words=False, break_on_hyphens=False))
+            text = f"some words here\n{notice}\nmore words".encode()
+            (found,) = scanner.scan(text)
+            assert found[2] == name and found[6] and not found[4] and not found[5]
+            assert text[found[0] : found[1]].split()[-1].endswith(wording.split()[-1].encode())

@@ -1,18 +1,23 @@
 """License notices by conditional compression.
 
-A candidate block is a run of lines that hold a cue word.  It is compressed alone and with each
-template as a raw zstandard dictionary; templates rank by how much smaller the block gets.  The best ones are
-confirmed by aligning words: the wording differences (words of the template that are
-missing, words within the matched stretch that are extra) are exact, and a winner may differ in a tenth of the
-template's words, or in none if it has under ten.
+In a text with a cue word, every notice is found whose wording differs from a template (words of the template that are
+missing, words within the matched stretch that are extra) in a tenth of the template's words at most, or in none if it has under
+ten.  Lines and comment marks at their ends do not matter.  The search is exact: of a template cut into one piece more than
+the differences allowed, a notice holds one piece whole, and around each such piece words are aligned.
+
+Cue words outside these notices give candidate blocks, runs of lines that hold one.  Blocks and notices are compressed alone
+and with each template as a raw zstandard dictionary; for a block the template that makes it smallest is named.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,33 +43,67 @@ TEMPLATES = {
 }
 CUES = re.compile(rb"licen[sc]e|copyright|permission is|redistribut|warrant|spdx|creative commons|cc by", re.I)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-NEAREST = 3
+_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
+_LINE = re.compile(rb"[^\n\r]+")
+_MARK = re.compile(rb"(?:<!--|[#*/;%!>|'-]+|(?:dnl|REM)(?![^\x20\x09-\x0D]))")
+_CLOSING = re.compile(rb"(?:-->|[#*/;%|-]+)")
 
 
 class LicenseScanner:
     """``scan`` a text against named templates."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, nearest: int = NEAREST, tolerance: float = 0.1, level: int = 3):
-        self.nearest, self.tolerance = nearest, tolerance
+    def __init__(self, templates: dict[str, str] = TEMPLATES, tolerance: float = 0.1, level: int = 3):
         self.plain = zstandard.ZstdCompressor(level=level)
         self.names = list(templates)
         self.given = [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in templates.values()]
         self.words = [_WORD.findall(t) for t in templates.values()]
+        self.wanted = [[w.encode() for w in words] for words in self.words]
+        self.allowed = [int(tolerance * len(w)) for w in self.words]
+        self.pieces: dict[bytes, list[tuple[list[bytes], int, int]]] = defaultdict(list)
+        for t, (want, k) in enumerate(zip(self.wanted, self.allowed, strict=True)):
+            cuts = [len(want) * i // (k + 1) for i in range(k + 2)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                self.pieces[want[x]].append((want[x:y], t, x))
 
     @staticmethod
-    def blocks(text: bytes) -> list[tuple[int, int]]:
-        """Runs of lines with a cue, as byte ranges."""
+    def blocks(text: bytes, taken: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+        """Runs of lines with a cue outside the sorted byte ranges ``taken``, as byte ranges outside of them."""
+        starts = [x[0] for x in taken]
         out: list[tuple[int, int]] = []
         for m in CUES.finditer(text):
             start = text.rfind(b"\n", 0, m.start()) + 1
             end = text.find(b"\n", m.end())
             end = len(text) if end < 0 else end
+            at = bisect_right(starts, m.start())
+            if at and taken[at - 1][1] > m.start():
+                continue
+            start = max(start, taken[at - 1][1]) if at else start
+            end = max(min(end, starts[at]), m.end()) if at < len(starts) else end
             if out and start <= out[-1][1] + 1:
                 out[-1] = (out[-1][0], max(end, out[-1][1]))
             else:
                 out.append((start, end))
         return out
 
+    @staticmethod
+    def tokens(text: bytes) -> list[tuple[bytes, int, int]]:
+        """Words with their byte ranges, without the comment marks at the ends of lines."""
+        out = []
+        for line in _LINE.finditer(text):
+            held = [(m.group(), line.start() + m.start(), line.start() + m.end()) for m in _BYTES.finditer(line.group())]
+            first = 0
+            while first < len(held) and (mark := _MARK.match(held[first][0])):
+                word, start, end = held[first]
+                if mark.end() < len(word):
+                    held[first] = (word[mark.end() :], start + mark.end(), end)
+                else:
+                    first += 1
+            last = len(held)
+            while last > first and _CLOSING.fullmatch(held[last - 1][0]):
+                last -= 1
+            out += held[first:last]
+        return out
+
     def rank(self, block: bytes) -> list[tuple[float, int]]:
         """(size reduction, template) from the greatest on."""
         alone = len(self.plain.compress(block))
@@ -84,22 +123,78 @@ class LicenseScanner:
             at, inside = m.b + m.size, m.a + m.size
         return missing + want[at:], extra
 
+    def matches(self, words: list[bytes]) -> list[tuple[int, int, int, list[bytes], list[bytes]]]:
+        """first word, end, template, missing, extra of the notices in ``words``; of overlapping ones, that of the longer template."""
+        near: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for p, word in enumerate(words):
+            for piece, t, offset in self.pieces.get(word, ()):
+                if words[p : p + len(piece)] == piece:
+                    k, first = self.allowed[t], p - offset
+                    lo, hi = max(0, first - k), min(len(words), first + len(self.wanted[t]) + k)
+                    if near[t] and lo <= near[t][-1][1]:
+                        lo, hi = min(lo, near[t][-1][0]), max(hi, near[t][-1][1])
+                        near[t].pop()
+                    near[t].append((lo, hi))
+        found = [m for t, ranges in near.items() for lo, hi in ranges for m in self._align(words, lo, hi, t)]
+        out: list[tuple[int, int, int, list[bytes], list[bytes]]] = []
+        for m in sorted(found, key=lambda m: (-len(self.wanted[m[2]]), len(m[3]) + len(m[4]), m[0])):
+            if all(m[1] <= o[0] or o[1] <= m[0] for o in out):
+                out.append(m)
+        return sorted(out, key=lambda m: m[0])
+
+    def _align(self, words: list[bytes], lo: int, hi: int, t: int) -> Iterator[tuple[int, int, int, list[bytes], list[bytes]]]:
+        """Stretches of words[lo:hi] within the allowed differences of a template, from left to right."""
+        want, k = self.wanted[t], self.allowed[t]
+        number = {w: i for i, w in enumerate(dict.fromkeys(want))}
+        wanted, steps = np.array([number[w] for w in want]), np.arange(len(want) + 1)
+        while lo < hi:
+            # table[j][i]: least differences of want[:i] to a stretch that ends after j words
+            table, best = [steps], None
+            for j in range(lo, hi):
+                row = np.minimum(table[-1] + 1, steps)
+                match = wanted == number.get(words[j], -1)
+                row[1:] = np.where(match, np.minimum(row[1:], table[-1][:-1]), row[1:])
+                row[0] = 0
+                row = np.minimum.accumulate(row - steps) + steps
+                table.append(row)
+                if row[-1] <= k and (best is None or row[-1] < best[0]):
+                    best = (row[-1], j + 1, best[2] if best else j)
+                if best and j - best[2] > 2 * k:
+                    break
+            if best is None:
+                return
+            i, j, missing, extra = len(want), best[1] - lo, [], []
+            while i:
+                if j and want[i - 1] == words[lo + j - 1] and table[j][i] == table[j - 1][i - 1]:
+                    i, j = i - 1, j - 1
+                elif j and table[j][i] == table[j - 1][i] + 1:
+                    j -= 1
+                    extra.append(words[lo + j])
+                else:
+                    i -= 1
+                    missing.append(want[i])
+            yield lo + j, best[1], t, missing[::-1], extra[::-1]
+            lo = best[1]
+
     def scan(self, text: bytes) -> Iterator[tuple[int, int, str, float, list[str], list[str], bool]]:
-        """start, end, license, reduction, missing, extra, confirmed of each block: its best confirmed template, else the best ranked."""
-        for start, end in self.blocks(text):
-            block = text[start:end]
-            words = block.decode(errors="replace")
-            ranked = self.rank(block)[: self.nearest]
-            tried = []
-            for reduction, i in ranked:
-                missing, extra = self.differences(words, i)
-                tried.append((len(missing) + len(extra) <= int(self.tolerance * len(self.words[i])), reduction, i, missing, extra))
-            best = next((t for t in tried if t[0]), tried[0])
-            yield start, end, self.names[best[2]], best[1], best[3], best[4], best[0]
+        """start, end, license, reduction, missing, extra, confirmed of each notice, and of each block of other cues with the best ranked template."""
+        if not CUES.search(text):
+            return
+        held = self.tokens(text)
+        rows, taken = [], []
+        for first, last, t, missing, extra in self.matches([w for w, _, _ in held]):
+            start, end = held[first][1], held[last - 1][2]
+            taken.append((start, end))
+            reduction = 1 - len(self.given[t].compress(text[start:end])) / len(self.plain.compress(text[start:end]))
+            rows.append((start, end, self.names[t], reduction, *([w.decode(errors="replace") for w in x] for x in (missing, extra)), True))
+        for start, end in self.blocks(text, taken):
+            reduction, t = self.rank(text[start:end])[0]
+            rows.append((start, end, self.names[t], reduction, *self.differences(text[start:end].decode(errors="replace"), t), False))
+        yield from sorted(rows, key=lambda r: r[:2])
 
 
 def license_blocks(docs: DataFrame, scanner: dict | None = None) -> DataFrame:
-    """One row for each candidate block: doc_id, start and end byte, license, reduction, missing, extra, confirmed.
+    """One row for each notice and each other candidate block: doc_id, start and end byte, license, reduction, missing, extra, confirmed.
 
     Null and empty texts, and texts without a cue word, give no row; repeated rows give theirs again.
     """
