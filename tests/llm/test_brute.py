@@ -281,3 +281,17 @@ def test_wrapped_licenses(prefix):
             (found,) = scanner.scan(text)
             assert found[2] == name and found[6] and not found[4] and not found[5]
             assert text[found[0] : found[1]].split()[-1].endswith(wording.split()[-1].encode())
+
+
+def test_each_of_several_licenses():
+    scanner = licenses.LicenseScanner()
+    filler = "we note that the permission of the copies and the software is subject to conditions of this and any other notice " * 20
+    for first, one in licenses.TEMPLATES.items():
+        for second, two in licenses.TEMPLATES.items():
+            for between in ("\n", " ", " and also ", " " + filler):
+                text = f"{filler}{one}{between}{two} {filler}".encode()
+                found = [f for f in scanner.scan(text) if f[6]]
+                assert [f[2] for f in found] == [first, second]
+                assert [text[f[0] : f[1]].decode() for f in found] == [one, two]
+    changed = licenses.TEMPLATES["ISC"].replace("without fee", "with fee") + " Licensed under CC BY 4.1. Licensed under CC BY 4.0."
+    assert [(f[2], f[4], f[5]) for f in scanner.scan(changed.encode()) if f[6]] == [("ISC", ["without"], ["with"]), ("CC-BY-4.0", [], [])]
