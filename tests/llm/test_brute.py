@@ -255,6 +255,22 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in found} == want and all(r.similarity > 0.999 for r in found)
 
 
+def test_leaks_without_the_common_preamble(spark):
+    rng = random.Random(11)
+
+    def some(n):
+        return [f"v{rng.randint(0, 50000)}" for _ in range(n)]
+
+    preamble = some(80)
+    own = [some(80) for _ in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(preamble + words)) for i, words in enumerate(own)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(some(100) + words + some(20))) for i, words in enumerate(own)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs, bench).collect()}
+    one, all_ = np.log1p(60), np.log1p(1)
+    assert set(found) == {(i, i) for i in range(60)}
+    assert list(found.values()) == pytest.approx([76 * one / (80 * one + 76 * all_)] * 60)
+
+
 def test_targets(spark):
     rows = [("a", 100), ("b", 1000), ("c", 1), (None, 5000)]
     got = {r.source: r for r in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}

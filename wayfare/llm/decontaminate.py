@@ -5,7 +5,8 @@ shingles (words are runs of letters and digits, lower case; an item of fewer wor
 that hold a shingle of the item at the item's place are made: any other alignment
 shares nothing, so its similarity is 0.  Equal windows of different documents are one.
 
-Candidates: 64-bit SimHash of window and item; 8 blocks of 8 bits; two fingerprints within
+Candidates: every window with the items whose shingles made it.  Besides, as an item may lie in a window that another
+one made, 64-bit SimHash of window and item; 8 blocks of 8 bits; two fingerprints within
 ``RADIUS`` = 24 bits have a block within 3 bits, and items are listed under every value within 3 bits of each of
 their blocks, so that a join on (length, block, value) finds all of them.  Verification: the share of the
 item's shingle weight (ln(1 + items / items with the shingle)) that the window holds, exactly; ``least`` is 0.8.
@@ -80,13 +81,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int
         hits = hashed.select("doc_id", "text_hash", "s", F.posexplode("s").alias("i", "h")).join(own, "h")
         long = F.col("n") - (width - 1)
         start = F.greatest(F.least(F.col("i") - F.col("j"), F.size("s") - long), F.lit(0))
-        cut = hits.select("doc_id", "text_hash", F.lit(width).alias("width"), "n", start.alias("start"), "s", long.alias("long"))
-        cut = cut.select("doc_id", "text_hash", "width", "n", "start", F.slice("s", F.col("start") + 1, F.col("long")).alias("window"))
+        cut = hits.select("doc_id", "text_hash", "item_id", F.lit(width).alias("width"), "n", start.alias("start"), "s", long.alias("long"))
+        cut = cut.select("doc_id", "text_hash", "item_id", "width", "n", "start", F.slice("s", F.col("start") + 1, F.col("long")).alias("window"))
         windows = cut if windows is None else windows.unionByName(cut)
     if windows is None:
         return rows.select("doc_id", "text_hash", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word")).where("false")
     wkey = F.md5(F.concat_ws(",", F.col("width").cast("string"), F.col("n").cast("string"), F.transform("window", lambda h: h.cast("string"))))
-    members = scratch.write(windows.withColumn("wkey", wkey).dropDuplicates(["doc_id", "text_hash", "start", "wkey"]), "windows")
+    made = windows.withColumn("wkey", wkey).groupBy("doc_id", "text_hash", "start", "wkey")
+    members = scratch.write(made.agg(*[F.first(c).alias(c) for c in ("width", "n", "window")], F.collect_set("item_id").alias("hit")), "windows")
     distinct = members.groupBy("wkey").agg(F.first("width").alias("width"), F.first("n").alias("n"), F.first("window").alias("window")).withColumn("fp", _simhash("window"))
     distinct = scratch.write(distinct, "distinct")
     blocks = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _byte(i).alias("value")) for i in range(BLOCKS)])).alias("x")
@@ -95,6 +97,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int
     listed = scratch.write(listed, "listed")  # so that Spark knows its size, some 700 rows an item
     probed = distinct.select("wkey", "width", "n", "fp", blocks).select("wkey", "width", "n", "fp", "x.block", "x.value")
     close = probed.join(listed, ["width", "n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("wkey", "item_id").distinct()
+    close = close.unionByName(members.select("wkey", F.explode("hit").alias("item_id"))).distinct()
     both = close.join(distinct.select("wkey", "window").hint("merge"), "wkey").join(items.select("item_id", "weights"), "item_id")
     found = F.expr("aggregate(filter(weights, x -> array_contains(window, x.h)), 0D, (a, x) -> a + x.w)")
     whole = F.expr("aggregate(weights, 0D, (a, x) -> a + x.w)")
