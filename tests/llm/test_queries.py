@@ -151,3 +151,27 @@ def test_pipeline(spark):
     for (at, doc, n), want in zip(got, sorted(mixed.elements()), strict=True):
         assert (at, doc, n) == (start, want, len(library.encode(whole[want], add_special_tokens=False).ids) + 1)
         start += n
+
+
+def test_next_signatures_across_ranges():
+    method = minhash.OnePermutation()
+    held = ["one text of some words here", "another text of other words there", "", "a fourth text that is not like any"]
+    following = [held[1], "the halo of another range entirely", held[3], "after the last one there is this"]
+    own, some = method.signatures([t.encode() for t in held])
+    got, some_got = queries._next_signatures(method, held, following, own, some)
+    want, some_want = method.signatures([t.encode() for t in following])
+    assert (got == want).all() and (some_got == some_want).all()
+
+
+def test_next_text_where_ranges_share_a_task(spark, tmp_path, monkeypatch):
+    from wayfare.llm import neighbours
+
+    rows = [(i, " ".join(f"w{i}x{k % (i + 3)}" for k in range(30))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda self, n, *by: self.coalesce(1))
+    found = {r.doc_id: r.near_next for r in queries.op2_one_permutation_minhash(spark, str(tmp_path)).collect()}
+    method = minhash.OnePermutation()
+    by = dict(rows)
+    for i in by:
+        (a, b), some = method.signatures([by[i].encode(), by[(i - 1) % 40].encode()])
+        assert found[i] == pytest.approx(method.likeness(a[None], some[:1], b[None], some[1:])[0])

@@ -27,8 +27,7 @@ def op2_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         encoded = [e.encode() for e in edited]
         own, some = method.signatures([t.encode() for t in texts])
         changed, some_changed = method.signatures(encoded)
-        other, some_other = method.signatures([n.encode() for n in following[-1:]])
-        nexts, some_nexts = _shifted(own, other), _shifted(some, some_other)
+        nexts, some_nexts = _next_signatures(method, texts, following, own, some)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([None if i == NULL_ID else i for i in ids], pa.int64()),
@@ -47,11 +46,15 @@ def op2_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _shifted(own, last):
-    """Values of the next row for each row of a batch whose rows follow each other."""
+def _next_signatures(method, texts: list[str], following: list[str], own, some):
+    """Signatures of ``following``: those of the next row where it has that text (a batch may span two ranges), else made."""
     import numpy as np
 
-    return np.concatenate([own[1:], last])
+    nexts, some_nexts = np.roll(own, -1, axis=0), np.roll(some, -1)
+    new = [k for k, text in enumerate(following) if k + 1 == len(texts) or texts[k + 1] != text]
+    if new:
+        nexts[new], some_nexts[new] = method.signatures([following[k].encode() for k in new])
+    return nexts, some_nexts
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
