@@ -271,6 +271,82 @@ def test_leaks_without_the_common_preamble(spark):
     assert list(found.values()) == pytest.approx([76 * one / (80 * one + 76 * all_)] * 60)
 
 
+def leaks_by_hand(docs, bench, least=0.8):
+    """Similarity of the best of all item-sized windows of every document and item."""
+    import re
+
+    def words(text):
+        return re.findall(r"[^\W_]+", text.lower())
+
+    def shingles(w, width):
+        return [tuple(w[k : k + width]) for k in range(len(w) - width + 1)]
+
+    items = {i: words(t) for i, t in bench if words(t)}
+    widths = {i: min(len(w), 5) for i, w in items.items()}
+    sets = {i: set(shingles(w, widths[i])) for i, w in items.items()}
+    df = collections.Counter(h for s in sets.values() for h in s)
+    weight = {h: np.log1p(len(sets) / n) for h, n in df.items()}
+    found = {}
+    for d, text in docs:
+        w = words(text)
+        for i, s in sets.items():
+            there = shingles(w, widths[i])
+            long = len(items[i]) - widths[i] + 1
+            whole = sum(weight[h] for h in s)
+            best = max((sum(weight[h] for h in s & set(there[k : k + long])) for k in range(max(len(there) - long, 0) + 1)), default=0)
+            if best / whole >= least - 1e-9:
+                found[d, i] = best / whole
+    return found
+
+
+@pytest.mark.parametrize("most_broadcast", [1_000_000, 0])
+def test_leaks_of_changed_items(spark, most_broadcast):
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(3000)]
+
+    def some(n):
+        return [rng.choice(words) for _ in range(n)]
+
+    shared = some(12)
+    bench = [(i, " ".join((shared if i % 3 == 0 else []) + some(rng.choice([1, 3, 6, 9, 20, 40, 60, 120])))) for i in range(48)]
+    docs = []
+    for d in range(400):
+        item = bench[d % 48][1].split()
+        n = len(item)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            at, how = rng.randrange(len(item)), rng.choice("swap put drop change move".split())
+            if how == "swap":  # halves in the other order
+                item = item[n // 2 :] + item[: n // 2]
+            elif how == "put":
+                item[at:at] = some(rng.randint(1, 4))
+            elif how == "drop" and len(item) > 3:
+                del item[at]
+            elif how == "change":
+                item[at] = rng.choice(words)
+            else:
+                part = item[at : at + 5]
+                del item[at : at + 5]
+                to = rng.randint(0, len(item))
+                item[to:to] = part
+        other = bench[rng.randrange(48)][1].split() if d % 2 else []  # another item beside it
+        docs.append((d, " ".join(some(rng.randint(0, 30)) + item + other[: rng.randint(0, 60)] + some(rng.choice([0, 10])))))
+    want = leaks_by_hand(docs, bench)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(frame, spark.createDataFrame(bench, "item_id long, text string"), most_broadcast=most_broadcast).collect()}
+    between = sum(s < 0.999 for s in want.values())
+    assert between > 40 and set(got) <= set(want)
+    assert len(got) >= 0.99 * len(want), (len(got), len(want))
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+    print("matches:", len(want), "of them changed:", between, "found:", len(got))
+
+
+def test_leaks_of_swapped_halves(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 20 + words[30:] + words[:30] + ["y"] * 20))], "doc_id long, text string")
+    (found,) = decontaminate.leaks(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert found.similarity == pytest.approx(52 / 56) and found.start_word == 20
+
+
 def test_targets(spark):
     rows = [("a", 100), ("b", 1000), ("c", 1), (None, 5000)]
     got = {r.source: r for r in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}
