@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from wayfare.llm import chat, decontaminate, licenses, mixing, simhash, sstable, suffix, tokens
+from wayfare.llm.arrays import Words
 from wayfare.llm.components import connected_components
 from wayfare.llm.storage import Scratch
 
@@ -106,39 +107,92 @@ def test_near_copies_go_and_others_stay(spark):
     assert set(range(40)) <= kept and not kept & set(range(100, 300)) and len([k for k in kept if k >= 1000]) == 1
 
 
-def near_pairs(nodes, radius):
-    """Pairs that share a 24-bit block and differ in ``radius`` bits or fewer."""
-    ints = {n: int.from_bytes(b"".join((x & (1 << 64) - 1).to_bytes(8, "little") for x in fp), "little") for n, fp in nodes}
-    share = [(a, b) for a in ints for b in ints if a < b and any((ints[a] ^ ints[b]) >> 24 * k & 0xFFFFFF == 0 for k in range(simhash.BLOCKS))]
-    return [(a, b) for a, b in share if (ints[a] ^ ints[b]).bit_count() <= radius]
-
-
 @pytest.mark.parametrize("cell", [512, 7])
 def test_crowded_blocks_are_exhausted(spark, cell):
     rng = random.Random(9)
+    blocks = [[rng.randrange(1 << 24) for _ in range(simhash.BLOCKS - 1)] for _ in range(60)]  # strangers in one block
+    for _ in range(12):  # chains, each link in that block only
+        first = rng.getrandbits(480)
+        for _ in range(10):
+            blocks.append((first, [rng.randrange(1 << 24) for _ in range(simhash.BLOCKS - 1)]))
+            first ^= sum(1 << k for k in rng.sample(range(480), 40))
+    nodes = [(i, *(b if isinstance(b, tuple) else (rng.getrandbits(480), b))) for i, b in enumerate(rng.sample(blocks, len(blocks)))]
 
     def longs(value):
         return [int.from_bytes(value.to_bytes(64, "little")[8 * i : 8 * i + 8], "little", signed=True) for i in range(8)]
 
-    fps = [rng.getrandbits(480) >> 24 << 24 | 5 for _ in range(60)]  # strangers in one block
-    for start in [rng.getrandbits(480) >> 24 << 24 | 5 for _ in range(12)]:  # chains, each link of 40 bits in that block only
-        for _ in range(10):
-            fps.append(start)
-            for k in range(1, 20):
-                start ^= 1 << (24 * k + rng.randrange(24))
-            for k in rng.sample(range(1, 20), 19):
-                start ^= 1 << (24 * k + rng.randrange(24))
-    rng.shuffle(fps)
-    nodes = [(i, longs(f)) for i, f in enumerate(fps)]
-    table = spark.createDataFrame([(i, "t", f, 1) for i, f in nodes], "node long, text_key string, fp array<long>, n int")
-    rows = spark.createDataFrame([(i, "t", [1]) for i, _ in nodes], "doc_id long, text_key string, shingles array<int>")
+    table = spark.createDataFrame([(i, "t", i, longs(f), [5, *((k + 1 << 24) | x for k, x in enumerate(b))], 1) for i, f, b in nodes], "node long, text_key string, least_id long, fp array<long>, blocks array<int>, n int")
+    rows = spark.createDataFrame([(i, "t", [1]) for i, _, _ in nodes], "doc_id long, text_key string, shingles array<int>")
     scratch = Scratch(spark, "t")
     got = {r.node: r.component for r in connected_components(simhash._near_links(table, rows, scratch, 56, 16, cell, 0.8), scratch).collect()}
-    want = components_of(near_pairs(nodes, 56), range(len(nodes)))
+    want = components_of([(a, b) for a, f, _ in nodes for b, g, _ in nodes if a < b and (f ^ g).bit_count() <= 56], range(len(nodes)))
     assert len(set(want.values())) == 72
     assert got == {n: c for n, c in want.items() if n != c}
 
 
+def similar_copy(words, rng):
+    """A copy with as many words changed as keep the five-word similarity in 0.8 to 0.85."""
+    sets = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    while True:
+        copy = list(words)
+        while True:
+            copy[rng.randrange(len(copy))] = f"own{rng.random()}"
+            other = {tuple(copy[k : k + 5]) for k in range(len(copy) - 4)}
+            alike = len(sets & other) / len(sets | other)
+            if alike <= 0.85:
+                break
+        if alike >= 0.8:
+            return copy
+
+
+@pytest.mark.parametrize("length", [60, 80, 150, 300, 1000])
+def test_recall_of_the_blocks(length):
+    """Of pairs at 0.8 to 0.85, those that share a block and are within the radius."""
+    rng = random.Random(length)
+    originals = [[f"w{rng.randint(0, 20000)}" for _ in range(length)] for _ in range(300)]
+    texts = [" ".join(w).encode() for words in originals for w in (words, similar_copy(words, rng))]
+    prints, _ = simhash.wide_fingerprints(texts)
+    keys = simhash.block_keys(prints)
+    shared = (keys[::2] == keys[1::2]).any(axis=1)
+    bits = simhash.BITS // 8
+    near = np.bitwise_count(prints[::2, :bits] ^ prints[1::2, :bits]).sum(axis=1, dtype=np.int64) <= simhash.RADIUS
+    print("words:", length, "recall:", (shared & near).mean())
+    assert (shared & near).mean() >= 0.95
+
+
+def test_wide_fingerprint_bits():
+    """Bits against a count over all pairs, for texts of few and of many pairs."""
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(n)).encode() for n in (0, 1, 2, 3, 200, 256, 257, 900, 3000)] + [b"a b"] * 2
+    prints, sets = simhash.wide_fingerprints(texts)
+    for text, got, held in zip(texts, prints, sets.to_pylist(), strict=True):
+        words = Words([text])
+        pairs = np.unique(words.shingles(2)[0] >> np.uint64(20))
+        lanes = [np.unpackbits(simhash._spread(pairs, k).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=int) for k in range(simhash.BLOCKS * simhash.BLOCK_BITS // 64)]
+        assert got.tolist() == np.packbits(np.concatenate(lanes) * 2 > len(pairs)).tolist()
+        assert len(held) == len(np.unique(words.shingles(5)[0] >> np.uint64(32)))
+
+
+def test_links_through_null_ids(spark):
+    rows = [(5, 0b0000), (None, 0b0011), (9, 0b1111), (None, 1 << 40), (7, 0xFF << 20)]
+    nodes = spark.createDataFrame([(i, f, f) for i, f in rows], "least_id long, fp long, node long")
+    scratch = Scratch(spark, "t")
+    got = {r.fp: r.component_id for r in simhash.least_ids(nodes, simhash.close_links(nodes, scratch), scratch).collect()}
+    assert got == {0b0000: 5, 0b0011: 5, 0b1111: 5, 1 << 40: 5, 0xFF << 20: 7}  # 2^40 differs from zero by one bit
+
+
+def test_each_text_of_one_id_counts(spark):
+    def prose(seed, n=60):
+        rng = random.Random(seed)
+        return [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+
+    one, two, three = prose(1), prose(2), prose(3)
+    rows = [(4, " ".join(one)), (4, " ".join(two)), (9, " ".join([*one, "end"])), (8, " ".join([*two, "end"])), (None, " ".join(three)), (None, " ".join([*three, "end"])), (4, " ".join(one))]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, len(r.text.split())) for r in kept)[1:] == [(4, 60), (4, 60)] and len(kept) == 3
+    assert {r.text for r in kept if r.doc_id == 4} == {rows[0][1], rows[1][1]}
+
+
 def test_links_are_similar_texts(spark):
     rng = random.Random(10)
 

@@ -86,59 +86,81 @@ def close_links(nodes: DataFrame, scratch: Scratch, crowded: int = CROWDED) -> D
     return pairs.unionByName(stars).distinct()
 
 
+def least_ids(nodes: DataFrame, links: DataFrame, scratch: Scratch, tie: str = "node") -> DataFrame:
+    """``nodes`` (node, least_id, ...) with component_id, the least least_id that the links reach (null if none has one), and
+    leads: whether this node has it (of several the one with the least ``tie``).
+
+    Nodes have numbers of their own, so that rows whose doc_id is null, or several texts of one doc_id, carry links like any other.
+    """
+    found = connected_components(links, scratch)
+    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    order = F.struct(F.col("least_id").isNull(), "least_id", tie, "node")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min_by("node", order).alias("first"))
+    return rooted.join(least, "root").withColumn("leads", F.col("node") == F.col("first")).drop("root", "first")
+
+
 def link_components(docs: DataFrame, width: int = 3, crowded: int = CROWDED) -> DataFrame:
     """doc_id, fingerprint (hex), component_id for every row.
 
     component_id is the least doc_id reachable over fingerprints that differ in two
     bits or fewer, the row's own included.  Rows with null or blank text have
     fingerprint zero and are linked like any other; repeated rows are kept; rows
-    whose doc_id is null count for no minimum (a class of only such rows has a null component).
+    whose doc_id is null link like any other but are no minimum (a component of only such rows has a null id).
+    Texts of any length are read whole; an empty table gives no row; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.write(fingerprints(docs, width), "fingerprints")
-    nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    known = nodes.where("node is not null")
-    # two fingerprints may have one doc_id (repeated ids with different texts): they meet at that node
-    found = connected_components(close_links(known, scratch), scratch)
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # a class of equal fingerprints is a node; its number is the fingerprint
+    nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.col("fp")), "nodes")
+    classes = least_ids(nodes, close_links(nodes, scratch, crowded), scratch).select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- wide form -------------------------------------------------------------------
 
-BLOCKS, BLOCK_BITS = 20, 24
-BITS = BLOCKS * BLOCK_BITS
-RADIUS = 120
+BLOCKS, BLOCK_BITS = 64, 24
+#: The first bits, whose distance is compared.
+BITS = 480
+RADIUS = 144
 #: Five-word Jaccard of a near copy.
 LEAST = 0.8
 SALTS = 16
 
 
 def wide_fingerprints(texts: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
-    """480-bit SimHash over the distinct word pairs, one row of 60 bytes for each text (no words: zero), and the
+    """SimHash of ``BLOCKS`` times ``BLOCK_BITS`` bits over the distinct word pairs, one row of bytes for each text (no words: zero), and the
     sorted 32-bit hashes of its distinct five-word shingles."""
-    out = np.zeros((len(texts), BITS // 8), dtype=np.uint8)
+    wide = BLOCKS * BLOCK_BITS
+    out = np.zeros((len(texts), wide // 8), dtype=np.uint8)
     sizes, values = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
-    lanes = -(-BITS // 64)
     for first, last in chunks(texts, 1 << 17):
         words = Words(texts[first:last])
         hashes, doc = _distinct(*words.shingles(5), 32)
         sizes.append(np.bincount(doc, minlength=last - first))
         values.append(hashes.astype(np.uint32).view(np.int32))
         hashes, doc = _distinct(*words.shingles(2), 44)
-        with np.errstate(over="ignore"):
-            wide = np.stack([_spread(hashes, k) for k in range(lanes)], axis=1)
         starts = np.flatnonzero(np.diff(np.concatenate([[-1], doc])))
         if not len(starts):
             continue
-        bits = np.unpackbits(wide.view(np.uint8).reshape(len(hashes), -1)[:, : BITS // 8], axis=1)
-        ends = np.append(starts[1:], len(doc))
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            count = bits[a:b].sum(axis=0, dtype=np.uint32)
-            out[first + doc[a]] = np.packbits(count * 2 > b - a)
+        # bits are counted in bytes, eight counters to a word, over runs of 255 hashes at most
+        counts = np.diff(np.append(starts, len(doc)))
+        runs = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(starts.tolist(), counts.tolist(), strict=True)])
+        first_runs = np.searchsorted(runs, starts)
+        total = np.zeros((len(starts), wide), dtype=np.uint32)
+        for lane in range(wide // 64):
+            bits = np.unpackbits(_spread(hashes, lane).view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+            part = np.add.reduceat(bits, runs, axis=0).view(np.uint8)
+            total[:, 64 * lane : 64 * lane + 64] = part if len(runs) == len(starts) else np.add.reduceat(part.astype(np.uint32), first_runs, axis=0)
+        out[first + doc[starts]] = np.packbits(total * 2 > counts[:, None], axis=1)
     return out, pa.ListArray.from_arrays(np.cumsum(np.concatenate(sizes)).astype(np.int32), pa.array(np.concatenate(values)))
 
 
+def block_keys(prints: np.ndarray) -> np.ndarray:
+    """The blocks of each fingerprint: number of the block in the upper bits, its ``BLOCK_BITS`` below."""
+    parts = prints.reshape(len(prints), BLOCKS, BLOCK_BITS // 8).astype(np.int32)
+    return (np.arange(BLOCKS, dtype=np.int32) << 24) | (parts[:, :, 0] << 16) | (parts[:, :, 1] << 8) | parts[:, :, 2]
+
+
 def _distinct(hashes: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The highest ``bits`` of the hashes, sorted and each once a document; ``doc`` is below 2^(64 - bits)."""
     both = np.unique(doc.astype(np.uint64) << np.uint64(bits) | hashes >> np.uint64(64 - bits))
@@ -157,13 +179,13 @@ def _distance(a: str, b: str) -> F.Column:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, cell: int = 512, least: float = LEAST) -> DataFrame:
-    """doc_id, text_key, component_id, keep for every row: near copies at ``least`` on five-word shingles.
+    """doc_id, text_key, text_hash, component_id, keep for every row: near copies at ``least`` on five-word shingles.
 
     A copy at a five-word Jaccard of 0.8 differs in one word of 45, so its word
-    pairs have a cosine of 0.956 and a 480-bit SimHash over pairs differs in about 46
-    bits: far more than any pigeonhole over 64 bits can promise.  20 blocks of 24 bits
-    always catch pairs within 19 bits and catch 99 % at a Jaccard of 0.9 and 85 % at
-    0.8.  ``radius`` only takes chance meetings (some 240 bits) out; a link is a pair whose sets of
+    pairs have a cosine of 0.956 and a SimHash over pairs differs in about a tenth of its
+    bits: far more than any pigeonhole over 64 bits can promise.  64 blocks of 24 bits
+    always catch pairs within 63 of 1536 bits and catch 99 % at a Jaccard of 0.8.  ``radius``, over the first
+    480 bits, only takes chance meetings (some 240 bits) out; a link is a pair whose sets of
     five-word shingles have a Jaccard of ``least`` or more, computed from the sets.
     Equal texts (after white space and A-Z folding) are one class beforehand.
 
@@ -171,29 +193,40 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, ce
     member is first compared with the block's least member.  Then every two members that
     the links so far leave in different components are compared, in cells of ``cell``
     members by ``cell``: the components are those of all pairs.
-    Kept is the row with the least doc_id of each component; of equal rows, one.
+    Kept are the rows with the least doc_id of each component, where that is null one class of equal texts.
+    Null and blank texts are one class.  Rows with a null doc_id link like any other; several texts of one doc_id are compared each on its own.
+    Equal rows are one class; of rows with equal doc_id and text all are marked.  Texts of any length are read whole; an empty table gives no row.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "near")
 
+    def lists(values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), pa.array(values.ravel()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch["text"])
-            prints = np.zeros((len(texts), 64), dtype=np.uint8)
-            prints[:, : BITS // 8], sets = wide_fingerprints(texts)
-            keys = [xxhash.xxh3_128_hexdigest(b" ".join(t.lower().split())) for t in texts]
-            longs = pa.ListArray.from_arrays(np.arange(0, 8 * len(texts) + 1, 8, dtype=np.int32), pa.array(prints.view("<i8").ravel()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(keys), longs, sets], names=["doc_id", "text_key", "fp", "shingles"])
-
-    rows = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_key string, fp array<long>, shingles array<int>"), "fingerprints")
-    first = F.min_by(F.struct("text_key", "fp", "n"), "text_key").alias("x")
-    texts = rows.withColumn("n", F.size("shingles")).groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"))
-    nodes = scratch.write(texts.where("node is not null").groupBy("node").agg(first).select("node", "x.*"), "nodes")
-    found = connected_components(_near_links(nodes, rows, scratch, radius, crowded, cell, least), scratch)
-    ids = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"))
-    classes = ids.join(found, "node", "left").select("text_key", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(classes, "text_key").select("doc_id", "text_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep"))
+            prints, sets = wide_fingerprints(texts)
+            longs = np.zeros((len(texts), 64), dtype=np.uint8)
+            longs[:, : BITS // 8] = prints[:, : BITS // 8]
+            keys = [text_key(t) for t in texts]
+            names = ["doc_id", "text_key", "text_hash", "fp", "blocks", "shingles"]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.string()), batch["text_hash"], lists(longs.view("<i8")), lists(block_keys(prints)), sets], names=names)
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = scratch.write(given.mapInArrow(run, "doc_id long, text_key string, text_hash long, fp array<long>, blocks array<int>, shingles array<int>"), "fingerprints")
+    texts = rows.withColumn("n", F.size("shingles")).groupBy("text_key").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("fp", "blocks", "n")])
+    # numbered as written: a number of its own for each class of equal texts
+    nodes = scratch.write(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    classes = least_ids(nodes.select("node", "text_key", "least_id"), _near_links(nodes, rows, scratch, radius, crowded, cell, least), scratch, "text_key")
+    marked = rows.select("doc_id", "text_key", "text_hash").join(classes, "text_key")
+    return marked.select("doc_id", "text_key", "text_hash", "component_id", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("least_id"))).alias("keep"))
+
+
+def text_key(text: bytes) -> str:
+    """Of equal texts after white space and A-Z folding."""
+    return xxhash.xxh3_128_hexdigest(b" ".join(text.lower().split()))
 
 
 def _alike(common: F.Column, a: str, b: str, least: float) -> F.Column:
@@ -201,17 +234,11 @@ def _alike(common: F.Column, a: str, b: str, least: float) -> F.Column:
 
 
 def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int, crowded: int, cell: int, least: float) -> DataFrame:
-    """Links (a, b) between nodes (node, text_key, fp, n) whose components are those of all near pairs that share a block.
+    """Links (a, b) between nodes (node, text_key, least_id, fp, blocks, n) whose components are those of all near pairs that share a block.
 
-    ``rows`` has the n shingles of each doc_id (a node) and text_key.
+    ``rows`` has the n shingles of each doc_id (a least_id) and text_key.
     """
-
-    def block(k: int) -> F.Column:
-        at = k * BLOCK_BITS // 8
-        byte = [F.shiftrightunsigned(F.col("fp")[(at + i) // 8], (at + i) % 8 * 8).bitwiseAND(F.lit(255)) for i in range(3)]
-        return F.lit(k << 24).bitwiseOR(F.shiftleft(byte[0], 16)).bitwiseOR(F.shiftleft(byte[1], 8)).bitwiseOR(byte[2])
-
-    keyed = nodes.select("node", F.explode(F.array(*[block(k) for k in range(BLOCKS)])).alias("key"))
+    keyed = nodes.select("node", F.explode("blocks").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = scratch.write(keyed.join(sizes, "key"), "blocks")
     few, many = members.where(F.col("n") <= crowded).select("key", "node"), members.where(F.col("n") > crowded)
@@ -221,8 +248,9 @@ def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int
     near = pairs.unionByName(stars).distinct().join(fa, "a").join(fb, "b").where(_distance("fp_a", "fp_b") <= radius)
     near = scratch.write(near.where(_alike(F.least("n_a", "n_b"), "n_a", "n_b", least)).select("a", "b", "n_a", "n_b"), "near")
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
-    asked = nodes.select("node", "text_key").join(wanted, "node").select(F.col("node").alias("doc_id"), "text_key")
-    sets = scratch.write(rows.select("doc_id", "text_key", "shingles").join(asked, ["doc_id", "text_key"]).groupBy(F.col("doc_id").alias("node")).agg(F.first("shingles").alias("shingles")), "shingles")
+    asked = nodes.select("node", F.col("text_key").alias("asked_key"), "least_id").join(wanted, "node")
+    same = (F.col("text_key") == F.col("asked_key")) & F.col("doc_id").eqNullSafe(F.col("least_id"))
+    sets = scratch.write(rows.select("doc_id", "text_key", "shingles").join(asked, same).groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
     sa, sb = (sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s_{s}")) for s in ("a", "b"))
     common = F.size(F.array_intersect("s_a", "s_b"))
     links = scratch.write(near.join(sa, "a").join(sb, "b").where(_alike(common, "n_a", "n_b", least)).select("a", "b"), "pairs")
@@ -277,8 +305,13 @@ def _cell_links(apart: DataFrame, radius: int, cell: int, least: float) -> DataF
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of near copies, with their columns."""
-    kept = near_duplicates(docs, **options).where("keep").select(F.col("doc_id").alias("__id")).distinct()
-    once = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return once if repeated.isEmpty() else once.dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` that stay, one of each group of near copies, with their columns (whatever their names)."""
+    marked = near_duplicates(docs, **options).where("keep")
+    kept = marked.groupBy("text_key", "doc_id").agg(F.min("text_hash").alias("__hash"), F.count("*").alias("__n")).select(F.col("doc_id").alias("__id"), "__hash", "__n")
+    kept = Scratch(docs.sparkSession, "kept").write(kept, "kept")
+
+    def those(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs["doc_id"].cast("long").eqNullSafe(some["__id"]) & (F.xxhash64(docs["text"]) == some["__hash"]), "left_semi")
+
+    repeated = kept.where("__n > 1")  # rows given more than once
+    return those(kept) if repeated.isEmpty() else those(kept.where("__n = 1")).unionByName(those(repeated).dropDuplicates(["doc_id", "text"]))
