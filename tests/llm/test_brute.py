@@ -441,3 +441,48 @@ def test_each_of_several_licenses():
                 assert [text[f[0] : f[1]].decode() for f in found] == [one, two]
     changed = licenses.TEMPLATES["ISC"].replace("without fee", "with fee") + " Licensed under CC BY 4.1. Licensed under CC BY 4.0."
     assert [(f[2], f[4], f[5]) for f in scanner.scan(changed.encode()) if f[6]] == [("ISC", ["without"], ["with"]), ("CC-BY-4.0", [], [])]
+
+
+def test_versions_and_names_of_licenses_are_exact():
+    scanner = licenses.LicenseScanner()
+    text = licenses.TEMPLATES
+
+    def found(notice):
+        return [f[2] for f in scanner.scan(f"before this {notice} and after it".encode()) if f[6]]
+
+    assert found("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0"]
+    for name in ("GPL-2.0 header", "GPL-3.0 header", "LGPL-2.1 header", "LGPL-3.0 header", "AGPL-3.0 header"):
+        assert found(text[name]) == [name]
+        assert found(text[name].replace("WITHOUT ANY", "without any")) == [name]  # the words around are free to a tenth
+    assert found(text["GPL-3.0 header"].replace("version 3", "version 4")) == []
+    assert found(text["GPL-3.0 header"].replace("GNU General", "General")) == []
+    assert found(text["LGPL-2.1 header"].replace("Lesser", "Library")) == []
+    assert found("This work is licensed under the GNU General Public License, version 9.") == []
+    assert found("Licensed under the Apache License, Version 1.1.") == [] and found("Licensed under CC BY 3.0.") == []
+    assert found("Released under the MIT License.\nLicensed under CC BY 4.0.") == ["MIT", "CC-BY-4.0"]
+    assert found(text["BSD-3-Clause"]) == ["BSD-3-Clause"] and found(text["BSD-2-Clause"]) == ["BSD-2-Clause"] and found(text["BSD"]) == ["BSD"]
+
+
+def test_no_notice_is_lost_by_the_ranking():
+    """Notices in random text, against the alignment with every template."""
+    scanner, rng = licenses.LicenseScanner(), random.Random(14)
+    vocabulary = [w for t in licenses.TEMPLATES.values() for w in t.split()] + [f"w{i}" for i in range(300)]
+
+    def some(n):
+        return [rng.choice(vocabulary) for _ in range(rng.randint(0, n))]
+
+    for _ in range(300):
+        words = some(900)
+        for name in rng.sample(scanner.names, 3):
+            notice = licenses.TEMPLATES[name].split()
+            for _ in range(rng.randint(0, len(notice) // 10)):
+                notice[rng.randrange(len(notice))] = "other"
+            words += notice + some(200)
+        words = [w.encode() for w in words]
+        every = {m[:3] for m in scanner.matches(words)}
+        assert {m[:3] for m in scanner.confirmed(words)} <= every
+        kept = []
+        for m in sorted(scanner.matches(words), key=lambda m: (-len(scanner.wanted[m[2]]), len(m[3]) + len(m[4]), m[0], m[1])):
+            if all(m[1] <= o[0] or o[1] <= m[0] for o in kept):
+                kept.append(m)
+        assert {m[:3] for m in scanner.confirmed(words)} == {m[:3] for m in kept}

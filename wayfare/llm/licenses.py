@@ -1,12 +1,16 @@
 """License notices by conditional compression.
 
-In a text with a cue word, every notice is found whose wording differs from a template (words of the template that are
-missing, words within the matched stretch that are extra) in a tenth of the template's words at most, or in none if it has under
-ten.  Lines and comment marks at their ends do not matter.  The search is exact: of a template cut into one piece more than
-the differences allowed, a notice holds one piece whole, and around each such piece words are aligned.
+Templates are in classes of like length.  Around each cue word lies a candidate block for each class: as many words to either side as
+its longest template has (joined where they meet, cut into pieces of four times that, which overlap by as much as
+the longest notice), so that a short notice is not lost in a long block.  Lines and comment marks at their ends do not matter.
+A block is compressed alone and with each template of its class as a raw zstandard dictionary; templates are ranked by how much smaller
+they make it, and all that make it smaller are held against its wording, none is left out by rank.  Confirmed is every
+notice whose wording differs from the template (words of the template that are missing, words within the matched stretch that are extra) in a
+tenth of the template's words at most, or in none if it has under ten, and in no name or version of a license.
+Within a block that search is exact: of a template cut into one piece more than the differences allowed, a notice
+holds one piece whole, and around each such piece words are aligned.
 
-Cue words outside these notices give candidate blocks, runs of lines that hold one.  Blocks and notices are compressed alone
-and with each template as a raw zstandard dictionary; for a block the template that makes it smallest is named.
+Lines with cue words outside these notices are reported too, unconfirmed, under the template that makes them smallest.
 """
 
 from __future__ import annotations
@@ -34,14 +38,29 @@ TEMPLATES = {
     "MIT text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0 header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1 header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
-CUES = re.compile(rb"licen[sc]e|copyright|permission is|redistribut|warrant|spdx|creative commons|cc by", re.I)
+CUES = re.compile(rb"licen[sc]e|copyright|permission is|redistribut|warrant|spdx|creative commons|cc by|public domain", re.I)
+#: Single words of cues: a text without any has none.
+_HINT = re.compile(rb"licen[sc]e|copyright|permission|redistribut|warrant|spdx|commons|\bcc\b|domain", re.I)
+#: Words that tell one license from another; so do numbers behind them or behind "version".
+NAMES = {b"gnu", b"general", b"lesser", b"library", b"affero", b"mozilla", b"apache", b"mit", b"bsd", b"isc", b"mpl", b"gpl", b"lgpl", b"agpl", b"cc", b"by", b"by-nc", b"by-sa", b"by-nd", b"by-nc-sa", b"by-nc-nd", b"attribution", b"attribution-sharealike", b"attribution-noncommercial", b"attribution-noderivatives", b"attribution-noncommercial-sharealike", b"attribution-noncommercial-noderivatives", b"unlicense"}
+#: Longest notices, in words, of the classes but the last.
+CLASSES = (16, 48)
+_NUMBERED = NAMES | {b"version", b"v", b"license"}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 _LINE = re.compile(rb"[^\n\r]+")
@@ -49,6 +68,16 @@ _MARK = re.compile(rb"(?:<!--|[#*/;%!>|'-]+|(?:dnl|REM)(?![^\x20\x09-\x0D]))")
 _CLOSING = re.compile(rb"(?:-->|[#*/;%|-]+)")
 
 
+def _naming(words: list[bytes], i: int) -> bool:
+    """Whether the word is part of a license's name or version."""
+    word = words[i].lower().strip(b".,;:()\"'")
+    if word == b"by":
+        return i > 0 and words[i - 1].lower().strip(b".,;:()\"'") == b"cc"
+    if word in (b"general", b"library"):
+        return i > 0 and words[i - 1].lower() in (b"gnu", b"lesser", b"affero") or i + 1 < len(words) and words[i + 1].lower() == b"public"
+    return word in NAMES or bool(i and re.search(rb"\d", word) and words[i - 1].lower().strip(b".,;:()\"'") in _NUMBERED)
+
+
 class LicenseScanner:
     """``scan`` a text against named templates."""
 
@@ -59,6 +88,9 @@ class LicenseScanner:
         self.words = [_WORD.findall(t) for t in templates.values()]
         self.wanted = [[w.encode() for w in words] for words in self.words]
         self.allowed = [int(tolerance * len(w)) for w in self.words]
+        lengths = [len(w) + k + 1 for w, k in zip(self.wanted, self.allowed, strict=True)]
+        inside = [[t for t, n in enumerate(lengths) if low < n <= high] for low, high in zip((0, *CLASSES), (*CLASSES, max(lengths)), strict=True)]
+        self.classes = [(max(lengths[t] for t in some), some) for some in inside if some]
         self.pieces: dict[bytes, list[tuple[list[bytes], int, int]]] = defaultdict(list)
         for t, (want, k) in enumerate(zip(self.wanted, self.allowed, strict=True)):
             cuts = [len(want) * i // (k + 1) for i in range(k + 2)]
@@ -104,10 +136,25 @@ class LicenseScanner:
             out += held[first:last]
         return out
 
-    def rank(self, block: bytes) -> list[tuple[float, int]]:
+    @staticmethod
+    def candidates(words: list[bytes], reach: int) -> list[tuple[int, int]]:
+        """Ranges of words within ``reach`` of cues, in pieces."""
+        ends = np.cumsum([len(w) + 1 for w in words])
+        out: list[tuple[int, int]] = []
+        for m in CUES.finditer(b" ".join(words)):
+            lo, hi = np.searchsorted(ends, [m.start(), m.end() - 1], side="right").tolist()
+            lo, hi = max(lo - reach, 0), min(hi + 1 + reach, len(words))
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            else:
+                out.append((lo, hi))
+        step = 3 * reach
+        return [(at, min(at + step + reach, hi)) for lo, hi in out for at in range(lo, max(hi - reach, lo + 1), step)]
+
+    def rank(self, block: bytes, templates: list[int] | None = None) -> list[tuple[float, int]]:
         """(size reduction, template) from the greatest on."""
         alone = len(self.plain.compress(block))
-        return sorted(((1 - len(c.compress(block)) / alone, i) for i, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
+        return sorted(((1 - len(self.given[t].compress(block)) / alone, t) for t in (range(len(self.given)) if templates is None else templates)), key=lambda x: (-x[0], x[1]))
 
     def differences(self, block: str, template: int) -> tuple[list[str], list[str]]:
         """Template words missing from the block, and extra words within the matched stretch."""
@@ -123,21 +170,30 @@ class LicenseScanner:
             at, inside = m.b + m.size, m.a + m.size
         return missing + want[at:], extra
 
-    def matches(self, words: list[bytes]) -> list[tuple[int, int, int, list[bytes], list[bytes]]]:
-        """first word, end, template, missing, extra of the notices in ``words``; of overlapping ones, that of the longer template."""
+    def matches(self, words: list[bytes], templates: set[int] | None = None) -> list[tuple[int, int, int, list[bytes], list[bytes]]]:
+        """first word, end, template, missing, extra of every notice of these templates (all if not given) in ``words``."""
         near: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p, word in enumerate(words):
             for piece, t, offset in self.pieces.get(word, ()):
-                if words[p : p + len(piece)] == piece:
+                if (templates is None or t in templates) and words[p : p + len(piece)] == piece:
                     k, first = self.allowed[t], p - offset
                     lo, hi = max(0, first - k), min(len(words), first + len(self.wanted[t]) + k)
                     if near[t] and lo <= near[t][-1][1]:
                         lo, hi = min(lo, near[t][-1][0]), max(hi, near[t][-1][1])
                         near[t].pop()
                     near[t].append((lo, hi))
-        found = [m for t, ranges in near.items() for lo, hi in ranges for m in self._align(words, lo, hi, t)]
+        return [m for t, ranges in near.items() for lo, hi in ranges for m in self._align(words, lo, hi, t)]
+
+    def confirmed(self, words: list[bytes]) -> list[tuple[int, int, int, list[bytes], list[bytes]]]:
+        """The notices in the candidate blocks of templates that make their block smaller; of overlapping ones, that of the longer template."""
+        found = {}
+        for reach, templates in self.classes:
+            for lo, hi in self.candidates(words, reach):
+                winners = {t for reduction, t in self.rank(b" ".join(words[lo:hi]), templates) if reduction > 0}
+                for first, end, t, missing, extra in self.matches(words[lo:hi], winners):
+                    found[lo + first, lo + end, t] = (lo + first, lo + end, t, missing, extra)
         out: list[tuple[int, int, int, list[bytes], list[bytes]]] = []
-        for m in sorted(found, key=lambda m: (-len(self.wanted[m[2]]), len(m[3]) + len(m[4]), m[0])):
+        for m in sorted(found.values(), key=lambda m: (-len(self.wanted[m[2]]), len(m[3]) + len(m[4]), m[0], m[1])):
             if all(m[1] <= o[0] or o[1] <= m[0] for o in out):
                 out.append(m)
         return sorted(out, key=lambda m: m[0])
@@ -163,26 +219,29 @@ class LicenseScanner:
                     break
             if best is None:
                 return
-            i, j, missing, extra = len(want), best[1] - lo, [], []
+            i, j, missing, extra, named = len(want), best[1] - lo, [], [], False
             while i:
                 if j and want[i - 1] == words[lo + j - 1] and table[j][i] == table[j - 1][i - 1]:
                     i, j = i - 1, j - 1
                 elif j and table[j][i] == table[j - 1][i] + 1:
                     j -= 1
                     extra.append(words[lo + j])
+                    named |= _naming(words, lo + j)
                 else:
                     i -= 1
                     missing.append(want[i])
-            yield lo + j, best[1], t, missing[::-1], extra[::-1]
+                    named |= _naming(want, i)
+            if not named:
+                yield lo + j, best[1], t, missing[::-1], extra[::-1]
             lo = best[1]
 
     def scan(self, text: bytes) -> Iterator[tuple[int, int, str, float, list[str], list[str], bool]]:
         """start, end, license, reduction, missing, extra, confirmed of each notice, and of each block of other cues with the best ranked template."""
-        if not CUES.search(text):
+        if not _HINT.search(text):
             return
         held = self.tokens(text)
         rows, taken = [], []
-        for first, last, t, missing, extra in self.matches([w for w, _, _ in held]):
+        for first, last, t, missing, extra in self.confirmed([w for w, _, _ in held]) if held else ():
             start, end = held[first][1], held[last - 1][2]
             taken.append((start, end))
             reduction = 1 - len(self.given[t].compress(text[start:end])) / len(self.plain.compress(text[start:end]))
@@ -196,7 +255,9 @@ class LicenseScanner:
 def license_blocks(docs: DataFrame, scanner: dict | None = None) -> DataFrame:
     """One row for each notice and each other candidate block: doc_id, start and end byte, license, reduction, missing, extra, confirmed.
 
-    Null and empty texts, and texts without a cue word, give no row; repeated rows give theirs again.
+    Null and empty texts, and texts without a cue word, give no row; repeated rows give theirs again, rows with a null doc_id theirs
+    under null; an empty table gives none.  Of two templates that make a block equally small the first is named, of
+    overlapping notices the longer.  Texts are read whole: the candidate blocks of a very long one are ranked piece by piece.  Other columns are not read.
     """
     bound_batches(docs.sparkSession)
     options = scanner or {}
