@@ -86,6 +86,37 @@ def test_repeats(spark, crowded):
         assert len(r.spans) == np.sum(np.diff(np.concatenate([[0], covered.astype(int)])) == 1)
 
 
+def test_batches_are_scanned_against_all_before(spark):
+    """Batches one at a time, each step against brute force over what was added; levels grow geometrically."""
+    rng = random.Random(15)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(330)) for _ in range(12)]
+
+    def text():
+        out = "".join(rng.choice("ab ") for _ in range(rng.randint(0, 200)))
+        for _ in range(rng.randint(0, 2)):
+            p = rng.choice(passages)
+            out += p[rng.randint(0, 100) : rng.randint(230, 330)] + "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 100)))
+        return out
+
+    scratch, rows = Scratch(spark, "t"), []
+    family = suffix.LevelFamily(scratch, buckets=3)
+    schema = "doc_id long, text string"
+    for step, sizes in enumerate([[1], [1, 1], [2, 1], [2, 1, 1], [4, 1]]):
+        batch = [(100 * step + i, text()) for i in range(8)]
+        family.add(suffix.anchors(spark.createDataFrame(batch, schema)))
+        assert [n for n, _ in family.levels] == sizes
+        rows += batch
+        texts = {i: t.encode() for i, t in rows}
+        seen = collections.Counter(t[s : s + 200] for t in texts.values() for s in range(len(t) - 199))
+        want = {i: {s for s in range(len(t) - 199) if seen[t[s : s + 200]] > 1} for i, t in texts.items()}
+        got = {r.doc_id: {s for w in r.windows for s in range(w.a, w.b + 1)} for r in suffix.spans(spark.createDataFrame(rows, schema), family, scratch, crowded=4).collect()}
+        assert got == {i: s for i, s in want.items() if s}
+        entries = suffix.LevelFamily.hits(family).select("doc_id", "a").collect()
+        assert len(entries) == len(set(entries))
+    plan = family.levels[0][1].join(family.levels[1][1].select("key").hint("merge"), "key", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # levels are read along one another
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(5)
 

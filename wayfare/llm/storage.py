@@ -51,8 +51,18 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def write_sorted(self, df: DataFrame, label: str, key: str, then: list[str], buckets: int) -> DataFrame:
+        """A table in buckets by ``key``, each sorted by key and ``then``: joins on the key of two such tables move no rows."""
+        path, name = self.path(label), f"wayfare_{uuid.uuid4().hex}"
+        df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key, *then).saveAsTable(name)
+        out = self.spark.table(name)
+        out._scratch_path, out._scratch_table = path, name
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
+        if hasattr(df, "_scratch_table"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {df._scratch_table}")
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,16 +8,17 @@ place, so every repeated window is found from two listed suffixes that
 share a prefix of 64 bytes, and nothing shorter is compared.
 
 * ``anchors``: each listed suffix with its *region*, the bytes of all windows that chose it.
-* ``LevelFamily``: a batch's suffixes in order (of prefix, then region, both as hashes) are a
-  level; a new batch makes a level of one batch, and levels of equal size merge, so that
-  n batches leave at most log2(n) + 1 levels, each batch being rewritten log2(n) times.
-* merge-scan: the levels are merged in that order; a prefix that occurs twice or more is a possible
-  match.  If the whole region occurs twice too, all of its windows do.  Otherwise the
+* ``LevelFamily``: a batch's suffixes in order (of prefix, then region, both as hashes: any order that puts equal strings side by side
+  serves) are a suffix array, a table in sorted buckets.  A new batch's array is merge-scanned against itself and every level:
+  a suffix is a hit as soon as its prefix is met a second time.  Then the array becomes a level of one batch; before the next
+  batch, levels of equal size merge, so that n batches leave at most log2(n) + 1 levels and each batch is rewritten log2(n) times.
+  No earlier text is read again to add a batch.
+* ``spans``: if a hit's whole region occurs twice, all of its windows do.  Otherwise the
   region is *open*, and the windows of all different regions at that prefix are sorted
   (a dense suffix array of this prefix alone) and equal neighbours are matches.
 
 Prefixes with more than ``crowded`` different regions are not gathered: their windows
-are counted by hash over the cluster instead.  Prefixes and regions are compared by
+are sorted by hash over the cluster instead.  Prefixes and regions are compared by
 64 and 128 bits of hash, windows of gathered regions byte by byte.
 """
 
@@ -77,84 +78,120 @@ def _regions(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray,
         yield first + base, last + base, at + base, h[at]
 
 
-def anchors(docs: DataFrame, batches: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """batch, doc_id, text_hash, a, b (first and last window of the region), p, key, rh1, rh2 for every listed suffix."""
+ENTRY = "doc_id long, text_hash long, a int, b int, p int, key long, rh1 long, rh2 long"
+COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
+#: Stands for a null doc_id in the tables in between; the windows of a text depend on the text alone, so that any row with that id and text may have them.
+NULL = -(1 << 63)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with the id and the text hash that the suffixes carry."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, text_hash, a, b (first and last window of the region), p (place), key (prefix), rh1, rh2 (region) of every listed suffix."""
     bound_batches(docs.sparkSession)
-    names = ["batch", "doc_id", "text_hash", "a", "b", "p", "key", "rh1", "rh2"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in incoming:
-            parts: list[list[np.ndarray]] = [[] for _ in names]
-            ids = np.array([NULL if d is None else d for d in batch["doc_id"].to_pylist()], dtype=np.int64)
-            for doc, text in zip(ids, texts_of(batch["text"]), strict=True):
+            parts: list[list[np.ndarray]] = [[] for _ in COLUMNS]
+            for doc, whole, text in zip(batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(), texts_of(batch["text"]), strict=True):
                 if len(text) < length:
                     continue
-                whole = np.array(xxhash.xxh3_64_intdigest(text), dtype=np.uint64).view(np.int64)
-                lot = int(whole) % batches
                 for a, b, p, h in _regions(text, length, gram):
                     rh = np.frombuffer(b"".join([digest(text[x:y]) for x, y in zip(a.tolist(), (b + length).tolist(), strict=True)]), dtype=np.int64).reshape(-1, 2)
                     same = np.ones(len(a), dtype=np.int64)
-                    for at, values in enumerate((same * lot, same * doc, same * whole, a, b, p, h.view(np.int64), rh[:, 0], rh[:, 1])):
+                    for at, values in enumerate((same * doc, same * whole, a, b, p, h.view(np.int64), rh[:, 0], rh[:, 1])):
                         parts[at].append(values)
             columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    schema = "batch int, doc_id long, text_hash long, a int, b int, p int, key long, rh1 long, rh2 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], names=COLUMNS)
 
-
-NULL = -(1 << 63)
+    return _keyed(docs).where(F.octet_length("text") >= length).mapInArrow(run, ENTRY)
 
 
 class LevelFamily:
-    """Levels of sorted suffixes; ``add`` a batch, ``scan`` the merged order."""
+    """Levels of sorted suffixes.  ``add`` a batch and it is scanned against all before; ``hits`` are the suffixes whose prefix was met twice, each once."""
 
-    def __init__(self, scratch: Scratch):
+    def __init__(self, scratch: Scratch, buckets: int | None = None):
         self.scratch = scratch
+        self.buckets = buckets or max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
         self.levels: list[tuple[int, DataFrame]] = []
+        self.found: list[DataFrame] = []
 
     def add(self, suffixes: DataFrame) -> None:
-        """One batch of anchors; merges levels while the last two have one size."""
-        self.levels.append((1, self._sorted(suffixes.groupBy("key", "rh1", "rh2").agg(F.count("*").alias("n")))))
+        """One batch of anchors."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, new), (_, old) = self.levels.pop(), self.levels.pop()
-            merged = self._sorted(old.unionByName(new).groupBy("key", "rh1", "rh2").agg(F.sum("n").alias("n")))
-            self.levels.append((2 * size, merged))
+            self.levels.append((2 * size, self._sorted(old.unionByName(new))))
             self.scratch.drop(old)
             self.scratch.drop(new)
-
-    def _sorted(self, level: DataFrame) -> DataFrame:
-        return self.scratch.write(level.select("key", "rh1", "rh2", F.col("n").cast("int").alias("n")), "level")
-
-    def scan(self) -> DataFrame:
-        """key, rh1, rh2, n, regions of every suffix whose prefix occurs twice or more over all levels."""
-        merged = self.levels[0][1]
-        if len(self.levels) > 1:
-            for _, level in self.levels[1:]:
-                merged = merged.unionByName(level)
-            merged = merged.groupBy("key", "rh1", "rh2").agg(F.sum("n").cast("int").alias("n"))
-        twice = merged.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("regions")).where("total > 1")
-        return merged.join(twice, "key").select("key", "rh1", "rh2", "n", "regions")
+            self.scratch.free_shuffles()
+        array = self._sorted(suffixes)
+        self.scratch.free_shuffles()
+        met = self._met(array)
+        again = array.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        # a suffix alone with its prefix so far is a hit now; two and more were hits before
+        known = again if met is None else again.unionByName(met.select("key")).distinct()
+        hits = array.join(known.hint("merge"), "key", "left_semi").select(*COLUMNS)
+        if met is not None:
+            hits = hits.unionByName(met.where("n = 1").select(*COLUMNS))
+        self.found.append(self.scratch.write(hits, "hits"))
+        if met is not None:
+            self.scratch.drop(met)
+        self.levels.append((1, array))
+
+    def _sorted(self, suffixes: DataFrame) -> DataFrame:
+        return self.scratch.write_sorted(suffixes.select(*COLUMNS), "array", "key", ["rh1", "rh2"], self.buckets)
+
+    def _met(self, array: DataFrame) -> DataFrame | None:
+        """key, n, and one suffix of each prefix of the array in the levels: each level is read along with the array, bucket by bucket."""
+        scans = [level.join(array.select("key").hint("merge"), "key", "left_semi") for _, level in self.levels]
+        if not scans:
+            return None
+        each = [F.first(c).alias(c) for c in COLUMNS if c != "key"]
+        first = [s.groupBy("key").agg(F.count("*").alias("n"), *each) for s in scans]
+        merged = first[0]
+        for other in first[1:]:
+            merged = merged.unionByName(other)
+        if len(first) > 1:
+            merged = merged.groupBy("key").agg(F.sum("n").alias("n"), *each)
+        return self.scratch.write(merged, "met")
+
+    def hits(self) -> DataFrame:
+        out = self.found[0]
+        for other in self.found[1:]:
+            out = out.unionByName(other)
+        return out
+
+    def drop_levels(self) -> None:
+        """No batch comes any more."""
+        for _, level in self.levels:
+            self.scratch.drop(level)
+        self.levels = []
+        self.scratch.free_shuffles()
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, batches: int = 4, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
     """doc_id, text_hash, windows (array of first, last) whose windows of ``length`` bytes start elsewhere too.
 
-    Texts shorter than ``length`` have none.  Null ids are listed as the least long.
+    The table arrives in ``batches``, by a hash of the text.  Texts shorter than ``length`` have none.  Null ids are listed as the least long.
     """
-    listed = scratch.write(anchors(docs, batches, length, gram), "anchors", ["batch"])
     family = LevelFamily(scratch)
     for lot in range(batches):
-        family.add(listed.where(F.col("batch") == lot))
-    matches = scratch.write(family.scan(), "matches")
-    for _, level in family.levels:
-        scratch.drop(level)
-    scratch.free_shuffles()
-    hits = listed.drop("batch").join(matches, ["key", "rh1", "rh2"])
-    hits = scratch.write(hits, "hits")
-    scratch.drop(listed)
+        family.add(anchors(docs.where(F.pmod(F.xxhash64("text"), F.lit(batches)) == lot), length, gram))
+    family.drop_levels()
+    return spans(docs, family, scratch, length, crowded)
+
+
+def spans(docs: DataFrame, family: LevelFamily, scratch: Scratch, length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
+    """doc_id, text_hash, windows of the texts that were added, ``docs``; the family stays as it is."""
+    all_hits = family.hits()
+    counts = all_hits.groupBy("key", "rh1", "rh2").agg(F.count("*").cast("int").alias("n"))
+    regions = counts.groupBy("key").agg(F.count("*").alias("regions"))
+    hits = scratch.write(all_hits.join(counts.join(regions, "key"), ["key", "rh1", "rh2"]), "counted")
     scratch.free_shuffles()
     whole = hits.where("n > 1").select("doc_id", "text_hash", "a", "b")
     # open regions, and one copy of each whole one at their prefix, are compared
@@ -166,29 +203,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, batches: int = 4, length:
     texts = scratch.write(_region_texts(docs, by_doc, length), "regions")
     scratch.free_shuffles()
     few = _sorted_windows(texts.where(F.col("regions") <= crowded), length)
-    many = _counted_windows(texts.where(F.col("regions") > crowded), length)
+    many = _hashed_windows(texts.where(F.col("regions") > crowded), length)
     found = scratch.write(whole.unionByName(few).unionByName(many), "found")
     scratch.drop(texts)
     scratch.drop(hits)
-    scratch.drop(matches)
-    return found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("windows"))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with the id and the text hash that the anchors carry."""
-    bound_batches(docs.sparkSession)
-
-    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in incoming:
-            hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts_of(batch["text"])], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(hashes, pa.int64()), batch["text"]], names=["doc_id", "text_hash", "text"])
-
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("doc_id")
-    return docs.select(ids, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, text_hash long, text string")
+    return found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("windows"))
 
 
 def _region_texts(docs: DataFrame, by_doc: DataFrame, length: int) -> DataFrame:
-    """The bytes of each wanted region; equal rows of a table give one."""
+    """The bytes of each wanted region (of each of several equal rows)."""
+    bound_batches(docs.sparkSession)
     joined = _keyed(docs).join(by_doc, ["doc_id", "text_hash"])
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +286,9 @@ def _sorted_windows(texts: DataFrame, length: int) -> DataFrame:
     return ordered.select("doc_id", "text_hash", "a", "b", "p", "key", "known", "region").mapInArrow(run, _FOUND)
 
 
-_WINDOW = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("doc", "<i8"), ("hash", "<i8"), ("s", "<i4"), ("known", "?")])
+_WINDOW = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("doc", "<i8"), ("hash", "<i8"), ("s", "<i4"), ("known", "?"), ("twice", "?")])
+#: Windows of a lot.
+LOT = 1 << 20
 
 
 def _dealt(lot: np.ndarray, packed: np.ndarray, lots: int) -> Iterator[pa.RecordBatch]:
@@ -290,21 +316,39 @@ def _by_lot(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.nd
         yield np.concatenate(held)
 
 
-def _counted_windows(texts: DataFrame, length: int) -> DataFrame:
-    """Windows of crowded prefixes, counted by hash over the cluster.
+def _hashed_windows(texts: DataFrame, length: int) -> DataFrame:
+    """Windows of crowded prefixes, sorted by hash over the cluster.
 
-    Windows are dealt by their hash to as many lots as there are shuffle partitions, packed into one binary
-    for each task and lot rather than a row each; matches go back by document the same way.
+    Windows are dealt by their hash to lots of ``LOT`` windows, packed into one binary
+    for each task and lot rather than a row each; matches go back by document the same way.  Of a window that a task meets
+    often, one goes to the window's lot and the others, matched already, straight to their document's.
     """
-    lots = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    windows = texts.agg(F.sum(F.octet_length("region") - (length - 1))).first()[0] or 0
+    lots = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-windows // LOT))
     full = 1 << 17
 
+    def lots_of(values: np.ndarray) -> np.ndarray:
+        return (mix(values.view("<u8").copy()) % np.uint64(lots)).astype(np.int64)
+
+    def twice(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of records in order: whether equal to the one before, and whether equal to either neighbour."""
+        equal = (records["w1"][1:] == records["w1"][:-1]) & (records["w2"][1:] == records["w2"][:-1])
+        after = np.concatenate([[False], equal])
+        return after, after | np.concatenate([equal, [False]])
+
     def deal(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            packed = np.concatenate(held) if held else np.zeros(0, _WINDOW)
-            yield from _dealt((packed["w1"].view("<u8") % np.uint64(lots)).astype(np.int64), packed, lots)
+            if not held:
+                return
+            packed = np.concatenate(held)
+            packed = packed[np.lexsort((packed["w2"], packed["w1"]))]
+            after, packed["twice"] = twice(packed)
+            lot = lots_of(packed["w1"])
+            lot[after] = lots_of(packed["hash"][after])
+            yield from _dealt(lot, packed, lots)
             held.clear()
 
         for batch in incoming:
@@ -315,17 +359,18 @@ def _counted_windows(texts: DataFrame, length: int) -> DataFrame:
                 records = np.zeros(n, _WINDOW)
                 records["w1"], records["w2"], records["doc"], records["hash"], records["s"], records["known"] = hashes[:, 0], hashes[:, 1], doc, text_hash, np.arange(a, a + n), known
                 held.append(records)
-                if sum(map(len, held)) >= full:
+                size += n
+                if size >= full:
                     yield from out()
+                    size = 0
         yield from out()
 
     def match(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in _by_lot(incoming, _WINDOW):
             records = records[np.lexsort((records["w2"], records["w1"]))]
-            equal = (records["w1"][1:] == records["w1"][:-1]) & (records["w2"][1:] == records["w2"][:-1])
-            twice = np.concatenate([equal, [False]]) | np.concatenate([[False], equal])
-            found = records[twice & ~records["known"]]
-            yield from _dealt((mix(found["hash"].view("<u8").copy()) % np.uint64(lots)).astype(np.int64), found, lots)
+            _, equal = twice(records)
+            found = records[(equal | records["twice"]) & ~records["known"]]
+            yield from _dealt(lots_of(found["hash"]), found, lots)
 
     def collect(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _by_lot(incoming, _WINDOW):
@@ -353,13 +398,21 @@ def removed_runs(windows: list[tuple[int, int]], length: int) -> list[tuple[int,
 
 
 def remove_repeats(docs: DataFrame, batches: int = 4, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
-    """doc_id, kept (bytes that stay), spans (removed runs), n_bytes for every row; a null text is empty."""
+    """doc_id, kept (bytes that stay), spans (removed runs), n_bytes for every row.
+
+    A null text is empty; an empty one and one shorter than ``length`` stay as they are.  Equal rows are copies of one another: of a text given twice nothing
+    of ``length`` bytes stays.  Rows with a null doc_id are treated like any other.  Texts of any length are read whole; an
+    empty table gives no row; other columns are not read.
+    """
     scratch = Scratch(docs.sparkSession, "suffix")
-    spans = repeated_spans(docs, scratch, batches, length, gram, crowded)
-    return _cut(_keyed(docs).join(spans, ["doc_id", "text_hash"], "left"), length)
+    found = repeated_spans(docs, scratch, batches, length, gram, crowded).select(F.col("doc_id").alias("id"), "text_hash", "windows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(NULL)).cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    return _cut(rows.join(found, ["id", "text_hash"], "left"), length)
 
 
 def _cut(joined: DataFrame, length: int) -> DataFrame:
+    bound_batches(joined.sparkSession)
+
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in incoming:
@@ -370,8 +423,7 @@ def _cut(joined: DataFrame, length: int) -> DataFrame:
                 kept.append(b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 sizes.append(len(text))
-            ids = [None if d == NULL else d for d in batch["doc_id"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span), pa.array(sizes, pa.int64())], names=["doc_id", "kept", "spans", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(kept, pa.binary()), pa.array(spans, span), pa.array(sizes, pa.int64())], names=["doc_id", "kept", "spans", "n_bytes"])
 
     return joined.select("doc_id", "text", "windows").mapInArrow(run, "doc_id long, kept binary, spans array<struct<start: long, end: long>>, n_bytes long")
 
