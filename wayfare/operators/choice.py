@@ -51,7 +51,7 @@ def continuous_logit(f: Column, u: Column, mu: Column) -> Column:
     """struct<x, payoff> of a choice over a utility function of time, by inverse transform.
 
     exp(y / mu) is integrated over each segment exactly.  If all of it underflows, the grid points
-    are chosen between as a discrete logit would.
+    are chosen between as a discrete logit would.  Null without a function of points, ``u`` or ``mu``.
     """
     top = F.array_max(f["points"])
     shifted = F.transform(pwl.pairs(f), lambda p: F.struct(p["x0"].alias("x0"), p["x1"].alias("x1"), (p["y0"] - top).alias("y0"), (p["y1"] - top).alias("y1")))
@@ -76,9 +76,19 @@ def continuous_logit(f: Column, u: Column, mu: Column) -> Column:
 
     found = F.aggregate(segments, F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("x")), step)["x"]
     last = F.element_at(segments, -1)["x1"]
-    best = pwl.x_at(f, F.array_position(f["points"], top) - 1)
-    x = F.when(total == 0, best).otherwise(F.coalesce(found, last))
-    return F.struct(x.alias("x"), (top + mu * (F.log(F.when(total > 0, total).otherwise(F.lit(1.0))) + EULER)).alias("payoff"))
+    # the discrete logit: the first point whose cumulative weight is above u of all, else the last
+    weights = F.transform(f["points"], lambda y: F.exp((y - top) / mu))
+    whole = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+
+    def pick(state: Column, w: Column) -> Column:
+        here = state["k"].isNull() & (state["sum"] + w > u * whole)
+        return F.struct((state["sum"] + w).alias("sum"), F.when(here, state["i"]).otherwise(state["k"]).alias("k"), (state["i"] + 1).alias("i"))
+
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("k"), F.lit(0).alias("i"))
+    point = pwl.x_at(f, F.coalesce(F.aggregate(weights, start, pick)["k"], F.size(f["points"]) - 1))
+    x = F.when(total == 0, point).otherwise(F.coalesce(found, last))
+    payoff = top + mu * (F.log(F.when(total > 0, total).otherwise(whole)) + EULER)
+    return F.when(f["points"].isNotNull() & u.isNotNull() & mu.isNotNull(), F.struct(x.alias("x"), payoff.alias("payoff")))
 
 
 def departure_grid(start: float, end: float, interval: Column) -> Column:
@@ -94,11 +104,12 @@ def shifted_departure(midpoint: Column, offset: Column, start: float, end: float
 
 
 def update_mask(agents: DataFrame, key: str, ratio: float, seed: int, iteration: int) -> DataFrame:
-    """key, updates: exactly floor(ratio * agents) of them, in the order of a seeded hash.
+    """key, updates: exactly floor(ratio * agents) of them, in the order of a seeded hash (the first 60 bits of an MD5, so that other engines find the same ones).
 
     The threshold is found by ranks in hash buckets, so that no window holds all agents.
     """
-    hashed = agents.select(key, F.xxhash64(F.col(key), F.lit(seed + iteration)).alias("mask_h")).withColumn("mask_b", F.shiftrightunsigned("mask_h", 52))
+    digest = F.md5(F.concat(F.lit(f"{seed + iteration}:"), F.col(key).cast("string")))
+    hashed = agents.select(key, F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("mask_h")).withColumn("mask_b", F.shiftright("mask_h", 48))
     by_bucket = hashed.groupBy("mask_b").agg(F.count("*").alias("mask_n"))
     before = by_bucket.withColumn("mask_before", F.coalesce(F.sum("mask_n").over(Window.orderBy("mask_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     wanted = F.floor(F.lit(ratio) * F.sum("mask_n").over(Window.partitionBy()))

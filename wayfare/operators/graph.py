@@ -1,4 +1,4 @@
-"""Searches on one graph in memory: what a group function needs on a worker.
+"""Searches on one graph in memory: what a function on a worker needs.
 
 Edges have constant travel times or values on one shared grid, so that a profile is one numpy
 vector and linking and merging are vector operations.
@@ -161,143 +161,169 @@ class Graph:
                 heapq.heappush(heap, (float(np.min(new)), count, source))
         return label
 
+    # --- bounds ---------------------------------------------------------------------------
 
-class Hierarchy:
-    """Nodes in an order of contraction, with shortcuts, so that searches only go upward.
+    def intervals(self, origin: object, targets: set | None = None, hops: int | None = None, without: object = None, forward: bool = True) -> tuple[dict, dict]:
+        """Least and greatest travel time to every node reached (from it, if not ``forward``), and each node's two best predecessors by the least one."""
+        ways = (lambda n: ((e, to, self.functions[e]) for e, to in self.out.get(n, ()))) if forward else (lambda n: ((e, to, self.functions[e]) for e, to in self.into.get(n, ())))
+        return interval_search(origin, ways, targets, hops, without)
 
-    A node's shortcuts keep the travel-time functions between its higher neighbours unless a witness path is as fast at all times.
-    """
+    def two_way(self, origin: object, target: object) -> tuple[float, list] | None:
+        """Least time and edges between two nodes of a graph of constants, searched from both ends by turns."""
+        if origin == target:
+            return 0.0, []
+        sides = [Side(origin, lambda n: ((e, to, float(self.functions[e])) for e, to in self.out.get(n, ()))), Side(target, lambda n: ((e, to, float(self.functions[e])) for e, to in self.into.get(n, ())))]
+        best, meeting = np.inf, None
+        while sides[0].key + sides[1].key < best:
+            own, other = sides if sides[0].key <= sides[1].key else sides[::-1]
+            node = own.settle()
+            if node in other.label and own.label[node] + other.label[node] < best:
+                best, meeting = own.label[node] + other.label[node], node
+        if meeting is None:
+            return None
+        before, after = (side.path(meeting) for side in sides)
+        return best, before[::-1] + after
+
+    def two_way_profile(self, origin: object, target: object) -> Function | None:
+        """The travel-time function between two nodes, from both ends by turns; a side stops at the greatest value found."""
+        if origin == target:
+            return 0.0
+        forward = ProfileSide(origin, lambda n: ((to, self.functions[e]) for e, to in self.out.get(n, ())), self.link)
+        backward = ProfileSide(target, lambda n: ((to, self.functions[e]) for e, to in self.into.get(n, ())), lambda f, g: self.link(g, f))
+        return meet(forward, backward, self.link)
 
-    def __init__(self, graph: Graph, order: dict | None = None, weights: tuple[float, float, float, float] = (2, 1, 1, 2), hops: int = 16):
-        self.graph, self.hops, self.weights = graph, hops, weights
-        self.up: dict[object, dict[object, Function]] = {}
-        self.down: dict[object, dict[object, Function]] = {}
-        out: dict[object, dict[object, Function]] = {n: {} for n in graph.nodes}
-        into: dict[object, dict[object, Function]] = {n: {} for n in graph.nodes}
-        for source, edges in graph.out.items():
-            for edge, target in edges:
-                if source != target:
-                    self._put(out, into, source, target, graph.functions[edge])
-        self.order: dict[object, int] = {}
-        self.depth = dict.fromkeys(graph.nodes, 0)
-        self._contract_all(out, into, order)
-
-    @staticmethod
-    def _put(out, into, source, target, f) -> None:
-        old = out[source].get(target)
-        f = f if old is None else np.minimum(old, f)
-        out[source][target] = into[target][source] = f
-
-    def _shortcuts(self, out, into, node) -> list[tuple[object, object, Function]]:
-        made = []
-        for source, f in into[node].items():
-            for target, g in out[node].items():
-                if source == target:
-                    continue
-                new = self.graph.link(f, g)
-                if not self._witness(out, source, target, node, new):
-                    made.append((source, target, new))
-        return made
-
-    def _witness(self, out, source, target, without, new: Function) -> bool:
-        """Whether some path of a few hops past the node is surely as fast: bounds first, then the direct edge."""
-        direct = out[source].get(target)
-        if direct is not None and np.all(direct <= new):
-            return True
-        most = float(np.min(new))
-        best, heap, count = {source: 0.0}, [(0.0, 0, 0, source)], 0
-        while heap:
-            t, hops, _, at = heapq.heappop(heap)
-            if t > most:
-                return False
-            if at == target:
-                return True
-            if hops >= self.hops:
-                continue
-            for to, f in out[at].items():
-                if to == without:
-                    continue
-                reach = t + float(np.max(f))
-                if reach <= most and reach < best.get(to, np.inf):
-                    best[to] = reach
-                    count += 1
-                    heapq.heappush(heap, (reach, hops + 1, count, to))
-        return False
-
-    def _cost(self, out, into, node) -> float:
-        made = self._shortcuts(out, into, node)
-        removed = len(into[node]) + len(out[node])
-        points = sum(np.size(f) for _, _, f in made) / max(1, sum(np.size(f) for f in [*into[node].values(), *out[node].values()]))
-        w = self.weights
-        return w[0] * len(made) / max(1, removed) + w[1] * self.depth[node] + w[2] * len(made) / max(1, removed) + w[3] * points
-
-    def _contract_all(self, out, into, order: dict | None) -> None:
-        rest = sorted(self.graph.nodes, key=str)
-        if order is not None:
-            line = sorted(rest, key=lambda n: order[n])
-            for n in line:
-                self._contract(out, into, n)
-            return
-        heap = [(self._cost(out, into, n), i, n) for i, n in enumerate(rest)]
-        heapq.heapify(heap)
-        while heap:
-            _, i, n = heapq.heappop(heap)
-            cost = self._cost(out, into, n)  # stale costs only grow cheaper to re-read than to keep
-            if heap and cost > heap[0][0]:
-                heapq.heappush(heap, (cost, i, n))
-                continue
-            self._contract(out, into, n)
-
-    def _contract(self, out, into, node) -> None:
-        made = self._shortcuts(out, into, node)
-        self.order[node] = len(self.order)
-        self.up[node], self.down[node] = dict(out[node]), dict(into[node])
-        for n in (*out[node], *into[node]):
-            self.depth[n] = max(self.depth[n], self.depth[node] + 1)
-        for source in into.pop(node):
-            del out[source][node]
-        for target in out.pop(node):
-            del into[target][node]
-        for source, target, f in made:
-            self._put(out, into, source, target, f)
-
-    def forward_space(self, origin: object) -> dict[object, Function]:
-        """Functions from the origin to the hubs above it."""
-        return self._space(origin, self.up, lambda f, g: self.graph.link(f, g))
-
-    def backward_space(self, target: object) -> dict[object, Function]:
-        """Functions from the hubs above the target to it."""
-        return self._space(target, self.down, lambda f, g: self.graph.link(g, f))
-
-    def _space(self, start, edges, link) -> dict[object, Function]:
-        label, heap = {start: 0.0}, [(self.order[start], start)]
-        seen = set()
-        while heap:  # in contraction order: a node is final when it is popped
-            _, node = heapq.heappop(heap)
-            if node in seen:
+
+def interval_search(origin, ways, targets=None, hops=None, without=None, stall=None) -> tuple[dict, dict]:
+    """Labels (least, greatest) and up to two predecessors by least value; ``ways(node)`` gives (edge, to, function).
+
+    With ``stall(node)``, the (other node, function) of ways into the node that the search itself does not take, a node is not searched on
+    from if such a way is faster at its greatest value than the node's label at its least.
+    """
+    label, before, done = {origin: (0.0, 0.0)}, {origin: []}, set()
+    left, steps = set(targets) if targets is not None else None, {origin: 0}
+    heap, count = [(0.0, 0, origin)], 0
+    while heap:
+        low, _, node = heapq.heappop(heap)
+        if node in done and low > label[node][0]:
+            continue
+        done.add(node)
+        if left is not None:
+            left.discard(node)
+            if not left and low > max(label[t][1] for t in targets):
+                break
+        if hops is not None and steps[node] >= hops:
+            continue
+        if stall and any(m in label and label[m][1] + float(np.max(f)) < low for m, f in stall(node)):
+            continue
+        high = label[node][1]
+        for edge, to, f in ways(node):
+            if to == without:
                 continue
-            seen.add(node)
-            for to, f in edges[node].items():
-                new = link(label[node], f)
-                label[to] = np.minimum(label[to], new) if to in label else new
-                heapq.heappush(heap, (self.order[to], to))
-        return label
+            least, most = float(np.min(f)), float(np.max(f))
+            new = (low + least, high + most)
+            old = label.get(to)
+            if old is not None and new[0] > old[1]:
+                continue  # never the least
+            seen = [x for x in before.get(to, ()) if x[0] != node]
+            before[to] = sorted([*seen, (node, edge, new[0])], key=lambda x: x[2])[:2]
+            merged = new if old is None else (min(old[0], new[0]), min(old[1], new[1]))
+            if merged != old:
+                label[to] = merged
+                steps[to] = min(steps.get(to, steps[node] + 1), steps[node] + 1)
+                count += 1
+                heapq.heappush(heap, (merged[0], count, to))
+    return label, before
 
-    def profile(self, origin: object, target: object) -> Function | None:
-        """Travel-time function over the common hubs."""
-        if origin == target:
-            return 0.0
-        forward, backward = self.forward_space(origin), self.backward_space(target)
-        found = [self.graph.link(forward[h], backward[h]) for h in forward.keys() & backward.keys()]
-        out = None
-        for f in found:
-            out = f if out is None else np.minimum(out, f)
+
+def corridor(before: dict, target: object) -> set:
+    """The nodes on the ways back from the target over the predecessors kept."""
+    out, stack = set(), [target]
+    while stack:
+        node = stack.pop()
+        if node in out:
+            continue
+        out.add(node)
+        stack += [p for p, _, _ in before.get(node, ())]
+    return out
+
+
+class Side:
+    """One side of a search over constants."""
+
+    def __init__(self, start: object, ways):
+        self.ways, self.label, self.last, self.done = ways, {start: 0.0}, {}, set()
+        self.heap, self.count, self.start = [(0.0, 0, start)], 0, start
+
+    @property
+    def key(self) -> float:
+        while self.heap and self.heap[0][2] in self.done:
+            heapq.heappop(self.heap)
+        return self.heap[0][0] if self.heap else np.inf
+
+    def settle(self) -> object:
+        t, _, node = heapq.heappop(self.heap)
+        self.done.add(node)
+        for edge, to, spent in self.ways(node):
+            if t + spent < self.label.get(to, np.inf):
+                self.label[to], self.last[to] = t + spent, (edge, node)
+                self.count += 1
+                heapq.heappush(self.heap, (t + spent, self.count, to))
+        return node
+
+    def path(self, node: object) -> list:
+        """Edges from the node back to the start."""
+        out = []
+        while node != self.start:
+            edge, node = self.last[node]
+            out.append(edge)
         return out
 
-    def earliest(self, origin: object, target: object, departure: float) -> float | None:
-        if origin == target:
-            return departure
-        forward, backward = self.forward_space(origin), self.backward_space(target)
-        at = [departure + self.graph.evaluate(forward[h], departure) for h in forward.keys() & backward.keys()]
-        ends = [t + self.graph.evaluate(backward[h], t) for t, h in zip(at, forward.keys() & backward.keys(), strict=True)]
-        return min(ends, default=None)
+
+class ProfileSide:
+    """One side of a search over functions: labels are corrected, a node waits under its least value."""
+
+    def __init__(self, start: object, ways, link):
+        self.ways, self.link, self.label = ways, link, {start: 0.0}
+        self.heap, self.count, self.queued = [(0.0, 0, start)], 0, {start}
+
+    @property
+    def key(self) -> float:
+        while self.heap and self.heap[0][2] not in self.queued:
+            heapq.heappop(self.heap)
+        return self.heap[0][0] if self.heap else np.inf
+
+    def settle(self) -> object:
+        _, _, node = heapq.heappop(self.heap)
+        self.queued.discard(node)
+        for to, f in self.ways(node):
+            new, old = self.link(self.label[node], f), self.label.get(to)
+            if old is not None:
+                if not np.any(new < old):
+                    continue
+                new = np.minimum(old, new)
+            self.label[to] = new
+            self.queued.add(to)
+            self.count += 1
+            heapq.heappush(self.heap, (float(np.min(new)), self.count, to))
+        return node
+
+
+def meet(forward: ProfileSide, backward: ProfileSide, link) -> Function | None:
+    """The least link over all nodes that both sides reach; a side rests once its next label is above the greatest value so far."""
+    bound, places = np.inf, set()
+    while True:
+        open_ = [side for side in (forward, backward) if side.key < bound]
+        if not open_:
+            break
+        own = min(open_, key=lambda s: s.key)
+        node = own.settle()
+        if node in forward.label and node in backward.label:
+            places.add(node)
+            bound = min(bound, float(np.max(forward.label[node])) + float(np.max(backward.label[node])))
+    out = None
+    for node in places:
+        f, g = forward.label[node], backward.label[node]
+        if float(np.min(f)) + float(np.min(g)) <= bound:
+            h = link(f, g)
+            out = h if out is None else np.minimum(out, h)
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import scalars
 
 POPULAR = 20
+MOST_VEHICLES = 10_000
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -27,9 +28,22 @@ def unique_vehicles(vehicles: DataFrame) -> DataFrame:
     return grouped.agg(F.min("vehicle_id").alias("uvehicle"), F.array_sort(F.collect_list("vehicle_id")).alias("vehicle_ids")).select("uvehicle", "vehicle_ids", "allowed_edges", "restricted_edges")
 
 
-def accessible_edges(vehicles: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every (vehicle, edge) that the vehicle may use, with the columns of both; vehicle types are few and checked by size before Spark broadcasts them."""
-    return vehicles.join(edges, scalars.can_access(edges["edge_id"], vehicles["allowed_edges"], vehicles["restricted_edges"]))
+def accessible_edges(vehicles: DataFrame, edges: DataFrame, key: str = "vehicle_id") -> DataFrame:
+    """Every (vehicle, edge) that the vehicle may use, with the columns of both: a list of allowed edges decides alone, else all but the restricted ones.
+
+    Lists are joined by edge.  Vehicles without allowed edges meet all edges, as the result has these rows; their ids, collected, are few:
+    more than ``MOST_VEHICLES`` is an error.
+    """
+    listed = F.size(F.coalesce("allowed_edges", F.array())) > 0
+    by_list = vehicles.where(listed).select(key, F.explode(F.array_distinct("allowed_edges")).alias("edge_id"))
+    free = [r[0] for r in vehicles.where(~listed).select(key).limit(MOST_VEHICLES + 1).collect()]
+    if len(free) > MOST_VEHICLES:
+        raise ValueError(f"more than {MOST_VEHICLES} vehicles without allowed edges")
+    kind = dict(vehicles.dtypes)[key]
+    each = edges.select(F.explode(F.array(*[F.lit(v) for v in free]).cast(f"array<{kind}>")).alias(key), "edge_id")
+    banned = vehicles.select(key, F.explode("restricted_edges").alias("edge_id"))
+    pairs = each.join(banned, [key, "edge_id"], "left_anti").unionByName(by_list)
+    return pairs.join(edges, "edge_id").join(vehicles, key)
 
 
 def free_flow_weights(vehicles: DataFrame, edges: DataFrame) -> DataFrame:

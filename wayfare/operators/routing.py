@@ -1,12 +1,13 @@
 """Route operators over tables of queries and edges.
 
 A graph whose edges fit in a worker (checked: ``MOST_BYTES`` of edge data) is sent to the workers once, and queries run
-there grouped by origin.  Beyond that, ``relax`` finds the same arrival times by rounds of joins, with
-nothing sent.  The intersect operators are plain equi-joins on hubs.
+there, one search for each row, or for each origin where several destinations are asked for.  Beyond that, ``relax`` finds the same
+arrival times and routes by rounds of joins, with nothing sent.  The intersect operators are plain equi-joins on hubs.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import pwl
-from wayfare.operators.graph import Graph, Grid, Hierarchy
-from wayfare.sources.shared import cut
+from wayfare.operators.graph import Graph, Grid
+from wayfare.operators.hierarchy import Hierarchy
+from wayfare.sources.shared import cut, cut_sorted
 
 MOST_BYTES = 256 << 20
 
@@ -65,41 +67,120 @@ def one_to_all(queries: DataFrame, edges: DataFrame) -> DataFrame:
     return queries.select("origin", "departure_time").distinct().mapInPandas(run, f"origin {node}, departure_time double, node {node}, arrival_time double")
 
 
-def earliest_arrivals(queries: DataFrame, edges: DataFrame, with_route: bool = True) -> DataFrame:
-    """query_id, origin, destination, departure_time, arrival_time, route; the last two null if there is no way."""
-    if too_large(edges):
-        starts = queries.select("query_id", F.col("origin").alias("node"), F.col("departure_time").alias("arrival_time"))
-        reached = relax(starts, edges).withColumnRenamed("node", "destination")
-        return queries.join(reached, ["query_id", "destination"], "left").select("query_id", "origin", "destination", "departure_time", "arrival_time", F.lit(None).cast(f"array<{_types(edges)[1]}>").alias("route"))
+_ANSWER = "query_id {query}, origin {node}, destination {node}, departure_time double, arrival_time double, route array<{edge}>, seconds double"
+
+
+def _answers(queries: DataFrame, edges: DataFrame, found, with_route: bool) -> DataFrame:
+    """``found()`` is a search (origin, destination, departure) → (arrival, route) or None of the worker."""
     node, edge = _types(edges)
-    graph = edges.sparkSession.sparkContext.broadcast(load_graph(edges))
-    query = dict(queries.dtypes)["query_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        search = found()
         for batch in batches:
-            found = [graph.value.earliest_route(o, t, x) for o, t, x in zip(batch["origin"], batch["destination"], batch["departure_time"], strict=True)]
+            arrivals, routes, seconds = [], [], []
+            for o, t, x in zip(batch["origin"], batch["destination"], batch["departure_time"], strict=True):
+                began = time.perf_counter()
+                way = search(o, t, x)
+                seconds.append(time.perf_counter() - began)
+                arrivals.append(way[0] if way else None)
+                routes.append(way[1] if way and with_route else None)
             out = batch[["query_id", "origin", "destination", "departure_time"]].copy()
-            out["arrival_time"] = pd.Series([f[0] if f else None for f in found], dtype="float64", index=out.index)
-            out["route"] = pd.Series([f[1] if f and with_route else None for f in found], dtype=object, index=out.index)
+            out["arrival_time"] = pd.Series(arrivals, dtype="float64", index=out.index)
+            out["route"] = pd.Series(routes, dtype=object, index=out.index)
+            out["seconds"] = pd.Series(seconds, dtype="float64", index=out.index)
             yield out
 
     kept = queries.select("query_id", "origin", "destination", F.col("departure_time").cast("double").alias("departure_time"))
-    out = kept.mapInPandas(run, f"query_id {query}, origin {node}, destination {node}, departure_time double, arrival_time double, route array<{edge}>")
+    out = kept.mapInPandas(run, _ANSWER.format(query=dict(queries.dtypes)["query_id"], node=node, edge=edge))
     return out.withColumn("arrival_time", F.nanvl("arrival_time", F.lit(None).cast("double")))
 
 
+def earliest_arrivals(queries: DataFrame, edges: DataFrame, with_route: bool = True) -> DataFrame:
+    """query_id, origin, destination, departure_time, arrival_time, route, seconds; the last three null if there is no way (of rounds of joins,
+    seconds are never known)."""
+    if too_large(edges):
+        return _arrivals_by_rounds(queries, edges, with_route)
+    graph = edges.sparkSession.sparkContext.broadcast(load_graph(edges))
+    return _answers(queries, edges, lambda: graph.value.earliest_route, with_route)
+
+
+def hierarchy_arrivals(queries: DataFrame, edges: DataFrame, hierarchy: Hierarchy, with_route: bool = True) -> DataFrame:
+    """The same over a contraction hierarchy of the edges; routes are unpacked."""
+    sent = edges.sparkSession.sparkContext.broadcast(hierarchy)  # of a graph that load_graph checked
+
+    def found():
+        known = sent.value.order
+        return lambda o, t, x: sent.value.earliest_route(o, t, x) if o in known and t in known else (x, []) if o == t else None
+
+    return _answers(queries, edges, found, with_route)
+
+
+def _arrivals_by_rounds(queries: DataFrame, edges: DataFrame, with_route: bool) -> DataFrame:
+    node, edge = _types(edges)
+    asked = queries.select("query_id", "origin", "destination", F.col("departure_time").cast("double").alias("departure_time"))
+    starts = asked.select("query_id", F.col("origin").alias("node"), F.col("departure_time").alias("arrival_time"))
+    labels = relax(starts, edges, wanted=asked.select("query_id", F.col("destination").alias("node")))
+    reached = labels.select("query_id", F.col("node").alias("destination"), "arrival_time")
+    out = asked.join(reached, ["query_id", "destination"], "left")
+    none = F.lit(None).cast(f"array<{edge}>")
+    if with_route:
+        routes = _routes_back(asked.join(reached.select("query_id", "destination"), ["query_id", "destination"]), labels, node, edge)
+        out = out.join(routes, "query_id", "left")
+    else:
+        out = out.withColumn("route", none)
+    return out.select("query_id", "origin", "destination", "departure_time", "arrival_time", "route", F.lit(None).cast("double").alias("seconds"))
+
+
+def _routes_back(asked: DataFrame, labels: DataFrame, node: str, edge: str, rounds: int = 10_000) -> DataFrame:
+    """query_id, route: from each destination over the last edges of the labels back to the origin, a step a round for all queries."""
+    # the labels' last edges in buckets, so that a step moves only the routes under way
+    steps = cut_sorted(labels.where("last_edge is not null").select("query_id", "node", "last_edge", "last_node"), "steps", "query_id", "node")
+    ways = cut(asked.select("query_id", "origin", F.col("destination").alias("node"), F.lit(None).cast(f"array<{edge}>").alias("route")).withColumn("route", F.array().cast(f"array<{edge}>")), "ways")
+    done = None
+    for _ in range(rounds):
+        there = ways.where(F.col("node") == F.col("origin")).select("query_id", "route")
+        done = there if done is None else done.unionByName(there)
+        left = ways.where(F.col("node") != F.col("origin"))
+        if left.isEmpty():
+            return done
+        moved = left.join(steps, ["query_id", "node"]).select("query_id", "origin", F.col("last_node").alias("node"), F.concat(F.array("last_edge"), F.col("route")).alias("route"))
+        ways = cut(moved, "ways")
+    raise RuntimeError("a route does not end")
+
+
 def profiles(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """origin, destination, ttf (null if there is no way): one search for each origin and all of its destinations."""
-    node, _ = _types(edges)
+    """origin, destination, ttf (null if there is no way): one search for each origin and all of its destinations.
+
+    The destinations of an origin come in order, in lists of at most 1024 that are searched together; only an origin with more than that has
+    a second search.
+    """
     graph = edges.sparkSession.sparkContext.broadcast(load_graph(edges))
-    targets = pairs.select("origin", "destination").distinct().withColumn("part", F.floor(F.pmod(F.xxhash64("destination"), F.lit(64)))).groupBy("origin", "part").agg(F.collect_list("destination").alias("targets"))
+    return _profiles(pairs, edges, lambda: (graph.value.grid, graph.value.profile))
+
+
+def hierarchy_profiles(pairs: DataFrame, edges: DataFrame, hierarchy: Hierarchy) -> DataFrame:
+    """The same over a contraction hierarchy, one search for each pair."""
+    sent = edges.sparkSession.sparkContext.broadcast(hierarchy)
+
+    def found():
+        h = sent.value
+        return h.graph.grid, lambda o, wanted: {t: f for t in wanted if o in h.order and t in h.order and (f := h.profile(o, t)) is not None}
+
+    return _profiles(pairs, edges, found)
+
+
+def _profiles(pairs: DataFrame, edges: DataFrame, found, most: int = 1024) -> DataFrame:
+    node, _ = _types(edges)
+    distinct = pairs.select("origin", "destination").distinct()
+    parts = distinct.groupBy("origin").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    targets = distinct.join(parts, "origin").withColumn("part", F.pmod(F.xxhash64("destination"), F.col("parts"))).groupBy("origin", "part").agg(F.sort_array(F.collect_list("destination")).alias("targets"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = graph.value
+        grid, search = found()
         for batch in batches:
             for origin, wanted in zip(batch["origin"], batch["targets"], strict=True):
-                found = g.profile(origin, set(wanted))
-                rows = [(origin, t, *_parts(found.get(t), g.grid)) for t in wanted]
+                functions = search(origin, set(wanted))
+                rows = [(origin, t, *_parts(0.0 if t == origin else functions.get(t), grid)) for t in wanted]
                 yield pd.DataFrame(rows, columns=["origin", "destination", "start_x", "interval_x", "points", "cst"])
 
     schema = f"origin {node}, destination {node}, start_x double, interval_x double, points array<double>, cst double"
@@ -118,40 +199,66 @@ def _parts(f, grid: Grid | None) -> tuple:
     return grid.start, grid.interval, f.tolist(), None
 
 
-def relax(starts: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """query_id, node, arrival_time of everything that the starts (query_id, node, arrival_time) reach, by rounds of joins.
+def relax(starts: DataFrame, edges: DataFrame, rounds: int = 10_000, wanted: DataFrame | None = None) -> DataFrame:
+    """query_id, node, arrival_time, last_edge, last_node of everything that the starts (query_id, node, arrival_time) reach, by rounds of joins.
 
-    Each round moves only labels that improved, and is written to the shared folder.
+    Only labels that improved move in a round.  Known labels lie in sorted buckets and are not rewritten but joined in
+    place; the improvements of single rounds are merged into them once they are a fourth as many.  With ``wanted`` (query_id, node)
+    a label that is no earlier than the latest wanted arrival of its query, all of them being known, moves no further.
     """
-    ways = edges.select("source", "target", "ttf").where("ttf.points is not null or ttf.cst < double('infinity')")
-    labels = cut(starts.groupBy("query_id", "node").agg(F.min("arrival_time").alias("arrival_time")), "labels")
-    frontier = labels
+    ways = edges.select("edge_id", "source", "target", "ttf").where("ttf.points is not null or ttf.cst < double('infinity')")
+    node, edge = _types(edges)
+    first = starts.groupBy("query_id", "node").agg(F.min("arrival_time").alias("arrival_time"))
+    label = ["query_id", "node", "arrival_time", "last_edge", "last_node"]
+    base = cut_sorted(first.select("query_id", "node", "arrival_time", F.lit(None).cast(edge).alias("last_edge"), F.lit(None).cast(node).alias("last_node")), "labels", "query_id", "node")
+    frontier, recent, size, extra = base, [], base.count(), 0
+    best = None if wanted is None else cut(wanted.distinct(), "wanted")
+
+    def least(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for other in parts[1:]:
+            out = out.unionByName(other)
+        return out.groupBy("query_id", "node").agg(F.min(F.struct("arrival_time", "last_edge", "last_node")).alias("x")).select("query_id", "node", "x.*")
+
     for _ in range(rounds):
-        moved = frontier.join(ways, frontier["node"] == ways["source"])
-        reached = moved.select("query_id", F.col("target").alias("node"), (F.col("arrival_time") + pwl.evaluate(F.col("ttf"), F.col("arrival_time"))).alias("new_time")).groupBy("query_id", "node").agg(F.min("new_time").alias("new_time"))
-        merged = cut(
-            labels.join(reached, ["query_id", "node"], "full_outer").select(
-                "query_id", "node", F.least("arrival_time", "new_time").alias("arrival_time"), (F.col("arrival_time").isNull() | (F.col("new_time") < F.col("arrival_time"))).alias("moved")
-            ),
-            "labels",
-        )
-        labels = merged.select("query_id", "node", "arrival_time")
-        frontier = merged.where("moved").select("query_id", "node", "arrival_time")
-        if frontier.isEmpty():
-            return labels
+        moving = frontier
+        if best is not None:
+            known = least([base.join(best, ["query_id", "node"], "left_semi"), *[r.join(best, ["query_id", "node"], "left_semi") for r in recent]])
+            limits = best.join(known.select("query_id", "node", "arrival_time"), ["query_id", "node"], "left").groupBy("query_id").agg(F.max("arrival_time").alias("limit"), F.count_if(F.col("arrival_time").isNull()).alias("missing"))
+            moving = frontier.join(limits.where("missing = 0").select("query_id", "limit"), "query_id", "left").where("limit is null or arrival_time < limit").drop("limit")
+        moved = moving.select("query_id", F.col("node").alias("last_node"), "arrival_time").join(ways, F.col("last_node") == F.col("source"))
+        at = F.col("arrival_time") + pwl.evaluate(F.col("ttf"), F.col("arrival_time"))
+        reached = least([moved.select("query_id", F.col("target").alias("node"), at.alias("arrival_time"), F.col("edge_id").alias("last_edge"), "last_node")])
+        for held in (base, *recent):
+            old = held.select("query_id", "node", F.col("arrival_time").alias("old_time"))
+            reached = reached.join(old, ["query_id", "node"], "left").where("old_time is null or arrival_time < old_time").drop("old_time")
+        frontier = cut(reached.select(*label), "frontier")
+        new = frontier.count()
+        if not new:
+            return least([base, *recent]) if recent else base
+        recent.append(frontier)
+        extra += new
+        if 4 * extra > size or len(recent) >= 8:
+            base = cut_sorted(least([base, *recent]), "labels", "query_id", "node")
+            recent, size, extra = [], base.count(), 0
     raise RuntimeError("labels did not settle")
 
 
 # --- search spaces and their intersection --------------------------------------------------
 
 
-def search_spaces(nodes: DataFrame, edges: DataFrame, forward: bool, order: dict | None = None) -> DataFrame:
+def build_hierarchy(edges: DataFrame, order: dict | None = None, weights: tuple[float, float, float, float] = (2, 1, 1, 2), hops: int = 16) -> Hierarchy:
+    """On the driver, of a graph that fits there (checked); once for all that is asked of it."""
+    return Hierarchy(load_graph(edges), order, weights, hops)
+
+
+def search_spaces(nodes: DataFrame, edges: DataFrame, forward: bool, hierarchy: Hierarchy | None = None) -> DataFrame:
     """node, hub, ttf: from each node up to its hubs, or from its hubs down to it, in a contraction hierarchy."""
     node, _ = _types(edges)
-    hierarchy = edges.sparkSession.sparkContext.broadcast(Hierarchy(load_graph(edges), order))
+    sent = edges.sparkSession.sparkContext.broadcast(hierarchy or build_hierarchy(edges))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = hierarchy.value
+        h = sent.value
         for batch in batches:
             for n in batch["node"]:
                 if n in h.order:

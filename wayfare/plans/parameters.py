@@ -82,7 +82,7 @@ class RoutingParameters:
 
 def _located(values: dict, path: str) -> dict:
     """File names are relative to the parameter file."""
-    base = os.path.dirname(os.path.abspath(path))
+    base = path.rpartition("/")[0] if "://" in path else os.path.dirname(os.path.abspath(path))
     files = {k: v if "://" in v or os.path.isabs(v) else os.path.join(base, v) for k, v in values.get("input_files", {}).items() if v}
     out = values.get("output_directory", "")
     return values | {"input_files": files, "output_directory": out if "://" in out or os.path.isabs(out) else os.path.join(base, out)}

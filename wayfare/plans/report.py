@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import html
-import os
 from string import Template
 
+from wayfare.sources import files
+
 CURVES = {
     "Surplus": ["surplus_mean"],
     "Departure time shift": ["alt_dep_time_shift_mean", "alt_dep_time_rmse"],
@@ -50,8 +51,6 @@ def write_report(rows: list[dict], histograms: dict[str, list[tuple[float, float
     show = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else html.escape(str(v))
     head = "<tr><th></th>" + "".join(f"<th>{r['iteration_counter']}</th>" for r in rows) + "</tr>"
     body = "".join(f"<tr><td>{html.escape(n)}</td>" + "".join(f"<td>{show(r[n])}</td>" for r in rows) + "</tr>" for n in names)
-    os.makedirs(folder or ".", exist_ok=True)
-    path = os.path.join(folder, "report.html")
-    with open(path, "w", encoding="utf-8") as file:
-        file.write(_PAGE.substitute(charts=charts, table=f"<table>{head}{body}</table>"))
+    path = f"{folder.rstrip('/') or '.'}/report.html"
+    files.write_bytes(path, _PAGE.substitute(charts=charts, table=f"<table>{head}{body}</table>").encode())
     return path

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import pwl
 from wayfare.operators import routing
-from wayfare.operators.graph import Hierarchy
+from wayfare.operators.hierarchy import Hierarchy
 from wayfare.plans.parameters import RoutingParameters, routing_parameters
 from wayfare.sources import sinks, tables
 
@@ -23,35 +23,48 @@ def graph_edges(edges: DataFrame, ttfs: DataFrame | None) -> DataFrame:
     return base.join(built, "edge_id", "left").select("edge_id", "source", "target", F.coalesce("ttf", "cst_ttf").alias("ttf"))
 
 
-def answer(queries: DataFrame, edges: DataFrame, algorithm: str = "Best", order: dict | None = None, with_route: bool = False) -> tuple[DataFrame, DataFrame, str]:
-    """Arrivals of queries with a departure time, profiles of the others, and the strategy taken.
+def strategy(queries: DataFrame, edges: DataFrame) -> str:
+    """By the number of queries, of their origins and destinations, and of nodes."""
+    n = queries.agg(F.count("*").alias("n"), F.countDistinct("origin").alias("o"), F.countDistinct("destination").alias("d")).first()
+    return routing.algorithm(n.n, n.o, n.d, edges.select(F.col("source").alias("x")).union(edges.select("target")).distinct().count())
 
-    The intersection of search spaces gives no routes.
+
+def answer(queries: DataFrame, edges: DataFrame, algorithm: str = "Best", hierarchy: Hierarchy | None = None, with_route: bool = False) -> tuple[DataFrame, DataFrame, str]:
+    """Arrivals of queries with a departure time (query_id, arrival_time, route, seconds), profiles of the others (query_id, ttf), and the strategy taken.
+
+    A graph too large for one worker is searched by rounds of joins whatever the strategy.  The intersection of search spaces gives no routes.
     """
     if algorithm == "Best":
-        n = queries.agg(F.count("*").alias("n"), F.countDistinct("origin").alias("o"), F.countDistinct("destination").alias("d")).first()
-        nodes = edges.select(F.col("source").alias("x")).union(edges.select("target")).distinct().count()
-        algorithm = routing.algorithm(n.n, n.o, n.d, nodes)
+        algorithm = strategy(queries, edges)
+    if algorithm not in ("Dijkstra", "Intersect", "TCH"):
+        raise ValueError(f"unknown algorithm {algorithm}")
     timed, untimed = queries.where("departure_time is not null"), queries.where("departure_time is null")
     pairs = untimed.select("origin", "destination")
     if algorithm == "Dijkstra" or routing.too_large(edges):
         arrivals = routing.earliest_arrivals(timed, edges, with_route)
-        found = routing.profiles(pairs, edges)
-    elif algorithm in ("Intersect", "TCH"):
-        forward = routing.search_spaces(queries.select(F.col("origin").alias("node")), edges, True, order)
-        backward = routing.search_spaces(queries.select(F.col("destination").alias("node")), edges, False, order)
-        forward, backward = routing.cut(forward, "forward"), routing.cut(backward, "backward")
-        reached = routing.intersect_arrivals(timed, forward, backward)
-        edge = dict(edges.dtypes)["edge_id"]
-        if algorithm == "TCH" and with_route:
-            arrivals = routing.earliest_arrivals(timed, edges, True)
+        found = None if untimed.isEmpty() else routing.profiles(pairs, edges)
+    else:
+        hierarchy = hierarchy or routing.build_hierarchy(edges)
+        if algorithm == "TCH":
+            arrivals = routing.hierarchy_arrivals(timed, edges, hierarchy, with_route)
+            found = routing.hierarchy_profiles(pairs, edges, hierarchy)
         else:
-            arrivals = timed.join(reached, "query_id", "left").select("query_id", "arrival_time", F.lit(None).cast(f"array<{edge}>").alias("route"))
-        found = routing.intersect_profiles(pairs, forward, backward)
+            forward = routing.cut(routing.search_spaces(queries.select(F.col("origin").alias("node")), edges, True, hierarchy), "forward")
+            backward = routing.cut(routing.search_spaces(queries.select(F.col("destination").alias("node")), edges, False, hierarchy), "backward")
+            edge, none = dict(edges.dtypes)["edge_id"], F.lit(None)
+            reached = routing.intersect_arrivals(timed, forward, backward)
+            own = F.when(F.col("origin") == F.col("destination"), F.col("departure_time"))
+            arrivals = timed.join(reached, "query_id", "left").select("query_id", F.coalesce("arrival_time", own).alias("arrival_time"), none.cast(f"array<{edge}>").alias("route"), none.cast("double").alias("seconds"))
+            found = routing.intersect_profiles(pairs, forward, backward)
+    if found is None:
+        profiles = untimed.select("query_id", F.lit(None).cast(pwl.TYPE).alias("ttf"))
     else:
-        raise ValueError(f"unknown algorithm {algorithm}")
-    profiles = untimed.select("query_id", "origin", "destination").join(found, ["origin", "destination"], "left").select("query_id", "ttf")
-    return arrivals.select("query_id", "arrival_time", "route"), profiles, algorithm
+        profiles = untimed.select("query_id", "origin", "destination").join(found, ["origin", "destination"], "left").select("query_id", "ttf")
+    return arrivals.select("query_id", "arrival_time", "route", "seconds"), profiles, algorithm
+
+
+#: Times of single queries that the details list; more are in the table ``query_times`` only.
+MOST_TIMES = 100_000
 
 
 def profile_rows(profiles: DataFrame) -> DataFrame:
@@ -81,20 +94,40 @@ def run(spark: SparkSession, parameters: RoutingParameters | str) -> dict:
         return {}
     tables.require_unique(queries, "queries")
     graph = graph_edges(edges, ttfs)
+    algorithm, hierarchy = strategy(queries, graph) if p.algorithm == "Best" else p.algorithm, None
+    wanted = p.output_order or p.output_overlay
+    if wanted or algorithm != "Dijkstra" and not routing.too_large(graph):
+        c = p.contraction
+        hierarchy = routing.build_hierarchy(graph, order, (c.edge_quotient_weight, c.hierarchy_depth_weight, c.unpacked_edges_quotient_weight, c.complexity_quotient_weight), c.thin_profile_interval_hop_limit)
     prepared = time.time()
-    arrivals, profiles, algorithm = answer(queries, graph, p.algorithm, order, p.output_route)
-    sinks.write_table(arrivals if p.output_route else arrivals.drop("route"), out, "ea_results", p.saving_format)
+    arrivals, profiles, algorithm = answer(queries, graph, algorithm, hierarchy, p.output_route)
+    arrivals = routing.cut(arrivals, "arrivals")
+    sinks.write_table(arrivals.drop("seconds") if p.output_route else arrivals.drop("seconds", "route"), out, "ea_results", p.saving_format)
     sinks.write_table(profile_rows(profiles), out, "profile_results", p.saving_format)
-    if p.output_order or p.output_overlay:
-        c = p.contraction
-        hierarchy = Hierarchy(routing.load_graph(graph), order, (c.edge_quotient_weight, c.hierarchy_depth_weight, c.unpacked_edges_quotient_weight, c.complexity_quotient_weight), c.thin_profile_interval_hop_limit)
-        if p.output_order:
-            rows = spark.createDataFrame([(n, i) for n, i in hierarchy.order.items()], f"node_id {dict(edges.dtypes)['source']}, order bigint")
-            sinks.write_table(rows, out, "node_order", p.saving_format)
-        if p.output_overlay:
-            overlay = [{"source": s, "target": t, "ttf": f.tolist() if hasattr(f, "tolist") else f} for s, ways in hierarchy.up.items() for t, f in ways.items()]
-            sinks.write_json({"order": [[n, i] for n, i in hierarchy.order.items()], "upward": overlay}, f"{out}/overlay.json")
-    n = queries.count()
-    details = {"nb_queries": n, "algorithm": algorithm, "preprocessing_time": prepared - began, "query_time": time.time() - prepared, "time_per_query": (time.time() - prepared) / n, "total_time": time.time() - began}
+    queried = time.time()
+    times = queries.select("query_id").join(arrivals.select("query_id", "seconds"), "query_id", "left")
+    sinks.write_table(times.where("seconds is not null"), out, "query_times", p.saving_format)
+    if p.output_order:
+        rows = spark.createDataFrame([(n, i) for n, i in hierarchy.order.items()], f"node_id {dict(edges.dtypes)['source']}, order bigint")
+        sinks.write_table(rows, out, "node_order", p.saving_format)
+    if p.output_overlay:
+        sinks.write_json(overlay(hierarchy), f"{out}/overlay.json")
+    n = queries.agg(F.count("*").alias("n"), F.countDistinct("origin").alias("sources"), F.countDistinct("destination").alias("targets")).first()
+    details = {"nb_queries": n.n, "nb_unique_sources": n.sources, "nb_unique_targets": n.targets, "algorithm": algorithm}
+    details |= {"preprocessing_time": prepared - began, "query_time": queried - prepared, "average_time_per_query": (queried - prepared) / n.n, "total_time": time.time() - began}
+    if n.n <= MOST_TIMES:
+        details["time_per_query"] = [[r.query_id, r.seconds] for r in times.orderBy("query_id").collect()]
     sinks.write_json(details, f"{out}/details.json")
     return details
+
+
+def overlay(hierarchy: Hierarchy) -> dict:
+    """Order, and the edges up and down with their functions and what they stand for."""
+
+    def listed(ways: dict, up: bool) -> list[dict]:
+        return [
+            {"source": n if up else m, "target": m if up else n, "ttf": w.f.tolist() if hasattr(w.f, "tolist") else w.f, "edges": w.size, "parts": w.parts}
+            for n, own in ways.items() for m, w in own.items()
+        ]
+
+    return {"order": [[n, i] for n, i in hierarchy.order.items()], "upward": listed(hierarchy.up, True), "downward": listed(hierarchy.down, False), "nb_edges": hierarchy.edges, "complexity": hierarchy.complexity}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import pwl, scalars
-from wayfare.operators import choice, learning, routing, summary
+from wayfare.operators import choice, learning, network, routing, summary
 from wayfare.plans import report
 from wayfare.plans.parameters import SimulationParameters, simulation_parameters
 from wayfare.plans.within_day import components
@@ -58,6 +58,11 @@ def load(spark: SparkSession, p: SimulationParameters) -> World:
         raise ValueError("edges and vehicle_types are needed together")
     if edges is not None and p.road_network is None:
         raise ValueError("a road network needs road_network parameters")
+    if edges is not None:  # a column without any value has no type of its own
+        edge, node = dict(edges.dtypes)["edge_id"], dict(edges.dtypes)["source"]
+        vehicles = vehicles.withColumns({c: F.col(c).cast(f"array<{edge}>") for c in ("allowed_edges", "restricted_edges")})
+        if trips is not None:
+            trips = trips.withColumns({"class_route": F.col("class_route").cast(f"array<{edge}>"), "class_origin": F.col("class_origin").cast(node), "class_destination": F.col("class_destination").cast(node)})
     lonely = agents.join(alternatives, "agent_id", "left_anti").limit(10).collect()
     if lonely:
         raise ValueError(f"agents without alternatives: {[r.agent_id for r in lonely]}")
@@ -102,9 +107,7 @@ def load(spark: SparkSession, p: SimulationParameters) -> World:
 def _open_edges(w: World) -> DataFrame:
     """Columns of vehicle and edge for every unique vehicle and edge that it may use."""
     unique = w.vehicles.where("vehicle_id = uvehicle").drop("row_index")
-    own, banned = F.coalesce("allowed_edges", F.array()), F.coalesce("restricted_edges", F.array())
-    allowed = F.array_contains(own, F.col("edge_id")) | ((F.size(own) == 0) & ~F.array_contains(banned, F.col("edge_id")))
-    return unique.join(w.edges.drop("row_index"), F.coalesce(allowed, F.lit(True)))
+    return network.accessible_edges(unique, w.edges.drop("row_index"))
 
 
 def _base_speed() -> F.Column:
@@ -138,8 +141,10 @@ def initial_weights(spark: SparkSession, w: World, free: DataFrame) -> DataFrame
 
 
 def _graphs(w: World, weights: DataFrame) -> dict:
-    """A checked graph for each unique vehicle; vehicle types are few."""
+    """A graph for each unique vehicle; together they must fit in a worker."""
     ends = w.edges.select("edge_id", "source", "target")
+    if routing.too_large(weights):
+        raise ValueError("the graphs of all vehicles are too large for one worker together")
     return {r.uvehicle: routing.load_graph(weights.where(F.col("uvehicle") == r.uvehicle).join(ends, "edge_id")) for r in w.vehicles.select("uvehicle").distinct().collect()}
 
 
@@ -158,6 +163,39 @@ def _leg_struct(ttf: F.Column) -> F.Column:
     return F.struct("trip_index", ttf.alias("ttf"), F.col("stopping_time").alias("stopping"), F.col("constant_utility").alias("constant"), *utility.values(), F.col("alpha").alias("alpha"), *schedule)
 
 
+#: Nodes beyond which "Best" does not contract on the driver but searches on the workers, once for each origin.
+MOST_NODES = 50_000
+
+
+def skims_of(w: World, pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """origin, destination, ttf of one vehicle's pairs by the strategy of the parameters.
+
+    "Best" is the intersection of search spaces if their nodes are few among all, else the hierarchy.  The intersection answers the pairs of
+    popular nodes only, the hierarchy the others.
+    """
+    kind = w.p.road_network.algorithm_type if w.p.road_network else "Best"
+    if kind == "Best":
+        ends = pairs.agg(F.count("*").alias("n"), F.countDistinct("origin").alias("o"), F.countDistinct("destination").alias("d")).first()
+        nodes = network.nodes(edges).count()
+        kind = "Dijkstra" if nodes > MOST_NODES else routing.algorithm(ends.n, ends.o, ends.d, nodes, simulator=True)
+    if kind == "Dijkstra":
+        return routing.profiles(pairs, edges)
+    if kind not in ("Intersect", "TCH"):
+        raise ValueError(f"unknown algorithm_type {kind}")
+    c = w.p.road_network.contraction
+    hierarchy = routing.build_hierarchy(edges, None, (c.edge_quotient_weight, c.hierarchy_depth_weight, c.unpacked_edges_quotient_weight, c.complexity_quotient_weight), c.thin_profile_interval_hop_limit)
+    if kind == "TCH":
+        return routing.hierarchy_profiles(pairs, edges, hierarchy)
+    popular = network.popular_nodes(pairs)
+    both = pairs.join(popular.where("side = 'origin'").select(F.col("node").alias("origin")), "origin", "left_semi").join(popular.where("side = 'destination'").select(F.col("node").alias("destination")), "destination", "left_semi")
+    both = cut(both.select("origin", "destination").distinct(), "popular")
+    others = pairs.select("origin", "destination").join(both, ["origin", "destination"], "left_anti")
+    forward = cut(routing.search_spaces(both.select(F.col("origin").alias("node")), edges, True, hierarchy), "forward")
+    backward = cut(routing.search_spaces(both.select(F.col("destination").alias("node")), edges, False, hierarchy), "backward")
+    met = routing.intersect_profiles(both, forward, backward)
+    return both.join(met, ["origin", "destination"], "left").unionByName(routing.hierarchy_profiles(others, edges, hierarchy))
+
+
 def leg_functions(w: World, weights: DataFrame | None) -> DataFrame:
     """Legs with ``uvehicle`` and ``ttf``: null for road legs of constant departures without a route, which are searched for."""
     legs = w.legs.join(w.alternatives.select("agent_id", "alt_id", "dt_choice_type"), ["agent_id", "alt_id"])
@@ -172,9 +210,9 @@ def leg_functions(w: World, weights: DataFrame | None) -> DataFrame:
     legs = legs.join(ways.select("agent_id", "alt_id", "trip_index", folded.alias("route_ttf")), ["agent_id", "alt_id", "trip_index"], "left")
     wanted = legs.where("class_type = 'Road' and class_route is null and dt_choice_type in ('Discrete', 'Continuous')").select("uvehicle", F.col("class_origin").alias("origin"), F.col("class_destination").alias("destination")).distinct()
     skims = None
-    ends = w.edges.select("edge_id", "source", "target")
     for r in wanted.select("uvehicle").distinct().collect():
-        found = routing.profiles(wanted.where(F.col("uvehicle") == r.uvehicle), weights.where(F.col("uvehicle") == r.uvehicle).join(ends, "edge_id")).withColumn("uvehicle", F.lit(r.uvehicle))
+        own = wanted.where(F.col("uvehicle") == r.uvehicle)
+        found = skims_of(w, own, weights.where(F.col("uvehicle") == r.uvehicle).join(w.edges.select("edge_id", "source", "target"), "edge_id")).withColumn("uvehicle", F.lit(r.uvehicle))
         skims = found if skims is None else skims.unionByName(found)
     if skims is None:
         legs = legs.withColumn("skim_ttf", F.lit(None).cast(pwl.TYPE))
@@ -623,9 +661,8 @@ def run(spark: SparkSession, parameters: SimulationParameters | str) -> dict:
         for name, table in (("exp", weights), ("sim", sim), ("next_exp", following)):
             sinks.write_table(sampled(w, table), out, f"net_cond_{name}_edge_ttfs", p.saving_format)
     if w.skims is not None:
-        sinks.write_table(w.skims, out, "skim_results", "JSON")
-    if "://" not in out:
-        report.write_report(figures, histograms, out)
+        sinks.write_json_rows(w.skims.select("uvehicle", "origin", "destination", "ttf"), "uvehicle", f"{out}/skim_results.json.zst")
+    report.write_report(figures, histograms, out)
     times["total"] = time.time() - began
     sinks.write_json(times | {"per_iteration": {k: v / iterations for k, v in times.items()}}, f"{out}/running_times.json")
     return times

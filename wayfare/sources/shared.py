@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is not set, a temporary folder of this machine."""
+    """``spark.checkpoint.dir``; only where it is not set and Spark runs on this machine alone, a temporary folder of it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="wayfare-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -23,3 +25,12 @@ def cut(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_sorted(df: DataFrame, label: str, *keys: str) -> DataFrame:
+    """The same as a table in buckets by the keys, sorted: a join on them leaves its rows where they are."""
+    spark = df.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"wayfare_{label}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)

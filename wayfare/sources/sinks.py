@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.sources import files
+
 
 def _flat(df: DataFrame) -> DataFrame:
     """CSV carries no lists: they are written as text."""
@@ -37,20 +38,41 @@ def append_rows(df: DataFrame, folder: str, name: str, fmt: str = "Parquet") ->
 
 
 def write_json(value, path: str, compress: bool = False) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     data = json.dumps(value, indent=None if compress else 2).encode()
     if compress:
         import zstandard
 
         data = zstandard.ZstdCompressor().compress(data)
-    with open(path, "wb") as file:
-        file.write(data)
+    files.write_bytes(path, data)
 
 
 def append_json(value, path: str) -> None:
     """Add to a list in a JSON file."""
-    values = []
-    if os.path.exists(path):
-        with open(path, "rb") as file:
-            values = json.load(file)
+    values = json.loads(files.read_bytes(path)) if files.exists(path) else []
     write_json([*values, value], path)
+
+
+def read_json_file(spark: SparkSession, path: str):
+    """JSON from wherever Spark reads; in zstandard if the name says so."""
+    data = files.read_bytes(path, spark)
+    if path.endswith(".zst"):
+        import zstandard
+
+        data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    return json.loads(data)
+
+
+def write_json_rows(rows: DataFrame, key: str, path: str, most: int = 1_000_000) -> str | None:
+    """One compressed JSON file: a list of objects for each value of ``key``; more than ``most`` rows are a folder of compressed JSON lines instead."""
+    n = rows.count()
+    if not n:
+        return None
+    if n > most:
+        rows.write.mode("overwrite").option("compression", "zstd").json(path.removesuffix(".json.zst") + ".json")
+        return path.removesuffix(".json.zst") + ".json"
+    listed: dict[str, list] = {}
+    for row in rows.toLocalIterator():
+        value = row.asDict(recursive=True)
+        listed.setdefault(str(value.pop(key)), []).append(value)
+    write_json(listed, path, compress=True)
+    return path

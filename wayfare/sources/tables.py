@@ -89,6 +89,9 @@ RULES: dict[str, list[tuple[str, str]]] = {
         ("dt_choice_type <> 'Constant' or dt_choice_departure_time >= 0", "a constant departure needs a departure_time of 0 or more"),
         ("dt_choice_type <> 'Discrete' or dt_choice_interval > 0", "a discrete departure needs a positive interval"),
         ("dt_choice_type <> 'Continuous' or dt_choice_model_type = 'Logit'", "a continuous departure needs a Logit model"),
+        ("dt_choice_model_type is null or dt_choice_model_type in ('Logit', 'Deterministic', 'First')", "unknown dt_choice.model.type"),
+        ("dt_choice_type not in ('Discrete', 'Continuous') or dt_choice_model_type <> 'Logit' or (dt_choice_model_u is not null and dt_choice_model_mu is not null)", "a Logit model needs u and mu"),
+        ("dt_choice_type <> 'Continuous' or dt_choice_model_type is not null", "a continuous departure needs a Logit model"),
         ("size(dt_choice_period) = 2 and dt_choice_period[0] < dt_choice_period[1]", "dt_choice.period must be a start and a later end"),
         ("dt_choice_model_u between 0 and 1", "u must be within 0 and 1"),
         ("dt_choice_model_mu > 0", "mu must be positive"),
@@ -108,7 +111,8 @@ RULES: dict[str, list[tuple[str, str]]] = {
         ("lanes > 0", "lanes must be positive"),
         ("constant_travel_time >= 0", "constant_travel_time must not be negative"),
         ("speed_density_type in ('FreeFlow', 'Bottleneck', 'ThreeRegimes')", "unknown speed_density.type"),
-        ("speed_density_type <> 'Bottleneck' or speed_density_capacity > 0", "a bottleneck needs a positive capacity"),
+        ("speed_density_type <> 'Bottleneck' or (speed_density_capacity is not null and speed_density_capacity > 0)", "a bottleneck needs a positive capacity"),
+        ("speed_density_type <> 'ThreeRegimes' or (speed_density_min_density is not null and speed_density_jam_density is not null and speed_density_jam_speed is not null and speed_density_beta is not null)", "three regimes need min_density, jam_density, jam_speed and beta"),
         ("speed_density_type <> 'ThreeRegimes' or speed_density_jam_density >= speed_density_min_density", "jam_density must be min_density or more"),
         ("bottleneck_flow > 0", "bottleneck_flow must be positive"),
         ("size(bottleneck_flows) = size(bottleneck_times)", "bottleneck_flows and bottleneck_times must have one length"),
@@ -140,7 +144,11 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(path: str):
-    """JSON, or JSON in zstandard."""
+    """JSON, or JSON in zstandard; a URI is read by Spark's file systems."""
+    if "://" in path:
+        from wayfare.sources import sinks
+
+        return sinks.read_json_file(SparkSession.active(), path)
     with open(path, "rb") as file:
         data = file.read()
     if path.endswith(".zst"):
