@@ -125,6 +125,8 @@ RADIUS = 144
 #: Five-word Jaccard of a near copy.
 LEAST = 0.8
 SALTS = 16
+#: Blocks whose members are compared with one member each before any pairs are made.
+FIRST = 8
 
 
 def wide_fingerprints(texts: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
@@ -189,10 +191,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, ce
     five-word shingles have a Jaccard of ``least`` or more, computed from the sets.
     Equal texts (after white space and A-Z folding) are one class beforehand.
 
-    Blocks of up to ``crowded`` classes are joined pairwise.  In larger ones each
-    member is first compared with the block's least member.  Then every two members that
-    the links so far leave in different components are compared, in cells of ``cell``
-    members by ``cell``: the components are those of all pairs.
+    In the first 8 blocks each member is compared with the block's least member, which joins most of a large group.  Then,
+    in all blocks, only members that the links so far leave in different components are compared: in blocks of up to
+    ``crowded`` classes pairwise, in larger ones each with the block's least member and then, if still apart, with all
+    others in cells of ``cell`` members by ``cell``.  The components are those of all pairs.
     Kept are the rows with the least doc_id of each component, where that is null one class of equal texts.
     Null and blank texts are one class.  Rows with a null doc_id link like any other; several texts of one doc_id are compared each on its own.
     Equal rows are one class; of rows with equal doc_id and text all are marked.  Texts of any length are read whole; an empty table gives no row.
@@ -238,30 +240,45 @@ def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int
 
     ``rows`` has the n shingles of each doc_id (a least_id) and text_key.
     """
+    fa, fb = (nodes.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}"), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
+
+    def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those within the radius and alike by their sets."""
+        near = pairs.distinct().join(fa, "a").join(fb, "b").where((_distance("fp_a", "fp_b") <= radius) & _alike(F.least("n_a", "n_b"), "n_a", "n_b", least)).select("a", "b", "n_a", "n_b")
+        sa, sb = (sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s_{s}")) for s in ("a", "b"))
+        return near.join(sa, "a").join(sb, "b").where(_alike(F.size(F.array_intersect("s_a", "s_b")), "n_a", "n_b", least)).select("a", "b")
+
     keyed = nodes.select("node", F.explode("blocks").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = scratch.write(keyed.join(sizes, "key"), "blocks")
-    few, many = members.where(F.col("n") <= crowded).select("key", "node"), members.where(F.col("n") > crowded)
-    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    stars = many.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    fa, fb = (nodes.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}"), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
-    near = pairs.unionByName(stars).distinct().join(fa, "a").join(fb, "b").where(_distance("fp_a", "fp_b") <= radius)
-    near = scratch.write(near.where(_alike(F.least("n_a", "n_b"), "n_a", "n_b", least)).select("a", "b", "n_a", "n_b"), "near")
-    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
-    asked = nodes.select("node", F.col("text_key").alias("asked_key"), "least_id").join(wanted, "node")
+    # the sets of all that share a block with another, one row for each node
+    asked = nodes.select("node", F.col("text_key").alias("asked_key"), "least_id").join(members.select("node").distinct(), "node")
     same = (F.col("text_key") == F.col("asked_key")) & F.col("doc_id").eqNullSafe(F.col("least_id"))
     sets = scratch.write(rows.select("doc_id", "text_key", "shingles").join(asked, same).groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    sa, sb = (sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s_{s}")) for s in ("a", "b"))
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    links = scratch.write(near.join(sa, "a").join(sb, "b").where(_alike(common, "n_a", "n_b", least)).select("a", "b"), "pairs")
+    early = members.where((F.shiftright("key", 24) < FIRST) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    links = scratch.write(compared(early, sets), "early")
+
+    def parts(blocks: DataFrame, links: DataFrame) -> DataFrame:
+        """key, n, pivot, node, part of blocks whose members are in several components."""
+        known = connected_components(links, scratch)
+        told = blocks.join(known, "node", "left").select("key", "n", "pivot", "node", F.coalesce("component", "node").alias("part"))
+        mixed = told.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+        return scratch.write(told.join(mixed, "key", "left_semi"), "parts")
+
+    told = parts(members, links)
+    few, many = told.where(F.col("n") <= crowded), told.where(F.col("n") > crowded)
+    left, right = (few.select("key", F.col("node").alias(s), F.col("part").alias(f"part_{s}")) for s in ("a", "b"))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))).select("a", "b")
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # a crowded block's members are not all in one task
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+    heads = many.where("node = pivot").select("key", F.col("part").alias("head"), salted)
+    stars = many.select("key", "pivot", "node", "part", salt).join(heads, ["key", "salt"]).where("part <> head").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    links = links.unionByName(scratch.write(compared(pairs.unionByName(stars), sets), "pairs"))
     if many.isEmpty():
         return links
-    known = connected_components(links, scratch)
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
-    told = scratch.write(many.join(known, "node", "left").select("key", "node", salt, "pivot", F.coalesce("component", "node").alias("part")), "parts")
-    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # a crowded block's members are not all in one task
+    told = parts(members.where(F.col("n") > crowded), links)
     heads = told.where("node = pivot").select("key", F.col("part").alias("head"), salted)
-    apart = told.join(heads, ["key", "salt"]).select("key", "salt", "node", "part", (F.col("part") != F.col("head")).alias("other"))
+    apart = told.select("key", "node", "part", salt).join(heads, ["key", "salt"]).select("key", "salt", "node", "part", (F.col("part") != F.col("head")).alias("other"))
     counts = apart.groupBy("key").agg(F.count_if("other").alias("others"), F.count_if(~F.col("other")).alias("rest")).where("others > 0").select("*", salted)
     return links.unionByName(scratch.write(_cell_links(apart.join(counts, ["key", "salt"]).join(nodes.select("node", "fp"), "node").join(sets, "node"), radius, cell, least), "cells"))
 
