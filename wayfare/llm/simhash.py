@@ -240,23 +240,25 @@ def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int
 
     ``rows`` has the n shingles of each doc_id (a least_id) and text_key.
     """
-    fa, fb = (nodes.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}"), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
-
-    def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those within the radius and alike by their sets."""
-        near = pairs.distinct().join(fa, "a").join(fb, "b").where((_distance("fp_a", "fp_b") <= radius) & _alike(F.least("n_a", "n_b"), "n_a", "n_b", least)).select("a", "b", "n_a", "n_b")
-        sa, sb = (sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s_{s}")) for s in ("a", "b"))
-        return near.join(sa, "a").join(sb, "b").where(_alike(F.size(F.array_intersect("s_a", "s_b")), "n_a", "n_b", least)).select("a", "b")
-
     keyed = nodes.select("node", F.explode("blocks").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = scratch.write(keyed.join(sizes, "key"), "blocks")
-    # the sets of all that share a block with another, one row for each node
-    asked = nodes.select("node", F.col("text_key").alias("asked_key"), "least_id").join(members.select("node").distinct(), "node")
+    # fingerprint and set of all that share a block with another, in buckets by node: pairs come to them
+    asked = nodes.select("node", F.col("text_key").alias("asked_key"), "least_id", "fp", "n").join(members.select("node").distinct(), "node")
     same = (F.col("text_key") == F.col("asked_key")) & F.col("doc_id").eqNullSafe(F.col("least_id"))
-    sets = scratch.write(rows.select("doc_id", "text_key", "shingles").join(asked, same).groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    facts = rows.select("doc_id", "text_key", "shingles").join(asked, same).groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "n", "shingles")])
+    facts = scratch.write_sorted(facts, "facts", "node", [], max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    def compared(pairs: DataFrame, label: str) -> DataFrame:
+        """Of pairs (a, b), those within the radius and alike by their sets."""
+        fa, fb = (facts.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}"), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
+        near = pairs.distinct().join(fa, "a").join(fb, "b").where((_distance("fp_a", "fp_b") <= radius) & _alike(F.least("n_a", "n_b"), "n_a", "n_b", least))
+        near = scratch.write(near.select("a", "b", "n_a", "n_b"), "near")
+        sa, sb = (facts.select(F.col("node").alias(s), F.col("shingles").alias(f"s_{s}")) for s in ("a", "b"))
+        return scratch.write(near.join(sa, "a").join(sb, "b").where(_alike(F.size(F.array_intersect("s_a", "s_b")), "n_a", "n_b", least)).select("a", "b"), label)
+
     early = members.where((F.shiftright("key", 24) < FIRST) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    links = scratch.write(compared(early, sets), "early")
+    links = compared(early, "early")
 
     def parts(blocks: DataFrame, links: DataFrame) -> DataFrame:
         """key, n, pivot, node, part of blocks whose members are in several components."""
@@ -273,14 +275,14 @@ def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
     heads = many.where("node = pivot").select("key", F.col("part").alias("head"), salted)
     stars = many.select("key", "pivot", "node", "part", salt).join(heads, ["key", "salt"]).where("part <> head").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    links = links.unionByName(scratch.write(compared(pairs.unionByName(stars), sets), "pairs"))
+    links = links.unionByName(compared(pairs.unionByName(stars), "pairs"))
     if many.isEmpty():
         return links
     told = parts(members.where(F.col("n") > crowded), links)
     heads = told.where("node = pivot").select("key", F.col("part").alias("head"), salted)
     apart = told.select("key", "node", "part", salt).join(heads, ["key", "salt"]).select("key", "salt", "node", "part", (F.col("part") != F.col("head")).alias("other"))
     counts = apart.groupBy("key").agg(F.count_if("other").alias("others"), F.count_if(~F.col("other")).alias("rest")).where("others > 0").select("*", salted)
-    return links.unionByName(scratch.write(_cell_links(apart.join(counts, ["key", "salt"]).join(nodes.select("node", "fp"), "node").join(sets, "node"), radius, cell, least), "cells"))
+    return links.unionByName(scratch.write(_cell_links(apart.join(counts, ["key", "salt"]).join(facts.select("node", "fp", "shingles"), "node"), radius, cell, least), "cells"))
 
 
 def _cell_links(apart: DataFrame, radius: int, cell: int, least: float) -> DataFrame:
