@@ -44,7 +44,7 @@ def token_tables(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     scratch = Scratch(spark, "tokens")
-    manifest = sstable.write_shards(docs, str(public_tokenizers.path("byte_bpe_50k.json")), END_ID, scratch, vocabulary=50257)
+    manifest = sstable.write_shards(docs, str(public_tokenizers.path("byte_bpe_50k.json")), END_ID, scratch)
     return sstable.read_digests(manifest)
 
 

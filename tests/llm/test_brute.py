@@ -29,11 +29,12 @@ def components_of(links, nodes):
     return {n: root(n) for n in nodes}
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_connected_components(spark, one_task):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
     df = spark.createDataFrame(links, "a long, b long")
-    got = {r.node: r.component for r in connected_components(df, Scratch(spark, "t")).collect()}
+    got = {r.node: r.component for r in connected_components(df, Scratch(spark, "t"), one_task=one_task).collect()}
     want = components_of(links, {x for p in links for x in p})
     assert got == {n: c for n, c in want.items() if n != c}
 

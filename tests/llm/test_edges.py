@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,8 @@ def test_chat(spark, tokenizer):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("own")).withColumn("path", F.lit(1))
     got = {r.conv_id: r for r in chat.read_back(chat.pack_trees(table, tokenizer), tokenizer).collect()}
     assert {k: r.n_turns for k, r in got.items()} == {1: 2, 2: 3, None: 1, 3: 2} and got[1].loss_chars == 0 and got[3].loss_chars == len("<s>[INST] \\ " * 3)
+    alone = table.where("conv_id = 3").withColumn("conv_id", F.lit(None).cast("long"))  # rows of no conversation are one turn each
+    assert sorted((r.conv_id, r.n_turns) for r in chat.read_back(chat.pack_trees(alone.unionByName(alone), tokenizer), tokenizer).collect()) == [(None, 1)] * 4
     assert chat.pack_trees(table.where("false"), tokenizer).count() == 0
 
 
@@ -136,6 +139,10 @@ def test_token_tables(docs, spark, tokenizer):
     assert sorted(r.start for r in got)[0] == 0
     ids = {(r.doc_id, r.copy): r.ids for r in sstable.read_shards(manifest).collect()}
     assert ids[1, 0] == ids[1, 1] and ids[6, 0] == ids[7, 0]
+    wide = sstable.read_digests(sstable.write_shards(docs, tokenizer, 70_000, Scratch(spark, "t")))  # an end id beyond two bytes
+    assert [r.n_tokens for r in wide.collect() if r.doc_id == 2] == [1]
+    with pytest.raises(ValueError, match="does not fit"):
+        sstable.ShardWriter(None, 2).add(sstable.key_of(1), np.array([65536]))
     assert sstable.read_digests(sstable.write_shards(empty(docs), tokenizer, 2, Scratch(spark, "t"))).count() == 0
 
 

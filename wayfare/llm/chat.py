@@ -109,14 +109,16 @@ def pack_trees(conversations: DataFrame, tokenizer: str, pack_tokens: int = PACK
     """Packs of (conv_id, turn, role, text) rows.
 
     Turns are ordered by turn (null first), then role and text; null roles and texts are
-    empty; repeated rows are turns of their own; rows without a conv_id are one conversation.
+    empty; repeated rows are turns of their own; a row without a conv_id is a conversation of one turn.
     """
     spark = conversations.sparkSession
     bound_batches(spark)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turn = F.struct("turn", "role", "text")
+    turns = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = turns.unionByName(rows.where("conv_id is null").select("conv_id", F.array(turn).alias("turns")))
     keyed = turns.withColumn("path", F.concat_ws("", F.transform("turns", lambda t: F.lpad(F.hex(F.xxhash64(t["role"], t["text"])), 16, "0"))))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = keyed.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")

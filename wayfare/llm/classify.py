@@ -203,9 +203,8 @@ def select_quality(docs: DataFrame, model: CumulativeLink, least: float = 0.5) -
 # --- subword bags -----------------------------------------------------------------
 
 BUCKET_BITS = 18
-SEGMENT = 4
-#: A segment of fewer subwords is averaged as if it had so many.
-LEAST_SUBWORDS = 64
+#: Words of a window.
+WINDOW = 4
 #: Share of the positive class that training weighs rows to.
 PRIOR = 0.25
 
@@ -214,9 +213,9 @@ class SubwordBag:
     """Hashed words and character n-grams of 3 to 5 bytes, embedded, averaged, and put through a linear softmax.
 
     Words that were never seen still have the vectors of their n-grams.  Averages
-    are over the different words in segments of ``SEGMENT`` words; a text is as toxic as its worst segment, so that
-    a few words count in a long text too.  Training starts on whole-text averages and then
-    learns on the segment that is worst so far.
+    are over all subwords of ``WINDOW`` words in a row, at every place (a shorter text is one window); a text is as toxic as its worst window,
+    so that a few words count in a long text too, wherever they begin.  Training starts on whole-text averages and then
+    learns on the window that is worst so far.
     """
 
     def __init__(self, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray):
@@ -251,34 +250,31 @@ def subwords(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(out)
 
 
-def segments_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Segment of each word (numbered over the chunk), and whether the word is the first of its kind in it."""
-    place = np.arange(len(words.start)) - words.first[:-1][words.doc]
-    segment = np.cumsum((place % SEGMENT) == 0) - 1
-    order = np.lexsort((words.hash, segment))
-    same = np.zeros(len(order), dtype=bool)
-    same[1:] = (words.hash[order][1:] == words.hash[order][:-1]) & (segment[order][1:] == segment[order][:-1])
-    new = np.ones(len(order), dtype=bool)
-    new[order[same]] = False
-    return segment, new
+def window_means(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Averages over ``WINDOW`` words from each place, of words with sums ``total`` over ``count`` subwords; one of all words if they are fewer."""
+    size = min(WINDOW, len(total))
+    sums, counts = (np.concatenate([[0.0], np.cumsum(x)]) for x in (total, count))
+    return (sums[size:] - sums[:-size]) / (counts[size:] - counts[:-size])
 
 
-def _segment_scores(texts: list[bytes], table: np.ndarray) -> np.ndarray:
-    """Greatest segment average of each text, without bias; 0 without words."""
+def _window_scores(texts: list[bytes], table: np.ndarray) -> np.ndarray:
+    """Greatest window average of each text, without bias; 0 without words."""
     best = np.zeros(len(texts))
     for first, last in chunks(texts, 1 << 19):
         words = Words(texts[first:last])
         if not len(words.start):
             continue
         owner, bucket = subwords(words)
-        segment, new = segments_of(words)
-        total = np.bincount(owner, table[bucket], minlength=len(words.start)) * new
-        count = np.bincount(owner, minlength=len(words.start)) * new
-        n = segment[-1] + 1
-        score = np.bincount(segment, total, minlength=n) / np.maximum(np.bincount(segment, count, minlength=n), LEAST_SUBWORDS)
-        owner_doc = words.doc[np.flatnonzero(np.diff(np.concatenate([[-1], segment])))]
+        total = np.bincount(owner, table[bucket], minlength=len(words.start))
+        count = np.bincount(owner, minlength=len(words.start))
+        means = window_means(total, count)
+        # windows that lie in one text; those of shorter texts are made one by one
+        whole = words.doc[: len(means)] == words.doc[len(words.doc) - len(means) :]
         top = np.full(last - first, -np.inf)
-        np.maximum.at(top, owner_doc, score)
+        np.maximum.at(top, words.doc[: len(means)][whole], means[whole])
+        for doc in np.flatnonzero((words.per_doc > 0) & (words.per_doc < WINDOW)):
+            a, b = words.first[doc], words.first[doc + 1]
+            top[doc] = total[a:b].sum() / count[a:b].sum()
         best[first:last] = np.where(np.isfinite(top), top, 0)
     return best
 
@@ -289,16 +285,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, segments = texts_of(batch["text"]), []
-            for text in texts:
+            listed = []
+            for text in texts_of(batch["text"]):
                 words = Words([text])
                 owner, bucket = subwords(words)
-                of_word, new = segments_of(words)
-                owner, bucket = owner[new[owner]], bucket[new[owner]]
-                segment = of_word[owner]
-                order = np.argsort(segment, kind="stable")
-                segments.append((bucket[order].tobytes(), np.bincount(segment, minlength=1).astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([b for b, _ in segments], pa.binary()), pa.array([c for _, c in segments], pa.binary()), batch["label"].cast(pa.int32())], names=["id", "b", "c", "label"])
+                order = np.argsort(owner, kind="stable")
+                listed.append((bucket[order].tobytes(), np.bincount(owner, minlength=len(words.start)).astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([b for b, _ in listed], pa.binary()), pa.array([c for _, c in listed], pa.binary()), batch["label"].cast(pa.int32())], names=["id", "b", "c", "label"])
 
     rows = sample_of(docs, labels, label, sample, where, 0.4).mapInArrow(run, "id long, b binary, c binary, label int").collect()
     rows.sort(key=lambda r: (r.id, r.b))
@@ -306,7 +299,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
 
 
 def train_bag(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 8, epochs: int = 6, seed: int = 11, rate: float = 0.3, least_rows: int = 3) -> SubwordBag:
-    """AdaGrad on (buckets by segment, segment sizes, class) rows.
+    """AdaGrad on (buckets by word, subwords of each word, class) rows.
 
     Buckets of fewer than ``least_rows`` rows would only learn these rows by heart: they stay zero, as do those never seen.
     """
@@ -330,13 +323,12 @@ def train_bag(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 8, epo
             bucket, counts, y = rows[i]
             if not len(bucket):
                 continue
-            if epoch >= 2 and len(counts) > 1:
+            if epoch >= 2 and len(counts) > WINDOW:
                 edges = np.concatenate([[0], np.cumsum(counts)])
-                some = np.flatnonzero(counts)
-                odds = np.add.reduceat(vectors[bucket] @ (softmax[:, 1] - softmax[:, 0]), edges[some]) / np.maximum(counts[some], LEAST_SUBWORDS)
-                k = some[int(np.argmax(odds))]
-                bucket = bucket[edges[k] : edges[k + 1]]
-            all_of = max(len(bucket), LEAST_SUBWORDS)
+                odds = np.add.reduceat(vectors[bucket] @ (softmax[:, 1] - softmax[:, 0]), edges[:-1])
+                k = int(np.argmax(window_means(odds, counts)))
+                bucket = bucket[edges[k] : edges[k + WINDOW]]
+            all_of = len(bucket)
             bucket = bucket[kept[bucket]]
             mean = vectors[bucket].sum(axis=0) / all_of
             logits = mean @ softmax + bias
@@ -367,7 +359,7 @@ def score_toxicity(docs: DataFrame, model: SubwordBag) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = sent.value
         for batch in batches:
-            score = 1 / (1 + np.exp(-np.clip(_segment_scores(texts_of(batch["text"]), table) + bias, -60, 60)))
+            score = 1 / (1 + np.exp(-np.clip(_window_scores(texts_of(batch["text"]), table) + bias, -60, 60)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")

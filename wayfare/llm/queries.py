@@ -125,7 +125,7 @@ def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfare.llm.storage import Scratch
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    manifest = write_shards(_table(spark, sf_dir, "documents"), str(path), 2, Scratch(spark, "tokens"), vocabulary=50257)
+    manifest = write_shards(_table(spark, sf_dir, "documents"), str(path), 2, Scratch(spark, "tokens"))
     return read_digests(manifest)
 
 

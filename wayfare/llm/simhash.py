@@ -260,14 +260,14 @@ def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int
     early = members.where((F.shiftright("key", 24) < FIRST) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     links = compared(early, "early")
 
-    def parts(blocks: DataFrame, links: DataFrame) -> DataFrame:
-        """key, n, pivot, node, part of blocks whose members are in several components."""
+    def parts(blocks: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """key, n, pivot, node, part of blocks whose members are in several components; and the links as one for each node."""
         known = connected_components(links, scratch)
         told = blocks.join(known, "node", "left").select("key", "n", "pivot", "node", F.coalesce("component", "node").alias("part"))
         mixed = told.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-        return scratch.write(told.join(mixed, "key", "left_semi"), "parts")
+        return scratch.write(told.join(mixed, "key", "left_semi"), "parts"), known.select(F.col("component").alias("a"), F.col("node").alias("b"))
 
-    told = parts(members, links)
+    told, links = parts(members, links)
     few, many = told.where(F.col("n") <= crowded), told.where(F.col("n") > crowded)
     left, right = (few.select("key", F.col("node").alias(s), F.col("part").alias(f"part_{s}")) for s in ("a", "b"))
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))).select("a", "b")
@@ -278,7 +278,7 @@ def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int
     links = links.unionByName(compared(pairs.unionByName(stars), "pairs"))
     if many.isEmpty():
         return links
-    told = parts(members.where(F.col("n") > crowded), links)
+    told, links = parts(members.where(F.col("n") > crowded), links)
     heads = told.where("node = pivot").select("key", F.col("part").alias("head"), salted)
     apart = told.select("key", "node", "part", salt).join(heads, ["key", "salt"]).select("key", "salt", "node", "part", (F.col("part") != F.col("head")).alias("other"))
     counts = apart.groupBy("key").agg(F.count_if("other").alias("others"), F.count_if(~F.col("other")).alias("rest")).where("others > 0").select("*", salted)

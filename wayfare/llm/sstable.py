@@ -89,6 +89,8 @@ class ShardWriter:
         shared = 0
         while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
             shared += 1
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"the id {int(ids.max())} does not fit in {self.width} bytes")
         value = ids.astype(f"<u{self.width}").tobytes()
         entry = _number(shared) + _number(len(key) - shared) + _number(len(value)) + key[shared:] + value
         self.parts.append(entry)
@@ -183,12 +185,17 @@ class Shard:
         return next((ids for found, ids in self._block(k) if found == key), None)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, vocabulary: int = 1 << 16, shard_bytes: int = SHARD) -> DataFrame:
-    """Encode and write every row in ascending doc_id order; the manifest: path, first_id, n_docs, n_ids, start, part, shard."""
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, shard_bytes: int = SHARD) -> DataFrame:
+    """Encode and write every row in ascending doc_id order; the manifest: path, first_id, n_docs, n_ids, start, part, shard.
+
+    Ids take two bytes if the tokenizer's vocabulary and ``end_id`` allow, else four.
+    """
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     bound_batches(spark)
     folder = scratch.path("shards")
-    width = 2 if vocabulary <= 1 << 16 else 4
+    width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
