@@ -177,7 +177,7 @@ def similar_copy(words, rng):
             return copy
 
 
-@pytest.mark.parametrize("length", [60, 80, 150, 300, 1000])
+@pytest.mark.parametrize("length", [50, 60, 80, 150, 300, 1000])
 def test_recall_of_the_blocks(length):
     """Of pairs at 0.8 to 0.85, those that share a block and are within the radius."""
     rng = random.Random(length)

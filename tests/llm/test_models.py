@@ -80,8 +80,8 @@ def test_labelled_texts_without_words_count(spark):
 
 
 def misspelt(rng, word):
-    at = rng.randrange(1, len(word) - 1)
-    return rng.choice([word[:at] + word[at] + word[at:], word[:at] + "_" + word[at:], word + "ss", "x" + word, word[:-1] + "0"])
+    at, sign = rng.randrange(2, len(word) - 1), rng.choice("qjyvk*_0")
+    return rng.choice([word[:at] + sign + word[at:], word[:at] + sign + word[at + 1 :], word[:at] + word[at] + word[at:], sign + word, word + sign])
 
 
 @pytest.fixture(scope="module")
@@ -93,7 +93,7 @@ def toxic(spark):
         words = [rng.choice(COMMON) for _ in range(rng.randint(5, 200))]
         if i % 5 == 0:
             at = rng.randrange(len(words))
-            words[at:at] = [w if rng.random() < 0.5 else misspelt(rng, w) for w in rng.sample(RUDE, 2)]
+            words[at:at] = [w if rng.random() < 0.5 else misspelt(rng, w) for w in rng.sample(RUDE, rng.choice([1, 1, 2]))]
         rows.append((i, " ".join(words), int(i % 5 == 0)))
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 600], "doc_id long, toxic int")
@@ -116,9 +116,8 @@ def test_unseen_misspellings_share_their_parts(spark, toxic):
     seen = {w for _, t, _ in rows for w in t.split()}
     rng = random.Random(4)
     bad, fine = [], []
-    while len(bad) < 100:
-        word = misspelt(rng, misspelt(rng, rng.choice(RUDE)))
-        other = misspelt(rng, misspelt(rng, rng.choice(COMMON)))
+    while len(bad) < 60:
+        word, other = misspelt(rng, rng.choice(RUDE)), misspelt(rng, rng.choice(COMMON))
         if word not in seen and other not in seen:
             around = [rng.choice(COMMON) for _ in range(40)]
             at = rng.randrange(40)
@@ -126,7 +125,7 @@ def test_unseen_misspellings_share_their_parts(spark, toxic):
             fine.append(" ".join([*around[:at], other, *around[at:]]))
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(bad + fine)], "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in classify.score_toxicity(texts, model).collect()}
-    found, wrong = np.mean([got[i] for i in range(100)]), np.mean([got[i] for i in range(100, 200)])
+    found, wrong = np.mean([got[i] for i in range(60)]), np.mean([got[i] for i in range(60, 120)])
     print("unseen misspellings: found", found, "of other unseen words", wrong)
     assert found >= 0.9 and wrong <= 0.05
 

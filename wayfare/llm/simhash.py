@@ -121,7 +121,7 @@ def link_components(docs: DataFrame, width: int = 3, crowded: int = CROWDED) ->
 BLOCKS, BLOCK_BITS = 64, 24
 #: The first bits, whose distance is compared.
 BITS = 480
-RADIUS = 144
+RADIUS = 80
 #: Five-word Jaccard of a near copy.
 LEAST = 0.8
 SALTS = 16
@@ -175,11 +175,6 @@ def _spread(hashes: np.ndarray, lane: int) -> np.ndarray:
     return mix(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
-def _distance(a: str, b: str) -> F.Column:
-    """Hamming distance of two arrays of longs."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])).cast("int") for i in range(8)), F.lit(0))
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowded: int = 16, cell: int = 512, least: float = LEAST) -> DataFrame:
     """doc_id, text_key, text_hash, component_id, keep for every row: near copies at ``least`` on five-word shingles.
 
@@ -249,16 +244,23 @@ def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int
     facts = rows.select("doc_id", "text_key", "shingles").join(asked, same).groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "n", "shingles")])
     facts = scratch.write_sorted(facts, "facts", "node", [], max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
-    def compared(pairs: DataFrame, label: str) -> DataFrame:
-        """Of pairs (a, b), those within the radius and alike by their sets."""
-        fa, fb = (facts.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}"), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
-        near = pairs.distinct().join(fa, "a").join(fb, "b").where((_distance("fp_a", "fp_b") <= radius) & _alike(F.least("n_a", "n_b"), "n_a", "n_b", least))
-        near = scratch.write(near.select("a", "b", "n_a", "n_b"), "near")
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # a crowded block's members are not all in one task
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+
+    def compared(blocks: DataFrame, pairwise: bool, label: str) -> DataFrame:
+        """Links of blocks (key, n, pivot, node, part): of all members of different parts if ``pairwise`` and the block is not crowded, else of each
+        member and the pivot."""
+        small = (F.col("n") <= crowded) if pairwise else F.lit(False)
+        columns = ["key", "n", "pivot", "node", "part"]
+        others = blocks.where((F.col("node") != F.col("pivot")) | small).select(*columns, F.when(small, 0).otherwise(salt).alias("salt"))
+        rows = others.unionByName(blocks.where((F.col("node") == F.col("pivot")) & ~small).select(*columns, salted))
+        held = rows.join(facts.select("node", "fp", F.col("n").alias("size")), "node").select("key", "salt", "node", "part", "fp", "size", small.alias("small"))
+        dealt = held.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
+        near = scratch.write(dealt.mapInArrow(_near_in_blocks(radius, least), "a long, b long, n_a int, n_b int").distinct(), "near")
         sa, sb = (facts.select(F.col("node").alias(s), F.col("shingles").alias(f"s_{s}")) for s in ("a", "b"))
         return scratch.write(near.join(sa, "a").join(sb, "b").where(_alike(F.size(F.array_intersect("s_a", "s_b")), "n_a", "n_b", least)).select("a", "b"), label)
 
-    early = members.where((F.shiftright("key", 24) < FIRST) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    links = compared(early, "early")
+    links = compared(members.where(F.shiftright("key", 24) < FIRST).withColumn("part", F.col("node")), False, "early")
 
     def parts(blocks: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """key, n, pivot, node, part of blocks whose members are in several components; and the links as one for each node."""
@@ -268,14 +270,8 @@ def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int
         return scratch.write(told.join(mixed, "key", "left_semi"), "parts"), known.select(F.col("component").alias("a"), F.col("node").alias("b"))
 
     told, links = parts(members, links)
-    few, many = told.where(F.col("n") <= crowded), told.where(F.col("n") > crowded)
-    left, right = (few.select("key", F.col("node").alias(s), F.col("part").alias(f"part_{s}")) for s in ("a", "b"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))).select("a", "b")
-    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # a crowded block's members are not all in one task
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
-    heads = many.where("node = pivot").select("key", F.col("part").alias("head"), salted)
-    stars = many.select("key", "pivot", "node", "part", salt).join(heads, ["key", "salt"]).where("part <> head").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    links = links.unionByName(compared(pairs.unionByName(stars), "pairs"))
+    many = told.where(F.col("n") > crowded)
+    links = links.unionByName(compared(told, True, "pairs"))
     if many.isEmpty():
         return links
     told, links = parts(members.where(F.col("n") > crowded), links)
@@ -285,6 +281,32 @@ def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int
     return links.unionByName(scratch.write(_cell_links(apart.join(counts, ["key", "salt"]).join(facts.select("node", "fp", "shingles"), "node"), radius, cell, least), "cells"))
 
 
+def _near_in_blocks(radius: int, least: float):
+    """For rows (key, salt, node, part, fp, size, small) by key and salt: pairs of different parts within the radius whose set sizes allow ``least``, of all
+    rows of a small block, else of each row with the first.  No more than one small block, or the first row of another, is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            prints = batch["fp"].flatten().to_numpy().view(np.uint64).reshape(len(batch), -1)
+            columns = [batch[c].to_pylist() for c in ("key", "salt", "node", "part", "size", "small")]
+            for k, (key, salt, node, part, size, small) in enumerate(zip(*columns, strict=True)):
+                if group != (key, salt):
+                    group, held = (key, salt), []
+                for other, other_part, other_size, other_print in held:
+                    if other_part != part and min(size, other_size) >= least * max(size, other_size) - 1e-6 and int(np.bitwise_count(other_print ^ prints[k]).sum()) <= radius:
+                        out.append((other, node, other_size, size) if other < node else (node, other, size, other_size))
+                if small or not held:
+                    held.append((node, part, size, prints[k].copy()))
+            if out:
+                a, b, n_a, n_b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32())], names=["a", "b", "n_a", "n_b"])
+
+    return run
+
+
 def _cell_links(apart: DataFrame, radius: int, cell: int, least: float) -> DataFrame:
     """Links between members of different parts of a block.
 
