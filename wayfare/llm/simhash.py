@@ -263,18 +263,20 @@ def _near_links(nodes: DataFrame, rows: DataFrame, scratch: Scratch, radius: int
     links = compared(members.where(F.shiftright("key", 24) < FIRST).withColumn("part", F.col("node")), False, "early")
 
     def parts(blocks: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """key, n, pivot, node, part of blocks whose members are in several components; and the links as one for each node."""
+        """key, n, pivot, node, part (its component) of the blocks; and the links as one for each node."""
         known = connected_components(links, scratch)
         told = blocks.join(known, "node", "left").select("key", "n", "pivot", "node", F.coalesce("component", "node").alias("part"))
-        mixed = told.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-        return scratch.write(told.join(mixed, "key", "left_semi"), "parts"), known.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        return told, known.select(F.col("component").alias("a"), F.col("node").alias("b"))
 
     told, links = parts(members, links)
+    mixed = told.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    told = scratch.write(told.join(mixed, "key", "left_semi"), "parts")
     many = told.where(F.col("n") > crowded)
     links = links.unionByName(compared(told, True, "pairs"))
     if many.isEmpty():
         return links
-    told, links = parts(members.where(F.col("n") > crowded), links)
+    told, links = parts(many.select("key", "n", "pivot", "node"), links)
+    told = scratch.write(told, "parts")
     heads = told.where("node = pivot").select("key", F.col("part").alias("head"), salted)
     apart = told.select("key", "node", "part", salt).join(heads, ["key", "salt"]).select("key", "salt", "node", "part", (F.col("part") != F.col("head")).alias("other"))
     counts = apart.groupBy("key").agg(F.count_if("other").alias("others"), F.count_if(~F.col("other")).alias("rest")).where("others > 0").select("*", salted)
