@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from wayfare.plans.catalogue import ORACLES, QUERIES
@@ -21,7 +22,14 @@ def duck():
 
 
 def rows(frame, columns):
-    return [tuple(None if v is None or v != v else v for v in r) for r in frame[columns].itertuples(index=False)]
+    """Values without the types that each engine's frames give them."""
+
+    def plain(v):
+        if v is None or pd.isna(v):
+            return None
+        return v.item() if hasattr(v, "item") else v
+
+    return [tuple(plain(v) + 0 if isinstance(plain(v), float) else plain(v) for v in r) for r in frame[columns].itertuples(index=False)]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

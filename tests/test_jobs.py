@@ -254,3 +254,22 @@ def test_strategies_of_the_simulation_agree(spark, tmp_path, kind, monkeypatch):
     agents = table(spark, tmp_path / "out/agent_results.parquet").set_index("agent_id")
     assert agents.loc[30, "departure_time"] == 1525 and agents.loc[20, "arrival_time"] == pytest.approx(805)
     assert agents.loc[50, "departure_time"] == pytest.approx(900.0, abs=1.0)  # a flat utility: a fourth of the period
+
+
+def test_queues_alone_give_the_times_of_the_events(spark, tmp_path, monkeypatch):
+    """One day without spillback on free-flow roads with a bottleneck, relationally and by events: the same tables."""
+    found = []
+    for kind, relational in (("queues", True), ("events", False)):
+        folder = tmp_path / kind
+        folder.mkdir()
+        if not relational:
+            monkeypatch.setattr(simulation, "_only_queues", lambda w, legs: False)
+        path = street(folder, max_iterations=2, road_network={"recording_interval": 600, "spillback": False})
+        edges = pd.read_parquet(folder / "edges.parquet")
+        edges.drop(columns=[c for c in edges if c.startswith("speed_density")]).assign(bottleneck_flow=[0.004, 0.005, None, 0.02, 0.001]).to_parquet(folder / "edges.parquet")
+        simulation.run(spark, path)
+        tables = {n: table(spark, folder / f"out/{n}.parquet") for n in ("agent_results", "trip_results", "route_results", "iteration_results", "net_cond_sim_edge_ttfs")}
+        found.append({n: t.sort_values(list(t.columns[:4])).reset_index(drop=True) for n, t in tables.items()})
+    for name, one in found[0].items():
+        pd.testing.assert_frame_equal(one, found[1][name], check_dtype=False, atol=1e-6)
+    assert found[0]["trip_results"]["in_bottleneck_time"].max() > 10

@@ -1,8 +1,13 @@
 """Components of trips, and the event model over tables."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from wayfare.plans.within_day import components, simulate_routes
+from wayfare.plans import within_day
+from wayfare.plans.within_day import components, simulate_events, simulate_routes
+from wayfare.streaming import gates
 
 
 def test_components(spark):
@@ -18,3 +23,37 @@ def test_bottleneck_over_tables(spark):
     routes = routes.select("trip_id", "position", F.col("edge_id").cast("long").alias("edge_id")).unionByName(spark.createDataFrame([(9, 0, 5)], "trip_id long, position int, edge_id long"))
     got = {r.trip_id: r.arrival_time for r in simulate_routes(departures, routes, edges, headway=1.0).collect()}
     assert [got[i] for i in range(6)] == [2, 6, 10, 14, 18, 23] and got[9] == 3
+
+
+def test_rounds_find_the_times_of_the_events(spark):
+    """Random routes over few narrow edges, some used by all, no two times equal: the relational form against the event model."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(e, 100.0 + 17 * e + rng.random(), 10.0, 1.0, None if e == 3 else rng.uniform(0.02, 0.1)) for e in range(8)], "edge_id long, length double, speed double, lanes double, flow double")
+    trips = [(t, 7.0 * t + rng.random()) for t in range(80)]
+    routes = [(t, k, e) for t, _ in trips for k, e in enumerate([0, *rng.sample(range(1, 8), rng.randint(1, 5))])]
+    departures, ways = spark.createDataFrame(trips, "trip_id long, departure double"), spark.createDataFrame(routes, "trip_id long, position int, edge_id long")
+    one = {r.trip_id: tuple(r)[1:] for r in simulate_routes(departures, ways, edges).collect()}
+    two = {r.trip_id: tuple(r)[1:] for r in simulate_events(departures, ways, edges).collect()}
+    assert one.keys() == two.keys() and sum(x[2] for x in one.values()) > 1000
+    assert all(one[t] == pytest.approx(two[t]) for t in one)
+
+
+@pytest.mark.parametrize("chunk", [3.0, 50.0, 1e6])
+def test_gates_by_stretches(spark, chunk):
+    rng = random.Random(6)
+    rows = [(rng.choice("abb"), float(rng.randint(0, 300)), k, rng.choice([0.0, 1.0, 4.0])) for k in range(300)]
+    table = spark.createDataFrame(rows, "edge_id string, t double, position int, s double")
+    got = {r.position: r.exit_time for r in gates.fifo_gate(table, "edge_id", "t", F.col("s"), chunk).collect()}
+    free, want = {}, {}
+    for e, t, k, s in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[k] = max(t, free.get(e, 0.0))
+        free[e] = want[k] + s
+    assert got == pytest.approx(want)
+
+
+def test_too_large_a_component_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(within_day, "MOST_LEGS", 2)
+    edges = spark.createDataFrame([(0, 1.0, 1.0, 1.0, None)], "edge_id long, length double, speed double, lanes double, flow double")
+    trips = spark.createDataFrame([(t, 0.0) for t in range(3)], "trip_id long, departure double")
+    with pytest.raises(ValueError, match="more than one worker holds"):
+        simulate_events(trips, trips.select("trip_id", F.lit(0).alias("position"), F.lit(0).cast("long").alias("edge_id")), edges)

@@ -193,8 +193,12 @@ class Graph:
         return meet(forward, backward, self.link)
 
 
-def interval_search(origin, ways, targets=None, hops=None, without=None, stall=None) -> tuple[dict, dict]:
-    """Labels (least, greatest) and up to two predecessors by least value; ``ways(node)`` gives (edge, to, function).
+def bounds(f: Function) -> tuple[float, float]:
+    return (f, f) if isinstance(f, float) else (float(np.min(f)), float(np.max(f)))
+
+
+def interval_search(origin, ways, targets=None, hops=None, without=None, stall=None, bound=np.inf) -> tuple[dict, dict]:
+    """Labels (least, greatest) and up to two predecessors by least value; ``ways(node)`` gives (edge, to, function).  Nothing above ``bound`` is searched.
 
     With ``stall(node)``, the (other node, function) of ways into the node that the search itself does not take, a node is not searched on
     from if such a way is faster at its greatest value than the node's label at its least.
@@ -213,16 +217,16 @@ def interval_search(origin, ways, targets=None, hops=None, without=None, stall=N
                 break
         if hops is not None and steps[node] >= hops:
             continue
-        if stall and any(m in label and label[m][1] + float(np.max(f)) < low for m, f in stall(node)):
+        if stall and any(m in label and label[m][1] + bounds(f)[1] < low for m, f in stall(node)):
             continue
         high = label[node][1]
         for edge, to, f in ways(node):
             if to == without:
                 continue
-            least, most = float(np.min(f)), float(np.max(f))
+            least, most = bounds(f)
             new = (low + least, high + most)
             old = label.get(to)
-            if old is not None and new[0] > old[1]:
+            if new[0] > bound or old is not None and new[0] > old[1]:
                 continue  # never the least
             seen = [x for x in before.get(to, ()) if x[0] != node]
             before[to] = sorted([*seen, (node, edge, new[0])], key=lambda x: x[2])[:2]

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from wayfare.operators.graph import Function, Graph, ProfileSide, corridor, interval_search, meet
+from wayfare.operators.graph import Function, Graph, ProfileSide, bounds, corridor, interval_search, meet
 
 #: Departures at which a witness is tried before its whole function.
 SAMPLES = 5
@@ -122,10 +122,11 @@ class Hierarchy:
         def ways(n):
             return ((None, to, w.f) for to, w in self._out[n].items() if to != without)
 
-        label, before = interval_search(source, ways, {target}, self.hops, without)
-        if target not in label or label[target][0] > float(np.max(new)):
+        low, high = bounds(new)
+        label, before = interval_search(source, ways, {target}, self.hops, without, bound=high)
+        if target not in label:
             return False
-        if label[target][1] <= float(np.min(new)):
+        if label[target][1] <= low:
             return True
         inside = corridor(before, target)
         if np.ndim(new):
@@ -134,8 +135,7 @@ class Hierarchy:
                 if self._spent(source, target, grid[k], inside, without) > new[k]:
                     return False
         side = ProfileSide(source, lambda n: ((to, w.f) for to, w in self._out[n].items() if to in inside and to != without), self.graph.link)
-        most = float(np.max(new))
-        while side.key <= most:
+        while side.key <= high:
             side.settle()
         return target in side.label and bool(np.all(side.label[target] <= new))
 

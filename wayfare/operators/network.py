@@ -101,3 +101,8 @@ def unknown_ends(trips: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id, trips of origins and destinations that the network does not have."""
     ends = trips.select(F.col("origin").alias("node_id")).unionAll(trips.select("destination"))
     return ends.join(nodes(edges), "node_id", "left_anti").groupBy("node_id").agg(F.count("*").alias("trips"))
+
+
+def unique_ends(pairs: DataFrame) -> DataFrame:
+    """Per unique vehicle: numbers of different origins and destinations of its pairs."""
+    return pairs.groupBy("uvehicle").agg(F.countDistinct("origin").alias("origins"), F.countDistinct("destination").alias("destinations"))

@@ -48,6 +48,12 @@ def algorithm(queries: int, sources: int, targets: int, nodes: int, simulator: b
     return "Intersect" if max(sources, targets) * (10 if simulator else 50) <= nodes else "TCH"
 
 
+def algorithm_column(queries, sources, targets, nodes, simulator: bool = False):
+    """``algorithm`` over rows of sizes."""
+    many = F.when(F.greatest(sources, targets) * (10 if simulator else 50) <= nodes, "Intersect").otherwise("TCH")
+    return many if simulator else F.when(queries <= 100, "Dijkstra").otherwise(many)
+
+
 def _types(edges: DataFrame) -> tuple[str, str]:
     kinds = dict(edges.dtypes)
     return kinds["source"], kinds["edge_id"]
@@ -95,10 +101,10 @@ def _answers(queries: DataFrame, edges: DataFrame, found, with_route: bool) -> D
     return out.withColumn("arrival_time", F.nanvl("arrival_time", F.lit(None).cast("double")))
 
 
-def earliest_arrivals(queries: DataFrame, edges: DataFrame, with_route: bool = True) -> DataFrame:
+def earliest_arrivals(queries: DataFrame, edges: DataFrame, with_route: bool = True, by_rounds: bool = False) -> DataFrame:
     """query_id, origin, destination, departure_time, arrival_time, route, seconds; the last three null if there is no way (of rounds of joins,
     seconds are never known)."""
-    if too_large(edges):
+    if by_rounds or too_large(edges):
         return _arrivals_by_rounds(queries, edges, with_route)
     graph = edges.sparkSession.sparkContext.broadcast(load_graph(edges))
     return _answers(queries, edges, lambda: graph.value.earliest_route, with_route)
@@ -115,6 +121,49 @@ def hierarchy_arrivals(queries: DataFrame, edges: DataFrame, hierarchy: Hierarch
     return _answers(queries, edges, found, with_route)
 
 
+def two_way_costs(queries: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same on constants, each query searched from both ends by turns."""
+    graph = edges.sparkSession.sparkContext.broadcast(load_graph(edges))
+
+    def found():
+        def search(o, t, x):
+            way = graph.value.two_way(o, t)
+            return (x + way[0], way[1]) if way else None
+
+        return search
+
+    return _answers(queries, edges, found, True)
+
+
+def reached_from(starts: DataFrame, edges: DataFrame, bound: float = float("inf"), hops: int | None = None) -> DataFrame:
+    """query_id, node, arrival_time of nodes reached from any start (query_id, node, arrival_time) of a query, before ``bound`` and over at most ``hops`` edges."""
+    node, _ = _types(edges)
+    graph = edges.sparkSession.sparkContext.broadcast(load_graph(edges))
+    listed = starts.groupBy("query_id").agg(F.collect_list(F.struct("node", "arrival_time")).alias("starts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for query, own in zip(batch["query_id"], batch["starts"], strict=True):
+                reached, _ = graph.value.earliest_from({r["node"]: r["arrival_time"] for r in own}, bound=bound, hops=hops)
+                yield pd.DataFrame({"query_id": query, "node": list(reached), "arrival_time": list(reached.values())})
+
+    return listed.mapInPandas(run, f"query_id {dict(starts.dtypes)['query_id']}, node {node}, arrival_time double")
+
+
+def interval_bounds(origins: DataFrame, edges: DataFrame) -> DataFrame:
+    """origin, node, least, greatest: bounds of the travel time at any departure."""
+    node, _ = _types(edges)
+    graph = edges.sparkSession.sparkContext.broadcast(load_graph(edges))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for origin in batch["origin"]:
+                label, _ = graph.value.intervals(origin)
+                yield pd.DataFrame([(origin, n, low, high) for n, (low, high) in label.items()], columns=["origin", "node", "least", "greatest"])
+
+    return origins.select("origin").distinct().mapInPandas(run, f"origin {node}, node {node}, least double, greatest double")
+
+
 def _arrivals_by_rounds(queries: DataFrame, edges: DataFrame, with_route: bool) -> DataFrame:
     node, edge = _types(edges)
     asked = queries.select("query_id", "origin", "destination", F.col("departure_time").cast("double").alias("departure_time"))

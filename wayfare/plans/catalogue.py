@@ -6,6 +6,7 @@ from the raw tables.  Doubles are rounded to six decimals on both sides.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql:
             text = sql
-            for name in ("EDGES", "GRID", "REQUESTS", "ALTERNATIVES", "VEHICLES", "TRIPS", "ROUTES", "OBSERVED", "UTILITIES"):
+            for name in re.findall(r"<([A-Z_]+)>", text):
                 text = text.replace(f"<{name}>", getattr(d, name))
             ORACLES[f.__name__] = d.sql(text)
         return f
@@ -177,14 +178,30 @@ def fifo_gate(spark, sf_dir):
     return gates.fifo_gate(arrivals, "edge_id", "t", service).select("request_id", "edge_id", "t", r6("exit_time").alias("exit_time"))
 
 
-@query()
+def _layers() -> str:
+    """Layer by layer: a road's gate lets vehicles in one by one, in the order in which those before let them go."""
+    steps = ["l0 AS (SELECT r.trip_id, r.edge_id, departure + r.trip_id % 8191 / 8191e0 AS reach FROM <LAYER_ROUTES> r JOIN <TRIPS> t ON t.trip_id = r.trip_id WHERE position = 0)"]
+    for k in range(d.LAYERS):
+        steps.append(
+            f"""e{k} AS (SELECT *, before + max(reach - before) OVER (PARTITION BY edge_id ORDER BY reach, trip_id ROWS UNBOUNDED PRECEDING) AS entry
+    FROM (SELECT l.*, length / speed AS spent, coalesce(1e0 / (flow * lanes), 0e0) AS closing,
+      sum(coalesce(1e0 / (flow * lanes), 0e0)) OVER (PARTITION BY l.edge_id ORDER BY reach, trip_id ROWS UNBOUNDED PRECEDING) - coalesce(1e0 / (flow * lanes), 0e0) AS before FROM l{k} l JOIN <LAYER_EDGES> e ON e.edge_id = l.edge_id) q)"""
+        )
+        if k + 1 < d.LAYERS:
+            steps.append(f"l{k + 1} AS (SELECT e.trip_id, r.edge_id, entry + spent AS reach FROM e{k} e JOIN <LAYER_ROUTES> r ON r.trip_id = e.trip_id AND r.position = {k + 1})")
+    union = " UNION ALL ".join(f"SELECT trip_id, reach, entry, spent FROM e{k}" for k in range(d.LAYERS))
+    return f"WITH {', '.join(steps)} SELECT trip_id, round(max(entry + spent), 4) AS arrival_time, round(sum(spent), 4) AS road_time, round(sum(entry - reach), 4) AS in_bottleneck_time, 0e0 AS out_bottleneck_time FROM ({union}) a GROUP BY trip_id"
+
+
+@query(_layers())
 def supply_simulation(spark, sf_dir):
-    """Trips with given routes through the event model, one group for each component."""
+    """Trips with given routes over roads with bottlenecks, all of them joined to one another."""
     from wayfare.plans.within_day import simulate_routes
 
-    routes = d.frame(spark, sf_dir, d.ROUTES).select("trip_id", "position", "edge_id")
-    departures = d.frame(spark, sf_dir, d.TRIPS).select("trip_id", "departure")
-    return simulate_routes(departures, routes, d.frame(spark, sf_dir, d.EDGES))
+    # a part of a second by trip, so that no two come to a gate at one time
+    departures = d.frame(spark, sf_dir, d.TRIPS).select("trip_id", (F.col("departure") + F.col("trip_id") % 8191 / 8191).alias("departure"))
+    got = simulate_routes(departures, d.frame(spark, sf_dir, d.LAYER_ROUTES), d.frame(spark, sf_dir, d.LAYER_EDGES))
+    return got.select("trip_id", *[F.abs(F.round(c, 4)).alias(c) for c in got.columns[1:]])
 
 
 # --- scalar formulas -----------------------------------------------------------------------
@@ -246,10 +263,10 @@ def trip_utility(spark, sf_dir):
 @query(
     """SELECT vehicle_id, edge_id, round(CASE kind WHEN 0 THEN least(speed, upper_bound) WHEN 1 THEN speed * coef
     ELSE CASE WHEN speed < 9 THEN speed WHEN speed > 11 THEN speed WHEN speed <= 10 THEN 8e0 + (speed - 9e0) * 1e0 ELSE 9e0 + (speed - 10e0) * 0.5e0 END END, 6) AS speed
-  FROM <VEHICLES> v CROSS JOIN <EDGES> e"""
+  FROM <VEHICLES> v JOIN <EDGES> e ON e.source = v.vehicle_id"""
 )
 def speed_function(spark, sf_dir):
-    both = d.frame(spark, sf_dir, d.VEHICLES).crossJoin(d.frame(spark, sf_dir, d.EDGES))  # 50 edges by definition
+    both = d.frame(spark, sf_dir, d.VEHICLES).join(d.frame(spark, sf_dir, d.EDGES), F.col("source") == F.col("vehicle_id"))
     kind = F.when(F.col("kind") == 0, "UpperBound").when(F.col("kind") == 1, "Multiplicator").otherwise("Piecewise")
     value = scalars.vehicle_speed(F.col("speed"), kind, F.col("upper_bound"), F.col("coef"), F.lit([9.0, 10.0, 11.0]), F.lit([8.0, 9.0, 9.5]))
     return both.select("vehicle_id", "edge_id", r6(value).alias("speed"))
@@ -340,7 +357,10 @@ def departure_grid(spark, sf_dir):
     return rows.select("agent_id", F.col("k").cast("bigint").alias("k"), "midpoint", choice.shifted_departure(F.col("midpoint"), F.col("step") / 4, 21600.0, 25200.0).alias("departure_time"))
 
 
-@query()
+@query(
+    """SELECT agent_id, row_number() OVER (ORDER BY h, agent_id) <= floor(0.1e0 * count(*) OVER ()) AS updates
+  FROM (SELECT c_custkey AS agent_id, ('0x' || substr(md5('43:' || c_custkey::VARCHAR), 1, 15))::BIGINT AS h FROM customer) q"""
+)
 def update_mask(spark, sf_dir):
     """A tenth of all agents updates; which ones is decided by a hash."""
     return choice.update_mask(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("agent_id")), "agent_id", 0.1, 42, 1)
@@ -447,7 +467,7 @@ def looping_routes(spark, sf_dir):
     return network.looping_routes(d.frame(spark, sf_dir, d.ROUTES))
 
 
-@query("SELECT node_id, count(*)::BIGINT AS trips FROM (SELECT origin * 2 AS node_id FROM <TRIPS> t UNION ALL SELECT destination FROM <TRIPS> t) e WHERE node_id >= 25 GROUP BY node_id")
+@query("SELECT node_id, count(*)::BIGINT AS trips FROM (SELECT origin * 2 AS node_id FROM <TRIPS> t UNION ALL SELECT destination FROM <TRIPS> t) e WHERE node_id >= <NODES> GROUP BY node_id")
 def unknown_nodes(spark, sf_dir):
     trips = d.frame(spark, sf_dir, d.TRIPS).select((F.col("origin") * 2).alias("origin"), "destination")
     return network.unknown_ends(trips, d.frame(spark, sf_dir, d.EDGES))
@@ -464,7 +484,7 @@ def stopping_time(spark, sf_dir):
     return stops.select("trip_id", r6(scalars.total_stopping_time(F.lit(30.0), F.col("stops"))).alias("stopping_time"))
 
 
-@query("SELECT 100::BIGINT AS functions, 50::BIGINT AS constants, count(*)::BIGINT AS points FROM <GRID> g")
+@query("SELECT count(DISTINCT edge_id)::BIGINT * 2 AS functions, count(DISTINCT edge_id)::BIGINT AS constants, count(*)::BIGINT AS points FROM <GRID> g")
 def weights_complexity(spark, sf_dir):
     both = _functions(spark, sf_dir, "y")
     constants = both.select("edge_id", pwl.constant(F.lit(1.0)).cast(pwl.TYPE).alias("ttf"))
@@ -477,81 +497,6 @@ def travel_counts(spark, sf_dir):
     return summary.travel_counts(d.frame(spark, sf_dir, d.TRIPS).select("agent_id", F.when(road, "Road").otherwise("Virtual").alias("class_type"), F.when(road, F.col("trip_id") % 7).alias("nb_edges")))
 
 
-# --- routing -------------------------------------------------------------------------------
-
-_PATHS = """WITH RECURSIVE e AS (SELECT edge_id, source, target, length / speed AS c FROM <EDGES> q),
-  p AS (SELECT n_nationkey::BIGINT AS origin, n_nationkey::BIGINT AS node, 0e0 AS cost, 0 AS hops FROM nation UNION ALL SELECT origin, target, cost + c, hops + 1 FROM p JOIN e ON e.source = p.node WHERE hops < 12)
-  SELECT origin, node AS destination, round(min(cost), 6) AS cost FROM p GROUP BY ALL"""
-
-
-@query(_PATHS)
-def shortest_path(spark, sf_dir):
-    """All pairs on free-flow times, one search for each origin."""
-    from wayfare.operators import routing
-
-    edges = d.frame(spark, sf_dir, d.EDGES).select("edge_id", "source", "target", pwl.constant(F.col("length") / F.col("speed")).alias("ttf"))
-    nodes = network.nodes(edges)
-    queries = nodes.select(F.col("node_id").alias("origin"), F.lit(0.0).alias("departure_time"))
-    got = routing.one_to_all(queries, edges)
-    return got.select("origin", F.col("node").alias("destination"), r6("arrival_time").alias("cost"))
-
-
-@query(_PATHS)
-def shortest_path_relational(spark, sf_dir):
-    """The same by rounds of joins, for graphs beyond one machine."""
-    from wayfare.operators import routing
-
-    edges = d.frame(spark, sf_dir, d.EDGES).select("edge_id", "source", "target", pwl.constant(F.col("length") / F.col("speed")).alias("ttf"))
-    starts = network.nodes(edges).select(F.col("node_id").alias("query_id"), F.col("node_id").alias("node"), F.lit(0.0).alias("arrival_time"))
-    got = routing.relax(starts, edges)
-    return got.select(F.col("query_id").alias("origin"), F.col("node").alias("destination"), r6("arrival_time").alias("cost"))
-
-
-@query(
-    """WITH RECURSIVE g AS (SELECT a.edge_id, a.source, a.target, a.k, a.x, a.y, coalesce(b.y, a.y) AS y1 FROM <GRID> a LEFT JOIN <GRID> b ON b.edge_id = a.edge_id AND b.k = a.k + 1),
-  p AS (SELECT n_nationkey::BIGINT AS query_id, n_nationkey::BIGINT AS node, 3000e0 * n_nationkey AS t, 0 AS hops FROM nation UNION ALL
-    SELECT query_id, target, t + y + CASE WHEN k = 24 THEN 0e0 ELSE (t - x) / 3600e0 * (y1 - y) END, hops + 1 FROM p JOIN g ON g.source = p.node AND g.k = least(floor(t / 3600e0)::BIGINT, 24) WHERE hops < 12)
-  SELECT query_id, node AS destination, round(min(t), 6) AS arrival_time FROM p WHERE node = (query_id * 3 + 5) % 25 GROUP BY ALL"""
-)
-def earliest_arrival(spark, sf_dir):
-    """One time-dependent query from each node."""
-    from wayfare.operators import routing
-
-    edges = d.frame(spark, sf_dir, d.GRID).select("edge_id", "source", "target").distinct().join(_functions(spark, sf_dir, "y").withColumnRenamed("y", "ttf"), "edge_id")
-    nodes = network.nodes(edges).select(F.col("node_id").alias("query_id"), F.col("node_id").alias("origin"), ((F.col("node_id") * 3 + 5) % 25).alias("destination"), (F.col("node_id") * 3000.0).alias("departure_time"))
-    got = routing.earliest_arrivals(nodes, edges)
-    return got.select("query_id", "destination", r6("arrival_time").alias("arrival_time"))
-
-
-@query()
-def profile_query(spark, sf_dir):
-    """Travel time as a function of departure between pairs of nodes."""
-    from wayfare.operators import routing
-
-    edges = d.frame(spark, sf_dir, d.GRID).select("edge_id", "source", "target").distinct().join(_functions(spark, sf_dir, "y").withColumnRenamed("y", "ttf"), "edge_id")
-    pairs = network.nodes(edges).select(F.col("node_id").alias("origin"), ((F.col("node_id") * 3 + 5) % 25).alias("destination"))
-    got = routing.profiles(pairs, edges)
-    return _long(got, F.col("ttf"), "origin", "destination")
-
-
-@query(
-    """WITH g AS (SELECT a.edge_id, a.source, a.target, a.k, a.x, a.y, coalesce(b.y, a.y) AS y1 FROM <GRID> a LEFT JOIN <GRID> b ON b.edge_id = a.edge_id AND b.k = a.k + 1),
-  f AS (SELECT t.trip_id, t.destination, g.target AS hub, t.departure + g.y + (t.departure - g.x) / 3600e0 * (g.y1 - g.y) AS at_hub FROM <TRIPS> t JOIN g ON g.source = t.origin AND g.k = floor(t.departure / 3600e0)::BIGINT),
-  b AS (SELECT trip_id, at_hub + h.y + CASE WHEN h.k = 24 THEN 0e0 ELSE (at_hub - h.x) / 3600e0 * (h.y1 - h.y) END AS arrival FROM f JOIN g h ON h.source = f.hub AND h.target = f.destination AND h.k = least(floor(at_hub / 3600e0)::BIGINT, 24))
-  SELECT trip_id, round(min(arrival), 6) AS arrival_time FROM b GROUP BY trip_id"""
-)
-def intersect_profile(spark, sf_dir):
-    """Earliest arrival over common hubs of forward and backward search spaces."""
-    from wayfare.operators import routing
-
-    labelled = d.frame(spark, sf_dir, d.GRID).select("edge_id", "source", "target").distinct().join(_functions(spark, sf_dir, "y").withColumnRenamed("y", "ttf"), "edge_id")
-    forward = labelled.select(F.col("source").alias("node"), F.col("target").alias("hub"), "ttf")
-    backward = labelled.select(F.col("target").alias("node"), F.col("source").alias("hub"), "ttf")
-    queries = d.frame(spark, sf_dir, d.TRIPS).select(F.col("trip_id").alias("query_id"), "origin", "destination", F.col("departure").alias("departure_time"))
-    got = routing.intersect_arrivals(queries, forward, backward)
-    return got.select(F.col("query_id").alias("trip_id"), r6("arrival_time").alias("arrival_time"))
-
-
 # --- learning ------------------------------------------------------------------------------
 
 
@@ -636,3 +581,6 @@ def prev_iteration_diff(spark, sf_dir):
     now = c.select(key.alias("agent_id"), (key % 3).alias("selected_alt_id"), (key % 700).cast("double").alias("departure_time"))
     before = c.select(key.alias("agent_id"), (key % 2).alias("selected_alt_id"), (key % 500).cast("double").alias("departure_time"))
     return summary.previous_differences(now, before)
+
+
+from wayfare.plans import catalogue_day, catalogue_functions, catalogue_routing, catalogue_tables  # noqa: E402, F401 (they register their queries)

@@ -19,7 +19,7 @@ from wayfare.functions import pwl, scalars
 from wayfare.operators import choice, learning, network, routing, summary
 from wayfare.plans import report
 from wayfare.plans.parameters import SimulationParameters, simulation_parameters
-from wayfare.plans.within_day import components
+from wayfare.plans.within_day import MOST_LEGS, components, queue_steps
 from wayfare.sources import sinks, tables
 from wayfare.sources.shared import cut
 from wayfare.streaming import gates
@@ -53,7 +53,13 @@ def load(spark: SparkSession, p: SimulationParameters) -> World:
         tables.require_unique(table, name)
         return cut(table, name)
 
-    agents, alternatives, trips, edges, vehicles = (get(n) for n in ("agents", "alternatives", "trips", "edges", "vehicle_types"))
+    return world(spark, p, {n: get(n) for n in ("agents", "alternatives", "trips", "edges", "vehicle_types")})
+
+
+def world(spark: SparkSession, p: SimulationParameters, given: dict[str, DataFrame | None]) -> World:
+    """The checked world of logical tables (agents, alternatives, and maybe trips, edges, vehicle_types)."""
+    files = p.input_files
+    agents, alternatives, trips, edges, vehicles = (given.get(n) for n in ("agents", "alternatives", "trips", "edges", "vehicle_types"))
     if (edges is None) != (vehicles is None):
         raise ValueError("edges and vehicle_types are needed together")
     if edges is not None and p.road_network is None:
@@ -351,16 +357,67 @@ def expected_legs(w: World, choices: DataFrame, weights: DataFrame | None, graph
 _OUT = "kind string, agent_id {agent}, trip_index int, leg_departure double, leg_arrival double, road_time double, in_time double, out_time double, exp_arrival double, trip_arrival double, edges array<{edge}>, entries array<double>, edge_id {edge}, t double, y double"
 
 
+def _only_queues(w: World, legs: DataFrame) -> bool:
+    """Whether edges do no more than make vehicles wait at their gates, and all routes are known: no spillback, no speed that depends on others, all may overtake."""
+    if w.edges is None or w.p.road_network.spillback:
+        return False
+    return w.edges.where("speed_density_type <> 'FreeFlow' or not overtaking or bottleneck_flows is not null").isEmpty() and legs.where("class_type = 'Road' and leg_route is null").isEmpty()
+
+
+def within_day_queues(w: World, legs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same as ``within_day`` by rounds of window functions over all legs."""
+    delays = w.alternatives.select("agent_id", "alt_id", "origin_delay")
+    legs = legs.join(delays, ["agent_id", "alt_id"])
+    spent = F.when(F.col("class_type") == "Virtual", F.coalesce("class_travel_time", F.lit(0.0))).otherwise(0.0)
+    # what passes between the edges of a trip: stops and virtual legs, and the origin's delay before the first leg
+    order = Window.partitionBy("agent_id").orderBy("trip_index")
+    pause = F.coalesce(F.lag("stopping_time").over(order), F.col("origin_delay"))
+    idle = F.sum(pause + F.coalesce(F.lag("virtual_time").over(order), F.lit(0.0))).over(order)
+    legs = cut(legs.withColumn("virtual_time", spent).withColumn("idle", idle), "timed_legs")
+    open_edges = _open_edges(w).select("uvehicle", "edge_id", _time_at(F.lit(0.0)).alias("spent"), "bottleneck_flow", "lanes")
+    types = w.vehicles.select(F.col("vehicle_id").alias("class_vehicle"), F.col("pce").alias("own_pce"))
+    steps = legs.where("class_type = 'Road'").select("agent_id", "trip_index", "departure", "idle", "uvehicle", "class_vehicle", F.posexplode("leg_route").alias("k", "edge_id"))
+    closing = scalars.closing_time(F.col("own_pce"), F.col("bottleneck_flow"), F.col("lanes"))
+    steps = steps.join(open_edges, ["uvehicle", "edge_id"]).join(types, "class_vehicle")
+    place = F.struct("trip_index", "k")
+    gap = F.col("idle") - F.coalesce(F.lag("idle").over(Window.partitionBy("agent_id").orderBy("trip_index", "k")), F.lit(0.0))
+    rows = steps.select(F.col("agent_id").alias("trip_id"), place.alias("position"), "edge_id", "departure", gap.alias("gap"), "spent", closing.alias("closing"))
+    done = cut(queue_steps(rows, w.p.road_network.constrain_inflow), "queues").withColumn("trip_index", F.col("position.trip_index")).withColumnRenamed("trip_id", "agent_id")
+    per_leg = done.groupBy("agent_id", "trip_index").agg(
+        F.sum(F.col("at_exit") - F.col("entry_time")).alias("road_time"), F.sum(F.col("entry_time") - F.col("reach_time")).alias("in_time"), F.sum(F.col("exit_time") - F.col("at_exit")).alias("out_time"),
+        F.sort_array(F.collect_list(F.struct("position", "edge_id", "entry_time"))).alias("way"),
+    )
+    joined = legs.join(per_leg, ["agent_id", "trip_index"], "left")
+    own = F.coalesce(F.col("road_time") + F.col("in_time") + F.col("out_time"), F.lit(0.0)) + F.col("virtual_time")
+    moved = F.coalesce(F.sum(F.coalesce(F.col("road_time") + F.col("in_time") + F.col("out_time"), F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    leaves = F.col("departure") + F.col("idle") + moved
+    timed = joined.withColumn("leg_departure", leaves).withColumn("leg_arrival", F.col("leg_departure") + own)
+    ends = F.max(F.col("leg_arrival") + F.col("stopping_time")).over(Window.partitionBy("agent_id"))
+    is_road = F.col("class_type") == "Road"
+    zero, none = F.lit(0.0), F.lit(None)
+    edge = dict(w.edges.dtypes)["edge_id"]
+    out = timed.select(
+        F.lit("leg").alias("kind"), "agent_id", "trip_index", "leg_departure", "leg_arrival", *[F.coalesce(c, zero).alias(c) for c in ("road_time", "in_time", "out_time")], none.cast("double").alias("exp_arrival"), ends.alias("trip_arrival"),
+        F.when(is_road, F.coalesce(F.transform("way", lambda x: x["edge_id"]), F.array().cast(f"array<{edge}>"))).otherwise(F.array().cast(f"array<{edge}>")).alias("edges"),
+        F.coalesce(F.transform("way", lambda x: x["entry_time"]), F.array().cast("array<double>")).alias("entries"), none.cast(edge).alias("edge_id"), none.cast("double").alias("t"), none.cast("double").alias("y"),
+    )
+    seen = [done.select(F.lit(kind).alias("kind"), "edge_id", F.col(at).alias("t"), (F.col(to) - F.col(at)).alias("y")) for kind, at, to in (("entry", "reach_time", "entry_time"), ("exit", "at_exit", "exit_time"))]
+    return cut(out, "within_day"), cut(seen[0].unionByName(seen[1]), "observed")
+
+
 def within_day(w: World, legs: DataFrame, graphs: dict) -> tuple[DataFrame, DataFrame]:
     """Realized legs, and observations (kind entry, exit or length; edge_id, t, y) of all edges.
 
-    Trips fall into components by the edges of their routes.  If a trip routes itself at departure, all of them are one component.
+    Where edges are only queues the times are found relationally.  Else trips fall into components by the edges of their routes, each
+    one event simulation; if a trip routes itself at departure, all of them are one component.
     """
     road = w.p.road_network
     late = w.alternatives.select("agent_id", "alt_id", "pre_compute_route")
     legs = legs.join(late, ["agent_id", "alt_id"])
     routed = legs.where("class_type = 'Road'").select(F.col("agent_id").alias("trip_id"), F.explode("leg_route").alias("edge_id"))
     whole = legs.where("not pre_compute_route and class_type = 'Road' and class_route is null").isEmpty()
+    if whole and _only_queues(w, legs):
+        return within_day_queues(w, legs)
     edge = dict(w.edges.dtypes)["edge_id"] if w.edges is not None else "bigint"
     if whole and w.edges is not None and not routed.isEmpty():
         parts = components(routed).select(F.col("trip_id").alias("agent_id"), F.col("component").cast("string").alias("component"))
@@ -411,7 +468,10 @@ def within_day(w: World, legs: DataFrame, graphs: dict) -> tuple[DataFrame, Data
         return pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
     agent = dict(w.agents.dtypes)["agent_id"]
-    with_delay = legs.join(w.alternatives.select("agent_id", "alt_id", "origin_delay"), ["agent_id", "alt_id"])
+    with_delay = cut(legs.join(w.alternatives.select("agent_id", "alt_id", "origin_delay"), ["agent_id", "alt_id"]), "grouped")
+    most = with_delay.groupBy("component").agg(F.sum(F.greatest(F.size(F.coalesce("leg_route", F.array())), F.lit(1))).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > MOST_LEGS:
+        raise ValueError(f"{most} legs act on one another, more than one worker holds ({MOST_LEGS})")
     done = cut(with_delay.groupBy("component").applyInPandas(run, _OUT.format(agent=agent, edge=edge)), "within_day")
     nulled = done.select("kind", "agent_id", "trip_index", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("leg_departure", "leg_arrival", "road_time", "in_time", "out_time", "exp_arrival", "trip_arrival")], "edges", "entries", "edge_id", "t", "y")
     return nulled.where("kind = 'leg'"), nulled.where("kind <> 'leg'").select("kind", "edge_id", "t", "y")

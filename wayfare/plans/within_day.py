@@ -1,14 +1,21 @@
-"""The within-day model over tables: components of trips that share edges, one event simulation each."""
+"""The within-day model over tables.
+
+Without spillback an edge only makes vehicles wait at its gates, in order.  ``queue_network`` then finds all times by rounds of window
+functions over edges and trips, with no group larger than a stretch of time of one edge.  With spillback an edge acts back on those before
+it; trips are split into components that share edges, and each is one event simulation, which must fit in a worker.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.functions import scalars
 from wayfare.sources.shared import cut
+from wayfare.streaming import gates
 from wayfare.streaming.supply import Edge, Leg, Simulation, Trip, Vehicle
 
 
@@ -35,12 +42,69 @@ def components(routes: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def simulate_routes(departures: DataFrame, routes: DataFrame, edges: DataFrame, headway: float = 7.0, **options) -> DataFrame:
+#: Legs on edges that one event simulation holds at most.
+MOST_LEGS = 5_000_000
+#: Seconds of the stretches that an edge's arrivals are summed up by, where one has more than ``MOST_AT_GATE`` of them.
+CHUNK = 900.0
+MOST_AT_GATE = 1_000_000
+
+
+def queue_network(departures: DataFrame, routes: DataFrame, edges: DataFrame, constrain_inflow: bool = True, chunk: float = CHUNK) -> DataFrame:
+    """trip_id, position, edge_id, reach_time, entry_time, at_exit, exit_time of trips with given routes, without spillback and at free flow."""
+    waits = scalars.closing_time(F.lit(1.0), F.col("flow"), F.col("lanes"))
+    spent = scalars.edge_travel_time(F.col("length"), F.col("speed"), F.coalesce("constant_travel_time", F.lit(0.0)) if "constant_travel_time" in edges.columns else F.lit(0.0))
+    known = edges.select("edge_id", spent.alias("spent"), waits.alias("closing"))
+    rows = routes.select("trip_id", "position", "edge_id").join(known, "edge_id").join(departures.select("trip_id", F.col("departure").cast("double").alias("departure")), "trip_id")
+    return queue_steps(rows.withColumn("gap", F.lit(0.0)), constrain_inflow, chunk)
+
+
+def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = CHUNK, rounds: int = 10_000) -> DataFrame:
+    """The rows (trip_id, position, edge_id, departure of the trip, gap before the edge, spent on it, closing of its gates) with reach_time, entry_time, at_exit, exit_time.
+
+    A vehicle waits at the entry gate (with ``constrain_inflow``) and at the exit gate of an edge, first come, first served, of equal times in the order of
+    trip_id and position.  Each round computes all gates from the times of the last one, at first those of an empty network.  A time
+    depends only on earlier ones, and a way over an edge takes time, so that each round settles more of them for good, and the times
+    that a round leaves unchanged are the only solution.
+    """
+    by_trip = Window.partitionBy("trip_id").orderBy("place")
+    whole = F.sum(F.col("gap") + F.col("spent")).over(by_trip.rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("place", F.col("position")).withColumn("position", F.struct("trip_id", "place"))
+    now = cut(placed.withColumn("reach_time", F.col("departure") + whole - F.col("spent")), "queue")
+    most = now.groupBy("edge_id").count().agg(F.max("count")).first()[0] or 0
+    chunk = chunk if most > MOST_AT_GATE else None
+    for _ in range(rounds):
+        entered = gates.fifo_gate(now, "edge_id", "reach_time", F.col("closing"), chunk, "entry_time") if constrain_inflow else now.withColumn("entry_time", F.col("reach_time"))
+        left = gates.fifo_gate(entered.withColumn("at_exit", F.col("entry_time") + F.col("spent")), "edge_id", "at_exit", F.col("closing"), chunk, "exit_time")
+        timed = cut(left.withColumn("next_reach", F.coalesce(F.lag("exit_time").over(by_trip), F.col("departure")) + F.col("gap")), "queue")
+        if timed.where(F.abs(F.col("next_reach") - F.col("reach_time")) > 1e-7).isEmpty():
+            return timed.withColumn("position", F.col("place")).drop("place", "next_reach")
+        now = timed.withColumn("reach_time", F.col("next_reach")).drop("next_reach", "entry_time", "at_exit", "exit_time")
+    raise RuntimeError("the times did not settle")
+
+
+def simulate_routes(departures: DataFrame, routes: DataFrame, edges: DataFrame, headway: float = 7.0, spillback: bool = False, constrain_inflow: bool = True, **options) -> DataFrame:
     """trip_id, arrival_time, road_time, in_bottleneck_time, out_bottleneck_time of trips with given routes.
 
-    ``edges`` has edge_id, length, speed, lanes, flow; it joins the rows of its component, so that no task sees all of it.
+    ``edges`` has edge_id, length, speed, lanes, flow.  Without spillback this is ``queue_network``; with it, ``simulate_events``.
+    """
+    if spillback or options:
+        return simulate_events(departures, routes, edges, headway, spillback=spillback, constrain_inflow=constrain_inflow, **options)
+    rows = queue_network(departures, routes, edges, constrain_inflow)
+    return rows.groupBy("trip_id").agg(
+        F.max("exit_time").alias("arrival_time"), F.sum(F.col("at_exit") - F.col("entry_time")).alias("road_time"),
+        F.sum(F.col("entry_time") - F.col("reach_time")).alias("in_bottleneck_time"), F.sum(F.col("exit_time") - F.col("at_exit")).alias("out_bottleneck_time"),
+    )
+
+
+def simulate_events(departures: DataFrame, routes: DataFrame, edges: DataFrame, headway: float = 7.0, **options) -> DataFrame:
+    """The same by the event model, one group for each component of trips; one of more than ``MOST_LEGS`` legs is an error.
+
+    The edges join the rows of their component, so that no task sees all of them.
     """
-    parts = components(routes)
+    parts = cut(components(routes), "components")
+    most = routes.join(parts, "trip_id").groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if most > MOST_LEGS:
+        raise ValueError(f"{most} legs share edges with one another, more than one worker holds ({MOST_LEGS})")
     rows = routes.join(departures, "trip_id").join(edges.select("edge_id", "length", "speed", "lanes", "flow"), "edge_id").join(parts, "trip_id")
     trip = dict(departures.dtypes)["trip_id"]
 

@@ -201,7 +201,20 @@ def unused(table: DataFrame, known: dict[str, str]) -> list[str]:
 
 def read(table: DataFrame, name: str) -> DataFrame:
     """The logical table ``name``: dots become underscores, defaults are filled, rules hold for every row or the query fails."""
-    types, keys, required = TABLES[name]
+    out, problem = _logical(table, name)
+    key = TABLES[name][1][0]
+    checked = F.when(problem.isNotNull(), F.raise_error(problem).cast(out.schema[key].dataType)).otherwise(F.col(key))
+    return out.withColumn(key, checked)
+
+
+def problems(table: DataFrame, name: str) -> DataFrame:
+    """Keys and the first broken rule of the rows that ``read`` would fail for."""
+    out, problem = _logical(table, name)
+    return out.select(*TABLES[name][1], problem.alias("problem")).where("problem is not null")
+
+
+def _logical(table: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    types, _, required = TABLES[name]
     if "row_index" not in table.columns:
         table = table.withColumn("row_index", F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")))
     for column in unused(table, types):
@@ -219,11 +232,10 @@ def read(table: DataFrame, name: str) -> DataFrame:
         default = DEFAULTS.get(name, {}).get(label)
         columns.append((found if default is None else F.coalesce(found, F.lit(default))).alias(label))
     out = table.select(*columns, "row_index")
-    problems = F.lit(None).cast("string")
+    problem = F.lit(None).cast("string")
     for condition, message in reversed([*RULES.get(name, []), *((f"{c.replace('.', '_')} is not null", f"{c} must not be null") for c in required)]):
-        problems = F.when(F.expr(f"not coalesce({condition}, true)"), F.lit(f"{name}: {message}")).otherwise(problems)
-    checked = F.when(problems.isNotNull(), F.raise_error(problems).cast(out.schema[keys[0]].dataType)).otherwise(F.col(keys[0]))
-    return out.withColumn(keys[0], checked)
+        problem = F.when(F.expr(f"not coalesce({condition}, true)"), F.lit(f"{name}: {message}")).otherwise(problem)
+    return out, problem
 
 
 def duplicates(table: DataFrame, name: str) -> DataFrame:
