@@ -87,8 +87,12 @@ def test_repeats(spark, crowded):
         assert len(r.spans) == np.sum(np.diff(np.concatenate([[0], covered.astype(int)])) == 1)
 
 
-def test_batches_are_scanned_against_all_before(spark):
-    """Batches one at a time, each step against brute force over what was added; levels grow geometrically."""
+@pytest.mark.parametrize("hot", [False, True])
+def test_batches_are_scanned_against_all_before(spark, hot):
+    """Batches one at a time, each step against brute force over what was added; levels grow geometrically.
+
+    With ``hot``, passages are frequent in one batch and single in others before or after it.
+    """
     rng = random.Random(15)
     passages = ["".join(rng.choice("abcdefgh ") for _ in range(330)) for _ in range(12)]
 
@@ -100,12 +104,17 @@ def test_batches_are_scanned_against_all_before(spark):
         return out
 
     scratch, rows = Scratch(spark, "t"), []
-    family = suffix.LevelFamily(scratch, buckets=3)
+    family = suffix.LevelFamily(scratch, buckets=3, least_hot=1 if hot else 256)
     schema = "doc_id long, text string"
+    common = ["".join(rng.choice("abcdefgh ") for _ in range(330)) for _ in range(2)]
+    # copies of the two passages in each batch
+    often = [(24, 1), (1, 0), (0, 24), (20, 20), (1, 1)] if hot else [(0, 0)] * 5
     for step, sizes in enumerate([[1], [1, 1], [2, 1], [2, 1, 1], [4, 1]]):
         batch = [(100 * step + i, text()) for i in range(8)]
+        batch += [(100 * step + 50 * k + 10 + i, "".join(rng.choice("ab ") for _ in range(i)) + common[k]) for k in (0, 1) for i in range(often[step][k])]
         family.add(suffix.anchors(spark.createDataFrame(batch, schema)))
-        assert [n for n, _ in family.levels] == sizes
+        assert [n for n, _, _ in family.levels] == sizes
+        assert hot or not any(level[2] for level in family.levels)
         rows += batch
         texts = {i: t.encode() for i, t in rows}
         seen = collections.Counter(t[s : s + 200] for t in texts.values() for s in range(len(t) - 199))
@@ -114,7 +123,8 @@ def test_batches_are_scanned_against_all_before(spark):
         assert got == {i: s for i, s in want.items() if s}
         entries = suffix.LevelFamily.hits(family).select("doc_id", "a").collect()
         assert len(entries) == len(set(entries))
-    plan = family.levels[0][1].join(family.levels[1][1].select("key").hint("merge"), "key", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert len(family.levels[0][2]) > 5 if hot else True
+    plan = family.levels[0][1].join(family.levels[1][1].select("key", "salt").hint("merge"), ["key", "salt"], "left_semi")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan  # levels are read along one another
 
 

@@ -51,10 +51,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def write_sorted(self, df: DataFrame, label: str, key: str, then: list[str], buckets: int) -> DataFrame:
-        """A table in buckets by ``key``, each sorted by key and ``then``: joins on the key of two such tables move no rows."""
+    def write_sorted(self, df: DataFrame, label: str, key: str | list[str], then: list[str], buckets: int) -> DataFrame:
+        """A table in buckets by ``key`` (one column or several), each sorted by key and ``then``: joins on the key of two such tables move no rows."""
         path, name = self.path(label), f"wayfare_{uuid.uuid4().hex}"
-        df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key, *then).saveAsTable(name)
+        keys = [key] if isinstance(key, str) else key
+        df.repartition(buckets, *keys).write.option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).sortBy(*keys, *then).saveAsTable(name)
         out = self.spark.table(name)
         out._scratch_path, out._scratch_table = path, name
         return out

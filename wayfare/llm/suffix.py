@@ -12,7 +12,7 @@ share a prefix of 64 bytes, and nothing shorter is compared.
   serves) are a suffix array, a table in sorted buckets.  A new batch's array is merge-scanned against itself and every level:
   a suffix is a hit as soon as its prefix is met a second time.  Then the array becomes a level of one batch; before the next
   batch, levels of equal size merge, so that n batches leave at most log2(n) + 1 levels and each batch is rewritten log2(n) times.
-  No earlier text is read again to add a batch.
+  No earlier text is read again to add a batch.  A prefix that much of a batch has is spread over all buckets.
 * ``spans``: if a hit's whole region occurs twice, all of its windows do.  Otherwise the
   region is *open*, and the windows of all different regions at that prefix are sorted
   (a dense suffix array of this prefix alone) and equal neighbours are matches.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.arrays import U64, mix, texts_of
@@ -40,6 +40,8 @@ LENGTH = 200
 GRAM = 64
 CROWDED = 256
 PIECE = 1 << 20
+#: Hot prefixes of a batch at most, and prefixes that the sketch follows to find them.
+HOT, TRACKED = 1000, 10000
 _MIXED = mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -113,52 +115,77 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 
 class LevelFamily:
-    """Levels of sorted suffixes.  ``add`` a batch and it is scanned against all before; ``hits`` are the suffixes whose prefix was met twice, each once."""
+    """Levels of sorted suffixes.  ``add`` a batch and it is scanned against all before; ``hits`` are the suffixes whose prefix was met twice, each once.
 
-    def __init__(self, scratch: Scratch, buckets: int | None = None):
+    A prefix with over a quarter of a bucket's mean share (and ``least_hot`` suffixes) is *hot*: its suffixes lie in all buckets, by a salt.
+    Being met twice in its own batch, it needs no scan: any suffix with a prefix that is hot in the batch or in a level is a hit.
+    """
+
+    def __init__(self, scratch: Scratch, buckets: int | None = None, least_hot: int = 256):
         self.scratch = scratch
         self.buckets = buckets or max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.least_hot = max(least_hot, 1)
+        #: Batches, table, hot prefixes of each level.
+        self.levels: list[tuple[int, DataFrame, frozenset[int]]] = []
         self.found: list[DataFrame] = []
 
     def add(self, suffixes: DataFrame) -> None:
         """One batch of anchors."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, new), (_, old) = self.levels.pop(), self.levels.pop()
-            self.levels.append((2 * size, self._sorted(old.unionByName(new))))
+            (size, new, some), (_, old, others) = self.levels.pop(), self.levels.pop()
+            self.levels.append((2 * size, self._sorted(old.unionByName(new), some | others), some | others))
             self.scratch.drop(old)
             self.scratch.drop(new)
             self.scratch.free_shuffles()
-        array = self._sorted(suffixes)
+        batch = self.scratch.write(suffixes.select(*COLUMNS), "batch")
+        own = self._hot(batch)
+        array = self._sorted(batch, own)
+        self.scratch.drop(batch)
         self.scratch.free_shuffles()
-        met = self._met(array)
-        again = array.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        hot = F.col("key").isin(sorted(own.union(*[x for _, _, x in self.levels])))
+        met = self._met(array, hot)
+        rest = array.where(~hot)
+        again = rest.groupBy("key", "salt").agg(F.count("*").alias("n")).where("n > 1").select("key", "salt")
         # a suffix alone with its prefix so far is a hit now; two and more were hits before
-        known = again if met is None else again.unionByName(met.select("key")).distinct()
-        hits = array.join(known.hint("merge"), "key", "left_semi").select(*COLUMNS)
+        known = again if met is None else again.unionByName(met.select("key", "salt")).distinct()
+        hits = rest.join(known.hint("merge"), ["key", "salt"], "left_semi").select(*COLUMNS).unionByName(array.where(hot).select(*COLUMNS))
         if met is not None:
             hits = hits.unionByName(met.where("n = 1").select(*COLUMNS))
         self.found.append(self.scratch.write(hits, "hits"))
         if met is not None:
             self.scratch.drop(met)
-        self.levels.append((1, array))
-
-    def _sorted(self, suffixes: DataFrame) -> DataFrame:
-        return self.scratch.write_sorted(suffixes.select(*COLUMNS), "array", "key", ["rh1", "rh2"], self.buckets)
-
-    def _met(self, array: DataFrame) -> DataFrame | None:
-        """key, n, and one suffix of each prefix of the array in the levels: each level is read along with the array, bucket by bucket."""
-        scans = [level.join(array.select("key").hint("merge"), "key", "left_semi") for _, level in self.levels]
-        if not scans:
+        self.levels.append((1, array, own))
+
+    def _hot(self, batch: DataFrame) -> frozenset[int]:
+        """Hot prefixes of a batch: candidates from a sketch of bounded size, counted exactly."""
+        row = batch.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(key, {HOT}, {TRACKED})").alias("top")).first()
+        most = max(row["n"] // (4 * self.buckets), self.least_hot)
+        often = [x["item"] for x in row["top"] or [] if x["count"] > most]
+        if not often:
+            return frozenset()
+        return frozenset(x["key"] for x in batch.where(F.col("key").isin(often)).groupBy("key").count().where(F.col("count") > most).collect())
+
+    def _sorted(self, suffixes: DataFrame, hot: frozenset[int]) -> DataFrame:
+        salt = F.when(F.col("key").isin(sorted(hot)), 1 + F.pmod(F.xxhash64("doc_id", "text_hash", "p"), F.lit(self.buckets))).otherwise(0).cast("int").alias("salt")
+        return self.scratch.write_sorted(suffixes.select(*COLUMNS, salt), "array", ["key", "salt"], ["rh1", "rh2"], self.buckets)
+
+    def _met(self, array: DataFrame, hot: Column) -> DataFrame | None:
+        """key, salt, n, and one suffix of each prefix of the array in the levels: each level is read along with the array, bucket by bucket; of
+        hot prefixes, of which there are few, the salts' counts are added."""
+        if not self.levels:
             return None
         each = [F.first(c).alias(c) for c in COLUMNS if c != "key"]
-        first = [s.groupBy("key").agg(F.count("*").alias("n"), *each) for s in scans]
-        merged = first[0]
-        for other in first[1:]:
-            merged = merged.unionByName(other)
-        if len(first) > 1:
-            merged = merged.groupBy("key").agg(F.sum("n").alias("n"), *each)
-        return self.scratch.write(merged, "met")
+        present = F.broadcast(array.where(hot).select("key").distinct())  # HOT a batch at most
+        wanted = array.where(~hot).select("key", "salt").hint("merge")
+        merged = few = None
+        for _, level, _ in self.levels:
+            counted = level.where(~hot).join(wanted, ["key", "salt"], "left_semi").groupBy("key", "salt").agg(F.count("*").alias("n"), *each)
+            crowd = level.where(hot).join(present, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"), *each)
+            merged, few = (counted, crowd) if merged is None else (merged.unionByName(counted), few.unionByName(crowd))
+        if len(self.levels) > 1:
+            merged = merged.groupBy("key", "salt").agg(F.sum("n").alias("n"), *each)
+            few = few.groupBy("key").agg(F.sum("n").alias("n"), *each)
+        return self.scratch.write(merged.unionByName(few.withColumn("salt", F.lit(0))), "met")
 
     def hits(self) -> DataFrame:
         out = self.found[0]
@@ -168,7 +195,7 @@ class LevelFamily:
 
     def drop_levels(self) -> None:
         """No batch comes any more."""
-        for _, level in self.levels:
+        for _, level, _ in self.levels:
             self.scratch.drop(level)
         self.levels = []
         self.scratch.free_shuffles()
