@@ -175,3 +175,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES |= {f.__name__: f for f in (op1_license_scan, op8_source_mixing, op10_benchmark_decontamination)}
 ORACLES |= {"op8_source_mixing": OP8_SQL}
+
+
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from wayfare.llm.html_text import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
+
+
+#: The tables' pages name their article; within it, blocks end at tags of paragraphs and headings.
+OP11_SQL = r"""
+WITH articles AS (SELECT page_id, url, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+lines AS (SELECT page_id, url, list_transform(string_split_regex(regexp_replace(body, '</?b>', '', 'g'), '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+  replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;', '&'), '&amp', '&'), '[\s\xA0]+', ' ', 'g'))) AS blocks FROM articles),
+texts AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)), '') AS text FROM lines)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
+"""
+
+QUERIES |= {"op11_main_text": op11_main_text}
+ORACLES |= {"op11_main_text": OP11_SQL}
