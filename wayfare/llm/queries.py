@@ -195,3 +195,36 @@ SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
 
 QUERIES |= {"op11_main_text": op11_main_text}
 ORACLES |= {"op11_main_text": OP11_SQL}
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    from wayfare.llm.trie import prefix_trie, rebuilt_sequences
+
+    return prefix_trie(rebuilt_sequences(_table(spark, sf_dir, "conversations")))
+
+
+#: CRC-32 by its bits; nodes by the digest of their turns, written with lengths.
+OP12_SQL = r"""
+WITH ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, b: list_reduce([xor(crc, b)] || [0::BIGINT for i in range(8)], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS rest FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT conv_id, base, xor(rest, 4294967295) % 9 AS h FROM ids),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS hash,
+    strlen(coalesce(text, ''))::BIGINT AS size FROM conversations WHERE conv_id IS NOT NULL),
+rebuilt AS (SELECT c.conv_id, k, hash, size FROM heads c JOIN turns t ON t.conv_id = c.base AND t.k <= h UNION ALL SELECT c.conv_id, k, hash, size FROM heads c JOIN turns t ON t.conv_id = c.conv_id AND t.k > h),
+paths AS (SELECT heads.conv_id, coalesce(list(hash ORDER BY k) FILTER (hash IS NOT NULL), []) AS path, coalesce(list(size ORDER BY k) FILTER (hash IS NOT NULL), []) AS sizes
+  FROM heads LEFT JOIN rebuilt ON heads.conv_id = rebuilt.conv_id GROUP BY heads.conv_id),
+prefixes AS (SELECT conv_id, unnest(range(len(path) + 1)) AS depth, path, sizes FROM paths),
+members AS (SELECT conv_id, depth, sha256(array_to_string(path[:depth], '')) AS node, CASE WHEN depth > 0 THEN sha256(array_to_string(path[:depth - 1], '')) END AS parent,
+  coalesce(sizes[depth], 0) AS size, len(path) = depth AS ends FROM prefixes),
+nodes AS (SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY node, depth),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+ancestors AS (SELECT DISTINCT low.node AS below, high.node AS node FROM members low JOIN members high ON low.conv_id = high.conv_id AND high.depth <= low.depth),
+sums AS (SELECT a.node, sum(n.saved)::BIGINT AS saved_tokens, count(*) FILTER (c.node IS NULL) AS n_leaves FROM ancestors a JOIN nodes n ON n.node = a.below LEFT JOIN children c ON c.node = a.below GROUP BY a.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON n.node = s.node LEFT JOIN children c ON n.node = c.node LEFT JOIN nodes p ON n.parent = p.node
+"""
+
+QUERIES |= {"op12_conversation_trie": op12_conversation_trie}
+ORACLES |= {"op12_conversation_trie": OP12_SQL}
