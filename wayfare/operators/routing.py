@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import pwl
+from wayfare.operators import rounds
 from wayfare.operators.graph import Graph, Grid
 from wayfare.operators.hierarchy import Hierarchy
 from wayfare.sources.shared import cut, cut_sorted
@@ -105,7 +106,7 @@ def earliest_arrivals(queries: DataFrame, edges: DataFrame, with_route: bool = T
     """query_id, origin, destination, departure_time, arrival_time, route, seconds; the last three null if there is no way (of rounds of joins,
     seconds are never known)."""
     if by_rounds or too_large(edges):
-        return _arrivals_by_rounds(queries, edges, with_route)
+        return rounds.arrivals_by_rounds(queries, edges, with_route).withColumn("seconds", F.lit(None).cast("double"))
     graph = edges.sparkSession.sparkContext.broadcast(load_graph(edges))
     return _answers(queries, edges, lambda: graph.value.earliest_route, with_route)
 
@@ -164,45 +165,14 @@ def interval_bounds(origins: DataFrame, edges: DataFrame) -> DataFrame:
     return origins.select("origin").distinct().mapInPandas(run, f"origin {node}, node {node}, least double, greatest double")
 
 
-def _arrivals_by_rounds(queries: DataFrame, edges: DataFrame, with_route: bool) -> DataFrame:
-    node, edge = _types(edges)
-    asked = queries.select("query_id", "origin", "destination", F.col("departure_time").cast("double").alias("departure_time"))
-    starts = asked.select("query_id", F.col("origin").alias("node"), F.col("departure_time").alias("arrival_time"))
-    labels = relax(starts, edges, wanted=asked.select("query_id", F.col("destination").alias("node")))
-    reached = labels.select("query_id", F.col("node").alias("destination"), "arrival_time")
-    out = asked.join(reached, ["query_id", "destination"], "left")
-    none = F.lit(None).cast(f"array<{edge}>")
-    if with_route:
-        routes = _routes_back(asked.join(reached.select("query_id", "destination"), ["query_id", "destination"]), labels, node, edge)
-        out = out.join(routes, "query_id", "left")
-    else:
-        out = out.withColumn("route", none)
-    return out.select("query_id", "origin", "destination", "departure_time", "arrival_time", "route", F.lit(None).cast("double").alias("seconds"))
-
-
-def _routes_back(asked: DataFrame, labels: DataFrame, node: str, edge: str, rounds: int = 10_000) -> DataFrame:
-    """query_id, route: from each destination over the last edges of the labels back to the origin, a step a round for all queries."""
-    # the labels' last edges in buckets, so that a step moves only the routes under way
-    steps = cut_sorted(labels.where("last_edge is not null").select("query_id", "node", "last_edge", "last_node"), "steps", "query_id", "node")
-    ways = cut(asked.select("query_id", "origin", F.col("destination").alias("node"), F.lit(None).cast(f"array<{edge}>").alias("route")).withColumn("route", F.array().cast(f"array<{edge}>")), "ways")
-    done = None
-    for _ in range(rounds):
-        there = ways.where(F.col("node") == F.col("origin")).select("query_id", "route")
-        done = there if done is None else done.unionByName(there)
-        left = ways.where(F.col("node") != F.col("origin"))
-        if left.isEmpty():
-            return done
-        moved = left.join(steps, ["query_id", "node"]).select("query_id", "origin", F.col("last_node").alias("node"), F.concat(F.array("last_edge"), F.col("route")).alias("route"))
-        ways = cut(moved, "ways")
-    raise RuntimeError("a route does not end")
-
-
-def profiles(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """origin, destination, ttf (null if there is no way): one search for each origin and all of its destinations.
+def profiles(pairs: DataFrame, edges: DataFrame, by_rounds: bool = False) -> DataFrame:
+    """origin, destination, ttf (null if there is no way): one search for each origin and all of its destinations, beyond one worker by rounds of joins.
 
     The destinations of an origin come in order, in lists of at most 1024 that are searched together; only an origin with more than that has
     a second search.
     """
+    if by_rounds or too_large(edges):
+        return rounds.profiles_by_rounds(pairs, edges)
     graph = edges.sparkSession.sparkContext.broadcast(load_graph(edges))
     return _profiles(pairs, edges, lambda: (graph.value.grid, graph.value.profile))
 
@@ -248,7 +218,7 @@ def _parts(f, grid: Grid | None) -> tuple:
     return grid.start, grid.interval, f.tolist(), None
 
 
-def relax(starts: DataFrame, edges: DataFrame, rounds: int = 10_000, wanted: DataFrame | None = None) -> DataFrame:
+def relax(starts: DataFrame, edges: DataFrame, most_rounds: int = 10_000, wanted: DataFrame | None = None) -> DataFrame:
     """query_id, node, arrival_time, last_edge, last_node of everything that the starts (query_id, node, arrival_time) reach, by rounds of joins.
 
     Only labels that improved move in a round.  Known labels lie in sorted buckets and are not rewritten but joined in
@@ -269,7 +239,7 @@ def relax(starts: DataFrame, edges: DataFrame, rounds: int = 10_000, wanted: Dat
             out = out.unionByName(other)
         return out.groupBy("query_id", "node").agg(F.min(F.struct("arrival_time", "last_edge", "last_node")).alias("x")).select("query_id", "node", "x.*")
 
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         moving = frontier
         if best is not None:
             known = least([base.join(best, ["query_id", "node"], "left_semi"), *[r.join(best, ["query_id", "node"], "left_semi") for r in recent]])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions import pwl
-from wayfare.operators import network, routing
+from wayfare.operators import hubs, network, routing
 from wayfare.plans import derived as d
 from wayfare.plans import routing_job
 from wayfare.plans.catalogue import _functions, _long, query, r6
@@ -105,6 +105,29 @@ def profile_query(spark, sf_dir):
     return _long(got, F.col("ttf"), "origin", "destination")
 
 
+PROFILES = (
+    _TIMED.format(starts=f"(SELECT query_id, n_nationkey AS k0, origin, destination, 3600e0 * n_nationkey AS start FROM {_ASKED} a CROSS JOIN nation) s")
+    + ", f AS (SELECT query_id AS origin, destination, k0::BIGINT AS k, min(t - start) AS value FROM p WHERE node = destination GROUP BY ALL)"
+    + " SELECT origin, destination, k, round(value, 6) AS value FROM f WHERE (origin, destination) IN (SELECT (origin, destination) FROM f GROUP BY origin, destination HAVING max(value) > min(value) + 1e-6)"
+)
+
+
+@query(PROFILES)
+def profile_query_relational(spark, sf_dir):
+    """The same by rounds of joins over vectors of arrivals, for graphs beyond one worker."""
+    got = routing.profiles(_asked(spark, sf_dir).select("origin", "destination"), _timed(spark, sf_dir), by_rounds=True)
+    return _long(got, F.col("ttf"), "origin", "destination")
+
+
+@query(_TIMED.format(starts=f"(SELECT s.o_orderkey AS query_id, 0 AS k0, origin, destination, departure AS start FROM orders s JOIN <TRIPS> t ON t.trip_id = s.o_orderkey WHERE s.o_orderkey % 100 = 0) s") + " SELECT query_id, round(min(t), 6) AS arrival_time FROM p WHERE node = destination GROUP BY ALL")
+def departures_together(spark, sf_dir):
+    """Every hundredth trip at its own departure, those of one origin and hour in one search by rounds of joins over the varying functions."""
+    trips = d.frame(spark, sf_dir, d.TRIPS).where("trip_id % 100 = 0")
+    queries = trips.select(F.col("trip_id").alias("query_id"), "origin", "destination", F.col("departure").alias("departure_time"))
+    got = routing.earliest_arrivals(queries, _timed(spark, sf_dir), with_route=False, by_rounds=True)
+    return got.where("arrival_time is not null").select("query_id", r6("arrival_time").alias("arrival_time"))
+
+
 @query(_ARRIVALS)
 def earliest_routes(spark, sf_dir):
     """Arrival times and the routes taken, as sums of their edges."""
@@ -147,28 +170,22 @@ def route_steps(spark, sf_dir):
     return by_query.select("query_id", F.get("way", F.lit(0))["source"].alias("starts_at"), F.element_at("way", -1)["target"].alias("ends_at"), breaks.cast("bigint").alias("breaks"), repeats.cast("bigint").alias("repeats"))
 
 
-@query(f"WITH RECURSIVE {_FREE} SELECT query_id, round(departure + cost, 6) AS arrival_time FROM {_ASKED} a JOIN paths p ON p.origin = a.origin AND p.destination = a.destination WHERE a.origin <> a.destination")
+@query(_TIMED.format(starts=f"(SELECT *, 0 AS k0, departure AS start FROM {_ASKED} a) s") + " SELECT query_id, round(min(t), 6) AS arrival_time FROM p WHERE node = destination GROUP BY ALL")
 def intersect_arrival(spark, sf_dir):
-    """Earliest arrivals over the hubs that the search spaces of a hierarchy share."""
-    edges = cut(_constant(spark, sf_dir), "edges")
-    asked, hierarchy = _asked(spark, sf_dir), routing.build_hierarchy(edges)
-    forward = routing.search_spaces(asked.select(F.col("origin").alias("node")), edges, True, hierarchy)
-    backward = routing.search_spaces(asked.select(F.col("destination").alias("node")), edges, False, hierarchy)
-    got = routing.intersect_arrivals(asked.where("origin <> destination"), forward, backward)
+    """Earliest arrivals on varying functions over the hubs that origin and destination share."""
+    got = hubs.hub_arrivals(_asked(spark, sf_dir), hubs.hub_labels(cut(_timed(spark, sf_dir), "edges")))
     return got.select("query_id", r6("arrival_time").alias("arrival_time"))
 
 
 _PAIRS = f"WITH RECURSIVE {_FREE} SELECT a.origin, a.destination, round(cost, 6) AS cost FROM {_ASKED} a JOIN paths p ON p.origin = a.origin AND p.destination = a.destination"
 
 
-@query(_PAIRS)
+@query(PROFILES)
 def intersect_profile(spark, sf_dir):
-    """Profiles over common hubs; on constants, one value each."""
-    edges = cut(_constant(spark, sf_dir), "edges")
-    pairs, hierarchy = _asked(spark, sf_dir).select("origin", "destination"), routing.build_hierarchy(edges)
-    forward = routing.search_spaces(pairs.select(F.col("origin").alias("node")), edges, True, hierarchy)
-    backward = routing.search_spaces(pairs.select(F.col("destination").alias("node")), edges, False, hierarchy)
-    return routing.intersect_profiles(pairs, forward, backward).select("origin", "destination", r6("ttf.cst").alias("cost"))
+    """Profiles on varying functions over common hubs, exact at the grid's points."""
+    pairs = _asked(spark, sf_dir).select("origin", "destination")
+    got = hubs.hub_profiles(pairs, hubs.hub_labels(cut(_timed(spark, sf_dir), "edges")), (0.0, 3600.0, 25))
+    return _long(got, F.col("ttf"), "origin", "destination")
 
 
 @query(_PAIRS)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import pwl
-from wayfare.operators import routing
-from wayfare.operators.hierarchy import Hierarchy
+from wayfare.operators import hubs, routing
 from wayfare.plans.parameters import RoutingParameters, routing_parameters
 from wayfare.sources import sinks, tables
 
@@ -24,42 +23,38 @@ def graph_edges(edges: DataFrame, ttfs: DataFrame | None) -> DataFrame:
 
 
 def strategy(queries: DataFrame, edges: DataFrame) -> str:
-    """By the number of queries, of their origins and destinations, and of nodes."""
+    """What the sizes suggest: by the number of queries, of their origins and destinations, and of nodes."""
     n = queries.agg(F.count("*").alias("n"), F.countDistinct("origin").alias("o"), F.countDistinct("destination").alias("d")).first()
     return routing.algorithm(n.n, n.o, n.d, edges.select(F.col("source").alias("x")).union(edges.select("target")).distinct().count())
 
 
-def answer(queries: DataFrame, edges: DataFrame, algorithm: str = "Best", hierarchy: Hierarchy | None = None, with_route: bool = False) -> tuple[DataFrame, DataFrame, str]:
+def answer(queries: DataFrame, edges: DataFrame, algorithm: str = "Best", labels: DataFrame | None = None, with_route: bool = False) -> tuple[DataFrame, DataFrame, str]:
     """Arrivals of queries with a departure time (query_id, arrival_time, route, seconds), profiles of the others (query_id, ttf), and the strategy taken.
 
-    A graph too large for one worker is searched by rounds of joins whatever the strategy.  The intersection of search spaces gives no routes.
+    All strategies give the same: "Best" and "Dijkstra" search, on the workers or beyond one of them by rounds of joins; "Intersect" and "TCH" meet at the hubs
+    of ``labels``, but routes, which labels do not hold, are searched for.
     """
-    if algorithm == "Best":
-        algorithm = strategy(queries, edges)
+    algorithm = "Dijkstra" if algorithm == "Best" else algorithm
     if algorithm not in ("Dijkstra", "Intersect", "TCH"):
         raise ValueError(f"unknown algorithm {algorithm}")
     timed, untimed = queries.where("departure_time is not null"), queries.where("departure_time is null")
     pairs = untimed.select("origin", "destination")
-    if algorithm == "Dijkstra" or routing.too_large(edges):
+    edge, none, found = dict(edges.dtypes)["edge_id"], F.lit(None), None
+    if algorithm != "Dijkstra" and labels is None:
+        labels = hubs.hub_labels(edges)
+    if algorithm == "Dijkstra" or (algorithm == "TCH" and with_route):
         arrivals = routing.earliest_arrivals(timed, edges, with_route)
-        found = None if untimed.isEmpty() else routing.profiles(pairs, edges)
     else:
-        hierarchy = hierarchy or routing.build_hierarchy(edges)
-        if algorithm == "TCH":
-            arrivals = routing.hierarchy_arrivals(timed, edges, hierarchy, with_route)
-            found = routing.hierarchy_profiles(pairs, edges, hierarchy)
-        else:
-            forward = routing.cut(routing.search_spaces(queries.select(F.col("origin").alias("node")), edges, True, hierarchy), "forward")
-            backward = routing.cut(routing.search_spaces(queries.select(F.col("destination").alias("node")), edges, False, hierarchy), "backward")
-            edge, none = dict(edges.dtypes)["edge_id"], F.lit(None)
-            reached = routing.intersect_arrivals(timed, forward, backward)
-            own = F.when(F.col("origin") == F.col("destination"), F.col("departure_time"))
-            arrivals = timed.join(reached, "query_id", "left").select("query_id", F.coalesce("arrival_time", own).alias("arrival_time"), none.cast(f"array<{edge}>").alias("route"), none.cast("double").alias("seconds"))
-            found = routing.intersect_profiles(pairs, forward, backward)
+        own = F.when(F.col("origin") == F.col("destination"), F.col("departure_time"))
+        arrivals = timed.join(hubs.hub_arrivals(timed, labels), "query_id", "left")
+        arrivals = arrivals.select("query_id", F.coalesce("arrival_time", own).alias("arrival_time"), none.cast(f"array<{edge}>").alias("route"), none.cast("double").alias("seconds"))
+    if not untimed.isEmpty():
+        found = routing.profiles(pairs, edges) if algorithm == "Dijkstra" else hubs.hub_profiles(pairs, labels, hubs.grid_of(edges))
     if found is None:
         profiles = untimed.select("query_id", F.lit(None).cast(pwl.TYPE).alias("ttf"))
     else:
-        profiles = untimed.select("query_id", "origin", "destination").join(found, ["origin", "destination"], "left").select("query_id", "ttf")
+        own = F.when(F.col("origin") == F.col("destination"), pwl.constant(F.lit(0.0)).cast(pwl.TYPE))
+        profiles = untimed.select("query_id", "origin", "destination").join(found, ["origin", "destination"], "left").select("query_id", F.coalesce("ttf", own).alias("ttf"))
     return arrivals.select("query_id", "arrival_time", "route", "seconds"), profiles, algorithm
 
 
@@ -87,31 +82,28 @@ def run(spark: SparkSession, parameters: RoutingParameters | str) -> dict:
     if "input_order" in files:
         listed = tables.read(tables.scan(spark, files["input_order"]), "input_order")
         tables.require_unique(listed, "input_order")
-        order = {r["node_id"]: r["order"] for r in listed.collect()}  # as large as the graph, which the workers hold
+        order = listed.select("node_id", "order")
     queries = tables.read(tables.scan(spark, files["queries"]), "queries")
     if queries.isEmpty():
         tables.log.warning("there are no queries")
         return {}
     tables.require_unique(queries, "queries")
     graph = graph_edges(edges, ttfs)
-    algorithm, hierarchy = strategy(queries, graph) if p.algorithm == "Best" else p.algorithm, None
-    wanted = p.output_order or p.output_overlay
-    if wanted or algorithm != "Dijkstra" and not routing.too_large(graph):
-        c = p.contraction
-        hierarchy = routing.build_hierarchy(graph, order, (c.edge_quotient_weight, c.hierarchy_depth_weight, c.unpacked_edges_quotient_weight, c.complexity_quotient_weight), c.thin_profile_interval_hop_limit)
+    graph = routing.cut(graph, "graph")
+    labels = routing.cut(hubs.hub_labels(graph, order), "labels") if p.output_overlay or p.algorithm in ("Intersect", "TCH") else None
     prepared = time.time()
-    arrivals, profiles, algorithm = answer(queries, graph, algorithm, hierarchy, p.output_route)
+    arrivals, profiles, algorithm = answer(queries, graph, p.algorithm, labels, p.output_route)
     arrivals = routing.cut(arrivals, "arrivals")
     sinks.write_table(arrivals.drop("seconds") if p.output_route else arrivals.drop("seconds", "route"), out, "ea_results", p.saving_format)
     sinks.write_table(profile_rows(profiles), out, "profile_results", p.saving_format)
     queried = time.time()
     times = queries.select("query_id").join(arrivals.select("query_id", "seconds"), "query_id", "left")
     sinks.write_table(times.where("seconds is not null"), out, "query_times", p.saving_format)
-    if p.output_order:
-        rows = spark.createDataFrame([(n, i) for n, i in hierarchy.order.items()], f"node_id {dict(edges.dtypes)['source']}, order bigint")
-        sinks.write_table(rows, out, "node_order", p.saving_format)
-    if p.output_overlay:
-        sinks.write_json(overlay(hierarchy), f"{out}/overlay.json")
+    if p.output_order or p.output_overlay:
+        ranked = order if order is not None else hubs.node_order(graph)
+        sinks.write_table(ranked, out, "node_order", p.saving_format)
+        if p.output_overlay:
+            sinks.write_json(overlay(labels, ranked), f"{out}/overlay.json")
     n = queries.agg(F.count("*").alias("n"), F.countDistinct("origin").alias("sources"), F.countDistinct("destination").alias("targets")).first()
     details = {"nb_queries": n.n, "nb_unique_sources": n.sources, "nb_unique_targets": n.targets, "algorithm": algorithm}
     details |= {"preprocessing_time": prepared - began, "query_time": queried - prepared, "average_time_per_query": (queried - prepared) / n.n, "total_time": time.time() - began}
@@ -121,13 +113,13 @@ def run(spark: SparkSession, parameters: RoutingParameters | str) -> dict:
     return details
 
 
-def overlay(hierarchy: Hierarchy) -> dict:
-    """Order, and the edges up and down with their functions and what they stand for."""
-
-    def listed(ways: dict, up: bool) -> list[dict]:
-        return [
-            {"source": n if up else m, "target": m if up else n, "ttf": w.f.tolist() if hasattr(w.f, "tolist") else w.f, "edges": w.size, "parts": w.parts}
-            for n, own in ways.items() for m, w in own.items()
-        ]
-
-    return {"order": [[n, i] for n, i in hierarchy.order.items()], "upward": listed(hierarchy.up, True), "downward": listed(hierarchy.down, False), "nb_edges": hierarchy.edges, "complexity": hierarchy.complexity}
+def overlay(labels: DataFrame, order: DataFrame) -> dict:
+    """Order, and the labels up to the hubs and down from them with their functions: one document, read row by row, for graphs of a size that such a file is asked for."""
+    listed: dict[str, list[dict]] = {"out": [], "in": []}
+    complexity = 0
+    for r in labels.where("hub <> node").toLocalIterator():
+        ends = (r.node, r.hub) if r.way == "out" else (r.hub, r.node)
+        listed[r.way].append({"source": ends[0], "target": ends[1], "departures": r.xs, "arrivals": r.ys})
+        complexity += len(r.xs)
+    ranks = [[r.node_id, r.order] for r in order.orderBy("order").toLocalIterator()]
+    return {"order": ranks, "upward": listed["out"], "downward": listed["in"], "nb_edges": len(listed["out"]) + len(listed["in"]), "complexity": complexity}

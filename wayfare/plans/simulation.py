@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import pwl, scalars
-from wayfare.operators import choice, learning, network, routing, summary
+from wayfare.operators import choice, hubs, learning, network, routing, summary
 from wayfare.plans import report
 from wayfare.plans.parameters import SimulationParameters, simulation_parameters
 from wayfare.plans.within_day import MOST_LEGS, components, queue_steps
@@ -169,37 +169,19 @@ def _leg_struct(ttf: F.Column) -> F.Column:
     return F.struct("trip_index", ttf.alias("ttf"), F.col("stopping_time").alias("stopping"), F.col("constant_utility").alias("constant"), *utility.values(), F.col("alpha").alias("alpha"), *schedule)
 
 
-#: Nodes beyond which "Best" does not contract on the driver but searches on the workers, once for each origin.
-MOST_NODES = 50_000
-
-
 def skims_of(w: World, pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """origin, destination, ttf of one vehicle's pairs by the strategy of the parameters.
+    """origin, destination, ttf of one vehicle's pairs by the strategy of the parameters; all of them are exact at the points of the grid.
 
-    "Best" is the intersection of search spaces if their nodes are few among all, else the hierarchy.  The intersection answers the pairs of
-    popular nodes only, the hierarchy the others.
+    "Best" and "Dijkstra" search once for each origin, on the workers or, for a graph beyond one of them, by rounds of joins; "Intersect" and "TCH"
+    meet at the hubs of labels, whose making pays where they are used again.
     """
     kind = w.p.road_network.algorithm_type if w.p.road_network else "Best"
-    if kind == "Best":
-        ends = pairs.agg(F.count("*").alias("n"), F.countDistinct("origin").alias("o"), F.countDistinct("destination").alias("d")).first()
-        nodes = network.nodes(edges).count()
-        kind = "Dijkstra" if nodes > MOST_NODES else routing.algorithm(ends.n, ends.o, ends.d, nodes, simulator=True)
-    if kind == "Dijkstra":
+    if kind in ("Best", "Dijkstra"):
         return routing.profiles(pairs, edges)
     if kind not in ("Intersect", "TCH"):
         raise ValueError(f"unknown algorithm_type {kind}")
-    c = w.p.road_network.contraction
-    hierarchy = routing.build_hierarchy(edges, None, (c.edge_quotient_weight, c.hierarchy_depth_weight, c.unpacked_edges_quotient_weight, c.complexity_quotient_weight), c.thin_profile_interval_hop_limit)
-    if kind == "TCH":
-        return routing.hierarchy_profiles(pairs, edges, hierarchy)
-    popular = network.popular_nodes(pairs)
-    both = pairs.join(popular.where("side = 'origin'").select(F.col("node").alias("origin")), "origin", "left_semi").join(popular.where("side = 'destination'").select(F.col("node").alias("destination")), "destination", "left_semi")
-    both = cut(both.select("origin", "destination").distinct(), "popular")
-    others = pairs.select("origin", "destination").join(both, ["origin", "destination"], "left_anti")
-    forward = cut(routing.search_spaces(both.select(F.col("origin").alias("node")), edges, True, hierarchy), "forward")
-    backward = cut(routing.search_spaces(both.select(F.col("destination").alias("node")), edges, False, hierarchy), "backward")
-    met = routing.intersect_profiles(both, forward, backward)
-    return both.join(met, ["origin", "destination"], "left").unionByName(routing.hierarchy_profiles(others, edges, hierarchy))
+    different = pairs.select("origin", "destination").distinct()
+    return different.join(hubs.hub_profiles(different, hubs.hub_labels(edges), hubs.grid_of(edges)), ["origin", "destination"], "left")
 
 
 def leg_functions(w: World, weights: DataFrame | None) -> DataFrame:
