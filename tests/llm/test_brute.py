@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from wayfare.llm import chat, decontaminate, licenses, mixing, simhash, sstable, suffix, tokens
 from wayfare.llm.arrays import Words
@@ -459,6 +460,16 @@ def test_targets(spark):
     assert {s: r.target for s, r in got.items()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("ids", ["null", "1", "doc_id % 3"])
+def test_sources_of_rows_without_ids_of_their_own_meet_their_targets(spark, ids):
+    """3,000 equal texts, half of them without an id, or with one that many have."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("elt(1 + int(id % 3), 'a', 'b', 'c')").alias("source"), F.lit("ten words " * 5).alias("text"))
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") < 1500, F.col("doc_id")).otherwise(F.expr(ids)))
+    rows = mixing.plan(docs).groupBy("source").agg(F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.first("mix_target").alias("target")).collect()
+    assert len(rows) == 3 and all(r.taken == pytest.approx(r.target, rel=0.05) for r in rows)
+    assert [r.mix_copies for r in mixing.plan(docs).orderBy("source", "doc_id").collect()].count(0) == [r.mix_copies for r in mixing.plan(docs).collect()].count(0)
+
+
 @pytest.mark.parametrize("prefix", ["", "# ", "// ", " * ", "-- ", "#"])
 def test_wrapped_licenses(prefix):
     scanner = licenses.LicenseScanner()

@@ -7,7 +7,8 @@ of (total - caps before) / (weights from here on), and a target is the lesser of
 A document is emitted floor(rate) times, rate being target / words of its source, and once more
 if a number drawn from a hash of seed and doc_id is below the fraction.
 
-A null text has no words; a source without words has rate 0; rows with equal doc_id draw alike; a null doc_id draws as the empty string.
+A null text has no words; a source without words has rate 0.  Rows without a doc_id, or with one that others have too, would draw alike, and a
+source full of them miss its target: these draw with their place in the table as it is read as well, so that the same files give the same mix.
 """
 
 from __future__ import annotations
@@ -41,23 +42,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return levels.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.col("level")).alias("target"))
 
 
-def copies(doc_id: Column, rate: Column, seed: int) -> Column:
+def copies(drawn_by: Column, rate: Column, seed: int) -> Column:
     """floor(rate), and one more with the fraction's probability."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), drawn_by))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
 def plan(docs: DataFrame, sizes: DataFrame | None = None, seed: int = 17, **options) -> DataFrame:
     """The rows of ``docs`` (or of ``sizes``: its doc_id, source and mix_size) with mix_size, mix_source_size, mix_target, mix_copies."""
-    rows = docs.withColumn("mix_size", word_count(F.col("text"))) if sizes is None else sizes
+    rows = (docs.withColumn("mix_size", word_count(F.col("text"))) if sizes is None else sizes).withColumn("mix_place", F.monotonically_increasing_id())
+    repeated = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("mix_id")).count().where("count > 1").select("mix_id")
     found = targets(rows.select("source", F.col("mix_size").alias("size")), **options)
     found = found.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     # written, so that Spark knows its size before the join and broadcasts it if it is below the threshold: no shuffle by source
-    found = Scratch(docs.sparkSession, "targets").write(found, "targets")
-    joined = rows.join(found, rows["source"].eqNullSafe(found["mix_source"])).drop("mix_source")
+    scratch = Scratch(docs.sparkSession, "targets")
+    found, repeated = scratch.write(found, "targets"), scratch.write(repeated, "repeated")
+    joined = rows.join(found, rows["source"].eqNullSafe(found["mix_source"])).drop("mix_source").join(repeated, F.col("doc_id") == F.col("mix_id"), "left")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
-    return joined.withColumn("mix_copies", copies(F.col("doc_id"), rate, seed))
+    alone = F.col("doc_id").isNotNull() & F.col("mix_id").isNull()
+    drawn_by = F.when(alone, F.col("doc_id").cast("string")).otherwise(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_place").cast("string")))
+    return joined.withColumn("mix_copies", copies(drawn_by, rate, seed)).drop("mix_id", "mix_place")
 
 
 def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
