@@ -207,6 +207,8 @@ BUCKET_BITS = 18
 WINDOW = 4
 #: Share of the positive class that training weighs rows to.
 PRIOR = 0.25
+#: Share of a positive window's subwords that a step leaves out, as a misspelling would: what is left must do.
+DROPPED = 0.4
 
 
 class SubwordBag:
@@ -215,7 +217,7 @@ class SubwordBag:
     Words that were never seen still have the vectors of their n-grams.  Averages
     are over all subwords of ``WINDOW`` words in a row, at every place (a shorter text is one window); a text is as toxic as its worst window,
     so that a few words count in a long text too, wherever they begin.  Training starts on whole-text averages and then
-    learns on the window that is worst so far.
+    learns on the window that is worst so far, of positive ones without some of its subwords, so that no single one carries a word.
     """
 
     def __init__(self, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray):
@@ -330,6 +332,8 @@ def train_bag(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 8, epo
                 bucket = bucket[edges[k] : edges[k + WINDOW]]
             all_of = len(bucket)
             bucket = bucket[kept[bucket]]
+            if epoch >= 2 and y:
+                bucket = bucket[random.random(len(bucket)) >= DROPPED]
             mean = vectors[bucket].sum(axis=0) / all_of
             logits = mean @ softmax + bias
             p = np.exp(logits - logits.max())
