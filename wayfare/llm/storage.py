@@ -2,8 +2,8 @@
 
 Every operator that needs a table twice writes it as Parquet below
 ``spark.checkpoint.dir``: files in a shared store survive a lost executor and cut
-the lineage.  Only where that setting is absent (tests, local runs) a temporary
-folder of this machine is used.
+the lineage.  Only where that setting is absent and Spark runs on this machine alone
+(tests) a temporary folder of it is used.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ ARROW_BATCH_BYTES = 8 * 1024 * 1024
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="wayfare-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
