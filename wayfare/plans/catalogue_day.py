@@ -16,9 +16,11 @@ from wayfare.sources.shared import cut
 #: Roads of a drive: from the customer's node on, two to four along the ring (the even edges).
 _KEY = "c_custkey"
 PERIOD = (0.0, 86400.0)
+CROWDED_FLOW = 0.001
 
 
-def _world(spark, sf_dir) -> simulation.World:
+def _world(spark, sf_dir, crowded: bool = False) -> simulation.World:
+    """The derived world; ``crowded``, every fifth node's road along the ring lets a vehicle in and out each thousand seconds and lane."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(_KEY)
     n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
     key = F.col(_KEY)
@@ -49,6 +51,8 @@ def _world(spark, sf_dir) -> simulation.World:
     ride = walk.withColumns({"alt_id": F.lit(1).cast("bigint"), "trip_id": F.lit(0).cast("bigint"), "class.travel_time": (600 + F.col("agent_id") % 900).cast("double"), "travel_utility.one": F.lit(-0.0015)})
     trips = road.unionByName(walk).unionByName(ride)
     edges = d.frame(spark, sf_dir, d.EDGES).select("edge_id", "source", "target", "speed", "length", "lanes", "constant_travel_time")
+    if crowded:
+        edges = edges.withColumn("bottleneck_flow", F.when(F.col("edge_id") % 10 == 0, F.lit(CROWDED_FLOW)))
     vehicles = spark.createDataFrame([(0, 8.0, "Base", None), (1, 16.0, "UpperBound", 9.0)], "`vehicle_id` bigint, `headway` double, `speed_function.type` string, `speed_function.upper_bound` double")
     given = {
         "agents": placed(agents, F.col("agent_id")), "alternatives": placed(alternatives, F.col("agent_id") * 3 + F.col("alt_id")), "trips": placed(trips, F.col("agent_id") * 6 + F.col("alt_id") * 2 + F.col("trip_id")),
@@ -61,8 +65,8 @@ def _world(spark, sf_dir) -> simulation.World:
 class _Day:
     """One iteration of the derived world, as the run loop makes it."""
 
-    def __init__(self, spark, sf_dir, before: _Day | None = None):
-        self.w = before.w if before else _world(spark, sf_dir)
+    def __init__(self, spark, sf_dir, before: _Day | None = None, crowded: bool = False):
+        self.w = before.w if before else _world(spark, sf_dir, crowded)
         self.free = before.free if before else cut(simulation.free_flow(self.w), "free_flow")
         self.weights = before.following if before else simulation.initial_weights(spark, self.w, self.free)
         graphs = simulation._graphs(self.w, self.weights)
@@ -215,3 +219,73 @@ def expected_course(spark, sf_dir):
     graphs = simulation._graphs(w, weights)
     got = simulation.expected_legs(w, simulation.decide(w, weights, graphs), weights, graphs)
     return got.select("agent_id", "trip_index", r6("leg_departure").alias("leg_departure"), r6("leg_arrival").alias("leg_arrival"))
+
+
+# --- a crowded day -------------------------------------------------------------------------
+
+#: No drive passes more than one crowded road: when it gets there is known, and the road's two gates are two queues.
+_CROWDED = f"""{_WORLD}, expected AS (SELECT * FROM legs),
+  steps AS (SELECT x.agent_id, i, e.edge_id, length / CASE WHEN x.agent_id % 2 = 1 THEN least(speed, 9e0) ELSE speed END + constant_travel_time AS spent, 1e0 / ({CROWDED_FLOW} * lanes) AS closing, x.departure_time
+    FROM expected x JOIN (SELECT unnest([0, 1, 2, 3]) AS i) n ON i <= x.agent_id % 3 + 1 JOIN <EDGES> e ON e.edge_id = 2 * ((x.agent_id + i) % <NODES>) WHERE x.kind = 'Road'),
+  reached AS (SELECT *, departure_time + sum(spent) OVER (PARTITION BY agent_id ORDER BY i ROWS UNBOUNDED PRECEDING) - spent AS reach FROM steps),
+  at_entry AS (SELECT *, sum(closing) OVER w - closing AS served FROM reached WHERE edge_id % 10 = 0 WINDOW w AS (PARTITION BY edge_id ORDER BY reach, agent_id ROWS UNBOUNDED PRECEDING)),
+  entered AS (SELECT *, served + max(reach - served) OVER (PARTITION BY edge_id ORDER BY reach, agent_id ROWS UNBOUNDED PRECEDING) AS entry FROM at_entry),
+  at_exit AS (SELECT *, sum(closing) OVER (PARTITION BY edge_id ORDER BY entry + spent, agent_id ROWS UNBOUNDED PRECEDING) - closing AS served_out FROM entered),
+  waits AS (SELECT agent_id, i AS at_step, entry - reach AS wait_in, served_out + max(entry + spent - served_out) OVER (PARTITION BY edge_id ORDER BY entry + spent, agent_id ROWS UNBOUNDED PRECEDING) - entry - spent AS wait_out FROM at_exit),
+  real AS (SELECT x.*, CASE WHEN x.kind = 'Road' THEN coalesce(wait_in, 0e0) END AS wait_in, CASE WHEN x.kind = 'Road' THEN coalesce(wait_out, 0e0) END AS wait_out, coalesce(w.wait_in + w.wait_out, 0e0) AS late,
+    x.arrival_time - x.departure_time AS exp_gone FROM expected x LEFT JOIN waits w ON w.agent_id = x.agent_id),
+  moved AS (SELECT agent_id, trip_id, trip_index, kind, departure_time + CASE WHEN trip_index = 1 THEN late ELSE 0e0 END AS departure_time, arrival_time + late AS arrival_time, travel_utility - CASE WHEN kind = 'Road' THEN 0.002e0 * late ELSE 0e0 END AS travel_utility,
+    spent, road_length, nb_edges, wait_in, wait_out, exp_gone, arrival_time AS exp_arrival FROM real)"""
+_CROWDED_AGENTS = """results AS (SELECT c.agent_id, any_value(c.alt_id) AS selected_alt_id, any_value(c.payoff) AS expected_utility, any_value(c.departure) AS departure_time, max(m.arrival_time) AS arrival_time, sum(m.arrival_time - m.departure_time) AS total_travel_time,
+  CASE WHEN any_value(c.alt_id) = 0 THEN sum(m.travel_utility) + any_value(d.bonus) - 0.0005e0 * sum(m.arrival_time - m.departure_time) - 0.0001e0 * greatest(40000e0 - max(m.arrival_time), 0e0) - 0.0002e0 * greatest(max(m.arrival_time) - 40000e0, 0e0) ELSE any_value(c.value) END AS utility,
+  any_value(c.value) AS alt_expected_utility, CASE WHEN any_value(c.alt_id) < 2 THEN count(*) FILTER (m.kind = 'Road') END::BIGINT AS nb_road_trips, CASE WHEN any_value(c.alt_id) < 2 THEN count(*) FILTER (m.kind = 'Virtual') END::BIGINT AS nb_virtual_trips
+  FROM chosen c LEFT JOIN moved m ON m.agent_id = c.agent_id LEFT JOIN drive d ON d.agent_id = c.agent_id GROUP BY c.agent_id)"""
+
+
+@query(
+    f"""WITH {_CROWDED} SELECT agent_id, trip_id, trip_index, round(departure_time, 6) AS departure_time, round(arrival_time, 6) AS arrival_time, round(travel_utility, 6) AS travel_utility, round(CASE WHEN kind = 'Road' THEN spent ELSE 0e0 END, 6) AS road_time,
+  round(coalesce(wait_in, 0e0), 6) AS in_bottleneck_time, round(coalesce(wait_out, 0e0), 6) AS out_bottleneck_time, round(CASE WHEN kind = 'Road' THEN spent END, 6) AS route_free_flow_travel_time, round(CASE WHEN kind = 'Road' THEN exp_arrival END, 6) AS pre_exp_arrival_time FROM moved"""
+)
+def crowded_trip_results(spark, sf_dir):
+    """Legs of a day with queues at the gates of every fifth road."""
+    t = _Day(spark, sf_dir, crowded=True).trips
+    waits = [F.abs(F.round(F.coalesce(c, F.lit(0.0)), 6)).alias(c) for c in ("in_bottleneck_time", "out_bottleneck_time")]
+    return t.select("agent_id", "trip_id", "trip_index", *[r6(c).alias(c) for c in ("departure_time", "arrival_time", "travel_utility", "road_time")], *waits, r6("route_free_flow_travel_time").alias("route_free_flow_travel_time"), r6("pre_exp_arrival_time").alias("pre_exp_arrival_time"))
+
+
+@query(
+    f"""WITH {_CROWDED} SELECT r.agent_id, edge_id, round(reach + CASE WHEN i = at_step THEN wait_in WHEN i > at_step THEN wait_in + wait_out ELSE 0e0 END, 6) AS entry_time,
+  round(coalesce(lead(reach + CASE WHEN i = at_step THEN wait_in WHEN i > at_step THEN wait_in + wait_out ELSE 0e0 END) OVER (PARTITION BY r.agent_id ORDER BY i), reach + spent + coalesce(wait_in + wait_out, 0e0)), 6) AS exit_time
+  FROM reached r LEFT JOIN waits w ON w.agent_id = r.agent_id"""
+)
+def crowded_route_results(spark, sf_dir):
+    """Roads taken that day, entered after the wait at their gate."""
+    rows = simulation.route_rows(_Day(spark, sf_dir, crowded=True).trips)
+    return rows.select("agent_id", "edge_id", r6("entry_time").alias("entry_time"), r6("exit_time").alias("exit_time"))
+
+
+@query(
+    f"""WITH {_CROWDED}, {_CROWDED_AGENTS} SELECT agent_id, selected_alt_id, round(expected_utility, 6) AS expected_utility, departure_time, round(arrival_time, 6) AS arrival_time, round(total_travel_time, 6) AS total_travel_time,
+  round(utility, 6) AS utility, round(alt_expected_utility, 6) AS alt_expected_utility FROM results"""
+)
+def crowded_agent_results(spark, sf_dir):
+    """What the queues make of everybody's day: realized against expected utility."""
+    a = _Day(spark, sf_dir, crowded=True).agents
+    return a.select("agent_id", "selected_alt_id", *[r6(c).alias(c) for c in ("expected_utility", "departure_time", "arrival_time", "total_travel_time", "utility", "alt_expected_utility")])
+
+
+_CROWDED_FIGURES = _FIGURES.replace(_four(_GONE, "road_trip_exp_travel_time", _ROAD), _four("exp_gone", "road_trip_exp_travel_time", _ROAD)) + ", " + ", ".join(
+    [_four("wait_in", "road_trip_in_bottleneck_time", _ROAD), _four("wait_out", "road_trip_out_bottleneck_time", _ROAD), _four(f"({_GONE} - spent) / spent", "road_trip_route_congestion", _ROAD), f"round(sqrt(avg(({_GONE} - exp_gone) ** 2) FILTER ({_ROAD})), 5) AS road_trip_exp_travel_time_diff_rmse"]
+)
+
+
+@query(f"WITH {_CROWDED}, {_CROWDED_AGENTS}, f AS (SELECT {_CROWDED_FIGURES} FROM moved), a AS (SELECT {_OVER_AGENTS} FROM results) SELECT * FROM f, a")
+def crowded_iteration_results(spark, sf_dir):
+    """The row of figures of that day, waits, congestion and errors of the expectation among them."""
+    day = _Day(spark, sf_dir, crowded=True)
+    row = simulation.iteration_row(1, day.agents, day.trips, [day.simulated, day.weights, day.weights])
+    counts = ["trip_alt_count", "no_trip_alt_count", "road_trip_count", "virtual_trip_count", *[f"nb_agents_{x}_{k}_trip{s}" for k in ("road", "virtual") for x, s in (("at_least_one", ""), ("all", "s"))]]
+    fours = [f"road_trip_{c}" for c in ("departure_time", "arrival_time", "travel_time", "road_time", "route_free_flow_travel_time", "length", "edge_count", "utility", "exp_travel_time", "in_bottleneck_time", "out_bottleneck_time", "route_congestion")]
+    fours += [f"virtual_trip_{c}" for c in ("departure_time", "arrival_time", "travel_time", "utility")] + ["surplus", "alt_departure_time", "alt_arrival_time", "alt_travel_time", "alt_utility", "alt_expected_utility", "constant_utility"]
+    rounded = [F.abs(F.round(F.col(f"{c}_{k}").cast("double"), 5)).alias(f"{c}_{k}") if "bottleneck" in c or "congestion" in c else F.round(F.col(f"{c}_{k}").cast("double"), 5).alias(f"{c}_{k}") for c in fours for k in ("mean", "std", "min", "max")]
+    return row.select(*[F.col(c).cast("bigint").alias(c) for c in counts], *rounded, F.round("road_trip_exp_travel_time_diff_rmse", 5).alias("road_trip_exp_travel_time_diff_rmse"))
