@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wayfare.functions import scalars
 from wayfare.plans import within_day
 from wayfare.plans.within_day import components, simulate_events, simulate_routes
 from wayfare.streaming import gates
+from wayfare.streaming.supply import Edge, Leg, Simulation, Trip, Vehicle
 
 
 def test_components(spark):
@@ -57,3 +59,67 @@ def test_too_large_a_component_is_an_error(spark, monkeypatch):
     trips = spark.createDataFrame([(t, 0.0) for t in range(3)], "trip_id long, departure double")
     with pytest.raises(ValueError, match="more than one worker holds"):
         simulate_events(trips, trips.select("trip_id", F.lit(0).alias("position"), F.lit(0).cast("long").alias("edge_id")), edges)
+
+
+def _events(edges, trips, routes, headway):
+    """Times (trip, position) → (entry, arrival of the trip) of the event model."""
+    ways = {}
+    for t, k, e in routes:
+        ways.setdefault(t, []).append(e)
+    done = Simulation(edges).run([Trip(t, x, [Leg(0, Vehicle(headway), route=ways[t])]) for t, x in trips])
+    return {(r.trip, k): at for r in done for k, (_, at) in enumerate(r.legs[0].route)} | {r.trip: r.arrival for r in done}
+
+
+def test_rounds_with_full_roads_and_changing_gates(spark):
+    """Speeds by occupied length and gates that change with time, some roads used by all: rounds against the event model."""
+    rng = random.Random(8)
+    times, flows = [0.0, 200.0, 400.0], [0.2031, 0.0307, 0.5113]  # no two times are equal
+    kinds = {e: ("Bottleneck", "ThreeRegimes", "FreeFlow")[e % 3] for e in range(8)}
+    lengths = {e: 150.0 + 17 * e + rng.random() for e in range(8)}
+
+    def density(kind):
+        def speed(base, occupied, total):
+            if kind == "Bottleneck":
+                return base if occupied <= 0.0937 * total / base else total / occupied * 0.0937
+            share = (occupied / total - 0.05) / 0.35
+            return base if share <= 0 else 2.0 if share >= 1 else min(base * (1 - share) + 2.0 * share, base)
+
+        return None if kind == "FreeFlow" else speed
+
+    def flow(t):
+        return flows[max(sum(x <= t for x in times) - 1, 0)]
+
+    trips = [(t, 4.0 * t + rng.random()) for t in range(100)]
+    routes = [(t, k, e) for t, _ in trips for k, e in enumerate([0, *rng.sample(range(1, 8), rng.randint(1, 5))])]
+    want = _events([Edge(e, lengths[e], 10.0, 1.0, flow if e in (0, 4) else None, density(kinds[e])) for e in range(8)], trips, routes, 12.0)
+    table = spark.createDataFrame(routes, "trip_id long, position int, edge_id long").join(spark.createDataFrame(trips, "trip_id long, departure double"), "trip_id")
+    table = table.join(spark.createDataFrame([(e, lengths[e], kinds[e]) for e in range(8)], "edge_id long, length double, kind string"), "edge_id")
+    gated = F.col("edge_id").isin(0, 4)
+    rows = table.withColumn("flow_times", F.when(gated, F.array(*map(F.lit, times))).otherwise(F.array(F.lit(0.0)))).withColumn("closings", F.when(gated, F.array(*[F.lit(1 / f) for f in flows])).otherwise(F.array(F.lit(0.0))))
+    rows = rows.withColumns({"gap": F.lit(0.0), "spent": F.col("length") / 10.0, "closing": F.lit(0.0), "headway": F.lit(12.0), "wave": F.lit(0.0)})
+
+    def spent_at(occupied):
+        return F.col("length") / scalars.congested_speed(F.lit(10.0), occupied, F.col("length"), F.col("kind"), F.lit(0.0937), F.lit(0.05), F.lit(0.4), F.lit(2.0), F.lit(1.0))
+
+    got = within_day.queue_steps(rows, spent_at=spent_at).collect()
+    assert sum(r.spent > r.length / 10 + 1 for r in got) > 50 and sum(r.exit_time + r.entry_time - r.at_exit - r.reach_time > 1 for r in got) > 50
+    assert all(r.entry_time == pytest.approx(want[r.trip_id, r.position]) for r in got)
+    last = {}
+    for r in got:
+        last[r.trip_id] = max(last.get(r.trip_id, 0.0), r.exit_time)
+    assert all(at == pytest.approx(want[t]) for t, at in last.items())
+
+
+@pytest.mark.parametrize("stages", [1, 2, 4])
+def test_gates_that_change_with_time(spark, stages):
+    rng = random.Random(stages)
+    times = sorted(rng.sample(range(0, 300), stages - 1) + [0])
+    closing = {e: [rng.choice([0.0, 1.0, 4.0, 9.0]) for _ in times] for e in "abc"}
+    rows = [(rng.choice("abb"), float(rng.randint(-20, 300)), k) for k in range(300)]
+    table = spark.createDataFrame([(e, t, k, [float(x) for x in times], closing[e]) for e, t, k in rows], "edge_id string, t double, position int, times array<double>, closings array<double>")
+    got = {r.position: r.exit_time for r in gates.fifo_gate_varying(table, "edge_id", "t", "times", "closings", stages).collect()}
+    opens, want = {}, {}
+    for e, t, k in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[k] = max(t, opens.get(e, t))
+        opens[e] = want[k] + closing[e][max(sum(x <= want[k] for x in times) - 1, 0)]
+    assert got == pytest.approx(want)

@@ -204,6 +204,60 @@ def supply_simulation(spark, sf_dir):
     return got.select("trip_id", *[F.abs(F.round(c, 4)).alias(c) for c in got.columns[1:]])
 
 
+_VARYING = """WITH RECURSIVE a AS (SELECT request_id, r.edge_id, t, 0.002e0 * flow * lanes AS rate, row_number() OVER (PARTITION BY r.edge_id ORDER BY t, request_id) AS rn FROM <REQUESTS> r JOIN <EDGES> e ON e.edge_id = r.edge_id),
+  p AS (SELECT request_id, edge_id, rn, rate, t, t AS e FROM a WHERE rn = 1
+    UNION ALL SELECT a.request_id, a.edge_id, a.rn, a.rate, a.t, greatest(a.t, p.e + 1e0 / (p.rate * CASE WHEN p.e < 28800e0 THEN 1e0 WHEN p.e < 61200e0 THEN 0.5e0 ELSE 3e0 END)) FROM p JOIN a ON a.edge_id = p.edge_id AND a.rn = p.rn + 1)
+  SELECT request_id, edge_id, t, round(e, 6) AS exit_time FROM p"""
+
+
+@query(_VARYING)
+def fifo_gate_varying(spark, sf_dir):
+    """Gates of a flow that halves at eight and is three times as much from five in the afternoon on."""
+    arrivals = d.frame(spark, sf_dir, d.REQUESTS).withColumn("position", F.col("request_id")).join(d.frame(spark, sf_dir, d.EDGES), "edge_id")
+    closings = F.transform(F.array(F.lit(1.0), F.lit(0.5), F.lit(3.0)), lambda share: 1.0 / (0.002 * F.col("flow") * F.col("lanes") * share))
+    shaped = arrivals.withColumn("times", F.array(F.lit(0.0), F.lit(28800.0), F.lit(61200.0))).withColumn("closings", closings)
+    return gates.fifo_gate_varying(shaped, "edge_id", "t", "times", "closings", 3).select("request_id", "edge_id", "t", r6("exit_time").alias("exit_time"))
+
+
+#: Length of a vehicle on the dense roads, their capacity, and the densities and speed of the three regimes.
+_DENSE = {"headway": 40.0, "capacity": 0.02, "low": 0.05, "jam": 0.4, "slow": 2.0, "beta": 1.0}
+
+
+def _dense_layers() -> str:
+    """Layer by layer, on each road one vehicle after the other, with the list of the exits of those before it."""
+    c = _DENSE
+    steps = ["l0 AS (SELECT r.trip_id, r.edge_id, departure / 8e0 + r.trip_id % 8191 / 8191e0 AS reach FROM <LAYER_ROUTES> r JOIN <TRIPS> t ON t.trip_id = r.trip_id WHERE position = 0)"]
+    for k in range(d.DENSE_LAYERS):
+        steps.append(f"o{k} AS (SELECT l.*, length, speed, length * lanes AS room, kind, row_number() OVER (PARTITION BY l.edge_id ORDER BY reach, trip_id) AS rn FROM l{k} l JOIN <DENSE_EDGES> e ON e.edge_id = l.edge_id)")
+        occupied = f"{c['headway']}e0 * len(list_filter(exits, lambda x: x > o.reach))"
+        share = f"(({occupied}) / room - {c['low']}e0) / {c['jam'] - c['low']}e0"
+        speed = f"""CASE WHEN kind = 'Bottleneck' THEN CASE WHEN {occupied} <= {c['capacity']}e0 * room / speed THEN speed ELSE room / ({occupied}) * {c['capacity']}e0 END
+      WHEN kind = 'ThreeRegimes' THEN CASE WHEN ({occupied}) / room >= {c['jam']}e0 THEN least({c['slow']}e0, speed) WHEN ({occupied}) / room > {c['low']}e0 THEN least(speed * (1e0 - {share}) + {c['slow']}e0 * ({share}), speed) ELSE speed END ELSE speed END"""
+        steps.append(f"""p{k} AS (SELECT edge_id, 0::BIGINT AS rn, 0::BIGINT AS trip_id, 0e0 AS reach, 0e0 AS leaves, []::DOUBLE[] AS exits FROM (SELECT DISTINCT edge_id FROM o{k}) q
+    UNION ALL SELECT edge_id, rn, trip_id, reach, reach + length / v, list_filter(exits, lambda x: x > reach) || [reach + length / v] FROM (SELECT o.edge_id, o.rn, o.trip_id, o.reach, length, exits, {speed} AS v FROM p{k} p JOIN o{k} o ON o.edge_id = p.edge_id AND o.rn = p.rn + 1) n)""")
+        if k + 1 < d.DENSE_LAYERS:
+            steps.append(f"l{k + 1} AS (SELECT p.trip_id, r.edge_id, leaves AS reach FROM p{k} p JOIN <LAYER_ROUTES> r ON r.trip_id = p.trip_id AND r.position = {k + 1} WHERE p.rn > 0)")
+    union = " UNION ALL ".join(f"SELECT trip_id, edge_id, reach, leaves FROM p{k} WHERE rn > 0" for k in range(d.DENSE_LAYERS))
+    return f"WITH RECURSIVE {', '.join(steps)} SELECT trip_id, edge_id, round(reach, 5) AS entry_time, round(leaves, 5) AS exit_time FROM ({union}) a"
+
+
+@query(_dense_layers())
+def dense_roads(spark, sf_dir):
+    """Trips over roads whose speed falls with the vehicles on them: bottlenecks, three regimes, and free ones."""
+    from wayfare.plans.within_day import queue_steps
+
+    departures = d.frame(spark, sf_dir, d.TRIPS).select("trip_id", (F.col("departure") / 8 + F.col("trip_id") % 8191 / 8191).alias("departure"))
+    rows = d.frame(spark, sf_dir, d.LAYER_ROUTES).join(d.frame(spark, sf_dir, d.DENSE_EDGES).drop("flow"), "edge_id").join(departures, "trip_id")
+    rows = rows.select("trip_id", "position", "edge_id", "departure", F.lit(0.0).alias("gap"), (F.col("length") / F.col("speed")).alias("spent"), F.lit(0.0).alias("closing"), F.lit(_DENSE["headway"]).alias("headway"), F.lit(0.0).alias("wave"), "length", "speed", "lanes", "kind")
+
+    def spent_at(occupied: Column) -> Column:
+        speed = scalars.congested_speed(F.col("speed"), occupied, F.col("length") * F.col("lanes"), F.col("kind"), *[F.lit(_DENSE[c]) for c in ("capacity", "low", "jam", "slow", "beta")])
+        return F.col("length") / speed
+
+    got = queue_steps(rows, spent_at=spent_at)
+    return got.select("trip_id", "edge_id", F.round("entry_time", 5).alias("entry_time"), F.round("exit_time", 5).alias("exit_time"))
+
+
 # --- scalar formulas -----------------------------------------------------------------------
 
 

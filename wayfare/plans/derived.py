@@ -39,6 +39,11 @@ LAYER_ROUTES = f"""(SELECT l_orderkey AS trip_id, CAST(row_number() OVER (PARTIT
   CAST((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1) * {NODES} + l_suppkey % {NODES} AS BIGINT) AS edge_id FROM {{lineitem}})"""
 
 
+#: Roads of the first three layers without gates, whose speed depends on how full they are by one of three rules.
+DENSE_LAYERS = 3
+DENSE_EDGES = f"""(SELECT *, CASE (edge_id % {NODES}) % 3 WHEN 0 THEN 'FreeFlow' WHEN 1 THEN 'Bottleneck' ELSE 'ThreeRegimes' END AS kind FROM {LAYER_EDGES} e WHERE edge_id < {DENSE_LAYERS} * {NODES})"""
+
+
 def frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The derived table as a DataFrame; only the tables it names are read."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\{{{t}\}}", text)}

@@ -6,6 +6,7 @@ and the event model), and on the driver for the loop and one row of figures per
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -340,10 +341,10 @@ _OUT = "kind string, agent_id {agent}, trip_index int, leg_departure double, leg
 
 
 def _only_queues(w: World, legs: DataFrame) -> bool:
-    """Whether edges do no more than make vehicles wait at their gates, and all routes are known: no spillback, no speed that depends on others, all may overtake."""
+    """Whether edges act on nothing but the vehicles at their gates and on them, and all routes are known: no spillback, all may overtake."""
     if w.edges is None or w.p.road_network.spillback:
         return False
-    return w.edges.where("speed_density_type <> 'FreeFlow' or not overtaking or bottleneck_flows is not null").isEmpty() and legs.where("class_type = 'Road' and leg_route is null").isEmpty()
+    return w.edges.where("not overtaking").isEmpty() and legs.where("class_type = 'Road' and leg_route is null").isEmpty()
 
 
 def within_day_queues(w: World, legs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -356,15 +357,26 @@ def within_day_queues(w: World, legs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pause = F.coalesce(F.lag("stopping_time").over(order), F.col("origin_delay"))
     idle = F.sum(pause + F.coalesce(F.lag("virtual_time").over(order), F.lit(0.0))).over(order)
     legs = cut(legs.withColumn("virtual_time", spent).withColumn("idle", idle), "timed_legs")
-    open_edges = _open_edges(w).select("uvehicle", "edge_id", _time_at(F.lit(0.0)).alias("spent"), "bottleneck_flow", "lanes")
-    types = w.vehicles.select(F.col("vehicle_id").alias("class_vehicle"), F.col("pce").alias("own_pce"))
+    dense = not w.edges.where("speed_density_type <> 'FreeFlow'").isEmpty()
+    varying = not w.edges.where("bottleneck_flows is not null").isEmpty()
+    density = ["base", "length", "lanes", "constant_travel_time", *[f"speed_density_{c}" for c in ("type", "capacity", "min_density", "jam_density", "jam_speed", "beta")]]
+    open_edges = _open_edges(w).withColumn("base", _base_speed()).select("uvehicle", "edge_id", _time_at(F.lit(0.0)).alias("spent"), "bottleneck_flow", "bottleneck_times", "bottleneck_flows", *density)
+    types = w.vehicles.select(F.col("vehicle_id").alias("class_vehicle"), F.col("pce").alias("own_pce"), F.col("headway").alias("own_headway"))
     steps = legs.where("class_type = 'Road'").select("agent_id", "trip_index", "departure", "idle", "uvehicle", "class_vehicle", F.posexplode("leg_route").alias("k", "edge_id"))
     closing = scalars.closing_time(F.col("own_pce"), F.col("bottleneck_flow"), F.col("lanes"))
     steps = steps.join(open_edges, ["uvehicle", "edge_id"]).join(types, "class_vehicle")
     place = F.struct("trip_index", "k")
     gap = F.col("idle") - F.coalesce(F.lag("idle").over(Window.partitionBy("agent_id").orderBy("trip_index", "k")), F.lit(0.0))
-    rows = steps.select(F.col("agent_id").alias("trip_id"), place.alias("position"), "edge_id", "departure", gap.alias("gap"), "spent", closing.alias("closing"))
-    done = cut(queue_steps(rows, w.p.road_network.constrain_inflow), "queues").withColumn("trip_index", F.col("position.trip_index")).withColumnRenamed("trip_id", "agent_id")
+    more, spent_at = [], None
+    if varying:
+        given = F.col("bottleneck_flow").isNull() & (F.size("bottleneck_flows") > 0)
+        more += [F.when(given, F.col("bottleneck_times")).otherwise(F.array(F.lit(0.0))).alias("flow_times"), F.when(given, F.transform("bottleneck_flows", lambda f: scalars.closing_time(F.col("own_pce"), f, F.col("lanes")))).otherwise(F.array(closing)).alias("closings")]
+    if dense:
+        speed = w.p.road_network.backward_wave_speed
+        more += [*density, F.col("own_headway").alias("headway"), (F.col("length") / speed if speed else F.lit(0.0)).alias("wave")]
+        spent_at = lambda occupied: _time_at(occupied, F.col("base"))
+    rows = steps.select(F.col("agent_id").alias("trip_id"), place.alias("position"), "edge_id", "departure", gap.alias("gap"), "spent", closing.alias("closing"), *more)
+    done = cut(queue_steps(rows, w.p.road_network.constrain_inflow, spent_at=spent_at), "queues").withColumn("trip_index", F.col("position.trip_index")).withColumnRenamed("trip_id", "agent_id")
     per_leg = done.groupBy("agent_id", "trip_index").agg(
         F.sum(F.col("at_exit") - F.col("entry_time")).alias("road_time"), F.sum(F.col("entry_time") - F.col("reach_time")).alias("in_time"), F.sum(F.col("exit_time") - F.col("at_exit")).alias("out_time"),
         F.sort_array(F.collect_list(F.struct("position", "edge_id", "entry_time"))).alias("way"),
@@ -384,7 +396,9 @@ def within_day_queues(w: World, legs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.transform("way", lambda x: x["entry_time"]), F.array().cast("array<double>")).alias("entries"), none.cast(edge).alias("edge_id"), none.cast("double").alias("t"), none.cast("double").alias("y"),
     )
     seen = [done.select(F.lit(kind).alias("kind"), "edge_id", F.col(at).alias("t"), (F.col(to) - F.col(at)).alias("y")) for kind, at, to in (("entry", "reach_time", "entry_time"), ("exit", "at_exit", "exit_time"))]
-    return cut(out, "within_day"), cut(seen[0].unionByName(seen[1]), "observed")
+    if dense:
+        seen.append(done.select(F.lit("length").alias("kind"), "edge_id", F.col("entry_time").alias("t"), F.col("occupied").alias("y")))
+    return cut(out, "within_day"), cut(functools.reduce(DataFrame.unionByName, seen), "observed")
 
 
 def within_day(w: World, legs: DataFrame, graphs: dict) -> tuple[DataFrame, DataFrame]:

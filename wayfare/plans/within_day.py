@@ -58,27 +58,49 @@ def queue_network(departures: DataFrame, routes: DataFrame, edges: DataFrame, co
     return queue_steps(rows.withColumn("gap", F.lit(0.0)), constrain_inflow, chunk)
 
 
-def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = CHUNK, rounds: int = 10_000) -> DataFrame:
+def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = CHUNK, rounds: int = 10_000, spent_at=None) -> DataFrame:
     """The rows (trip_id, position, edge_id, departure of the trip, gap before the edge, spent on it, closing of its gates) with reach_time, entry_time, at_exit, exit_time.
 
     A vehicle waits at the entry gate (with ``constrain_inflow``) and at the exit gate of an edge, first come, first served, of equal times in the order of
-    trip_id and position.  Each round computes all gates from the times of the last one, at first those of an empty network.  A time
+    trip_id and position.  Rows with ``flow_times`` and ``closings`` (arrays) have gates that change with time.  With ``spent_at``, a function of the column ``occupied``, the time on
+    an edge is by the length of the vehicles on it at the entry (``headway`` each, until they enter the next edge or end, and ``wave`` seconds more); ``spent`` is that of an empty one.
+
+    Each round computes all gates, and lengths, from the times of the last one, at first those of an empty network.  A time
     depends only on earlier ones, and a way over an edge takes time, so that each round settles more of them for good, and the times
     that a round leaves unchanged are the only solution.
     """
     by_trip = Window.partitionBy("trip_id").orderBy("place")
     whole = F.sum(F.col("gap") + F.col("spent")).over(by_trip.rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("place", F.col("position")).withColumn("position", F.struct("trip_id", "place"))
-    now = cut(placed.withColumn("reach_time", F.col("departure") + whole - F.col("spent")), "queue")
-    most = now.groupBy("edge_id").count().agg(F.max("count")).first()[0] or 0
-    chunk = chunk if most > MOST_AT_GATE else None
+    now = placed.withColumn("reach_time", F.col("departure") + whole - F.col("spent"))
+    if spent_at is not None:
+        now = now.withColumn("freed_time", F.col("reach_time") + F.col("spent") + F.col("wave")).withColumn("occupied", F.lit(0.0))
+    now = cut(now, "queue")
+    sizes = now.groupBy("edge_id").agg(F.count("*").alias("n"), F.max(F.size("flow_times") if "flow_times" in now.columns else F.lit(1)).alias("stages")).agg(F.max("n").alias("n"), F.max("stages").alias("stages")).first()
+    chunk = chunk if (sizes.n or 0) > MOST_AT_GATE else None
+
+    def gate(df: DataFrame, time: str, name: str) -> DataFrame:
+        if "flow_times" in df.columns:
+            return gates.fifo_gate_varying(df, "edge_id", time, "flow_times", "closings", sizes.stages or 1, name)
+        return gates.fifo_gate(df, "edge_id", time, F.col("closing"), chunk, name)
+
     for _ in range(rounds):
-        entered = gates.fifo_gate(now, "edge_id", "reach_time", F.col("closing"), chunk, "entry_time") if constrain_inflow else now.withColumn("entry_time", F.col("reach_time"))
-        left = gates.fifo_gate(entered.withColumn("at_exit", F.col("entry_time") + F.col("spent")), "edge_id", "at_exit", F.col("closing"), chunk, "exit_time")
-        timed = cut(left.withColumn("next_reach", F.coalesce(F.lag("exit_time").over(by_trip), F.col("departure")) + F.col("gap")), "queue")
-        if timed.where(F.abs(F.col("next_reach") - F.col("reach_time")) > 1e-7).isEmpty():
-            return timed.withColumn("position", F.col("place")).drop("place", "next_reach")
+        entered = gate(now, "reach_time", "entry_time") if constrain_inflow else now.withColumn("entry_time", F.col("reach_time"))
+        if spent_at is not None:
+            entered = gates.occupied_at_entry(entered.drop("occupied"), "edge_id", "entry_time", "freed_time", "headway")
+            entered = entered.withColumn("spent", spent_at(F.col("occupied")))
+        left = gate(entered.withColumn("at_exit", F.col("entry_time") + F.col("spent")), "at_exit", "exit_time")
+        left = left.withColumn("next_reach", F.coalesce(F.lag("exit_time").over(by_trip), F.col("departure")) + F.col("gap"))
+        moved = F.abs(F.col("next_reach") - F.col("reach_time")) > 1e-7
+        if spent_at is not None:
+            left = left.withColumn("next_freed", F.coalesce(F.lead("entry_time").over(by_trip), F.col("exit_time")) + F.col("wave"))
+            moved = moved | (F.abs(F.col("next_freed") - F.col("freed_time")) > 1e-7)
+        timed = cut(left, "queue")
+        if timed.where(moved).isEmpty():
+            return timed.withColumn("position", F.col("place")).drop("place", "next_reach", "next_freed")
         now = timed.withColumn("reach_time", F.col("next_reach")).drop("next_reach", "entry_time", "at_exit", "exit_time")
+        if spent_at is not None:
+            now = now.withColumn("freed_time", F.col("next_freed")).drop("next_freed")
     raise RuntimeError("the times did not settle")
 
 

@@ -31,6 +31,33 @@ def fifo_gate(arrivals: DataFrame, edge: str, time: str, service: Column, chunk:
     return joined.withColumn(name, leaves).drop("gate_c", "gate_v", "gate_s", "gate_p", "gate_e", "gate_k", "gate_b", "gate_m")
 
 
+def fifo_gate_varying(arrivals: DataFrame, edge: str, time: str, times: str, closings: str, stages: int, name: str = "exit_time") -> DataFrame:
+    """The same at a gate whose closing depends on when a vehicle passes: the j-th of ``closings`` from the j-th of ``times`` on (before the first, that too).
+
+    Within a stretch of constant closings the exits are those of ``fifo_gate``, from when the gate opens behind the last one of the stretch before; those that
+    would fall behind its end are left to the next stretch.  ``stages`` is the number of times that an edge has at most; all stages read one sorted partition.
+    """
+    upto = Window.partitionBy(edge).orderBy(time, "position").rowsBetween(Window.unboundedPreceding, 0)
+    none = F.lit(None).cast("double")
+    rows = arrivals.withColumn("gate_e", none).withColumn("gate_o", none)
+    for j in range(stages):
+        waiting, end = F.col("gate_e").isNull(), F.get(times, F.lit(j + 1))
+        rows = rows.withColumn("gate_c", F.get(closings, F.lit(j)))
+        rows = rows.withColumn("gate_s", F.sum(F.when(waiting, F.col("gate_c"))).over(upto) - F.col("gate_c")).withColumn("gate_a", F.greatest(F.col(time), F.last("gate_o", ignorenulls=True).over(upto)))
+        rows = rows.withColumn("gate_x", F.col("gate_s") + F.max(F.when(waiting, F.col("gate_a") - F.col("gate_s"))).over(upto))
+        passes = waiting & (end.isNull() | (F.col("gate_x") < end))
+        rows = rows.withColumn("gate_o", F.when(passes, F.col("gate_x") + F.col("gate_c")).otherwise(F.col("gate_o"))).withColumn("gate_e", F.when(passes, F.col("gate_x")).otherwise(F.col("gate_e")))
+    return rows.withColumn(name, F.col("gate_e")).drop("gate_c", "gate_s", "gate_a", "gate_x", "gate_e", "gate_o")
+
+
+def occupied_at_entry(rows: DataFrame, edge: str, entry: str, freed: str, headway: str, name: str = "occupied") -> DataFrame:
+    """Length of the vehicles that are on the edge when each one enters it: a running sum of what entered before less what was freed by then, at one time first what is freed."""
+    both = F.explode(F.array(F.struct(F.lit(1).alias("enters"), F.col(entry).alias("at"), F.col(headway).alias("more")), F.struct(F.lit(0).alias("enters"), F.col(freed).alias("at"), (-F.col(headway)).alias("more")))).alias("occ")
+    order = Window.partitionBy(edge).orderBy("occ.at", "occ.enters", "position").rowsBetween(Window.unboundedPreceding, -1)
+    events = rows.select("*", both).withColumn(name, F.greatest(F.coalesce(F.sum("occ.more").over(order), F.lit(0.0)), F.lit(0.0)))
+    return events.where("occ.enters = 1").drop("occ")
+
+
 def observe(records: DataFrame, keys: list[str], time: str, value: str, start: float, end: float, interval: float) -> DataFrame:
     """keys, bin, x, y: each record counts for the two grid points beside it by nearness; y is the weighted mean, 0 without records.
 
