@@ -260,7 +260,7 @@ def test_strategies_of_the_simulation_agree(spark, tmp_path, kind, monkeypatch):
 
 @pytest.mark.parametrize("constrain_inflow", [True, False])
 def test_queues_alone_give_the_times_of_the_events(spark, tmp_path, monkeypatch, constrain_inflow):
-    """One day without spillback on free-flow roads with a bottleneck and eight drivers within a few minutes, relationally and by events: the same tables."""
+    """One day without spillback with eight drivers at the gates within a few minutes, relationally and by events: the same tables."""
     found = []
     for kind, relational in (("queues", True), ("events", False)):
         folder = tmp_path / kind
@@ -269,12 +269,16 @@ def test_queues_alone_give_the_times_of_the_events(spark, tmp_path, monkeypatch,
             monkeypatch.setattr(simulation, "_only_queues", lambda w, legs: False)
         path = street(folder, max_iterations=1, road_network={"recording_interval": 600, "spillback": False, "constrain_inflow": constrain_inflow})
         edges = pd.read_parquet(folder / "edges.parquet")
-        edges.drop(columns=[c for c in edges if c.startswith("speed_density")]).assign(bottleneck_flow=[0.004, 0.005, None, 0.02, 0.001]).to_parquet(folder / "edges.parquet")
+        if constrain_inflow:  # a lane whose speed falls when it is full, and a gate that changes with time
+            edges = edges.assign(bottleneck_flow=[None, 0.00507, None, 0.0203, 0.00101], bottleneck_times=[[0.0, 700.0], None, None, None, None], bottleneck_flows=[[0.0113, 0.00409], None, None, None, None])
+        else:
+            edges = edges.drop(columns=[c for c in edges if c.startswith("speed_density")]).assign(bottleneck_flow=[0.00407, 0.00507, None, 0.0203, 0.00101])
+        edges.to_parquet(folder / "edges.parquet")
         for name in ("agents", "alternatives", "trips"):  # seven more like 20, who leave soon after one another
             rows = pd.read_parquet(folder / f"{name}.parquet")
-            like = [rows[rows.agent_id == 20].assign(agent_id=200 + k) for k in range(7)]
+            like = [rows[rows.agent_id == 20].assign(agent_id=200 + k) for k in range(7)] + ([rows[rows.agent_id == 60].assign(agent_id=300)] if constrain_inflow else [])
             if name == "alternatives":
-                like = [r.assign(**{"dt_choice.departure_time": 540.0 + 37.0 * k}) for k, r in enumerate(like)]
+                like = [r.assign(**{"dt_choice.departure_time": 540.0 + 37.3 * k}) for k, r in enumerate(like[:7])] + [r.assign(**{"dt_choice.departure_time": 311.7}) for r in like[7:]]
             pd.concat([rows, *like]).to_parquet(folder / f"{name}.parquet")
         simulation.run(spark, path)
         tables = {n: table(spark, folder / f"out/{n}.parquet") for n in ("agent_results", "trip_results", "route_results", "iteration_results", "net_cond_sim_edge_ttfs")}
