@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 
 def observe_stream(records: DataFrame, keys: list[str], event_time: str, value: str, interval: str, delay: str) -> DataFrame:
-    """keys, window, y: weighted means at grid points over a streaming table with a timestamp column.
+    """keys, point, y: weighted means at grid points over a table with a timestamp column, streaming or not.
 
-    Each record counts for the two grid points beside it by nearness.  A grid point is a tumbling window that starts
-    at it; records later than ``delay`` behind the newest one are dropped by the watermark, and a finished point is emitted once.
+    Each record counts for the two grid points beside it by nearness.  The records that count for a point are those of the window of two
+    intervals around it, so that sliding windows hold each point's sums in one state: a point is emitted once, as soon as the
+    watermark, ``delay`` behind the newest record, has passed the next point.  ``interval`` is of a fixed length (no months).
+
+    Records without a time are left out, those without a value count for no mean; a record that comes when the watermark has passed both its
+    points is dropped, one that comes between them counts for the later point alone.  Points without records are not emitted.
     """
-    marked = records.withWatermark(event_time, delay)
     step = F.expr(f"interval {interval}")
-    low = F.window(event_time, interval)["start"]
-    length = F.unix_micros(low + step) - F.unix_micros(low)
-    share = (F.unix_micros(event_time) - F.unix_micros(low)) / length
-    both = F.explode(F.array(F.struct(F.lit(0).alias("ahead"), (1 - share).alias("w")), F.struct(F.lit(1).alias("ahead"), share.alias("w")))).alias("s")
-    split = marked.select(*keys, F.col(event_time), F.col(value).alias("grid_y"), both).where("s.w > 0")
-    # the later grid point is one interval ahead: its part of the sums is kept in the earlier window
-    grouped = split.groupBy(*keys, F.window(event_time, interval).alias("window"), F.col("s.ahead").alias("ahead"))
-    sums = grouped.agg(F.sum(F.col("grid_y") * F.col("s.w")).alias("total"), F.sum("s.w").alias("weight"))
-    return sums.select(*keys, F.when(F.col("ahead") == 1, F.col("window.start") + step).otherwise(F.col("window.start")).alias("point"), "total", "weight")
-
-
-def points(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, point, y of the finished sums."""
-    return sums.groupBy(*keys, "point").agg((F.sum("total") / F.sum("weight")).alias("y"))
+    around = F.window(event_time, f"{2 * _micros(records, interval)} microseconds", interval)
+    marked = records.withWatermark(event_time, delay).where(F.col(event_time).isNotNull()).withColumn("window", around)
+    point = F.col("window.start") + step
+    far = F.abs(F.unix_micros(event_time) - F.unix_micros(point)) / F.lit(float(_micros(records, interval)))
+    weight = F.when(F.col(value).isNotNull(), 1 - far)
+    sums = marked.groupBy(*keys, "window").agg(F.sum(F.col(value) * weight).alias("total"), F.sum(weight).alias("weight"))
+    return sums.where("weight > 0").select(*keys, (F.col("window.start") + step).alias("point"), (F.col("total") / F.col("weight")).alias("y"))
+
+
+def _micros(records: DataFrame, interval: str) -> int:
+    """Length of a fixed interval."""
+    return records.sparkSession.sql(f"SELECT unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {interval}) AS n").first().n
