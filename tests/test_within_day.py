@@ -123,3 +123,47 @@ def test_gates_that_change_with_time(spark, stages):
         want[k] = max(t, opens.get(e, t))
         opens[e] = want[k] + closing[e][max(sum(x <= want[k] for x in times) - 1, 0)]
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("held", "chunk"), [(False, 3.0), (True, None), (True, 3.0), (True, 50.0), (True, 1e6)])
+def test_gates_held_by_those_before(spark, held, chunk):
+    rng = random.Random(11)
+    rows = [(rng.choice("abb"), float(rng.randint(0, 300)), k, rng.choice([0.0, 1.0, 4.0]), rng.choice([None, 0.0, 3.0, 40.0]) if held else None) for k in range(300)]
+    rows = [(e, t, k, s, None if h is None else t + h) for e, t, k, s, h in rows]
+    table = spark.createDataFrame(rows, "edge_id string, t double, position int, s double, until double")
+    got = {r.position: r.exit_time for r in gates.fifo_gate(table, "edge_id", "t", F.col("s"), chunk, held="until").collect()}
+    free, want = {}, {}
+    for e, t, k, s, until in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[k] = max(t, free.get(e, 0.0))
+        free[e] = max(want[k] + s, until or 0.0)
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("full", "chunk"), [(False, None), (True, None), (False, 60.0)])
+def test_rounds_without_overtaking(spark, full, chunk, monkeypatch):
+    """Roads that merge into one another; vehicles of most cannot overtake at the exit: rounds against the event model."""
+    rng = random.Random(12)
+    lengths = {e: 150.0 + 17 * e + rng.random() for e in range(8)}
+    flows = {e: None if e in (2, 5) else rng.uniform(0.05, 0.3) for e in range(8)}
+    free = {3, 6}
+    trips = [(t, 3.0 * t + rng.random()) for t in range(60)]
+    routes = [(t, k, e) for t, _ in trips for k, e in enumerate([rng.choice([0, 1, 2]), rng.choice([3, 4]), 5, 6, 7][: rng.randint(2, 5)])]
+    speed = (lambda base, occupied, total: base if occupied <= 0.0937 * total / base else total / occupied * 0.0937) if full else None
+    listed = {may: [Edge(e, lengths[e], 10.0, 1.0, (lambda t, f=flows[e]: f) if flows[e] else None, speed if e == 4 else None, overtaking=may or e in free) for e in range(8)] for may in (False, True)}
+    want, other = _events(listed[False], trips, routes, 12.0), _events(listed[True], trips, routes, 12.0)
+    assert sum(abs(want[k] - other[k]) > 1 for k in want) > 20  # it matters here
+    table = spark.createDataFrame(routes, "trip_id long, position int, edge_id long").join(spark.createDataFrame(trips, "trip_id long, departure double"), "trip_id")
+    table = table.join(spark.createDataFrame([(e, lengths[e], 1 / flows[e] if flows[e] else 0.0, e not in free) for e in range(8)], "edge_id long, length double, closing double, ordered boolean"), "edge_id")
+    rows = table.withColumns({"gap": F.lit(0.0), "spent": F.col("length") / 10.0, "headway": F.lit(12.0), "wave": F.lit(0.0)})
+    if chunk:
+        monkeypatch.setattr(within_day, "MOST_AT_GATE", 0)
+
+    def spent_at(occupied):
+        return F.col("length") / scalars.congested_speed(F.lit(10.0), occupied, F.col("length"), F.when(F.col("edge_id") == 4, "Bottleneck").otherwise("FreeFlow"), F.lit(0.0937), F.lit(0.05), F.lit(0.4), F.lit(2.0), F.lit(1.0))
+
+    got = within_day.queue_steps(rows, spent_at=spent_at if full else None, **({"chunk": chunk} if chunk else {})).collect()
+    assert all(r.entry_time == pytest.approx(want[r.trip_id, r.position]) for r in got)
+    last = {}
+    for r in got:
+        last[r.trip_id] = max(last.get(r.trip_id, 0.0), r.exit_time)
+    assert all(at == pytest.approx(want[t]) for t, at in last.items())

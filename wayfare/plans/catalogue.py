@@ -7,6 +7,7 @@ from the raw tables.  Doubles are rounded to six decimals on both sides.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -258,6 +259,59 @@ def dense_roads(spark, sf_dir):
     return got.select("trip_id", "edge_id", F.round("entry_time", 5).alias("entry_time"), F.round("exit_time", 5).alias("exit_time"))
 
 
+#: Closings of the three roads of a corridor in multiples of the inverse flow.
+_CORRIDOR = (150.0, 200.0, 250.0)
+
+
+def _corridors() -> str:
+    """Stage by stage: an entry gate and the exit gate before it that waits for it serve like one gate of the longer closing."""
+    steps = ["e0 AS (SELECT *, b + max(t - b) OVER (PARTITION BY edge_id ORDER BY t, request_id ROWS UNBOUNDED PRECEDING) AS entry0 FROM (SELECT *, sum(c0) OVER w - c0 AS b FROM a WINDOW w AS (PARTITION BY edge_id ORDER BY t, request_id ROWS UNBOUNDED PRECEDING)) q)"]
+    for k in (1, 2, 3):
+        closing = f"greatest(c{k - 1}, c{k})" if k < 3 else "c2"
+        at = f"entry{k - 1} + spent"
+        served = f"SELECT *, sum({closing}) OVER w - {closing} AS b{k} FROM e{k - 1} WINDOW w AS (PARTITION BY edge_id ORDER BY t, request_id ROWS UNBOUNDED PRECEDING)"
+        steps.append(f"e{k} AS (SELECT *, greatest({at}, coalesce(lag(entry{k}) OVER (PARTITION BY edge_id ORDER BY t, request_id) + c{k - 1}, {at})) AS exit{k - 1} FROM (SELECT *, b{k} + max({at} - b{k}) OVER (PARTITION BY edge_id ORDER BY t, request_id ROWS UNBOUNDED PRECEDING) AS entry{k} FROM ({served}) q) r)")
+    rows = " UNION ALL ".join(f"SELECT request_id, {k}::BIGINT AS step, edge_id, round({'t' if k == 0 else f'exit{k - 1}'}, 5) AS reach_time, round(entry{k}, 5) AS entry_time, round(entry{k} + spent, 5) AS at_exit, round(exit{k}, 5) AS exit_time FROM e3" for k in range(3))
+    return f"""WITH a AS (SELECT request_id, r.edge_id, t, length / speed AS spent, {_CORRIDOR[0]}e0 / (flow * lanes) AS c0, {_CORRIDOR[1]}e0 / (flow * lanes) AS c1, {_CORRIDOR[2]}e0 / (flow * lanes) AS c2 FROM <REQUESTS> r JOIN <EDGES> e ON e.edge_id = r.edge_id), {', '.join(steps)} {rows}"""
+
+
+@query(_corridors())
+def ordered_exits(spark, sf_dir):
+    """Three roads one after the other at each road of the network, none to be overtaken at an exit: who waits to enter the next one keeps those behind on theirs."""
+    from wayfare.plans.within_day import queue_steps
+
+    trips = d.frame(spark, sf_dir, d.REQUESTS).join(d.frame(spark, sf_dir, d.EDGES), "edge_id")
+    roads = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("position"), F.lit(c).alias("share")) for k, c in enumerate(_CORRIDOR)])).alias("road")
+    rows = trips.select("request_id", "edge_id", "t", "length", "speed", "flow", "lanes", roads)
+    rows = rows.select(
+        F.col("request_id").alias("trip_id"), "road.position", (F.col("edge_id") * 3 + F.col("road.position")).alias("edge_id"), F.col("t").alias("departure"), F.lit(0.0).alias("gap"), (F.col("length") / F.col("speed")).alias("spent"),
+        (F.col("road.share") / (F.col("flow") * F.col("lanes"))).alias("closing"), F.lit(True).alias("ordered"),
+    )
+    got = queue_steps(rows)
+    return got.select(F.col("trip_id").alias("request_id"), F.col("position").alias("step"), F.expr("edge_id div 3").alias("edge_id"), *[F.round(c, 5).alias(c) for c in ("reach_time", "entry_time", "at_exit", "exit_time")])
+
+
+@query(
+    """WITH o AS (SELECT user_id % 100 AS user_group, epoch_us(ts) / 3600000000 AS place, value AS y FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
+  s AS (SELECT user_group, floor(place)::BIGINT AS bin, 1e0 - (place - floor(place)) AS w, y FROM o UNION ALL SELECT user_group, floor(place)::BIGINT + 1, place - floor(place), y FROM o),
+  m AS (SELECT user_group, bin, sum(w * y) / sum(w) AS y FROM s WHERE w > 0 GROUP BY user_group, bin)
+  SELECT user_group, bin * 3600 AS point, round(y, 6) AS y FROM m WHERE (bin + 1) * 3600 <= (SELECT epoch_us(max(ts)) / 1e6 FROM events) - 86400"""
+)
+def observed_points(spark, sf_dir):
+    """The grid of observations as a stream takes them: each point once, when the watermark has passed it."""
+    from wayfare.sources.shared import shared_dir
+    from wayfare.streaming import observations
+
+    path, folder = f"{sf_dir.rstrip('/')}/events.parquet", f"{shared_dir(spark)}/observed-{uuid.uuid4().hex}"
+    # the last letter in brackets makes the path a pattern, which may name a file as well as a folder
+    records = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]").where("user_id IS NOT NULL")
+    records = records.select((F.col("user_id") % 100).alias("user_group"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    seen = observations.observe_stream(records, ["user_group"], "ts", "value", "1 hour", "1 day")
+    seen.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/points").awaitTermination()
+    found = spark.read.schema(seen.schema).parquet(f"{folder}/points")
+    return found.select("user_group", F.unix_seconds("point").alias("point"), F.round("y", 6).alias("y"))
+
+
 # --- scalar formulas -----------------------------------------------------------------------
 
 

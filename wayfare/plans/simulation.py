@@ -341,10 +341,17 @@ _OUT = "kind string, agent_id {agent}, trip_index int, leg_departure double, leg
 
 
 def _only_queues(w: World, legs: DataFrame) -> bool:
-    """Whether edges act on nothing but the vehicles at their gates and on them, and all routes are known: no spillback, all may overtake."""
+    """Whether edges act on nothing but the vehicles at their gates and on them, and all routes are known: no spillback.
+
+    Roads without overtaking at their exits take a round for each vehicle that a merge puts in another order, so that they go this way only
+    where the event model might not hold their legs, and need gates of constant flow."""
     if w.edges is None or w.p.road_network.spillback:
         return False
-    return w.edges.where("not overtaking").isEmpty() and legs.where("class_type = 'Road' and leg_route is null").isEmpty()
+    if not w.edges.where("not overtaking").isEmpty():
+        steps = legs.where("class_type = 'Road'").agg(F.sum(F.size("leg_route"))).first()[0] or 0
+        if steps <= MOST_LEGS or not w.edges.where("not overtaking and bottleneck_flow is null and size(bottleneck_flows) > 0").isEmpty():
+            return False
+    return legs.where("class_type = 'Road' and leg_route is null").isEmpty()
 
 
 def within_day_queues(w: World, legs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -360,14 +367,16 @@ def within_day_queues(w: World, legs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dense = not w.edges.where("speed_density_type <> 'FreeFlow'").isEmpty()
     varying = not w.edges.where("bottleneck_flows is not null").isEmpty()
     density = ["base", "length", "lanes", "constant_travel_time", *[f"speed_density_{c}" for c in ("type", "capacity", "min_density", "jam_density", "jam_speed", "beta")]]
-    open_edges = _open_edges(w).withColumn("base", _base_speed()).select("uvehicle", "edge_id", _time_at(F.lit(0.0)).alias("spent"), "bottleneck_flow", "bottleneck_times", "bottleneck_flows", *density)
+    open_edges = _open_edges(w).withColumn("base", _base_speed()).select("uvehicle", "edge_id", _time_at(F.lit(0.0)).alias("spent"), "bottleneck_flow", "bottleneck_times", "bottleneck_flows", "overtaking", *density)
     types = w.vehicles.select(F.col("vehicle_id").alias("class_vehicle"), F.col("pce").alias("own_pce"), F.col("headway").alias("own_headway"))
     steps = legs.where("class_type = 'Road'").select("agent_id", "trip_index", "departure", "idle", "uvehicle", "class_vehicle", F.posexplode("leg_route").alias("k", "edge_id"))
     closing = scalars.closing_time(F.col("own_pce"), F.col("bottleneck_flow"), F.col("lanes"))
     steps = steps.join(open_edges, ["uvehicle", "edge_id"]).join(types, "class_vehicle")
     place = F.struct("trip_index", "k")
     gap = F.col("idle") - F.coalesce(F.lag("idle").over(Window.partitionBy("agent_id").orderBy("trip_index", "k")), F.lit(0.0))
-    more, spent_at = [], None
+    more, spent_at = [F.col("trip_index").alias("leg")], None
+    if not w.edges.where("not overtaking").isEmpty():
+        more.append((~F.col("overtaking")).alias("ordered"))
     if varying:
         given = F.col("bottleneck_flow").isNull() & (F.size("bottleneck_flows") > 0)
         more += [F.when(given, F.col("bottleneck_times")).otherwise(F.array(F.lit(0.0))).alias("flow_times"), F.when(given, F.transform("bottleneck_flows", lambda f: scalars.closing_time(F.col("own_pce"), f, F.col("lanes")))).otherwise(F.array(closing)).alias("closings")]

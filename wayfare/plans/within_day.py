@@ -64,6 +64,8 @@ def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = C
     A vehicle waits at the entry gate (with ``constrain_inflow``) and at the exit gate of an edge, first come, first served, of equal times in the order of
     trip_id and position.  Rows with ``flow_times`` and ``closings`` (arrays) have gates that change with time.  With ``spent_at``, a function of the column ``occupied``, the time on
     an edge is by the length of the vehicles on it at the entry (``headway`` each, until they enter the next edge or end, and ``wave`` seconds more); ``spent`` is that of an empty one.
+    Where a column ``ordered`` is true vehicles cannot overtake at the exit: the gate stays shut behind one until it has entered its next edge, and closes from then on.
+    Such rows have a constant ``closing``.  A column ``leg`` splits a trip into drives; the last edge of one is left at its exit.
 
     Each round computes all gates, and lengths, from the times of the last one, at first those of an empty network.  A time
     depends only on earlier ones, and a way over an edge takes time, so that each round settles more of them for good, and the times
@@ -71,7 +73,12 @@ def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = C
     """
     by_trip = Window.partitionBy("trip_id").orderBy("place")
     whole = F.sum(F.col("gap") + F.col("spent")).over(by_trip.rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.withColumn("place", F.col("position")).withColumn("position", F.struct("trip_id", "place"))
+    by_leg = Window.partitionBy("trip_id", "leg").orderBy("place")
+    ordered = "ordered" in rows.columns
+    placed = rows if "leg" in rows.columns else rows.withColumn("leg", F.lit(0))
+    placed = placed.withColumn("place", F.col("position")).withColumn("position", F.struct("trip_id", "place"))
+    if ordered:
+        placed = placed.withColumn("held_until", F.lit(None).cast("double"))
     now = placed.withColumn("reach_time", F.col("departure") + whole - F.col("spent"))
     if spent_at is not None:
         now = now.withColumn("freed_time", F.col("reach_time") + F.col("spent") + F.col("wave")).withColumn("occupied", F.lit(0.0))
@@ -79,28 +86,34 @@ def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = C
     sizes = now.groupBy("edge_id").agg(F.count("*").alias("n"), F.max(F.size("flow_times") if "flow_times" in now.columns else F.lit(1)).alias("stages")).agg(F.max("n").alias("n"), F.max("stages").alias("stages")).first()
     chunk = chunk if (sizes.n or 0) > MOST_AT_GATE else None
 
-    def gate(df: DataFrame, time: str, name: str) -> DataFrame:
+    def gate(df: DataFrame, time: str, name: str, held: str | None = None) -> DataFrame:
         if "flow_times" in df.columns:
-            return gates.fifo_gate_varying(df, "edge_id", time, "flow_times", "closings", sizes.stages or 1, name)
-        return gates.fifo_gate(df, "edge_id", time, F.col("closing"), chunk, name)
+            return gates.fifo_gate_varying(df, "edge_id", time, "flow_times", "closings", sizes.stages or 1, name, held)
+        return gates.fifo_gate(df, "edge_id", time, F.col("closing"), chunk, name, held)
 
     for _ in range(rounds):
         entered = gate(now, "reach_time", "entry_time") if constrain_inflow else now.withColumn("entry_time", F.col("reach_time"))
         if spent_at is not None:
             entered = gates.occupied_at_entry(entered.drop("occupied"), "edge_id", "entry_time", "freed_time", "headway")
             entered = entered.withColumn("spent", spent_at(F.col("occupied")))
-        left = gate(entered.withColumn("at_exit", F.col("entry_time") + F.col("spent")), "at_exit", "exit_time")
+        left = gate(entered.withColumn("at_exit", F.col("entry_time") + F.col("spent")), "at_exit", "exit_time", "held_until" if ordered else None)
         left = left.withColumn("next_reach", F.coalesce(F.lag("exit_time").over(by_trip), F.col("departure")) + F.col("gap"))
         moved = F.abs(F.col("next_reach") - F.col("reach_time")) > 1e-7
         if spent_at is not None:
-            left = left.withColumn("next_freed", F.coalesce(F.lead("entry_time").over(by_trip), F.col("exit_time")) + F.col("wave"))
+            left = left.withColumn("next_freed", F.coalesce(F.lead("entry_time").over(by_leg), F.col("exit_time")) + F.col("wave"))
             moved = moved | (F.abs(F.col("next_freed") - F.col("freed_time")) > 1e-7)
+        if ordered:
+            # the entry as this round finds it: a time, not a wait, so that a whole queue settles at once
+            left = left.withColumn("next_held", F.when(F.col("ordered"), F.lead("entry_time").over(by_leg) + F.col("closing")))
+            moved = moved | (F.abs(F.col("next_held") - F.coalesce("held_until", F.lit(float("-inf")))) > 1e-7)
         timed = cut(left, "queue")
         if timed.where(moved).isEmpty():
-            return timed.withColumn("position", F.col("place")).drop("place", "next_reach", "next_freed")
+            return timed.withColumn("position", F.col("place")).drop("place", "next_reach", "next_freed", "next_held", "held_until", "leg")
         now = timed.withColumn("reach_time", F.col("next_reach")).drop("next_reach", "entry_time", "at_exit", "exit_time")
         if spent_at is not None:
             now = now.withColumn("freed_time", F.col("next_freed")).drop("next_freed")
+        if ordered:
+            now = now.withColumn("held_until", F.col("next_held")).drop("next_held")
     raise RuntimeError("the times did not settle")
 
 
