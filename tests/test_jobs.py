@@ -258,18 +258,21 @@ def test_strategies_of_the_simulation_agree(spark, tmp_path, kind, monkeypatch):
     assert agents.loc[50, "departure_time"] == pytest.approx(900.0, abs=1.0)  # a flat utility: a fourth of the period
 
 
-@pytest.mark.parametrize("constrain_inflow", [True, False])
-def test_queues_alone_give_the_times_of_the_events(spark, tmp_path, monkeypatch, constrain_inflow):
+@pytest.mark.parametrize(("constrain_inflow", "overtaking"), [(True, True), (False, True), (True, False)])
+def test_queues_alone_give_the_times_of_the_events(spark, tmp_path, monkeypatch, constrain_inflow, overtaking):
     """One day without spillback with eight drivers at the gates within a few minutes, relationally and by events: the same tables."""
     found = []
     for kind, relational in (("queues", True), ("events", False)):
         folder = tmp_path / kind
         folder.mkdir()
+        monkeypatch.setattr(simulation, "MOST_LEGS", 0 if relational else 5_000_000)  # beyond it exits without overtaking are queues, too
         if not relational:
             monkeypatch.setattr(simulation, "_only_queues", lambda w, legs: False)
         path = street(folder, max_iterations=1, road_network={"recording_interval": 600, "spillback": False, "constrain_inflow": constrain_inflow})
         edges = pd.read_parquet(folder / "edges.parquet")
-        if constrain_inflow:  # a lane whose speed falls when it is full, and a gate that changes with time
+        if not overtaking:
+            edges = edges.assign(bottleneck_flow=[0.0113, 0.00507, None, 0.0203, 0.00101], overtaking=False)
+        elif constrain_inflow:  # a lane whose speed falls when it is full, and a gate that changes with time
             edges = edges.assign(bottleneck_flow=[None, 0.00507, None, 0.0203, 0.00101], bottleneck_times=[[0.0, 700.0], None, None, None, None], bottleneck_flows=[[0.0113, 0.00409], None, None, None, None])
         else:
             edges = edges.drop(columns=[c for c in edges if c.startswith("speed_density")]).assign(bottleneck_flow=[0.00407, 0.00507, None, 0.0203, 0.00101])
@@ -287,4 +290,6 @@ def test_queues_alone_give_the_times_of_the_events(spark, tmp_path, monkeypatch,
         pd.testing.assert_frame_equal(one, found[1][name], check_dtype=False, atol=1e-6)
     trips = found[0]["trip_results"]
     waited = trips["in_bottleneck_time"] if constrain_inflow else trips["out_bottleneck_time"]
+    if not overtaking:  # those behind the one at an entry wait on the road before it
+        waited = trips["in_bottleneck_time"] + trips["out_bottleneck_time"]
     assert waited.max() > 1000 and (waited > 10).sum() >= 7
