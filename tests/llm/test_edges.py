@@ -153,3 +153,23 @@ def test_decontamination(docs, spark):
     left = decontaminate.clean(docs, bench)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {2, 3, 4, None, 8, 9}
     assert decontaminate.leaks(empty(docs), bench).count() == 0 and decontaminate.clean(docs, bench.where("false")).count() == len(ROWS)
+
+
+def test_pipeline_run(docs, labels, spark, tmp_path):
+    """The whole pipeline on these rows, on no rows, and without labels or benchmark items."""
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, "same words again and again"), (2, None), (3, ""), (4, "one"), (5, LONG[:4000])], "item_id long, text string")
+
+    def run(name, documents, known, items):
+        for table, df in (("documents", documents), ("labels", known), ("benchmark", items)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        rows = sorted(corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect(), key=lambda r: r.start)
+        starts = [0, *np.cumsum([r.n_tokens for r in rows]).tolist()][: len(rows)]
+        assert [r.start for r in rows] == starts
+        return [r.doc_id for r in rows]
+
+    # unlabelled, none is rejected; of the copies and of the blank texts one stays; 1, 5 and 6 hold items; one source comes up to 2 times
+    found = run("whole", docs, empty(labels), bench)
+    assert set(found) == {2, None, 8, 9} and max(found.count(i) for i in set(found)) <= 2
+    assert run("nothing", empty(docs), labels, empty(bench)) == []

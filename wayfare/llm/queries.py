@@ -58,12 +58,22 @@ def _next_signatures(method, texts: list[str], following: list[str], own, some):
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row.
+
+    Null, empty and blank texts have the fingerprint zero and link like any other.  Equal texts and repeated rows share a component; rows without an id link, but
+    are no component's least id.  Texts are read whole.  No rows give none; further columns of the table are not read.
+    """
     from wayfare.llm.simhash import link_components
 
     return link_components(_table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every row without its repeated 200-byte strings.
+
+    Null texts are empty, with nothing removed.  Repeated rows and equal texts of 200 bytes or more lose all their bytes, as does a text that repeats within itself.
+    Rows without an id are kept, with a null one.  No rows give none.
+    """
     from wayfare.llm.suffix import digest, remove_repeats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +117,11 @@ ORACLES: dict[str, str] = {}
 
 
 def op7_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations packed as prefix trees and read back from the tokens.
+
+    Null roles and texts are empty.  Turns of one number are all kept; a row without conv_id is a conversation of one turn.  Control strings within texts
+    come back as they were.  Further columns are not read.
+    """
     import public_tokenizers
 
     from wayfare.llm.chat import pack_trees, read_back
@@ -119,6 +134,10 @@ def op7_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of the token ids of every row, read back from the shards.
+
+    Null and empty texts are the end id alone.  Rows that share an id are kept as copies of it; rows without one are kept as well.  No rows give none.
+    """
     import public_tokenizers
 
     from wayfare.llm.sstable import read_digests, write_shards
