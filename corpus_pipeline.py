@@ -19,28 +19,28 @@ END_ID = 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of more than the lowest grade, by ordinal regression."""
+    """Documents of more than the lowest grade, by ordinal regression.  Null and empty texts are graded like any other; without labels all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify.select_quality(docs, classify.fit_quality(docs, labels), LEAST_QUALITY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies.  Texts without words are copies of one another; repeated rows and rows without an id are documents like any other."""
     return simhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages.  Null and empty texts hold none; without items all stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for."""
+    """Documents as often as their source's target asks for, at most twice.  A null source is a source; one without any words gives no rows."""
     return mixing.mix(docs)
 
 
 def token_tables(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token tables of the mix; what is returned is read back from them."""
+    """Token tables of the mix; what is returned is read back from them, a row for each copy.  Texts without words are their tokens, if any, and the end id."""
     import public_tokenizers
 
     scratch = Scratch(spark, "tokens")
@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each stage's result is a table in the shared folder."""
+    """All stages over the table documents; each stage's result is a table in the shared folder.  Further columns, whatever their names, pass through; no documents give no rows."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
