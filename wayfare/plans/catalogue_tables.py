@@ -232,13 +232,25 @@ def sink_json_lists(spark, sf_dir):
     return spark.createDataFrame([(int(files.exists(f"{folder}/nothing.parquet", spark)), len(listed), listed[-1])], "empty_files bigint, listed bigint, last string")
 
 
-@query("SELECT uvehicle::VARCHAR AS vehicle, origin, destination FROM <TRIPS> t GROUP BY ALL")
-def sink_skims(spark, sf_dir):
-    """Pairs by vehicle in one compressed JSON file."""
-    pairs = d.frame(spark, sf_dir, d.TRIPS).select("uvehicle", "origin", "destination").distinct()
-    path = sinks.write_json_rows(pairs, "uvehicle", f"{_folder(spark)}/skims.json.zst")
-    rows = [(v, r["origin"], r["destination"]) for v, own in sinks.read_json_file(spark, path).items() for r in own]
-    return spark.createDataFrame(rows, "vehicle string, origin bigint, destination bigint")
+_SKIMS = """SELECT uvehicle::VARCHAR AS vehicle, origin, destination, origin + 60e0 AS first, destination / 4e0 AS last, CASE WHEN destination % 3 = 0 THEN 60e0 * destination END AS cst
+  FROM (SELECT DISTINCT uvehicle, origin, destination FROM <TRIPS> t) pairs"""
+
+
+def _skims(most: int):
+    def run(spark, sf_dir):
+        pairs = d.frame(spark, sf_dir, d.TRIPS).select("uvehicle", "origin", "destination").distinct()
+        ttf = F.expr("named_struct('start_x', 0D, 'interval_x', 3600D, 'points', array(origin + 60D, 1.5D, destination / 4D), 'cst', if(destination % 3 = 0, 60D * destination, null))")
+        path = sinks.write_json_rows(pairs.withColumn("ttf", ttf), "uvehicle", f"{_folder(spark)}/skims.json.zst", most)
+        rows = sinks.read_json_rows(spark, path, "vehicle", f"origin bigint, destination bigint, ttf {pwl.TYPE}")
+        return rows.select("vehicle", "origin", "destination", F.col("ttf.points")[0].alias("first"), F.element_at("ttf.points", -1).alias("last"), "ttf.cst")
+
+    return run
+
+
+for _name, _most, _text in (("sink_skims", sinks.MOST_ROWS_OF_ONE_FILE, "one compressed JSON file, or parts if they are many"), ("sink_skims_parts", 0, "the parts of a compressed JSON document")):
+    _f = _skims(_most)
+    _f.__name__, _f.__doc__ = _name, f"Functions of pairs by vehicle in {_text}, read back by Spark."
+    query(_SKIMS)(_f)
 
 
 @query("SELECT trip_id, destination FROM <TRIPS> t WHERE destination >= <NODES> - 3")
