@@ -289,3 +289,35 @@ def crowded_iteration_results(spark, sf_dir):
     fours += [f"virtual_trip_{c}" for c in ("departure_time", "arrival_time", "travel_time", "utility")] + ["surplus", "alt_departure_time", "alt_arrival_time", "alt_travel_time", "alt_utility", "alt_expected_utility", "constant_utility"]
     rounded = [F.abs(F.round(F.col(f"{c}_{k}").cast("double"), 5)).alias(f"{c}_{k}") if "bottleneck" in c or "congestion" in c else F.round(F.col(f"{c}_{k}").cast("double"), 5).alias(f"{c}_{k}") for c in fours for k in ("mean", "std", "min", "max")]
     return row.select(*[F.col(c).cast("bigint").alias(c) for c in counts], *rounded, F.round("road_trip_exp_travel_time_diff_rmse", 5).alias("road_trip_exp_travel_time_diff_rmse"))
+
+
+#: Grid of the departures and length of each customer's period.
+_STEP, _LONG = 1800.0, 36000.0
+#: A customer's best departure lies on the grid; early arrivals cost ``b`` and late ones ``g`` a second.
+_ANY_TIME = f"""WITH own AS (SELECT {_KEY} AS k, 3600e0 * ({_KEY} % 4) AS lo, 600e0 + {_KEY} % 900 AS spent, {_STEP}e0 * (3 + {_KEY} % 11) AS peak, 1e-4 * (1 + {_KEY} % 3) AS b, 1e-4 * (2 + {_KEY} % 5) AS g,
+    (({_KEY} * 7919) % 997 + 1) / 1000e0 AS u, 1e0 + {_KEY} % 2 AS mu FROM customer),
+  sums AS (SELECT *, mu / b * (1 - exp(-b * peak / mu)) AS early, mu / g * (1 - exp(-g * ({_LONG}e0 - peak) / mu)) AS late FROM own)
+  SELECT k AS agent_id, round(lo + peak + CASE WHEN u * (early + late) <= early THEN mu / b * ln(u * (early + late) * b / mu + exp(-b * peak / mu))
+    ELSE -mu / g * ln(1 - (u * (early + late) - early) * g / mu) END, 3) AS departure, round(0.5e0 - 0.0015e0 * spent + mu * (ln(early + late) + {choice.EULER}e0), 6) AS expected_utility FROM sums"""
+
+
+@query(_ANY_TIME)
+def day_at_any_time(spark, sf_dir):
+    """Departures drawn from a continuous logit over a utility that rises to the best arrival and falls behind it."""
+    key, none = F.col(_KEY), F.lit(None)
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(_KEY)
+    lo, spent = 3600.0 * (key % 4), (600 + key % 900).cast("double")
+    alternatives = c.select(
+        key.alias("agent_id"), F.lit(0).cast("bigint").alias("alt_id"), F.lit("Continuous").alias("dt_choice.type"), F.array(lo, lo + _LONG).alias("dt_choice.period"), F.lit("Logit").alias("dt_choice.model.type"),
+        (((key * 7919) % 997 + 1) / 1000.0).alias("dt_choice.model.u"), (1.0 + key % 2).alias("dt_choice.model.mu"), F.lit(0.5).alias("constant_utility"), F.lit("Linear").alias("destination_utility.type"),
+        (lo + _STEP * (3 + key % 11) + spent).alias("destination_utility.tstar"), (1e-4 * (1 + key % 3)).alias("destination_utility.beta"), (1e-4 * (2 + key % 5)).alias("destination_utility.gamma"),
+    )
+    trips = c.select(
+        key.alias("agent_id"), F.lit(0).cast("bigint").alias("alt_id"), F.lit(0).cast("bigint").alias("trip_id"), F.lit("Virtual").alias("class.type"), spent.alias("class.travel_time"), F.lit(-0.0015).alias("travel_utility.one"),
+        *[none.cast("bigint").alias(f"class.{n}") for n in ("origin", "destination", "vehicle")], none.cast("array<bigint>").alias("class.route"),
+    )
+    given = {"agents": c.select(key.alias("agent_id")), "alternatives": alternatives, "trips": trips}
+    placed = {n: t.withColumn("row_index", F.struct(F.lit("").alias("file"), F.col("agent_id").cast("bigint").alias("row"))) for n, t in given.items()}
+    p = SimulationParameters({}, PERIOD, departure_time_interval=_STEP)
+    w = simulation.world(spark, p, {name: cut(tables.read(table, name), name) for name, table in placed.items()})
+    return simulation.decide(w, None, {}).select("agent_id", F.round("departure", 3).alias("departure"), r6("expected_utility").alias("expected_utility"))

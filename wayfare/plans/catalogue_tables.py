@@ -179,9 +179,8 @@ def duplicate_keys(spark, sf_dir):
     return tables.duplicates(tables.read(t, "routing_edges"), "routing_edges")
 
 
-@query("SELECT uvehicle, edge_id, CASE WHEN edge_id % 3 = 0 THEN 100e0 + uvehicle ELSE round(length / speed, 6) END AS travel_time FROM <EDGES> e CROSS JOIN (SELECT unnest([0::BIGINT, 1]) AS uvehicle) v")
-def completed_conditions(spark, sf_dir):
-    """Given conditions where there are any, those of empty roads elsewhere."""
+def _conditions_world(spark, sf_dir):
+    """Two vehicles on the derived roads, with given conditions on every third road and on roads that are not there."""
     from wayfare.plans import simulation
     from wayfare.plans.parameters import RoadNetwork, SimulationParameters
 
@@ -195,11 +194,33 @@ def completed_conditions(spark, sf_dir):
     agents = spark.createDataFrame([(1,)], "agent_id bigint")
     alternatives = spark.createDataFrame([(1, 1)], "agent_id bigint, alt_id bigint")
     roads = e.select("edge_id", "source", "target", "speed", "length")
-    w = simulation.world(spark, p, {n: tables.read(t, n) for n, t in (("agents", agents), ("alternatives", alternatives), ("edges", roads), ("vehicle_types", vehicles))})
+    return simulation.world(spark, p, {n: tables.read(t, n) for n, t in (("agents", agents), ("alternatives", alternatives), ("edges", roads), ("vehicle_types", vehicles))})
+
+
+@query("SELECT uvehicle, edge_id, CASE WHEN edge_id % 3 = 0 THEN 100e0 + uvehicle ELSE round(length / speed, 6) END AS travel_time FROM <EDGES> e CROSS JOIN (SELECT unnest([0::BIGINT, 1]) AS uvehicle) v")
+def completed_conditions(spark, sf_dir):
+    """Given conditions where there are any, those of empty roads elsewhere."""
+    from wayfare.plans import simulation
+
+    w = _conditions_world(spark, sf_dir)
     got = simulation.initial_weights(spark, w, simulation.free_flow(w))
     return got.select("uvehicle", "edge_id", r6("ttf.cst").alias("travel_time"))
 
 
+@query("""SELECT uvehicle, count(*) AS n_edges, CAST(min(edge_id) AS BIGINT) AS first_edge, CAST(max(edge_id) FILTER (WHERE k <= 5) AS BIGINT) AS last_named, count(*) FILTER (WHERE k <= 5) AS n_named
+  FROM (SELECT uvehicle, edge_id, row_number() OVER (PARTITION BY uvehicle ORDER BY edge_id) AS k FROM <EDGES> e CROSS JOIN (SELECT unnest([0::BIGINT, 1]) AS uvehicle) v WHERE edge_id % 3 <> 0) missing GROUP BY uvehicle""")
+def missing_functions(spark, sf_dir):
+    """Edges without given conditions by vehicle: how many, and those that the warning names."""
+    from wayfare.plans import simulation
+
+    w = _conditions_world(spark, sf_dir)
+    given = tables.read(tables.scan(spark, w.p.input_files["road_network_conditions"]), "road_network_conditions").select(F.col("vehicle_id").alias("uvehicle"), "edge_id", F.lit(1).alias("given"))
+    both = simulation.free_flow(w).select("uvehicle", "edge_id").join(given, ["uvehicle", "edge_id"], "left")
+    found = simulation.missing_functions(both)
+    return found.select("uvehicle", "n_edges", F.col("edges")[0].alias("first_edge"), F.element_at("edges", -1).alias("last_named"), F.size("edges").cast("bigint").alias("n_named"))
+
+
+
 _ORDERS = "SELECT o_orderkey AS k, o_custkey AS c, round(o_totalprice, 2) AS price FROM orders"
 
 

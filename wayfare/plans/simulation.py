@@ -144,7 +144,26 @@ def initial_weights(spark: SparkSession, w: World, free: DataFrame) -> DataFrame
     rows = rows.join(w.vehicles.select("vehicle_id", "uvehicle"), "vehicle_id")
     kept = rows.where(F.col("vehicle_id").eqNullSafe(F.col("uvehicle")))
     built = pwl.build(kept, ["uvehicle", "edge_id"], "departure_time", "travel_time", w.p.period[0]).withColumnRenamed("ttf", "given")
-    return cut(constant.join(built, ["uvehicle", "edge_id"], "left").select("uvehicle", "edge_id", F.coalesce("given", "ttf").alias("ttf")), "weights")
+    both = cut(constant.join(built, ["uvehicle", "edge_id"], "left"), "conditions")
+    for row in missing_functions(both).limit(_MOST_WARNINGS).collect():
+        tables.log.warning("vehicle %s: no function is given for %s edges (such as %s), they are taken as empty", row.uvehicle, row.n_edges, ", ".join(map(str, row.edges)))
+    return cut(both.select("uvehicle", "edge_id", F.coalesce("given", "ttf").alias("ttf")), "weights")
+
+
+#: Vehicles that are warned of at most, and edges that are named for each.
+_MOST_WARNINGS = 100
+_NAMED_EDGES = 5
+
+
+def missing_functions(conditions: DataFrame) -> DataFrame:
+    """uvehicle, n_edges, edges: how many edges of a vehicle have no ``given`` function, and the first few of them.
+
+    The first few are ranked with a limit in every task before the shuffle, so that a vehicle with most of the edges is none's burden.
+    """
+    none = conditions.where(F.col("given").isNull()).select("uvehicle", "edge_id")
+    few = none.withColumn("rank", F.row_number().over(Window.partitionBy("uvehicle").orderBy("edge_id"))).where(F.col("rank") <= _NAMED_EDGES)
+    named = few.groupBy("uvehicle").agg(F.sort_array(F.collect_list("edge_id")).alias("edges"))
+    return none.groupBy("uvehicle").agg(F.count("*").alias("n_edges")).join(named, "uvehicle").orderBy("uvehicle")
 
 
 def _graphs(w: World, weights: DataFrame) -> dict:
