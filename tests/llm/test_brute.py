@@ -516,6 +516,25 @@ def test_versions_and_names_of_licenses_are_exact():
     assert found(text["BSD-3-Clause"]) == ["BSD-3-Clause"] and found(text["BSD-2-Clause"]) == ["BSD-2-Clause"] and found(text["BSD"]) == ["BSD"]
 
 
+def test_case_and_stops_of_notices_are_free():
+    scanner = licenses.LicenseScanner()
+    for name, wording in licenses.TEMPLATES.items():
+        for other in (wording.upper(), wording.lower(), wording.rstrip("."), f'"{wording}",', wording.replace(",", "")):
+            text = f"some words here {other} and more of them".encode()
+            found = [f for f in scanner.scan(text) if f[6]]
+            assert [(f[2], f[4], f[5]) for f in found] == [(name, [], [])], (name, other)
+
+
+def test_identifiers_and_blocks_like_no_template():
+    scanner = licenses.LicenseScanner()
+    (found,) = scanner.scan(b"/* SPDX-License-Identifier: MIT */\nint main;")
+    assert found[2] == "SPDX MIT" and found[6] and found[:2] == (3, 31)
+    (found,) = scanner.scan(b"// SPDX-License-Identifier: Zlib\nint main;")
+    assert not found[6]
+    (found,) = scanner.scan("she kept her driver's licence in a blue box beneath the staircase of an old farm near Worcester".encode())
+    assert found[2] is None and not found[6] and found[3] < licenses.LEAST_REDUCTION and found[4] == found[5] == []
+
+
 def test_no_notice_is_lost_by_the_ranking():
     """Notices in random text, against the alignment with every template."""
     scanner, rng = licenses.LicenseScanner(), random.Random(14)

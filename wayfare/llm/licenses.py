@@ -5,12 +5,13 @@ its longest template has (joined where they meet, cut into pieces of four times
 the longest notice), so that a short notice is not lost in a long block.  Lines and comment marks at their ends do not matter.
 A block is compressed alone and with each template of its class as a raw zstandard dictionary; templates are ranked by how much smaller
 they make it, and all that make it smaller are held against its wording, none is left out by rank.  Confirmed is every
-notice whose wording differs from the template (words of the template that are missing, words within the matched stretch that are extra) in a
+notice whose wording, in lower case and without stops, brackets and quotes at the ends of words, differs from the template (words of the template that are missing, words within the matched stretch that are extra) in a
 tenth of the template's words at most, or in none if it has under ten, and in no name or version of a license.
 Within a block that search is exact: of a template cut into one piece more than the differences allowed, a notice
 holds one piece whole, and around each such piece words are aligned.
 
-Lines with cue words outside these notices are reported too, unconfirmed, under the template that makes them smallest.
+Lines with cue words outside these notices are reported too, unconfirmed, under the template that makes them smallest; if
+that is by less than ``LEAST_REDUCTION``, under none.  Of an expression of several SPDX identifiers the first is confirmed.
 """
 
 from __future__ import annotations
@@ -53,6 +54,11 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
+#: Identifiers of the SPDX license list.
+SPDX = "Apache-2.0 MIT GPL-3.0-only GPL-3.0-or-later GPL-2.0-only GPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later BSD-2-Clause BSD-3-Clause Unlicense MPL-2.0 CC-BY-NC-4.0 CC-BY-4.0 CC-BY-SA-4.0 ISC"
+TEMPLATES |= {f"SPDX {name}": f"SPDX-License-Identifier: {name}" for name in SPDX.split()}
+#: A block that no template makes smaller by this share of its size is named after none.
+LEAST_REDUCTION = 0.1
 CUES = re.compile(rb"licen[sc]e|copyright|permission is|redistribut|warrant|spdx|creative commons|cc by|public domain", re.I)
 #: Single words of cues: a text without any has none.
 _HINT = re.compile(rb"licen[sc]e|copyright|permission|redistribut|warrant|spdx|commons|\bcc\b|domain", re.I)
@@ -61,13 +67,17 @@ NAMES = {b"gnu", b"general", b"lesser", b"library", b"affero", b"mozilla", b"apa
 #: Longest notices, in words, of the classes but the last.
 CLASSES = (16, 48)
 _NUMBERED = NAMES | {b"version", b"v", b"license"}
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 _LINE = re.compile(rb"[^\n\r]+")
 _MARK = re.compile(rb"(?:<!--|[#*/;%!>|'-]+|(?:dnl|REM)(?![^\x20\x09-\x0D]))")
 _CLOSING = re.compile(rb"(?:-->|[#*/;%|-]+)")
 
 
+def _fold(word: bytes) -> bytes:
+    """A word as it is compared; of nothing but stops, the stops."""
+    return word.lower().strip(b".,;:()\"'") or word
+
+
 def _naming(words: list[bytes], i: int) -> bool:
     """Whether the word is part of a license's name or version."""
     word = words[i].lower().strip(b".,;:()\"'")
@@ -81,13 +91,12 @@ def _naming(words: list[bytes], i: int) -> bool:
 class LicenseScanner:
     """``scan`` a text against named templates."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, tolerance: float = 0.1, level: int = 3):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, tolerance: float = 0.1, level: int = 6):
         self.plain = zstandard.ZstdCompressor(level=level)
         self.names = list(templates)
-        self.given = [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in templates.values()]
-        self.words = [_WORD.findall(t) for t in templates.values()]
-        self.wanted = [[w.encode() for w in words] for words in self.words]
-        self.allowed = [int(tolerance * len(w)) for w in self.words]
+        self.wanted = [[_fold(w) for w in _BYTES.findall(t.encode())] for t in templates.values()]
+        self.given = [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(b" ".join(w), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.wanted]
+        self.allowed = [int(tolerance * len(w)) for w in self.wanted]
         lengths = [len(w) + k + 1 for w, k in zip(self.wanted, self.allowed, strict=True)]
         inside = [[t for t, n in enumerate(lengths) if low < n <= high] for low, high in zip((0, *CLASSES), (*CLASSES, max(lengths)), strict=True)]
         self.classes = [(max(lengths[t] for t in some), some) for some in inside if some]
@@ -156,9 +165,9 @@ class LicenseScanner:
         alone = len(self.plain.compress(block))
         return sorted(((1 - len(self.given[t].compress(block)) / alone, t) for t in (range(len(self.given)) if templates is None else templates)), key=lambda x: (-x[0], x[1]))
 
-    def differences(self, block: str, template: int) -> tuple[list[str], list[str]]:
-        """Template words missing from the block, and extra words within the matched stretch."""
-        have, want = _WORD.findall(block), self.words[template]
+    def differences(self, have: list[bytes], template: int) -> tuple[list[bytes], list[bytes]]:
+        """Template words missing from the words of a block, and extra words within the matched stretch."""
+        want = self.wanted[template]
         first = difflib.SequenceMatcher(None, have, want, autojunk=False)
         steps = [m for m in first.get_matching_blocks() if m.size]
         if not steps:
@@ -172,6 +181,7 @@ class LicenseScanner:
 
     def matches(self, words: list[bytes], templates: set[int] | None = None) -> list[tuple[int, int, int, list[bytes], list[bytes]]]:
         """first word, end, template, missing, extra of every notice of these templates (all if not given) in ``words``."""
+        words = [_fold(w) for w in words]
         near: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p, word in enumerate(words):
             for piece, t, offset in self.pieces.get(word, ()):
@@ -186,7 +196,7 @@ class LicenseScanner:
 
     def confirmed(self, words: list[bytes]) -> list[tuple[int, int, int, list[bytes], list[bytes]]]:
         """The notices in the candidate blocks of templates that make their block smaller; of overlapping ones, that of the longer template."""
-        found = {}
+        found, words = {}, [_fold(w) for w in words]
         for reach, templates in self.classes:
             for lo, hi in self.candidates(words, reach):
                 winners = {t for reduction, t in self.rank(b" ".join(words[lo:hi]), templates) if reduction > 0}
@@ -235,21 +245,24 @@ class LicenseScanner:
                 yield lo + j, best[1], t, missing[::-1], extra[::-1]
             lo = best[1]
 
-    def scan(self, text: bytes) -> Iterator[tuple[int, int, str, float, list[str], list[str], bool]]:
+    def scan(self, text: bytes) -> Iterator[tuple[int, int, str | None, float, list[str], list[str], bool]]:
         """start, end, license, reduction, missing, extra, confirmed of each notice, and of each block of other cues with the best ranked template."""
         if not _HINT.search(text):
             return
         held = self.tokens(text)
+        words = [_fold(w) for w, _, _ in held]
         rows, taken = [], []
-        for first, last, t, missing, extra in self.confirmed([w for w, _, _ in held]) if held else ():
+        for first, last, t, missing, extra in self.confirmed(words) if held else ():
             start, end = held[first][1], held[last - 1][2]
             taken.append((start, end))
-            reduction = 1 - len(self.given[t].compress(text[start:end])) / len(self.plain.compress(text[start:end]))
-            rows.append((start, end, self.names[t], reduction, *([w.decode(errors="replace") for w in x] for x in (missing, extra)), True))
+            rows.append((start, end, self.names[t], self.rank(b" ".join(words[first:last]), [t])[0][0], missing, extra, True))
         for start, end in self.blocks(text, taken):
-            reduction, t = self.rank(text[start:end])[0]
-            rows.append((start, end, self.names[t], reduction, *self.differences(text[start:end].decode(errors="replace"), t), False))
-        yield from sorted(rows, key=lambda r: r[:2])
+            own = [_fold(w) for w in _BYTES.findall(text[start:end])]
+            reduction, t = self.rank(b" ".join(own))[0]
+            missing, extra = self.differences(own, t) if reduction >= LEAST_REDUCTION else ([], [])
+            rows.append((start, end, self.names[t] if reduction >= LEAST_REDUCTION else None, reduction, missing, extra, False))
+        for start, end, name, reduction, missing, extra, sure in sorted(rows, key=lambda r: r[:2]):
+            yield start, end, name, reduction, *([w.decode(errors="replace") for w in x] for x in (missing, extra)), sure
 
 
 def license_blocks(docs: DataFrame, scanner: dict | None = None) -> DataFrame:
@@ -257,7 +270,7 @@ def license_blocks(docs: DataFrame, scanner: dict | None = None) -> DataFrame:
 
     Null and empty texts, and texts without a cue word, give no row; repeated rows give theirs again, rows with a null doc_id theirs
     under null; an empty table gives none.  Of two templates that make a block equally small the first is named, of
-    overlapping notices the longer.  Texts are read whole: the candidate blocks of a very long one are ranked piece by piece.  Other columns are not read.
+    overlapping notices the longer; the license of a block that none makes smaller is null.  ``missing`` and ``extra`` are words as compared.  Texts are read whole: the candidate blocks of a very long one are ranked piece by piece.  Other columns are not read.
     """
     bound_batches(docs.sparkSession)
     options = scanner or {}
