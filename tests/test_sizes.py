@@ -1,9 +1,11 @@
 """Work that must grow no faster than its input."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from wayfare.operators import network
+from wayfare.plans import within_day
 
 
 def test_access_of_more_vehicles_than_a_list_holds(spark):
@@ -17,3 +19,26 @@ def test_access_of_more_vehicles_than_a_list_holds(spark):
     want, got = (df.toPandas().sort_values("vehicle_id").reset_index(drop=True) for df in (rows, network.access_totals(vehicles, edges)))
     pd.testing.assert_frame_equal(got, want)
     assert len(want) == 11_999  # vehicle 2 may use none
+
+
+def test_each_leg_is_done_once_where_ways_do_not_go_round(spark, monkeypatch):
+    """Trips down a line of six narrow roads, entering anywhere: the queues write no leg more often than the line is long, and mostly once."""
+    written = []
+
+    def counted(df, label="table"):
+        out = cut(df, label)
+        if label == "queue":
+            written.append(out.count())
+        return out
+
+    cut = within_day.cut
+    monkeypatch.setattr(within_day, "cut", counted)
+    edges = spark.createDataFrame([(e, 100.0 + e, 10.0, 1.0, 0.05 + 0.01 * (e % 3)) for e in range(6)], "edge_id long, length double, speed double, lanes double, flow double")
+    departures = spark.createDataFrame([(t, 3.0 * t + t % 7 / 7) for t in range(60)], "trip_id long, departure double")
+    ways = spark.createDataFrame([(t, k, e) for t in range(60) for k, e in enumerate([0, 1, 2, 3, 99, 4, 5][: 2 + t % 6])], "trip_id long, position int, edge_id long")
+    got = {(r.trip_id, r.position): r.exit_time for r in within_day.queue_network(departures, ways, edges).collect()}
+    legs = ways.count()
+    assert sum(written) <= legs
+    rows = ways.join(edges, "edge_id").join(departures, "trip_id").select("trip_id", "position", "edge_id", "departure", F.lit(0.0).alias("gap"), (F.col("length") / F.col("speed")).alias("spent"), (1 / (F.col("flow") * F.col("lanes"))).alias("closing"))
+    want = {(r.trip_id, r.position): r.exit_time for r in within_day.queue_steps(rows).collect()}
+    assert got == pytest.approx(want)

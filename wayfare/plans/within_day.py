@@ -47,15 +47,56 @@ MOST_LEGS = 5_000_000
 #: Seconds of the stretches that an edge's arrivals are summed up by, where one has more than ``MOST_AT_GATE`` of them.
 CHUNK = 900.0
 MOST_AT_GATE = 1_000_000
+#: A round that does one edge after all its trips have come has to do this part of the legs that are left.
+FEWEST_DONE = 16
 
 
 def queue_network(departures: DataFrame, routes: DataFrame, edges: DataFrame, constrain_inflow: bool = True, chunk: float = CHUNK) -> DataFrame:
-    """trip_id, position, edge_id, reach_time, entry_time, at_exit, exit_time of trips with given routes, without spillback and at free flow."""
+    """trip_id, position, edge_id, reach_time, entry_time, at_exit, exit_time of trips with given routes, without spillback and at free flow.
+
+    An edge is done once, when all trips over it have come to it; a trip moves from edge to edge as one row with the rest of its route.  Where
+    too few edges are next (ways that go round, an edge of more than ``MOST_AT_GATE`` arrivals), the rest is done by the rounds of ``queue_steps``.
+    """
     waits = scalars.closing_time(F.lit(1.0), F.col("flow"), F.col("lanes"))
     spent = scalars.edge_travel_time(F.col("length"), F.col("speed"), F.coalesce("constant_travel_time", F.lit(0.0)) if "constant_travel_time" in edges.columns else F.lit(0.0))
     known = edges.select("edge_id", spent.alias("spent"), waits.alias("closing"))
-    rows = routes.select("trip_id", "position", "edge_id").join(known, "edge_id").join(departures.select("trip_id", F.col("departure").cast("double").alias("departure")), "trip_id")
-    return queue_steps(rows.withColumn("gap", F.lit(0.0)), constrain_inflow, chunk)
+    ways = routes.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("position", "edge_id"))).alias("way"))
+    starts = ways.join(departures.select("trip_id", F.col("departure").cast("double").alias("time")), "trip_id").select("trip_id", "time", F.col("way.position").alias("at"), F.col("way.edge_id").alias("roads"))
+    waiting = cut(starts, "trips")
+    counts = waiting.select(F.explode("roads").alias("edge_id")).groupBy("edge_id").agg(F.count("*").alias("n"))
+    known = cut(known.join(counts, "edge_id"), "roads")
+    most, legs = known.agg(F.max("n"), F.sum("n")).first()
+    settled: list[DataFrame] = []
+    while (most or 0) <= MOST_AT_GATE:
+        # roads that the network does not have pass at once; the join by edge is the only shuffle
+        here = waiting.select("trip_id", "time", "at", "roads", F.get("roads", F.lit(0)).alias("edge_id")).join(known.hint("merge"), "edge_id", "left")
+        rows = here.withColumn("position", F.struct("trip_id", F.get("at", F.lit(0)).alias("place"))).withColumn("ready", F.col("n").isNull() | (F.count("*").over(Window.partitionBy("edge_id")) == F.col("n")))
+        entered = gates.fifo_gate(rows, "edge_id", "time", F.col("closing"), None, "entry_time") if constrain_inflow else rows.withColumn("entry_time", F.col("time"))
+        left = gates.fifo_gate(entered.withColumn("at_exit", F.col("entry_time") + F.col("spent")), "edge_id", "at_exit", F.col("closing"), None, "exit_time")
+        done = F.col("ready") & F.col("n").isNotNull()
+        rest = [F.when(F.col("ready"), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))).otherwise(F.col(c)).alias(c) for c in ("at", "roads")]
+        # who does not wait at the exit leaves when it comes there, whatever the sums round to
+        left = left.withColumn("exit_time", F.when(F.col("exit_time") - F.col("at_exit") < 1e-8, F.col("at_exit")).otherwise(F.col("exit_time")))
+        times = [F.when(done, F.col(c)).alias(c) for c in ("entry_time", "at_exit", "exit_time")]
+        step = cut(left.select("trip_id", F.get("at", F.lit(0)).alias("position"), "edge_id", F.col("time").alias("reach_time"), *times, "ready", *rest), "queue")
+        settled.append(step.where("exit_time is not null").select("trip_id", "position", "edge_id", "reach_time", "entry_time", "at_exit", "exit_time"))
+        waiting = step.where("size(roads) > 0").select("trip_id", F.coalesce("exit_time", "reach_time").alias("time"), "at", "roads")
+        moved, more = step.agg(F.count_if("ready"), F.count_if(F.size("roads") > 0)).first()
+        if not more:
+            break
+        before, legs = legs, legs - moved
+        if moved * FEWEST_DONE < before:
+            break
+    else:
+        more = 1
+    if more:
+        legs_left = waiting.select("trip_id", F.col("time").alias("departure"), F.explode(F.arrays_zip("at", "roads")).alias("leg"))
+        rows = legs_left.select("trip_id", "departure", F.col("leg.at").alias("position"), F.col("leg.roads").alias("edge_id"), F.lit(0.0).alias("gap")).join(known.drop("n"), "edge_id")
+        settled.append(queue_steps(rows, constrain_inflow, chunk).select("trip_id", "position", "edge_id", "reach_time", "entry_time", "at_exit", "exit_time"))
+    out = settled[0]
+    for other in settled[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = CHUNK, rounds: int = 10_000, spent_at=None) -> DataFrame:
