@@ -1,10 +1,16 @@
 """Work that must grow no faster than its input."""
 
+import random
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.operators import network
+from wayfare.functions import pwl
+from wayfare.operators import network, routing
+from wayfare.operators.graph import Graph, Grid
+from wayfare.operators.hierarchy import Hierarchy
 from wayfare.plans import within_day
 
 
@@ -42,3 +48,10 @@ def test_each_leg_is_done_once_where_ways_do_not_go_round(spark, monkeypatch):
     rows = ways.join(edges, "edge_id").join(departures, "trip_id").select("trip_id", "position", "edge_id", "departure", F.lit(0.0).alias("gap"), (F.col("length") / F.col("speed")).alias("spent"), (1 / (F.col("flow") * F.col("lanes"))).alias("closing"))
     want = {(r.trip_id, r.position): r.exit_time for r in within_day.queue_steps(rows).collect()}
     assert got == pytest.approx(want)
+
+
+def test_few_small_searches_are_dealt_over_all_tasks(spark):
+    edges = spark.createDataFrame([(k, k % 40, (k + 1) % 40) for k in range(40)], "edge_id long, source long, target long").withColumn("ttf", pwl.constant(F.lit(2.0)).cast(pwl.TYPE))
+    origins = spark.range(40).select(F.col("id").alias("origin"), F.col("id").alias("query_id"), (39 - F.col("id")).alias("destination"), F.lit(0.0).alias("departure_time")).coalesce(1)
+    for got in (routing.interval_bounds(origins, edges), routing.one_to_all(origins, edges), routing.earliest_arrivals(origins, edges), routing.profiles(origins, edges)):
+        assert got.select(F.spark_partition_id()).distinct().count() > 1
