@@ -1,5 +1,6 @@
 """Work that must grow no faster than its input."""
 
+import os
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from wayfare.operators import network, routing
 from wayfare.operators.graph import Graph, Grid
 from wayfare.operators.hierarchy import Hierarchy
 from wayfare.plans import within_day
+from wayfare.sources import shared
 
 
 def test_access_of_more_vehicles_than_a_list_holds(spark):
@@ -73,3 +75,13 @@ def test_a_large_hierarchy_keeps_its_core_together():
             up, down = h.forward_space(o), h.backward_space(t)
             assert min(up[x] + down[x] for x in up.keys() & down.keys()) == pytest.approx(g.profile(o, {t})[t])
             assert h.interval(o, t) == pytest.approx((g.profile(o, {t})[t],) * 2)
+
+
+def test_rounds_leave_one_table(spark):
+    """Of the tables of all rounds of a queue only the last one is left under the checkpoint folder."""
+    folder = shared.shared_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(folder))
+    rows = spark.createDataFrame([(t, k, k % 2, float(t), 0.0, 5.0, 4.0) for t in range(20) for k in range(4)], "trip_id long, position int, edge_id long, departure double, gap double, spent double, closing double")
+    got = within_day.queue_steps(rows)
+    assert got.count() == 80
+    assert len({f for f in os.listdir(folder) if f.startswith("queue-")} - before) == 1

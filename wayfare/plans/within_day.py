@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import scalars
-from wayfare.sources.shared import cut
+from wayfare.sources.shared import cut, drop
 from wayfare.streaming import gates
 from wayfare.streaming.supply import Edge, Leg, Simulation, Trip, Vehicle
 
@@ -123,7 +123,7 @@ def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = C
     now = placed.withColumn("reach_time", F.col("departure") + whole - F.col("spent"))
     if spent_at is not None:
         now = now.withColumn("freed_time", F.col("reach_time") + F.col("spent") + F.col("wave")).withColumn("occupied", F.lit(0.0))
-    now = cut(now, "queue")
+    held = now = cut(now, "queue")
     sizes = now.groupBy("edge_id").agg(F.count("*").alias("n"), F.max(F.size("flow_times") if "flow_times" in now.columns else F.lit(1)).alias("stages")).agg(F.max("n").alias("n"), F.max("stages").alias("stages")).first()
     chunk = chunk if (sizes.n or 0) > MOST_AT_GATE else None
 
@@ -148,6 +148,8 @@ def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = C
             left = left.withColumn("next_held", F.when(F.col("ordered"), F.lead("entry_time").over(by_leg) + F.col("closing")))
             moved = moved | (F.abs(F.col("next_held") - F.coalesce("held_until", F.lit(float("-inf")))) > 1e-7)
         timed = cut(left, "queue")
+        drop(held)  # the table of the round before
+        held = timed
         if timed.where(moved).isEmpty():
             return timed.withColumn("position", F.col("place")).drop("place", "next_reach", "next_freed", "next_held", "held_until", "leg")
         now = timed.withColumn("reach_time", F.col("next_reach")).drop("next_reach", "entry_time", "at_exit", "exit_time")
