@@ -24,6 +24,9 @@ from wayfare.sources.shared import cut
 
 #: Seconds by which a function must be lower somewhere to count as lower.
 MARGIN = 1e-9
+#: Breakpoints that the labels of a round may have where a search can answer as well; a label counts as ``LABEL_SIZE`` of them at least.
+MOST_POINTS = 10_000_000
+LABEL_SIZE = 100
 _RANK = pa.struct([("p", pa.float64()), ("h", pa.int32())])
 
 
@@ -143,11 +146,16 @@ def _covered(labels: DataFrame, known: DataFrame) -> DataFrame:
     return two.select("way", "hub", "node").distinct()
 
 
-def hub_labels(edges: DataFrame, order: DataFrame | None = None, rounds: int = 10_000) -> DataFrame:
+def _points(labels: DataFrame) -> int:
+    return labels.agg(F.sum(F.greatest(F.size("xs"), F.lit(LABEL_SIZE)))).first()[0] or 0
+
+
+def hub_labels(edges: DataFrame, order: DataFrame | None = None, rounds: int = 10_000, most: int | None = None) -> DataFrame | None:
     """way (out: node to hub, in: hub to node), hub, node, xs, ys (breakpoints and arrivals), low, high (bounds of the travel time) of a network (edge_id, source, target, ttf).
 
     Edges that are never passed are left out; of parallel edges the lesser function counts.  Functions must be first-in first-out.
-    ``order`` (node_id, order) gives the ranks, the highest last; without it they are drawn by hash and degree.
+    ``order`` (node_id, order) gives the ranks, the highest last; without it they are drawn by hash and degree.  A network without small separators
+    has labels that grow with the square of its nodes: with ``most`` breakpoints given, None is returned once a round has more of them.
     """
     kinds = dict(edges.dtypes)
     open_edges = edges.where("ttf.points is not null or ttf.cst < double('infinity')")
@@ -167,6 +175,8 @@ def hub_labels(edges: DataFrame, order: DataFrame | None = None, rounds: int = 1
     for _ in range(rounds):
         moved = frontier.withColumnRenamed("node", "at").join(ways, ["way", "at"]).where("to_rank > hub_rank").select("way", "hub", F.col("to").alias("node"), "hub_rank", "xs", "ys", "ex", "ey")
         linked = cut(moved.mapInArrow(_link_rows, schema), "linked")
+        if most is not None and _points(linked) + _points(known) > most:
+            return None
         fresh = linked.join(_covered(linked, known), keys, "left_anti")
         before = known.join(fresh.select(*keys).distinct(), keys, "left_semi")
         together = before.select(*label, F.lit(True).alias("known")).unionByName(fresh.select(*label, F.lit(False).alias("known")))
