@@ -193,15 +193,18 @@ def skims_of(w: World, pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """origin, destination, ttf of one vehicle's pairs by the strategy of the parameters; all of them are exact at the points of the grid.
 
     "Best" and "Dijkstra" search once for each origin, on the workers or, for a graph beyond one of them, by rounds of joins; "Intersect" and "TCH"
-    meet at the hubs of labels, whose making pays where they are used again.
+    meet at the hubs of labels, whose making pays where they are used again; where those outgrow ``hubs.MOST_POINTS`` they search too.
     """
     kind = w.p.road_network.algorithm_type if w.p.road_network else "Best"
     if kind in ("Best", "Dijkstra"):
         return routing.profiles(pairs, edges)
     if kind not in ("Intersect", "TCH"):
         raise ValueError(f"unknown algorithm_type {kind}")
+    labels = hubs.hub_labels(edges, most=hubs.MOST_POINTS)
+    if labels is None:
+        return routing.profiles(pairs, edges)
     different = pairs.select("origin", "destination").distinct()
-    return different.join(hubs.hub_profiles(different, hubs.hub_labels(edges), hubs.grid_of(edges)), ["origin", "destination"], "left")
+    return different.join(hubs.hub_profiles(different, labels, hubs.grid_of(edges)), ["origin", "destination"], "left")
 
 
 def leg_functions(w: World, weights: DataFrame | None) -> DataFrame:
