@@ -137,9 +137,10 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
         table = spark.read.parquet(path)
         return table.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("row_index"))
     if kind == ".csv":
-        # order is meaning here: one unsplit read keeps it
-        table = spark.read.option("header", True).option("inferSchema", True).csv(path).coalesce(1)
-        return table.withColumn("row_index", F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")))
+        # order is meaning here: rows are counted within the piece of the file that a task reads, and pieces are told apart by where they begin
+        table = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        piece = F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+        return table.select("*", F.struct(piece.alias("file"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")).alias("row_index"))
     raise ValueError(f"{path}: only .parquet and .csv files can be read")
 
 
