@@ -167,7 +167,9 @@ def missing_functions(conditions: DataFrame) -> DataFrame:
 
 
 def _graphs(w: World, weights: DataFrame) -> dict:
-    """A graph for each unique vehicle; together they must fit in a worker."""
+    """A graph for each unique vehicle; together they must fit in a worker.  None where every road leg has its route: nothing is searched for."""
+    if w.legs is None or w.legs.where("class_type = 'Road' and class_route is null").isEmpty():
+        return {}
     ends = w.edges.select("edge_id", "source", "target")
     if routing.too_large(weights):
         raise ValueError("the graphs of all vehicles are too large for one worker together")
@@ -240,8 +242,11 @@ def leg_functions(w: World, weights: DataFrame | None) -> DataFrame:
 def walk(w: World, trips: DataFrame, weights: DataFrame | None, graphs: dict) -> DataFrame:
     """Expected course of trips (agent_id, alt_id, departure, origin_delay, legs array): one row for each leg.
 
-    Legs follow each other; a road leg takes its given route or the fastest one at its departure.
+    Legs follow each other; a road leg takes its given route or the fastest one at its departure.  Without graphs all routes are given, and
+    the course is a fold over the functions of their edges.
     """
+    if not graphs:
+        return _walk_given(trips, weights)
     spark = trips.sparkSession
     sent = spark.sparkContext.broadcast(graphs)  # checked by load_graph
     kinds = dict(trips.dtypes)
@@ -276,6 +281,31 @@ def walk(w: World, trips: DataFrame, weights: DataFrame | None, graphs: dict) ->
     return trips.select("agent_id", "alt_id", "departure", "origin_delay", "legs").mapInPandas(run, schema)
 
 
+def _walk_given(trips: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """``walk`` where every road leg has its route."""
+    edge, keys = dict(trips.dtypes)["edge_type"], ["agent_id", "alt_id"]
+    steps = trips.select(*keys, F.explode("legs").alias("leg")).where("leg.road").select(*keys, "leg.trip_index", "leg.uvehicle", F.posexplode("leg.route").alias("k", "edge_id"))
+    if weights is None:
+        ways = trips.select(*keys, F.lit(None).cast(f"array<struct<trip_index: int, k: int, ttf: {pwl.TYPE}>>").alias("steps")).limit(0)
+    else:
+        missing = F.raise_error(F.lit("a route uses an edge that its vehicle may not")).cast(pwl.TYPE)
+        known = steps.join(weights.select("uvehicle", "edge_id", "ttf"), ["uvehicle", "edge_id"], "left")
+        ways = known.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("trip_index", "k", F.coalesce("ttf", missing).alias("ttf")))).alias("steps"))
+    course = "array<struct<trip_index: int, leg_departure: double, leg_arrival: double, leg_route: array<{}>>>".format(edge)
+
+    def pass_leg(done: F.Column, leg: F.Column) -> F.Column:
+        own = F.filter(F.coalesce("steps", F.array()), lambda s: s["trip_index"] == leg["trip_index"])
+        drive = F.aggregate(own, done["at"], lambda t, s: t + pwl.evaluate(s["ttf"], t))
+        end = F.when(leg["road"], drive).otherwise(done["at"] + leg["spent"])
+        passed = lambda at: F.struct(leg["trip_index"].cast("int").alias("trip_index"), done["at"].alias("leg_departure"), at.alias("leg_arrival"), F.when(leg["road"], leg["route"]).alias("leg_route"))
+        state = lambda at: F.struct((at + leg["stopping"]).alias("at"), F.concat(done["course"], F.array(passed(at))).alias("course"))
+        return pwl.bind(end, state).cast(f"struct<at: double, course: {course}>")
+
+    began = F.struct((F.col("departure") + F.col("origin_delay")).alias("at"), F.array().cast(course).alias("course")).cast(f"struct<at: double, course: {course}>")
+    walked = trips.join(ways, keys, "left").select(*keys, F.explode(F.aggregate("legs", began, pass_leg)["course"]).alias("x"))
+    return walked.select(*keys, "x.*")
+
+
 def _trips_to_walk(w: World, legs: DataFrame, departures: DataFrame) -> DataFrame:
     """departures (agent_id, alt_id, departure) with what ``walk`` needs of their legs."""
     listed = F.struct(
@@ -586,7 +616,10 @@ def trip_results(w: World, expected: DataFrame, realized: DataFrame, free: DataF
             asked = pairs.where(F.col("uvehicle") == F.lit(u)).select(F.struct("origin", "destination").alias("query_id"), "origin", "destination", F.lit(0.0).alias("departure_time")).withColumn("query_id", F.to_json("query_id"))
             found = routing.earliest_arrivals(asked, own, False).select(F.lit(u).alias("uvehicle"), F.col("origin").alias("class_origin"), F.col("destination").alias("class_destination"), F.col("arrival_time").alias("best_free_flow"))
             best = found if best is None else best.unionByName(found)
-        rows = rows.join(best, ["uvehicle", "class_origin", "class_destination"], "left")
+        if best is None:  # all routes are given
+            rows = rows.withColumn("best_free_flow", F.lit(None).cast("double"))
+        else:
+            rows = rows.join(best, ["uvehicle", "class_origin", "class_destination"], "left")
         rows = rows.withColumn("global_free_flow_travel_time", F.when(is_road, F.when(F.col("class_route").isNotNull(), F.col("route_free_flow_travel_time")).otherwise(F.col("best_free_flow"))))
     else:
         rows = rows.withColumns(dict.fromkeys(("length", "route_free_flow_travel_time", "global_free_flow_travel_time"), F.lit(None).cast("double")))
