@@ -117,7 +117,7 @@ def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = C
     by_leg = Window.partitionBy("trip_id", "leg").orderBy("place")
     ordered = "ordered" in rows.columns
     placed = rows if "leg" in rows.columns else rows.withColumn("leg", F.lit(0))
-    placed = placed.withColumn("place", F.col("position")).withColumn("position", F.struct("trip_id", "place"))
+    placed, ties = placed.withColumnRenamed("position", "place"), ("trip_id", "place")
     if ordered:
         placed = placed.withColumn("held_until", F.lit(None).cast("double"))
     now = placed.withColumn("reach_time", F.col("departure") + whole - F.col("spent"))
@@ -129,16 +129,17 @@ def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = C
 
     def gate(df: DataFrame, time: str, name: str, held: str | None = None) -> DataFrame:
         if "flow_times" in df.columns:
-            return gates.fifo_gate_varying(df, "edge_id", time, "flow_times", "closings", sizes.stages or 1, name, held)
-        return gates.fifo_gate(df, "edge_id", time, F.col("closing"), chunk, name, held)
+            return gates.fifo_gate_varying(df, "edge_id", time, "flow_times", "closings", sizes.stages or 1, name, held, ties)
+        return gates.fifo_gate(df, "edge_id", time, F.col("closing"), chunk, name, held, ties)
 
     for _ in range(rounds):
         entered = gate(now, "reach_time", "entry_time") if constrain_inflow else now.withColumn("entry_time", F.col("reach_time"))
         if spent_at is not None:
-            entered = gates.occupied_at_entry(entered.drop("occupied"), "edge_id", "entry_time", "freed_time", "headway")
+            entered = gates.occupied_at_entry(entered.drop("occupied"), "edge_id", "entry_time", "freed_time", "headway", ties=ties)
             entered = entered.withColumn("spent", spent_at(F.col("occupied")))
         left = gate(entered.withColumn("at_exit", F.col("entry_time") + F.col("spent")), "at_exit", "exit_time", "held_until" if ordered else None)
-        left = left.withColumn("next_reach", F.coalesce(F.lag("exit_time").over(by_trip), F.col("departure")) + F.col("gap"))
+        # what a round leaves is moved and written as few columns: ``at_exit`` follows from two others
+        left = left.drop("at_exit").withColumn("next_reach", F.coalesce(F.lag("exit_time").over(by_trip), F.col("departure")) + F.col("gap"))
         moved = F.abs(F.col("next_reach") - F.col("reach_time")) > 1e-7
         if spent_at is not None:
             left = left.withColumn("next_freed", F.coalesce(F.lead("entry_time").over(by_leg), F.col("exit_time")) + F.col("wave"))
@@ -147,12 +148,13 @@ def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = C
             # the entry as this round finds it: a time, not a wait, so that a whole queue settles at once
             left = left.withColumn("next_held", F.when(F.col("ordered"), F.lead("entry_time").over(by_leg) + F.col("closing")))
             moved = moved | (F.abs(F.col("next_held") - F.coalesce("held_until", F.lit(float("-inf")))) > 1e-7)
-        timed = cut(left, "queue")
+        left = left.withColumn("moved", F.coalesce(moved, F.lit(False))).drop("held_until")
+        timed = cut(left.withColumn("next_reach", F.nullif("next_reach", "reach_time")), "queue")
         drop(held)  # the table of the round before
         held = timed
-        if timed.where(moved).isEmpty():
-            return timed.withColumn("position", F.col("place")).drop("place", "next_reach", "next_freed", "next_held", "held_until", "leg")
-        now = timed.withColumn("reach_time", F.col("next_reach")).drop("next_reach", "entry_time", "at_exit", "exit_time")
+        if timed.where("moved").isEmpty():
+            return timed.withColumnRenamed("place", "position").withColumn("at_exit", F.col("entry_time") + F.col("spent")).drop("moved", "next_reach", "next_freed", "next_held", "leg")
+        now = timed.withColumn("reach_time", F.coalesce("next_reach", "reach_time")).drop("moved", "next_reach", "entry_time", "exit_time")
         if spent_at is not None:
             now = now.withColumn("freed_time", F.col("next_freed")).drop("next_freed")
         if ordered:

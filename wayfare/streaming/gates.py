@@ -11,22 +11,22 @@ def _let_through(time: str, held: str | None, order) -> Column:
     return F.col(time) if held is None else F.greatest(F.col(time), F.max(held).over(order.rowsBetween(Window.unboundedPreceding, -1)))
 
 
-def fifo_gate(arrivals: DataFrame, edge: str, time: str, service: Column, chunk: float | None = None, name: str = "exit_time", held: str | None = None) -> DataFrame:
+def fifo_gate(arrivals: DataFrame, edge: str, time: str, service: Column, chunk: float | None = None, name: str = "exit_time", held: str | None = None, ties: tuple[str, ...] = ("position",)) -> DataFrame:
     """``exit_time`` of each arrival at a gate that serves in order, each one closing it for ``service`` seconds.
 
-    The k-th leaves at S(k-1) + max over j <= k of (arrival j - S(j-1)), S the running sum of services.  Ties are in the order of ``position``.
+    The k-th leaves at S(k-1) + max over j <= k of (arrival j - S(j-1)), S the running sum of services.  Ties are in the order of ``ties``.
     With ``chunk``, an edge's arrivals are summed up by stretches of so many seconds first, and each stretch starts from what those before it
     come to: an edge that sees a third of all arrivals is the work of many tasks.  ``held``, a column of times, keeps the gate shut behind
     an arrival until then (null: no longer than its service).
     """
     if chunk is None:
-        order = Window.partitionBy(edge).orderBy(time, "position")
+        order = Window.partitionBy(edge).orderBy(time, *ties)
         upto = order.rowsBetween(Window.unboundedPreceding, 0)
         served = arrivals.withColumn("gate_s", F.sum(service).over(upto) - service)
         served = served.withColumn("gate_a", _let_through(time, held, order))
         peak = F.max(F.col("gate_a") - F.col("gate_s")).over(upto)
         return served.withColumn(name, F.col("gate_s") + peak).drop("gate_s", "gate_a")
-    order = Window.partitionBy(edge, "gate_c").orderBy(time, "position")
+    order = Window.partitionBy(edge, "gate_c").orderBy(time, *ties)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = arrivals.withColumn("gate_c", F.floor(F.col(time) / chunk)).withColumn("gate_v", service)
     local = rows.withColumn("gate_s", F.sum("gate_v").over(upto) - F.col("gate_v"))
@@ -42,14 +42,14 @@ def fifo_gate(arrivals: DataFrame, edge: str, time: str, service: Column, chunk:
     return joined.withColumn(name, leaves).drop("gate_c", "gate_v", "gate_s", "gate_a", "gate_p", "gate_e", "gate_k", "gate_b", "gate_m")
 
 
-def fifo_gate_varying(arrivals: DataFrame, edge: str, time: str, times: str, closings: str, stages: int, name: str = "exit_time", held: str | None = None) -> DataFrame:
+def fifo_gate_varying(arrivals: DataFrame, edge: str, time: str, times: str, closings: str, stages: int, name: str = "exit_time", held: str | None = None, ties: tuple[str, ...] = ("position",)) -> DataFrame:
     """The same at a gate whose closing depends on when a vehicle passes: the j-th of ``closings`` from the j-th of ``times`` on (before the first, that too).
 
     Within a stretch of constant closings the exits are those of ``fifo_gate``, from when the gate opens behind the last one of the stretch before; those that
     would fall behind its end are left to the next stretch.  ``stages`` is the number of times that an edge has at most; all stages read one sorted partition.
-    ``held`` is that of ``fifo_gate``.
+    ``held`` and ``ties`` are those of ``fifo_gate``.
     """
-    order = Window.partitionBy(edge).orderBy(time, "position")
+    order = Window.partitionBy(edge).orderBy(time, *ties)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     none = F.lit(None).cast("double")
     rows = arrivals.withColumn("gate_f", _let_through(time, held, order)).withColumn("gate_e", none).withColumn("gate_o", none)
@@ -63,10 +63,10 @@ def fifo_gate_varying(arrivals: DataFrame, edge: str, time: str, times: str, clo
     return rows.withColumn(name, F.col("gate_e")).drop("gate_c", "gate_s", "gate_a", "gate_f", "gate_x", "gate_e", "gate_o")
 
 
-def occupied_at_entry(rows: DataFrame, edge: str, entry: str, freed: str, headway: str, name: str = "occupied") -> DataFrame:
+def occupied_at_entry(rows: DataFrame, edge: str, entry: str, freed: str, headway: str, name: str = "occupied", ties: tuple[str, ...] = ("position",)) -> DataFrame:
     """Length of the vehicles that are on the edge when each one enters it: a running sum of what entered before less what was freed by then, at one time first what is freed."""
     both = F.explode(F.array(F.struct(F.lit(1).alias("enters"), F.col(entry).alias("at"), F.col(headway).alias("more")), F.struct(F.lit(0).alias("enters"), F.col(freed).alias("at"), (-F.col(headway)).alias("more")))).alias("occ")
-    order = Window.partitionBy(edge).orderBy("occ.at", "occ.enters", "position").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(edge).orderBy("occ.at", "occ.enters", *ties).rowsBetween(Window.unboundedPreceding, -1)
     events = rows.select("*", both).withColumn(name, F.greatest(F.coalesce(F.sum("occ.more").over(order), F.lit(0.0)), F.lit(0.0)))
     return events.where("occ.enters = 1").drop("occ")
 
