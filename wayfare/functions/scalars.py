@@ -96,14 +96,21 @@ def trip_utility(departure: Column, origin_delay: Column, legs: Column, total: d
     from wayfare.functions import pwl
 
     def leg(state: Column, x: Column) -> Column:
-        spent = pwl.evaluate(x["ttf"], state["t"])
-        arrival = state["t"] + spent
-        gain = travel_utility(spent, x["constant"], x["one"], x["two"], x["three"], x["four"], x["alpha"]) + schedule_utility(arrival, x["kind"], x["tstar"], x["beta"], x["gamma"], x["delta"])
-        return F.struct((arrival + _zero(x["stopping"])).alias("t"), (state["u"] + gain).alias("u"), (state["travel"] + spent).alias("travel"), arrival.alias("arrival"))
+        def passed(spent: Column) -> Column:
+            return pwl.bind(state["t"] + spent, lambda arrival: arrived(spent, arrival))
+
+        def arrived(spent: Column, arrival: Column) -> Column:
+            gain = travel_utility(spent, x["constant"], x["one"], x["two"], x["three"], x["four"], x["alpha"]) + schedule_utility(arrival, x["kind"], x["tstar"], x["beta"], x["gamma"], x["delta"])
+            return F.struct((arrival + _zero(x["stopping"])).alias("t"), (state["u"] + gain).alias("u"), (state["travel"] + spent).alias("travel"), arrival.alias("arrival"))
+
+        return pwl.bind(pwl.evaluate(x["ttf"], state["t"]), passed)
+
+    def whole_trip(end: Column) -> Column:
+        whole = travel_utility(end["travel"], total["constant"], total["one"], total["two"], total["three"], total["four"], total.get("alpha"))
+        sides = schedule_utility(departure, *[origin[k] for k in ("kind", "tstar", "beta", "gamma", "delta")]) + schedule_utility(end["t"], *[destination[k] for k in ("kind", "tstar", "beta", "gamma", "delta")])
+        return end["u"] + whole + sides
 
     start = departure + _zero(origin_delay)
     first = F.struct(start.alias("t"), F.lit(0.0).alias("u"), F.lit(0.0).alias("travel"), start.alias("arrival"))
-    end = F.aggregate(legs, first, leg)
-    whole = travel_utility(end["travel"], total["constant"], total["one"], total["two"], total["three"], total["four"], total.get("alpha"))
-    sides = schedule_utility(departure, *[origin[k] for k in ("kind", "tstar", "beta", "gamma", "delta")]) + schedule_utility(end["t"], *[destination[k] for k in ("kind", "tstar", "beta", "gamma", "delta")])
-    return end["u"] + whole + sides
+    # the fold over the legs is read several times
+    return pwl.bind(F.aggregate(legs, first, leg), whole_trip)

@@ -52,43 +52,53 @@ def continuous_logit(f: Column, u: Column, mu: Column) -> Column:
 
     exp(y / mu) is integrated over each segment exactly.  If all of it underflows, the grid points
     are chosen between as a discrete logit would.  Null without a function of points, ``u`` or ``mu``.
+    What the folds over segments and points read is bound, so that no step of a fold computes it anew.
     """
-    top = F.array_max(f["points"])
-    shifted = F.transform(pwl.pairs(f), lambda p: F.struct(p["x0"].alias("x0"), p["x1"].alias("x1"), (p["y0"] - top).alias("y0"), (p["y1"] - top).alias("y1")))
 
     def mass(p: Column) -> Column:
         dx = p["x1"] - p["x0"]
         flat = F.exp(p["y0"] / mu) * dx
         return F.when(p["y0"] == p["y1"], flat).otherwise(mu * dx / (p["y1"] - p["y0"]) * (F.exp(p["y1"] / mu) - F.exp(p["y0"] / mu)))
 
-    segments = F.transform(shifted, lambda p: p.withField("g", mass(p)))
-    total = F.aggregate(segments, F.lit(0.0), lambda a, p: a + p["g"])
-
     def inverse(p: Column, rest: Column) -> Column:
         theta = (p["y1"] - p["y0"]) / (p["x1"] - p["x0"])
         flat = p["x0"] + rest / F.exp(p["y0"] / mu)
         x = p["x0"] + (mu / theta) * F.log(theta * rest / mu + F.exp(p["y0"] / mu)) - p["y0"] / theta
         return F.least(F.greatest(F.when(p["y0"] == p["y1"], flat).otherwise(x), p["x0"]), p["x1"])
 
-    def step(state: Column, p: Column) -> Column:
-        here = state["x"].isNull() & (state["sum"] + p["g"] > u * total)
-        return F.struct((state["sum"] + p["g"]).alias("sum"), F.when(here, inverse(p, u * total - state["sum"])).otherwise(state["x"]).alias("x"))
-
-    found = F.aggregate(segments, F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("x")), step)["x"]
-    last = F.element_at(segments, -1)["x1"]
-    # the discrete logit: the first point whose cumulative weight is above u of all, else the last
-    weights = F.transform(f["points"], lambda y: F.exp((y - top) / mu))
-    whole = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
-
-    def pick(state: Column, w: Column) -> Column:
-        here = state["k"].isNull() & (state["sum"] + w > u * whole)
-        return F.struct((state["sum"] + w).alias("sum"), F.when(here, state["i"]).otherwise(state["k"]).alias("k"), (state["i"] + 1).alias("i"))
-
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("k"), F.lit(0).alias("i"))
-    point = pwl.x_at(f, F.coalesce(F.aggregate(weights, start, pick)["k"], F.size(f["points"]) - 1))
-    x = F.when(total == 0, point).otherwise(F.coalesce(found, last))
-    payoff = top + mu * (F.log(F.when(total > 0, total).otherwise(whole)) + EULER)
-    return F.when(f["points"].isNotNull() & u.isNotNull() & mu.isNotNull(), F.struct(x.alias("x"), payoff.alias("payoff")))
+    def listed(f: Column, top: Column) -> Column:
+        shifted = F.transform(pwl.pairs(f), lambda p: F.struct(p["x0"].alias("x0"), p["x1"].alias("x1"), (p["y0"] - top).alias("y0"), (p["y1"] - top).alias("y1")))
+        segments = F.transform(shifted, lambda p: p.withField("g", mass(p)))
+        # the discrete logit: the first point whose cumulative weight is above u of all, else the last
+        weights = F.transform(f["points"], lambda y: F.exp((y - top) / mu))
+        return F.struct(segments.alias("segments"), weights.alias("weights"))
+
+    def summed(s: Column) -> Column:
+        total = F.aggregate(s["segments"], F.lit(0.0), lambda a, p: a + p["g"])
+        whole = F.aggregate(s["weights"], F.lit(0.0), lambda a, w: a + w)
+        return F.struct(total.alias("total"), whole.alias("whole"))
+
+    def drawn(f: Column, top: Column, s: Column, sums: Column) -> Column:
+        segments, weights, total, whole = s["segments"], s["weights"], sums["total"], sums["whole"]
+
+        def step(state: Column, p: Column) -> Column:
+            here = state["x"].isNull() & (state["sum"] + p["g"] > u * total)
+            return F.struct((state["sum"] + p["g"]).alias("sum"), F.when(here, inverse(p, u * total - state["sum"])).otherwise(state["x"]).alias("x"))
+
+        found = F.aggregate(segments, F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("x")), step)["x"]
+        last = F.element_at(segments, -1)["x1"]
+
+        def pick(state: Column, w: Column) -> Column:
+            here = state["k"].isNull() & (state["sum"] + w > u * whole)
+            return F.struct((state["sum"] + w).alias("sum"), F.when(here, state["i"]).otherwise(state["k"]).alias("k"), (state["i"] + 1).alias("i"))
+
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("k"), F.lit(0).alias("i"))
+        point = pwl.x_at(f, F.coalesce(F.aggregate(weights, start, pick)["k"], F.size(f["points"]) - 1))
+        x = F.when(total == 0, point).otherwise(F.coalesce(found, last))
+        payoff = top + mu * (F.log(F.when(total > 0, total).otherwise(whole)) + EULER)
+        return F.when(f["points"].isNotNull() & u.isNotNull() & mu.isNotNull(), F.struct(x.alias("x"), payoff.alias("payoff")))
+
+    return pwl.bind(f, lambda f: pwl.bind(F.array_max(f["points"]), lambda top: pwl.bind(listed(f, top), lambda s: pwl.bind(summed(s), lambda sums: drawn(f, top, s, sums)))))
 
 
 def departure_grid(start: float, end: float, interval: Column) -> Column:

@@ -361,9 +361,10 @@ def decide(w: World, weights: DataFrame | None, graphs: dict) -> DataFrame:
         dt = float(p.departure_time_interval)
         steps = F.floor((hi - lo) / dt + 1e-9).cast("int")
         continuous = table.where("legs is not null and dt_choice_type = 'Continuous'")
-        gridded = continuous.select("*", lo.alias("lo"), F.posexplode(F.transform(F.sequence(F.lit(0), steps), lambda k: lo + k * dt)).alias("k", "x"))
-        valued = gridded.select("agent_id", "alt_id", "alt_index", "lo", "k", _utility_of(F.col("x"), F.col("legs")).alias("y"), F.col("dt_choice_model_u").alias("u"), F.col("dt_choice_model_mu").alias("mu"))
-        functions = valued.groupBy("agent_id", "alt_id", "alt_index", "lo", "u", "mu").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "y"))), lambda s: s["y"]).alias("ys"))
+        # an agent's whole function is made in its row; rows so small would come in one partition
+        dealt = continuous.repartition(max(1, int(continuous.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "agent_id", "alt_id")
+        ys = F.transform(F.sequence(F.lit(0), steps), lambda k: pwl.bind(lo + k * dt, lambda x: _utility_of(x, F.col("legs"))))
+        functions = dealt.select("agent_id", "alt_id", "alt_index", lo.alias("lo"), ys.alias("ys"), F.col("dt_choice_model_u").alias("u"), F.col("dt_choice_model_mu").alias("mu"))
         drawn = functions.withColumn("c", choice.continuous_logit(pwl.piecewise(F.col("lo"), F.lit(dt), F.col("ys")), F.col("u"), F.col("mu")))
         smooth = drawn.select("agent_id", "alt_id", "alt_index", F.col("c.x").alias("departure"), F.col("c.payoff").alias("value"))
         values = none.unionByName(fixed).unionByName(timed).unionByName(smooth)
