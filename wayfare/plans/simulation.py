@@ -24,7 +24,7 @@ from wayfare.plans.within_day import MOST_LEGS, components, queue_steps
 from wayfare.sources import sinks, tables
 from wayfare.sources.shared import cut
 from wayfare.streaming import gates
-from wayfare.streaming.supply import Edge, Leg, Simulation, Trip, Vehicle
+from wayfare.streaming.supply import Edge, Leg, Simulation, Trip, Vehicle, density_rule
 
 SCHEDULE = ("kind", "tstar", "beta", "gamma", "delta")
 
@@ -556,23 +556,7 @@ def _edge(r: dict) -> Edge:
         flow = lambda t, f=r["bottleneck_flow"]: f
     elif r["bottleneck_flows"]:
         flow = lambda t, ts=r["bottleneck_times"], fs=r["bottleneck_flows"]: fs[max(int(np.searchsorted(ts, t, side="right")) - 1, 0)]
-    density = None
-    kind = r["speed_density_type"]
-    if kind == "Bottleneck":
-        density = lambda base, occ, total, c=r["speed_density_capacity"]: base if total == 0 or occ <= c * total / base else total / occ * c
-    elif kind == "ThreeRegimes":
-        lo, jam, slow, beta = (r[f"speed_density_{k}"] for k in ("min_density", "jam_density", "jam_speed", "beta"))
-
-        def density(base: float, occ: float, total: float) -> float:
-            d = occ / total if total else 0.0
-            if d >= jam:
-                return min(slow, base)
-            if d > lo:
-                c = ((d - lo) / (jam - lo)) ** beta
-                return min(base * (1 - c) + slow * c, base)
-            return base
-
-    return Edge(r["edge_id"], r["length"], r["speed"], r["lanes"], flow, density, r["constant_travel_time"], r["overtaking"])
+    return Edge(r["edge_id"], r["length"], r["speed"], r["lanes"], flow, density_rule(r), r["constant_travel_time"], r["overtaking"])
 
 
 def simulated_weights(w: World, observed: DataFrame) -> DataFrame:

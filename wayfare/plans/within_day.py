@@ -7,16 +7,19 @@ it; trips are split into components that share edges, and each is one event simu
 
 from __future__ import annotations
 
+import functools
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import scalars
 from wayfare.sources.shared import cut, drop
 from wayfare.streaming import gates
-from wayfare.streaming.supply import Edge, Leg, Simulation, Trip, Vehicle
+from wayfare.streaming.supply import Edge, Leg, Simulation, Trip, Vehicle, density_rule
 
 
 def components(routes: DataFrame, rounds: int = 100) -> DataFrame:
@@ -51,6 +54,21 @@ MOST_AT_GATE = 1_000_000
 FEWEST_DONE = 16
 
 
+def _at_the_start(departures: DataFrame, routes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each trip as one row with its time and its way as two arrays, and the edges that trips take with the number ``n`` of their legs."""
+    ways = routes.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("position", "edge_id"))).alias("way"))
+    starts = ways.join(departures.select("trip_id", F.col("departure").cast("double").alias("time")), "trip_id").select("trip_id", "time", F.col("way.position").alias("at"), F.col("way.edge_id").alias("roads"))
+    waiting = cut(starts, "trips")
+    counts = waiting.select(F.explode("roads").alias("edge_id")).groupBy("edge_id").agg(F.count("*").alias("n"))
+    return waiting, cut(edges.join(counts, "edge_id"), "roads")
+
+
+def _legs_left(waiting: DataFrame, edges: DataFrame) -> DataFrame:
+    """The legs of waiting trips as ``queue_steps`` takes them, on the edges that are known."""
+    left = waiting.select("trip_id", F.col("time").alias("departure"), F.explode(F.arrays_zip("at", "roads")).alias("leg"))
+    return left.select("trip_id", "departure", F.col("leg.at").alias("position"), F.col("leg.roads").alias("edge_id"), F.lit(0.0).alias("gap")).join(edges, "edge_id")
+
+
 def queue_network(departures: DataFrame, routes: DataFrame, edges: DataFrame, constrain_inflow: bool = True, chunk: float = CHUNK) -> DataFrame:
     """trip_id, position, edge_id, reach_time, entry_time, at_exit, exit_time of trips with given routes, without spillback and at free flow.
 
@@ -60,11 +78,7 @@ def queue_network(departures: DataFrame, routes: DataFrame, edges: DataFrame, co
     waits = scalars.closing_time(F.lit(1.0), F.col("flow"), F.col("lanes"))
     spent = scalars.edge_travel_time(F.col("length"), F.col("speed"), F.coalesce("constant_travel_time", F.lit(0.0)) if "constant_travel_time" in edges.columns else F.lit(0.0))
     known = edges.select("edge_id", spent.alias("spent"), waits.alias("closing"))
-    ways = routes.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("position", "edge_id"))).alias("way"))
-    starts = ways.join(departures.select("trip_id", F.col("departure").cast("double").alias("time")), "trip_id").select("trip_id", "time", F.col("way.position").alias("at"), F.col("way.edge_id").alias("roads"))
-    waiting = cut(starts, "trips")
-    counts = waiting.select(F.explode("roads").alias("edge_id")).groupBy("edge_id").agg(F.count("*").alias("n"))
-    known = cut(known.join(counts, "edge_id"), "roads")
+    waiting, known = _at_the_start(departures, routes, known)
     most, legs = known.agg(F.max("n"), F.sum("n")).first()
     settled: list[DataFrame] = []
     while (most or 0) <= MOST_AT_GATE:
@@ -90,13 +104,77 @@ def queue_network(departures: DataFrame, routes: DataFrame, edges: DataFrame, co
     else:
         more = 1
     if more:
-        legs_left = waiting.select("trip_id", F.col("time").alias("departure"), F.explode(F.arrays_zip("at", "roads")).alias("leg"))
-        rows = legs_left.select("trip_id", "departure", F.col("leg.at").alias("position"), F.col("leg.roads").alias("edge_id"), F.lit(0.0).alias("gap")).join(known.drop("n"), "edge_id")
-        settled.append(queue_steps(rows, constrain_inflow, chunk).select("trip_id", "position", "edge_id", "reach_time", "entry_time", "at_exit", "exit_time"))
-    out = settled[0]
-    for other in settled[1:]:
-        out = out.unionByName(other)
-    return out
+        settled.append(queue_steps(_legs_left(waiting, known.drop("n")), constrain_inflow, chunk).select("trip_id", "position", "edge_id", "reach_time", "entry_time", "at_exit", "exit_time"))
+    return functools.reduce(DataFrame.unionByName, settled)
+
+
+_DENSITY = tuple(f"speed_density_{c}" for c in ("type", "capacity", "min_density", "jam_density", "jam_speed", "beta"))
+
+
+def dense_network(departures: DataFrame, routes: DataFrame, edges: DataFrame, headway: float = 7.0, wave_speed: float | None = None) -> DataFrame:
+    """trip_id, position, edge_id, entry_time, exit_time of trips with given routes over edges without gates whose speed falls with the vehicles on them.
+
+    ``edges`` has edge_id, length, speed, lanes and the columns speed_density_*.  An edge is done once, when all trips over it have come to it: one pass over
+    its arrivals in the order of time and trip, which keeps the times at which those on it free their length.  Where too few edges are next (ways that
+    go round), the rest is done by the rounds of ``queue_steps``.
+    """
+    wave = F.col("length") / wave_speed if wave_speed else F.lit(0.0)
+    constant = F.coalesce("constant_travel_time", F.lit(0.0)) if "constant_travel_time" in edges.columns else F.lit(0.0)
+    road = F.struct("length", "speed", "lanes", constant.alias("constant_travel_time"), wave.cast("double").alias("wave"), *_DENSITY)
+    waiting, known = _at_the_start(departures, routes, edges.select("edge_id", road.alias("road")))
+    legs = known.agg(F.sum("n")).first()[0] or 0
+    settled: list[DataFrame] = []
+    while True:
+        # the count by edge keeps the rows of an edge in one task; roads that the network does not have pass at once
+        here = waiting.select("trip_id", "time", "at", "roads", F.get("roads", F.lit(0)).alias("edge_id")).join(known.hint("merge"), "edge_id", "left")
+        come = here.withColumn("ready", F.col("n").isNull() | (F.count("*").over(Window.partitionBy("edge_id")) == F.col("n"))).withColumn("place", F.get("at", F.lit(0)))
+        ordered = come.sortWithinPartitions("edge_id", "time", "trip_id", "place")
+        columns = ordered.select("edge_id", "time", "trip_id", "place", "at", "roads", F.when(F.col("ready"), F.col("road")).alias("road"), "ready")
+        schema = ", ".join(f"{c} {columns.schema[c].dataType.simpleString()}" for c in columns.columns if c != "road")
+        left = columns.mapInArrow(functools.partial(_pass_dense, headway=headway), f"{schema}, exit_time double")
+        rest = [F.when(F.col("ready"), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))).otherwise(F.col(c)).alias(c) for c in ("at", "roads")]
+        step = cut(left.select("trip_id", F.col("place").alias("position"), "edge_id", F.col("time").alias("entry_time"), "exit_time", "ready", *rest), "queue")
+        settled.append(step.where("exit_time is not null").select("trip_id", "position", "edge_id", "entry_time", "exit_time"))
+        waiting = step.where("size(roads) > 0").select("trip_id", F.coalesce("exit_time", "entry_time").alias("time"), "at", "roads")
+        moved, more = step.agg(F.count_if("ready"), F.count_if(F.size("roads") > 0)).first()
+        if not more:
+            break
+        before, legs = legs, legs - moved
+        if moved * FEWEST_DONE < before:
+            break
+    if more:
+        free = scalars.edge_travel_time(F.col("length"), F.col("speed"), F.col("constant_travel_time"))
+        rows = _legs_left(waiting, known.select("edge_id", "road.*")).withColumns({"spent": free, "closing": F.lit(0.0), "headway": F.lit(float(headway))})
+
+        def spent_at(occupied):
+            speed = scalars.congested_speed(F.col("speed"), occupied, F.col("length") * F.col("lanes"), *[F.col(c) for c in _DENSITY])
+            return scalars.edge_travel_time(F.col("length"), speed, F.col("constant_travel_time"))
+
+        settled.append(queue_steps(rows, spent_at=spent_at).select("trip_id", "position", "edge_id", "entry_time", "exit_time"))
+    return functools.reduce(DataFrame.unionByName, settled)
+
+
+def _pass_dense(batches: Iterator[pa.RecordBatch], headway: float) -> Iterator[pa.RecordBatch]:
+    """``exit_time`` of arrivals that come edge by edge in their order; null where the edge is not known or not all have come to it."""
+    last, leaving, road = None, [], None
+    for batch in batches:
+        roads, exits = batch.column("road"), []
+        known = roads.is_valid().to_pylist()
+        for k, (edge, t) in enumerate(zip(batch.column("edge_id").to_pylist(), batch.column("time").to_pylist(), strict=True)):
+            if not known[k]:
+                exits.append(None)
+                continue
+            if road is None or edge != last:
+                last, leaving, road = edge, [], roads[k].as_py()
+                rule, room = density_rule(road), road["length"] * road["lanes"]
+            while leaving and leaving[0] <= t:
+                heapq.heappop(leaving)
+            speed = rule(road["speed"], headway * len(leaving), room) if rule else road["speed"]
+            end = t + (road["length"] / speed + road["constant_travel_time"])
+            heapq.heappush(leaving, end + road["wave"])
+            exits.append(end)
+        kept = [c for c in batch.schema.names if c != "road"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(exits, pa.float64())], names=[*kept, "exit_time"])
 
 
 def queue_steps(rows: DataFrame, constrain_inflow: bool = True, chunk: float = CHUNK, rounds: int = 10_000, spent_at=None) -> DataFrame:

@@ -46,6 +46,27 @@ class Edge:
         return self.length / speed + self.constant_travel_time
 
 
+def density_rule(r: dict) -> Callable[[float, float, float], float] | None:
+    """The speed of an edge (base, occupied length, whole length) by its columns speed_density_*; none at free flow."""
+    density = None
+    kind = r["speed_density_type"]
+    if kind == "Bottleneck":
+        density = lambda base, occ, total, c=r["speed_density_capacity"]: base if total == 0 or occ <= c * total / base else total / occ * c
+    elif kind == "ThreeRegimes":
+        lo, jam, slow, beta = (r[f"speed_density_{k}"] for k in ("min_density", "jam_density", "jam_speed", "beta"))
+
+        def density(base: float, occ: float, total: float) -> float:
+            d = occ / total if total else 0.0
+            if d >= jam:
+                return min(slow, base)
+            if d > lo:
+                c = ((d - lo) / (jam - lo)) ** beta
+                return min(base * (1 - c) + slow * c, base)
+            return base
+
+    return density
+
+
 @dataclass
 class Leg:
     """A road leg has a vehicle; ``route`` None asks the router at departure.  A virtual leg has a travel time of time."""
