@@ -11,7 +11,7 @@ from wayfare.plans import simulation
 from wayfare.plans.catalogue import query, r6
 from wayfare.plans.parameters import LearningModel, RoadNetwork, SimulationParameters
 from wayfare.sources import tables
-from wayfare.sources.shared import cut
+from wayfare.sources.shared import cut_sized as cut
 
 #: Roads of a drive: from the customer's node on, two to four along the ring (the even edges).
 _KEY = "c_custkey"

@@ -22,7 +22,7 @@ from wayfare.plans import report
 from wayfare.plans.parameters import SimulationParameters, simulation_parameters
 from wayfare.plans.within_day import MOST_LEGS, components, queue_steps
 from wayfare.sources import sinks, tables
-from wayfare.sources.shared import cut
+from wayfare.sources.shared import cut_sized as cut
 from wayfare.streaming import gates
 from wayfare.streaming.supply import Edge, Leg, Simulation, Trip, Vehicle, density_rule
 
@@ -693,7 +693,7 @@ def iteration_row(counter: int, agents: DataFrame, trips: DataFrame | None, weig
 
 def sampled(w: World, weights: DataFrame) -> DataFrame:
     """vehicle_id, edge_id, departure_time, travel_time on the recording grid, for every original vehicle."""
-    each = weights.join(w.vehicles.select("vehicle_id", "uvehicle"), "uvehicle")
+    each = weights.join(F.broadcast(w.vehicles.select("vehicle_id", "uvehicle")), "uvehicle")
     points = F.explode(pwl.sample(F.col("ttf"), float(w.p.period[0]), float(w.p.period[1]), float(w.p.road_network.recording_interval)))
     return each.select("vehicle_id", "edge_id", points.alias("s")).select("vehicle_id", "edge_id", "s.departure_time", "s.travel_time")
 

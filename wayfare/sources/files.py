@@ -38,3 +38,9 @@ def read_bytes(path: str, spark: SparkSession | None = None) -> bytes:
 def delete(path: str, spark: SparkSession | None = None) -> None:
     fs, place = _place(path, spark)
     fs.delete(place, True)
+
+
+def size(path: str, spark: SparkSession | None = None) -> int:
+    """Bytes of a file, or of all files below a folder."""
+    fs, place = _place(path, spark)
+    return fs.getContentSummary(place).getLength()
